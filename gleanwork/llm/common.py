@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
@@ -40,9 +41,9 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop working columns that a caller's extra columns might clash with."""
-    return df.drop(*[c for c in names if c in df.columns])
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of `df` with further columns, for the map functions."""
+    return T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()]])
 
 
 def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:

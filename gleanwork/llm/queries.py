@@ -1,10 +1,12 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from . import fingerprints, mixing, pii
+from . import fingerprints, mixing, pii, quality, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op3_quality": quality.op3_quality,
     "op8_pii": pii.op8_pii,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
