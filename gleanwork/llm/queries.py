@@ -1,12 +1,13 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from . import fingerprints, media, mixing, packing, pii, quality, toxicity
+from . import fingerprints, media, minhash, mixing, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_media": media.op2_media,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
+    "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
