@@ -1,12 +1,13 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from . import fingerprints, media, minhash, mixing, packing, pii, quality, repeats, toxicity
+from . import fingerprints, html, media, minhash, mixing, packing, pii, quality, repeats, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_media": media.op2_media,
     "op3_quality": quality.op3_quality,
     "op4_packing": packing.op4_packing,
+    "op5_html": html.op5_html,
     "op6_repeats": repeats.op6_repeats,
     "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_pii": pii.op8_pii,
