@@ -22,7 +22,7 @@ SYMBOLS = "#%&*$|<>{}[]\\^~_=@"
 STATS = ("symbols", "pipes", "digits", "capitals", "stops", "word_length", "log_words", "distinct_words", "same_next", "distinct_lines", "spread")
 BINS = 12
 #: Bounds of the prior strength in pseudo-documents, and the posterior below which a document is rejected.
-STRENGTH, KEEP_AT = (2.0, 1000.0), 0.5
+STRENGTH, KEEP_AT = (2.0, 1000.0), 0.25
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in SYMBOLS]] = 1
@@ -47,20 +47,20 @@ def statistics(text: str) -> tuple[float, ...]:
 
 
 class Evidence:
-    """Bin edges and log ratios of each statistic, then a calibration a * ratio + b."""
+    """Bin edges and log ratios of each statistic, then a calibration: a weight for each statistic's ratio and a bias."""
 
-    def __init__(self, edges: list[np.ndarray], ratios: np.ndarray, a: float, b: float):
-        self.edges, self.ratios, self.a, self.b = edges, ratios, a, b
+    def __init__(self, edges: list[np.ndarray], ratios: np.ndarray, weights: np.ndarray, bias: float):
+        self.edges, self.ratios, self.weights, self.bias = edges, ratios, weights, bias
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(stats))
+        out = np.zeros((len(stats), len(self.edges)))
         for i, e in enumerate(self.edges):
-            out += self.ratios[i][np.searchsorted(e, stats[:, i], side="right")]
+            out[:, i] = self.ratios[i][np.searchsorted(e, stats[:, i], side="right")]
         return out
 
     def logit(self, texts: list[str]) -> np.ndarray:
         stats = np.array([statistics(t or "") for t in texts]).reshape(-1, len(STATS))
-        return np.clip(self.a * self.raw(stats) + self.b, -15, 15)
+        return np.clip(self.raw(stats) @ self.weights + self.bias, -15, 15)
 
 
 def fit(sample: DataFrame) -> Evidence:
@@ -75,7 +75,7 @@ def fit(sample: DataFrame) -> Evidence:
     rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(measure, schema).orderBy("doc_id").toPandas()
     stats, y = rows[list(STATS)].to_numpy(), (rows["y"] > 0).to_numpy()
     if y.all() or not y.any():
-        return Evidence([np.zeros(0)] * len(STATS), np.zeros((len(STATS), BINS + 1)), 0.0, 0.0)
+        return Evidence([np.zeros(0)] * len(STATS), np.zeros((len(STATS), BINS + 1)), np.zeros(len(STATS)), 0.0)
     edges, ratios = [], np.zeros((len(STATS), BINS + 1))
     for i in range(len(STATS)):
         # bins by quantiles of both classes, so that the rarer one gets its own
@@ -84,10 +84,10 @@ def fit(sample: DataFrame) -> Evidence:
         good, bad = (np.bincount(b[k], minlength=BINS + 1) + 1.0 for k in (y, ~y))
         edges.append(e)
         ratios[i] = np.log(good / good.sum()) - np.log(bad / bad.sum())
-    out = Evidence(edges, ratios, 1.0, 0.0)
+    out = Evidence(edges, ratios, np.zeros(len(STATS)), 0.0)
     z = out.raw(stats)
-    w, bias = logistic(np.arange(len(z)), np.zeros(len(z), int), z, y.astype(float), 1, 1.0)
-    out.a, out.b = float(w[0]), float(bias)
+    rows, cols = np.divmod(np.arange(z.size), z.shape[1])
+    out.weights, out.bias = logistic(rows, cols, z.ravel(), y.astype(float), z.shape[1], 1.0)
     return out
 
 
