@@ -1,6 +1,383 @@
-"""Queries over the review tables, and the same in DuckDB SQL."""
+"""Queries over the review tables, and the same questions as DuckDB SQL, written apart from the Spark plans."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .fixtures import oracle, view
+from .functions import fields, norm
+from .operators import coverage, linking, tables
+from .plans import evaluate, planner, review
+from .streaming import messages
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+FIELDS = ["returnflag", "linestatus", "quantity"]
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its oracle."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = oracle(sql)
+        return f
+
+    return put
+
+
+#: Long rows of the latest manual results, from the columns rather than the JSON text.
+MANUAL = """
+WITH m AS (SELECT document_id, reviewer_role, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM fx_results WHERE extraction_type = 'manual'),
+both_roles AS (SELECT document_id FROM m GROUP BY 1 HAVING count(DISTINCT reviewer_role) = 2),
+v AS (SELECT document_id, reviewer_role, 'returnflag' AS field, l_returnflag AS value FROM m UNION ALL SELECT document_id, reviewer_role, 'linestatus', l_linestatus FROM m
+      UNION ALL SELECT document_id, reviewer_role, 'quantity', q FROM m),
+p AS (SELECT a.document_id, a.field, a.value AS v1, b.value AS v2 FROM v a JOIN v b ON a.document_id = b.document_id AND a.field = b.field
+      AND a.reviewer_role = 'reviewer_1' AND b.reviewer_role = 'reviewer_2')
+"""
+
+
+def pairs(spark, sf_dir):
+    return review.reviewer_pairs(view(spark, sf_dir, "fx_results"))
+
+
+@query(MANUAL + """, e AS (SELECT field, v1, v2 FROM p UNION ALL SELECT NULL, v1, v2 FROM p),
+t AS (SELECT coalesce(field, '*') AS f, count(*) AS n, avg(CASE WHEN v1 = v2 THEN 1.0 ELSE 0.0 END) AS po, avg(CASE WHEN lower(trim(v1)) = lower(trim(v2)) THEN 1.0 ELSE 0.0 END) AS pct FROM e GROUP BY 1),
+r AS (SELECT coalesce(field, '*') AS f, v1 AS v, count(*) AS c FROM e GROUP BY 1, 2), s AS (SELECT coalesce(field, '*') AS f, v2 AS v, count(*) AS c FROM e GROUP BY 1, 2),
+x AS (SELECT r.f, CAST(sum(r.c * s.c) AS DOUBLE) AS cross FROM r JOIN s ON r.f = s.f AND r.v = s.v GROUP BY 1),
+k AS (SELECT f, count(DISTINCT v) AS kinds FROM (SELECT f, v FROM r UNION SELECT f, v FROM s) GROUP BY 1)
+SELECT nullif(t.f, '*') AS field, CAST(t.n AS BIGINT) AS n, round_even(t.pct::DOUBLE, 4) + 0.0::DOUBLE AS percent_agreement,
+       CASE WHEN k.kinds = 1 THEN 1.0::DOUBLE ELSE round_even(((t.po - coalesce(x.cross, 0) / (t.n * t.n)) / (1 - coalesce(x.cross, 0) / (t.n * t.n)))::DOUBLE, 4) + 0.0::DOUBLE END AS kappa
+FROM t LEFT JOIN x ON t.f = x.f JOIN k ON t.f = k.f""")
+def irr_kappa(spark, sf_dir):
+    return review.irr(pairs(spark, sf_dir))
+
+
+@query(MANUAL + """, q AS (SELECT field, TRY_CAST(v1 AS DOUBLE) AS a, TRY_CAST(v2 AS DOUBLE) AS b FROM p),
+t AS (SELECT field, count(*) AS n, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS bad, 2 * var_samp((a + b) / 2) AS msb, sum((a - b) * (a - b)) / (2 * count(*)) AS msw FROM q GROUP BY 1)
+SELECT field, CAST(n AS BIGINT) AS n, CASE WHEN n >= 3 AND bad = 0 THEN round_even(greatest(-1.0, least(1.0, CASE WHEN msb + msw = 0 THEN 1.0 ELSE (msb - msw) / (msb + msw) END))::DOUBLE, 4) + 0.0::DOUBLE END AS icc FROM t""")
+def irr_icc(spark, sf_dir):
+    return review.icc(pairs(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT quality AS a, 1 - toxic AS b, count(*)::DOUBLE AS c FROM labels GROUP BY 1, 2), n AS (SELECT sum(c) AS n, sum(c) FILTER (WHERE a = b) AS same FROM c),
+e AS (SELECT sum(r.c * s.c) AS cross FROM (SELECT a AS v, sum(c) AS c FROM c GROUP BY 1) r JOIN (SELECT b AS v, sum(c) AS c FROM c GROUP BY 1) s ON r.v = s.v)
+SELECT 'label' AS field, CAST(n AS BIGINT) AS n, round_even(same / n, 4) + 0.0::DOUBLE AS percent_agreement, round_even(((same / n - cross / (n * n)) / (1 - cross / (n * n)))::DOUBLE, 4) + 0.0::DOUBLE AS kappa FROM n, e""")
+def label_kappa(spark, sf_dir):
+    rated = view(spark, sf_dir, "fx_ratings").select("document_id", F.lit("label").alias("field"), F.col("rater_1").alias("v1"), F.col("rater_2").alias("v2"))
+    return review.irr(rated).filter("field is not null")
+
+
+@query(MANUAL + """, ai AS (SELECT document_id, arg_max(l_returnflag, (slot, created_at)) AS value FROM fx_results WHERE extraction_type = 'ai' AND slot = 3 GROUP BY 1)
+SELECT p.document_id, p.field, p.v1, p.v2, p.v1 IS NOT DISTINCT FROM p.v2 AS agreed, ai.value AS ai_value FROM p LEFT JOIN ai ON p.document_id = ai.document_id AND p.field = 'returnflag'""")
+def review_compare(spark, sf_dir):
+    results = view(spark, sf_dir, "fx_results")
+    ai = fields.field_values(results.filter("extraction_type = 'ai' and slot = 3"), "document_id").filter("field = 'returnflag'").withColumnRenamed("value", "ai_value")
+    return review.compare(pairs(spark, sf_dir), ai)
+
+
+@query(MANUAL + """SELECT field, count(*)::BIGINT AS total_fields, count(*) FILTER (WHERE v1 = v2)::BIGINT AS agreed_count, count(*) FILTER (WHERE v1 <> v2)::BIGINT AS disagreed_count,
+round_even((count(*) FILTER (WHERE v1 = v2) * 100.0 / count(*))::DOUBLE, 2) + 0.0::DOUBLE AS agreement_pct FROM p GROUP BY 1""")
+def adjudication_summary(spark, sf_dir):
+    return review.agreement(review.compare(pairs(spark, sf_dir)), "field")
+
+
+@query(MANUAL + """SELECT document_id, count(*)::BIGINT AS total_fields, count(*) FILTER (WHERE v1 = v2)::BIGINT AS agreed_count, count(*) FILTER (WHERE v1 <> v2)::BIGINT AS disputed_count,
+CAST(round_even((count(*) FILTER (WHERE v1 = v2) * 100.0 / count(*))::DOUBLE, 0) AS BIGINT) AS agreement_pct FROM p GROUP BY 1""")
+def consensus_summary(spark, sf_dir):
+    return review.consensus(pairs(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT document_id, l_returnflag, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM fx_results WHERE slot = 1),
+a AS (SELECT document_id, l_returnflag, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM fx_results WHERE slot = 3),
+l AS (SELECT coalesce(m.document_id, a.document_id) AS document_id, 'returnflag' AS field, m.l_returnflag AS manual_value, a.l_returnflag AS ai_value FROM m FULL JOIN a ON m.document_id = a.document_id
+UNION ALL SELECT coalesce(m.document_id, a.document_id), 'quantity', m.q, a.q FROM m FULL JOIN a ON m.document_id = a.document_id)
+SELECT *, coalesce(manual_value = ai_value, false) AS matches FROM l""")
+def result_compare(spark, sf_dir):
+    values = fields.field_values(view(spark, sf_dir, "fx_results"), "document_id", "slot").filter(F.col("field").isin("returnflag", "quantity"))
+    return review.result_compare(values.filter("slot = 1").drop("slot"), values.filter("slot = 3").drop("slot"))
+
+
+@query("SELECT document_id, slot, extraction_type, created_at FROM fx_results ORDER BY created_at DESC, document_id, slot LIMIT 50 OFFSET 100")
+def list_results_page(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_results").select("document_id", "slot", "extraction_type", "created_at")
+    return tables.page(rows, [F.desc("created_at"), F.asc("document_id"), F.asc("slot")], offset=100)
+
+
+@query("""SELECT document_id, project_id, filename FROM fx_documents WHERE project_id IN
+(SELECT project_id FROM fx_projects WHERE owner_user_id = 24 UNION SELECT project_id FROM fx_members WHERE user_id = 24 AND can_view_docs)""")
+def visible_documents(spark, sf_dir):
+    mine = tables.visible_projects(view(spark, sf_dir, "fx_projects"), view(spark, sf_dir, "fx_members"), 24, "can_view_docs")
+    return tables.visible(view(spark, sf_dir, "fx_documents"), mine).select("document_id", "project_id", "filename")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'th')")
+def search_ilike(spark, sf_dir):
+    return tables.search(view(spark, sf_dir, "part"), "p_name", "TH").select("p_partkey", "p_name")
+
+
+@query("""SELECT k, job_id, status FROM (SELECT CAST(json_extract_string(input_data, '$.k') AS VARCHAR) AS k, job_id, status,
+row_number() OVER (PARTITION BY json_extract_string(input_data, '$.k') ORDER BY created_at DESC, job_id DESC) AS rn FROM fx_jobs) WHERE rn = 1""")
+def job_by_json_key(spark, sf_dir):
+    jobs = view(spark, sf_dir, "fx_jobs").withColumn("k", F.get_json_object("input_data", "$.k"))
+    return tables.latest(jobs, ["k"], [F.desc("created_at"), F.desc("job_id")]).select("k", "job_id", "status")
+
+
+@query("""SELECT activity_id, action_type, full_name, created_at FROM fx_activities a LEFT JOIN fx_users u ON a.user_id = u.user_id
+WHERE created_at >= (SELECT max(created_at) FROM fx_activities) - INTERVAL 7 DAY ORDER BY created_at DESC, activity_id LIMIT 100""")
+def activity_feed(spark, sf_dir):
+    acts, users = view(spark, sf_dir, "fx_activities"), view(spark, sf_dir, "fx_users").select("user_id", "full_name")
+    newest = acts.agg(F.max("created_at").alias("now"))
+    recent = acts.crossJoin(F.broadcast(newest)).filter("created_at >= now - interval 7 days")  # one row
+    feed = tables.page(recent, [F.desc("created_at"), F.asc("activity_id")], limit=100)
+    return feed.join(users, "user_id", "left").select("activity_id", "action_type", "full_name", "created_at")
+
+
+@query("SELECT project_id, count(*)::BIGINT AS n_documents, count(*) FILTER (WHERE processing_status = 'completed')::BIGINT AS n_completed, max(created_at) AS newest FROM fx_documents GROUP BY 1")
+def project_counts(spark, sf_dir):
+    return view(spark, sf_dir, "fx_documents").groupBy("project_id").agg(F.count("*").alias("n_documents"), F.count_if(F.col("processing_status") == "completed").alias("n_completed"), F.max("created_at").alias("newest"))
+
+
+STATUSES = ["pending", "in_progress", "completed", "skipped"]
+
+
+@query("SELECT reviewer_role, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}')::BIGINT AS {s}" for s in STATUSES) + " FROM fx_assignments GROUP BY 1")
+def role_status_crosstab(spark, sf_dir):
+    return tables.crosstab(view(spark, sf_dir, "fx_assignments"), "reviewer_role", "status", STATUSES)
+
+
+@query("SELECT form_id, count(DISTINCT document_id)::BIGINT AS n_documents, count(*)::BIGINT AS n_results FROM fx_results_raw GROUP BY 1")
+def distinct_docs_per_form(spark, sf_dir):
+    return view(spark, sf_dir, "fx_results_raw").groupBy("form_id").agg(F.count_distinct("document_id").alias("n_documents"), F.count("*").alias("n_results"))
+
+
+@query("SELECT document_id, slot, created_at, l_quantity FROM fx_results")
+def latest_per_key(spark, sf_dir):
+    order = [F.desc("created_at"), F.desc("tb1"), F.desc("tb2"), F.desc("tb3")]
+    return tables.latest(view(spark, sf_dir, "fx_results_raw"), ["document_id", "slot"], order).select("document_id", "slot", "created_at", "l_quantity")
+
+
+@query("""WITH d AS (SELECT form_id, count(*) AS total FROM fx_documents GROUP BY 1), ok AS (SELECT DISTINCT form_id, document_id FROM fx_results WHERE extraction_type = 'ai'),
+bad AS (SELECT DISTINCT f.form_id, f.document_id FROM fx_documents f WHERE processing_status = 'failed' AND NOT EXISTS (SELECT 1 FROM ok WHERE ok.document_id = f.document_id)),
+run AS (SELECT form_id, max(created_at) AS last_run FROM fx_results WHERE extraction_type = 'ai' GROUP BY 1)
+SELECT d.form_id, d.total::BIGINT AS total_documents, (SELECT count(*) FROM ok WHERE ok.form_id = d.form_id)::BIGINT AS extracted, (SELECT count(*) FROM bad WHERE bad.form_id = d.form_id)::BIGINT AS failed,
+greatest(0, d.total - (SELECT count(*) FROM ok WHERE ok.form_id = d.form_id) - (SELECT count(*) FROM bad WHERE bad.form_id = d.form_id))::BIGINT AS not_run, run.last_run FROM d LEFT JOIN run ON run.form_id = d.form_id""")
+def form_coverage(spark, sf_dir):
+    return coverage.form_coverage(view(spark, sf_dir, "fx_documents"), view(spark, sf_dir, "fx_results").filter("extraction_type = 'ai'"))
+
+
+@query("""SELECT document_id, field, value, origin FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field ORDER BY rnk, created_at DESC, value) AS best FROM (
+SELECT document_id, 'returnflag' AS field, l_returnflag AS value, coalesce(reviewer_role, 'ai') AS origin, created_at, CASE reviewer_role WHEN 'reviewer_1' THEN 1 WHEN 'reviewer_2' THEN 2 ELSE 3 END AS rnk FROM fx_results
+UNION ALL SELECT document_id, 'linestatus', l_linestatus, coalesce(reviewer_role, 'ai'), created_at, CASE reviewer_role WHEN 'reviewer_1' THEN 1 WHEN 'reviewer_2' THEN 2 ELSE 3 END FROM fx_results
+UNION ALL SELECT document_id, 'quantity', CAST(CAST(l_quantity AS INT) AS VARCHAR), coalesce(reviewer_role, 'ai'), created_at, CASE reviewer_role WHEN 'reviewer_1' THEN 1 WHEN 'reviewer_2' THEN 2 ELSE 3 END FROM fx_results)) WHERE best = 1""")
+def cleaning_grid(spark, sf_dir):
+    return review.best_values(view(spark, sf_dir, "fx_results"))
+
+
+def _grid_violations(spark, sf_dir, field, **rule):
+    values = fields.field_values(view(spark, sf_dir, "fx_results"), "document_id", "slot").filter(F.col("field") == field)
+    return values.filter(review.violates(value=F.col("value"), **rule)).select("document_id", "slot", "value")
+
+
+@query("SELECT document_id, slot, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS value FROM fx_results WHERE CAST(l_quantity AS INT) < 3 OR CAST(l_quantity AS INT) > 48")
+def rule_range(spark, sf_dir):
+    return _grid_violations(spark, sf_dir, "quantity", rule="range", low=3, high=48)
+
+
+@query("SELECT document_id, slot, l_returnflag AS value FROM fx_results WHERE NOT regexp_matches(l_returnflag, '^(?:[AN])')")
+def rule_regex(spark, sf_dir):
+    return _grid_violations(spark, sf_dir, "returnflag", rule="regex", pattern="[AN]")
+
+
+@query("SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS value FROM customer WHERE c_mktsegment = 'BUILDING' OR trim(c_mktsegment) = ''")
+def rule_required(spark, sf_dir):
+    value = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))
+    return view(spark, sf_dir, "customer").select("c_custkey", value.alias("value")).filter(review.violates("required", F.col("value")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || '@host' ELSE lang END AS value FROM documents WHERE doc_id % 3 <> 0")
+def rule_format(spark, sf_dir):
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("@host"))).otherwise(F.col("lang"))
+    return view(spark, sf_dir, "documents").select("doc_id", value.alias("value")).filter(review.violates("format", F.col("value"), form="email"))
+
+
+@query("SELECT document_id, slot, l_linestatus AS other FROM fx_results WHERE l_returnflag = 'R'")
+def rule_cross_field(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_results").withColumn("value", F.nullif("l_returnflag", F.lit("R")))
+    return rows.filter(review.violates("cross_field", F.col("value"), other=F.col("l_linestatus"))).select("document_id", "slot", F.col("l_linestatus").alias("other"))
+
+
+@query("""SELECT document_id, project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY md5(concat_ws(':', 'qa', CAST(document_id AS VARCHAR))), document_id) AS place,
+count(*) OVER (PARTITION BY project_id) AS n FROM fx_documents WHERE processing_status = 'completed') WHERE place <= greatest(1, floor(n * 20 / 100.0))""")
+def qa_sample(spark, sf_dir):
+    done = view(spark, sf_dir, "fx_documents").filter("processing_status = 'completed'")
+    return tables.exact_sample(done, "project_id", "document_id", 20).select("document_id", "project_id")
+
+
+@query("""SELECT extraction_type, count(*)::BIGINT AS reviewed, count(*) FILTER (WHERE l_returnflag = 'R')::BIGINT AS flagged, count(*) FILTER (WHERE l_returnflag <> 'R')::BIGINT AS passed,
+round_even((count(*) FILTER (WHERE l_returnflag <> 'R') * 100.0 / count(*))::DOUBLE, 2) + 0.0::DOUBLE AS pass_rate FROM fx_results GROUP BY 1""")
+def qa_dashboard(spark, sf_dir):
+    return coverage.qa_dashboard(view(spark, sf_dir, "fx_results").withColumn("flag", F.col("l_returnflag") == "R"), "extraction_type")
+
+
+@query("SELECT d.document_id, r.reviewer_role, CASE r.reviewer_role WHEN 'reviewer_1' THEN 1 WHEN 'reviewer_2' THEN 2 ELSE 3 END AS user_id FROM fx_documents d CROSS JOIN (SELECT 'reviewer_1' AS reviewer_role UNION ALL SELECT 'reviewer_2' UNION ALL SELECT 'adjudicator') r")
+def auto_assign(spark, sf_dir):
+    return coverage.auto_assign(view(spark, sf_dir, "fx_documents").select("document_id"), {"reviewer_1": 1, "reviewer_2": 2, "adjudicator": 3})
+
+
+@query("""WITH need AS (SELECT DISTINCT l_returnflag FROM fx_results), have AS (SELECT DISTINCT document_id, l_returnflag FROM fx_results)
+SELECT document_id FROM have GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM need)""")
+def auto_complete(spark, sf_dir):
+    results = view(spark, sf_dir, "fx_results")
+    return coverage.complete(results.select("document_id", F.col("l_returnflag").alias("item")), results.select(F.col("l_returnflag").alias("item")).distinct(), "document_id", "item")
+
+
+@query("SELECT ord, term FROM fx_terms WHERE contains(lower(term), 'the') OR contains(lower(synonym), 'steel') ORDER BY ord LIMIT 40")
+def vocabulary_search(spark, sf_dir):
+    hit = F.lower("term").contains("the") | F.lower("synonym").contains("steel")
+    return view(spark, sf_dir, "fx_terms").filter(hit).orderBy("ord").limit(40).select("ord", "term")
+
+
+@query("""SELECT ord, term, src FROM (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY src, ord) AS rn FROM (SELECT ord, term, 0 AS src FROM fx_terms WHERE ord % 2 = 0
+UNION ALL SELECT ord, upper(term), 1 FROM fx_terms)) WHERE rn = 1""")
+def vocabulary_merge(spark, sf_dir):
+    terms = view(spark, sf_dir, "fx_terms").select("ord", "term")
+    return tables.merge_terms(terms.filter("ord % 2 = 0"), terms.withColumn("term", F.upper("term")))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*)::BIGINT AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_duplicates(spark, sf_dir):
+    hashed = view(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    return hashed.filter("copies > 1")
+
+
+@query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start_char, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS BIGINT) AS end_char FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def locate_exact(spark, sf_dir):
+    return linking.locate_exact(view(spark, sf_dir, "documents"), view(spark, sf_dir, "benchmark"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, length(text) + 1 AS n FROM conversations)
+SELECT conv_id AS document_id, turn AS page, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char,
+CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n - 1 AS BIGINT) AS end_char FROM t""")
+def page_boundaries(spark, sf_dir):
+    return linking.page_offsets(view(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT turn AS page, count(*)::BIGINT AS n_entries, count(DISTINCT conv_id)::BIGINT AS n_documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
+def page_index(spark, sf_dir):
+    return view(spark, sf_dir, "conversations").groupBy(F.col("turn").alias("page")).agg(F.count("*").alias("n_entries"), F.count_distinct("conv_id").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("SELECT * FROM (SELECT conv_id AS document_id, turn AS chunk_no, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_no, CAST(length(text) + lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS BIGINT) AS pair_chars FROM conversations) WHERE next_no = chunk_no + 1")
+def chunk_pairs(spark, sf_dir):
+    return linking.chunk_pairs(view(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("""WITH e AS (SELECT document_id, slot, l_returnflag AS ef, l_linestatus AS es FROM fx_results WHERE slot IN (1, 3)),
+m AS (SELECT a.document_id, a.ef AS x1, b.ef AS y1, a.es AS x2, b.es AS y2 FROM e a JOIN e b ON a.document_id = b.document_id AND a.slot = 1 AND b.slot = 3)
+SELECT 'returnflag' AS field, count(*)::BIGINT AS n, count(*) FILTER (WHERE x1 = y1)::BIGINT AS matched, count(*) FILTER (WHERE x1 <> y1)::BIGINT AS incorrect FROM m
+UNION ALL SELECT 'linestatus', count(*)::BIGINT, count(*) FILTER (WHERE x2 = y2)::BIGINT, count(*) FILTER (WHERE x2 <> y2)::BIGINT FROM m""")
+def field_counts(spark, sf_dir):
+    values = fields.field_values(view(spark, sf_dir, "fx_results").filter("slot in (1, 3)"), "document_id", "slot").filter("field <> 'quantity'")
+    return evaluate.field_counts(values.filter("slot = 1").drop("slot"), values.filter("slot = 3").drop("slot"))
+
+
+@query(None)
+def record_metrics(spark, sf_dir):
+    results = view(spark, sf_dir, "fx_results").select("document_id", "slot", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("q"))
+    return evaluate.record_metrics(results.filter("slot % 2 = 1").drop("slot"), results.filter("slot % 2 = 0").drop("slot"), "document_id", ["l_returnflag", "l_linestatus", "q"])
+
+
+@query("""SELECT event_id, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN lower(trim(props)) IN ('nr', 'not reported') THEN 'nr' WHEN json_valid(props) THEN 'substantive' ELSE 'invalid_json' END AS kind,
+CASE WHEN json_valid(props) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events""")
+def extraction_quality(spark, sf_dir):
+    return evaluate.quality(view(spark, sf_dir, "events").select("event_id", "props"), "props")
+
+
+@query("""SELECT model, count(*)::BIGINT AS calls, round(sum(cost), 4) AS total_cost, round(avg(cost), 6) AS average_cost, CAST(sum(total_tokens) AS BIGINT) AS tokens, min(ts) AS first_call, max(ts) AS last_call FROM fx_call_log GROUP BY 1""")
+def call_stats(spark, sf_dir):
+    return coverage.call_stats(view(spark, sf_dir, "fx_call_log"))
+
+
+@query("""SELECT call_id, model, CAST(total_tokens AS BIGINT) AS tokens, CAST(sum(total_tokens) OVER (PARTITION BY model ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM fx_call_log""")
+def cost_running(spark, sf_dir):
+    calls = view(spark, sf_dir, "fx_call_log").select("call_id", "model", F.col("total_tokens").cast("long").alias("tokens"), "ts")
+    return tables.running_total(calls, "tokens", ["model"], [F.asc("ts"), F.asc("call_id")], "running").drop("ts")
+
+
+@query("SELECT job_id, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS back FROM fx_messages) WHERE back <= 3")
+def replay_last_n(spark, sf_dir):
+    return messages.replay(view(spark, sf_dir, "fx_messages"), "job_id", "seq", 3).select("job_id", "seq", "type")
+
+
+@query("""WITH r AS (SELECT document_id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY document_id) AS done, count(*) OVER (PARTITION BY project_id) AS n FROM fx_documents)
+SELECT project_id, document_id, CAST(floor(done * 100.0 / n) AS BIGINT) AS pct FROM r WHERE floor(floor(done * 100.0 / n) / 10) <> floor(floor((done - 1) * 100.0 / n) / 10)""")
+def progress_steps(spark, sf_dir):
+    return messages.progress_steps(view(spark, sf_dir, "fx_documents"), "project_id", "document_id")
+
+
+@query("""SELECT job_id, status FROM fx_jobs WHERE status IN ('pending', 'processing') AND created_at < (SELECT max(created_at) FROM fx_jobs) - INTERVAL 3900 SECOND""")
+def stuck_jobs(spark, sf_dir):
+    jobs = view(spark, sf_dir, "fx_jobs")
+    return messages.stuck(jobs, jobs.agg(F.max("created_at").alias("as_of"))).select("job_id", "status")
+
+
+@query(None)
+def breaker_states(spark, sf_dir):
+    return messages.breaker(view(spark, sf_dir, "fx_call_log").select("model", "ts", "call_id", "rate_limited"))
+
+
+@query("""SELECT l_returnflag AS field, array_to_string(list(note ORDER BY back DESC), '|') AS notes FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY created_at DESC, document_id DESC, slot DESC) AS back,
+CAST(document_id AS VARCHAR) || '-' || CAST(slot AS VARCHAR) AS note FROM fx_results) WHERE back <= 5 GROUP BY 1""")
+def pilot_accumulate(spark, sf_dir):
+    results = view(spark, sf_dir, "fx_results").withColumn("note", F.concat_ws("-", "document_id", "slot"))
+    return planner.last_examples(results, "l_returnflag", [F.desc("created_at"), F.desc("document_id"), F.desc("slot")], "note", 5).withColumnRenamed("l_returnflag", "field")
+
+
+@query("""WITH RECURSIVE dep(name, needs) AS (VALUES ('b', 'a'), ('c', 'a'), ('d', 'b'), ('d', 'c'), ('e', 'd')), n AS (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS name),
+walk(name, stage) AS (SELECT name, 1 FROM n UNION ALL SELECT dep.name, walk.stage + 1 FROM dep JOIN walk ON dep.needs = walk.name), s AS (SELECT name, max(stage) AS stage FROM walk GROUP BY 1)
+SELECT s.name, CAST(s.stage AS INT) AS stage, CASE WHEN count(*) OVER (PARTITION BY s.stage) > 1 THEN 'parallel' ELSE 'sequential' END AS execution, CAST(CASE WHEN s.stage > 1 THEN s.stage - 1 END AS INT) AS waits_for FROM s""")
+def plan_stages(spark, sf_dir):
+    nodes = spark.createDataFrame([(x,) for x in "abcde"], "name string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d")], "name string, needs string")
+    return planner.stages(nodes, edges)
+
+
+@query("""SELECT document_id, slot, max(l_linestatus) AS linestatus, max(CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS quantity, max(l_returnflag) AS returnflag FROM fx_results GROUP BY 1, 2""")
+def export_wide(spark, sf_dir):
+    return fields.wide(fields.field_values(view(spark, sf_dir, "fx_results"), "document_id", "slot"), ["document_id", "slot"], FIELDS)
+
+
+@query("SELECT document_id, strftime(created_at, '%Y-%m-%d') AS iso, strftime(created_at, '%m/%d/%Y') AS us, strftime(created_at, '%d/%m/%Y') AS eu, strftime(created_at, '%B %-d, %Y') AS long FROM fx_documents")
+def export_dates(spark, sf_dir):
+    styles = [norm.export_date(F.col("created_at"), s).alias(s.lower()) for s in norm.DATE_FORMATS]
+    return view(spark, sf_dir, "fx_documents").select("document_id", *styles)
+
+
+@query("""SELECT s_suppkey, regexp_replace(s_name, '[^a-zA-Z0-9_\\-.]', '_', 'g') AS file_name, lower(regexp_replace(regexp_replace(s_name, '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS key FROM supplier""")
+def sanitise_names(spark, sf_dir):
+    return view(spark, sf_dir, "supplier").select("s_suppkey", norm.safe_file_name(F.col("s_name")).alias("file_name"), norm.field_key(F.col("s_name")).alias("key"))
+
+
+@query("SELECT event_id, 'k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def flatten_props(spark, sf_dir):
+    return view(spark, sf_dir, "events").select("event_id", F.explode(fields.flat(F.col("props"))).alias("path", "value")).filter("value is not null")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return messages.tumbling(view(spark, sf_dir, "events"), "ts", "1 hour", "event_type")
+
+
+@query("""SELECT project_id, document_id, filename, created_at FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, document_id DESC) AS rn FROM fx_documents) WHERE rn <= 5""")
+def dashboard_recent(spark, sf_dir):
+    newest = tables.latest(view(spark, sf_dir, "fx_documents"), ["project_id"], [F.desc("created_at"), F.desc("document_id")], 5)
+    return newest.select("project_id", "document_id", "filename", "created_at")
+
+
+@query("SELECT reviewer_role, count(*)::BIGINT AS total, round_even((count(*) FILTER (WHERE status = 'completed') * 100.0 / count(*))::DOUBLE, 1) + 0.0::DOUBLE AS pct FROM fx_assignments GROUP BY 1")
+def assignment_progress(spark, sf_dir):
+    done = F.count_if(F.col("status") == "completed") * 100.0 / F.count("*")
+    return view(spark, sf_dir, "fx_assignments").groupBy("reviewer_role").agg(F.count("*").alias("total"), norm.half_even(done, 1).alias("pct"))
