@@ -63,8 +63,8 @@ def irr_icc(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT quality AS a, 1 - toxic AS b, count(*)::DOUBLE AS c FROM labels GROUP BY 1, 2), n AS (SELECT sum(c) AS n, sum(c) FILTER (WHERE a = b) AS same FROM c),
-e AS (SELECT sum(r.c * s.c) AS cross FROM (SELECT a AS v, sum(c) AS c FROM c GROUP BY 1) r JOIN (SELECT b AS v, sum(c) AS c FROM c GROUP BY 1) s ON r.v = s.v)
-SELECT 'label' AS field, CAST(n AS BIGINT) AS n, round_even(same / n, 4) + 0.0::DOUBLE AS percent_agreement, round_even(((same / n - cross / (n * n)) / (1 - cross / (n * n)))::DOUBLE, 4) + 0.0::DOUBLE AS kappa FROM n, e""")
+e AS (SELECT sum(r.c * s.c) AS chance FROM (SELECT a AS v, sum(c) AS c FROM c GROUP BY 1) r JOIN (SELECT b AS v, sum(c) AS c FROM c GROUP BY 1) s ON r.v = s.v)
+SELECT 'label' AS field, CAST(n AS BIGINT) AS n, round_even(same / n, 4) + 0.0::DOUBLE AS percent_agreement, round_even(((same / n - chance / (n * n)) / (1 - chance / (n * n)))::DOUBLE, 4) + 0.0::DOUBLE AS kappa FROM n, e""")
 def label_kappa(spark, sf_dir):
     rated = view(spark, sf_dir, "fx_ratings").select("document_id", F.lit("label").alias("field"), F.col("rater_1").alias("v1"), F.col("rater_2").alias("v2"))
     return review.irr(rated).filter("field is not null")
