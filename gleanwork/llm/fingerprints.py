@@ -70,7 +70,7 @@ def next_rows(docs: DataFrame, carried: list[str]) -> DataFrame:
 
     Ids are cut into groups of about GROUP neighbours, by quantiles and evenly between them, so that any
     spread of ids gives small groups; the rows move once. A group's last row takes the first row of the
-    next group that has rows; only those first rows are matched again, level by level.
+    next group that has rows; only those first rows move once more.
     Equal ids are ordered by `carried`. A null id stands before all others.
     """
     cells = 256
@@ -89,11 +89,12 @@ def next_rows(docs: DataFrame, carried: list[str]) -> DataFrame:
     order = [F.col("doc_id").asc_nulls_first(), *carried]
     grouped = docs.withColumn("_group", group)
     near = Window.partitionBy("_group").orderBy(*order)
-    row = F.struct(*carried)
-    local = grouped.withColumn("_next", F.lead(row).over(near)).withColumn("_nth", F.row_number().over(near))
-    firsts = stored(local.filter("_nth = 1").select("_group", row.alias("_first")))
+    ends = lambda step: step(F.lit(1)).over(near).isNull()
+    local = grouped.select("*", *[F.lead(c).over(near).alias(f"next_{c}") for c in carried], ends(F.lag).alias("_first"), ends(F.lead).alias("_last"))
+    # all three readers of `local` share one exchange of the rows; the groups' order needs their numbers alone
+    firsts = local.filter("_first").select(F.col("_group").alias("_to"), *[F.col(c).alias(f"next_{c}") for c in carried])
     # group -> next group that has rows: neighbours of neighbours, in blocks of 1024 groups, then between blocks
-    ids = firsts.select("_group", F.floor(F.col("_group") / 1024).alias("_block"))
+    ids = stored(docs.select(group.alias("_group")).distinct()).withColumn("_block", F.floor(F.col("_group") / 1024))
     inside = ids.withColumn("_to", F.lead("_group").over(Window.partitionBy("_block").orderBy("_group")))
     block = ids.groupBy("_block").agg(F.min("_group").alias("_head")).withColumn("_super", F.floor(F.col("_block") / 1024))
     in_super = block.withColumn("_hop", F.lead("_head").over(Window.partitionBy("_super").orderBy("_block")))
@@ -102,10 +103,12 @@ def next_rows(docs: DataFrame, carried: list[str]) -> DataFrame:
     wrapped = supers.withColumn("_jump", F.coalesce(F.lead("_top").over(over), F.first("_top").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("_top")
     hops = in_super.join(wrapped, "_super").select("_block", F.coalesce("_hop", "_jump").alias("_hop"))
     step = inside.join(hops, "_block").select("_group", F.coalesce("_to", "_hop").alias("_to"))
-    entry = step.join(firsts.select(F.col("_group").alias("_to"), "_first"), "_to").select("_group", "_first")
-    last = local.filter("_next is null").drop("_next").join(entry, "_group").withColumnRenamed("_first", "_next")
-    out = local.filter("_next is not null").unionByName(last)
-    return out.select(*docs.columns, *[F.col("_next")[c].alias(f"next_{c}") for c in carried])
+    # null-safe keys: a plain join would filter its branch below the exchange, which then could not be shared
+    entry = firsts.join(step, firsts["_to"].eqNullSafe(step["_to"])).drop("_to").withColumnRenamed("_group", "_from")
+    nexts = [f"next_{c}" for c in carried]
+    last = local.filter("_last").drop(*nexts)
+    last = last.join(entry, F.col("_group").eqNullSafe(F.col("_from")))
+    return local.filter("not _last").select(*docs.columns, *nexts).unionByName(last.select(*docs.columns, *nexts))
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
