@@ -2,19 +2,20 @@
 
 Documents with equal shingle sets collapse first. Each different set gets BANDS x ROWS minima of linear
 hashes; sets that agree on a whole band share a bucket. Inside a bucket (in bounded runs) signatures
-propose a spanning tree of the surely alike members and, for every member, its best partner outside its
-tree. Proposals are confirmed on the full sets, best first, and only between components that are still
+propose a spanning tree of the surely alike members and, for every member, its two best partners in PARTNERS
+near and large trees. Proposals are confirmed on the full sets, best first, and only between components that are still
 apart; the components come from alternating large-star and small-star steps.
 
 With 30 bands of 5 rows, a pair at the threshold 0.85 shares no bucket with a chance of 2e-8 (0.80: 7e-6).
 No pair is ever formed from all members of a bucket outside one bounded run, and no run emits more than
-two pairs a member.
+1 + 5 * PARTNERS pairs a member.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ BANDS, ROWS = 30, 5
 #: Members a run compares at once, and members of a bucket beyond which it is dealt further by another minimum.
 RUN, WIDE = 512, 4096
 #: Signature agreement from which two sets count as surely alike (for the tree), and how far below the
-#: threshold a proposal may lie: over five standard errors.
-SURE, MARGIN = 0.93, 0.16
+#: threshold a proposal may lie: four standard errors.
+SURE, MARGIN = 0.93, 0.12
+#: Trees of a run, nearest to a member and largest, in which it proposes its two best partners (and the large ones' roots).
+PARTNERS = 4
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -142,6 +145,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 def propose(ids: list[int], sigs: np.ndarray, lowest: float):
     """(a, b, agreement) proposals of one run: trees of the surely alike, and each member's best partner outside its own."""
     m = len(ids)
+    if m == 2:  # most buckets
+        est = max(0.0, (float((sigs[0] == sigs[1]).mean()) - 1 / 256) / (1 - 1 / 256))
+        if est >= lowest:
+            yield ids[0], ids[1], est
+        return
     alike = np.empty((m, m), np.float32)
     for i in range(m):
         alike[i] = (sigs == sigs[i]).mean(axis=1)
@@ -158,12 +166,27 @@ def propose(ids: list[int], sigs: np.ndarray, lowest: float):
                 tree[v] = root
                 queue.append(v)
                 yield ids[u], ids[v], float(alike[u, v])
-    if (tree != tree[0]).any():
-        apart = np.where(tree[:, None] == tree[None, :], -1, alike)
+    roots, sizes = np.unique(tree, return_counts=True)
+    if len(roots) == 1:
+        return
+    apart = np.where(tree[:, None] == tree[None, :], -1, alike)
+    where = np.arange(m)
+    for root in roots[np.argsort(-sizes, kind="stable")][:PARTNERS]:  # the largest trees hold the original, if there is one
+        for i in np.flatnonzero(apart[:, root] >= lowest):  # the root is the member most like all others
+            yield ids[i], ids[root], float(apart[i, root])
+        own = np.flatnonzero(tree == root)
+        part = apart[:, own].copy()
+        for _ in range(min(2, len(own))):
+            best = part.argmax(axis=1)
+            for i in np.flatnonzero(part[where, best] >= lowest):
+                yield ids[i], ids[own[best[i]]], float(part[i, best[i]])
+            part[where, best] = -1
+    for turn in range(2 * PARTNERS):
         best = apart.argmax(axis=1)
-        for i in range(m):
-            if apart[i, best[i]] >= lowest:
-                yield ids[i], ids[best[i]], float(apart[i, best[i]])
+        for i in np.flatnonzero(apart[where, best] >= lowest):
+            yield ids[i], ids[best[i]], float(apart[i, best[i]])
+            # two proposals to a tree: the best estimate may fail where the next one holds
+            apart[i, best[i] if turn % 2 == 0 else tree == tree[best[i]]] = -1
 
 
 def proposals(members: DataFrame, lowest: float) -> DataFrame:
@@ -204,13 +227,31 @@ def proposals(members: DataFrame, lowest: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, est float").groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, zipped): whole texts, compressed before they move."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for at in range(0, max(1, batch.num_rows), 1024):
+                part = batch.slice(at, 1024)
+                zipped = [press.compress((t or "").encode()) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(zipped, pa.binary())], names=["doc_id", "zipped"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, zipped binary")
+
+
 def confirm(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (a, b) of `edges` whose full word-shingle sets have 100 * intersection >= percent * union."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    """The rows of `edges` (a, b, ...) whose full word-shingle sets have 100 * intersection >= percent * union.
+
+    `texts` are packed. Shingles are compared as tuples of words, not as hashes.
+    """
+    left = texts.select(F.col("doc_id").alias("a"), F.col("zipped").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("zipped").alias("text_b"))
+    names = [c for c in edges.columns if c != "est"]
 
-    def shingles(text):
-        w = words_of(text)
+    def shingles(zipped):
+        w = zstandard.ZstdDecompressor().decompress(zipped).lower().split()
         return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
     def run(batches):
@@ -223,10 +264,10 @@ def confirm(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 other = shingles(text_b)
                 both = len(held & other)
                 keep.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
 
-    joined = edges.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, "a long, b long")
+    joined = edges.select(*names).join(right, "b").join(left, "a").select(*names, "text_a", "text_b")
+    return joined.mapInArrow(run, edges.select(*names).schema)
 
 
 def _best(edges: DataFrame, *by: str) -> DataFrame:
@@ -254,25 +295,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = members.withColumn("part", F.when(F.col("n") > WIDE, other * 1_000_003 + spread).otherwise(F.lit(0)).cast("long"))
     edges = stored(proposals(members.select("key", "part", "rep", "sig"), percent / 100 - MARGIN))
     ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    # first each set's best proposal, then the best between components still apart, then all that is left
-    both = edges.withColumn("node", F.explode(F.array("a", "b")))
-    tried = stored(_best(both, "node"))
-    links = stored(confirm(tried, texts, k, percent))
-    for last in (False, True):
-        found = connected(links).select("node", "component")
-        found = stored(found)
-        left = edges.join(tried, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            left = left.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-        left = left.filter("ca <> cb").withColumn("c1", F.least("ca", "cb")).withColumn("c2", F.greatest("ca", "cb"))
-        more = stored(left.select("a", "b") if last else _best(left, "c1", "c2"))
-        if more.isEmpty():
-            break
-        links, tried = stored(links.union(confirm(more, texts, k, percent))), stored(tried.union(more))
-    else:
-        found = stored(connected(links))
-    classes = sets.select("d1", "d2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    # the same join at every size: the list of ends grows with the input, so it is never broadcast
+    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi"))
+    # first each set's best proposal; then all others between components that are still apart
+    tried = stored(_best(edges.withColumn("node", F.explode(F.array("a", "b"))), "node"))
+    first = stored(connected(confirm(tried, texts, k, percent)))
+    left = edges.select("a", "b").join(tried, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        names = first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        left = left.join(names, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    left = stored(left.filter("ca <> cb"))
+    more = confirm(left, texts, k, percent).select("ca", "cb").toDF("a", "b")
+    second = stored(connected(more)).toDF("component", "joined")
+    nodes = first.select(F.col("node").alias("rep"), "component").join(second, "component", "full_outer")
+    # a set that the first round left alone is its own component
+    nodes = nodes.select(F.coalesce("rep", "component").alias("rep"), F.coalesce("joined", "component").alias("component"))
+    found = nodes.groupBy("rep").agg(F.min("component").alias("component"))
+    classes = sets.select("d1", "d2", "rep").join(found, "rep", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
