@@ -92,3 +92,10 @@ def completeness(records: DataFrame, values: str, required: list[str]) -> DataFr
     """Share of required keys that records have, empty or not."""
     have = sum((F.map_contains_key(values, f).cast("int") for f in required), F.lit(0))
     return records.agg((F.sum(have) / (F.count("*") * len(required))).alias("completeness"))
+
+
+def details(extracted: DataFrame, truth: DataFrame, key: str, value: str) -> DataFrame:
+    """(classification, key, extracted, truth): TP for equal pairs, FP for wrong or unmatched extractions, FN for missed truth."""
+    a, b = extracted.withColumnRenamed(value, "extracted").withColumn("_a", F.lit(1)), truth.withColumnRenamed(value, "truth").withColumn("_b", F.lit(1))
+    kind = F.when(F.col("_a").isNull(), "FN").when(F.col("_b").isNull(), "FP").when(score(F.col("extracted"), F.col("truth")) >= TRUE_AT, "TP").otherwise("FP")
+    return a.join(b, key, "full_outer").select(kind.alias("classification"), key, "extracted", "truth")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import oracle, view
 from .functions import fields, norm
-from .operators import coverage, linking, tables
+from .operators import chunks, coverage, linking, tables
 from .plans import evaluate, planner, review
 from .streaming import messages
 
@@ -381,3 +381,49 @@ def dashboard_recent(spark, sf_dir):
 def assignment_progress(spark, sf_dir):
     done = F.count_if(F.col("status") == "completed") * 100.0 / F.count("*")
     return view(spark, sf_dir, "fx_assignments").groupBy("reviewer_role").agg(F.count("*").alias("total"), norm.half_even(done, 1).alias("pct"))
+
+
+@query(None)
+def locate_fuzzy(spark, sf_dir):
+    return chunks.locate_rough(view(spark, sf_dir, "documents"), view(spark, sf_dir, "benchmark"))
+
+
+@query(None)
+def chunk_tables(spark, sf_dir):
+    return chunks.chunks(view(spark, sf_dir, "documents")).drop("text")
+
+
+@query("""SELECT CASE WHEN a.document_id IS NULL THEN 'FN' WHEN b.document_id IS NULL THEN 'FP' WHEN a.l_returnflag = b.l_returnflag THEN 'TP' ELSE 'FP' END AS classification,
+coalesce(a.document_id, b.document_id) AS document_id, a.l_returnflag AS extracted, b.l_returnflag AS truth FROM (SELECT * FROM fx_results WHERE slot = 2) a FULL JOIN (SELECT * FROM fx_results WHERE slot = 4) b ON a.document_id = b.document_id""")
+def evaluation_details(spark, sf_dir):
+    flags = view(spark, sf_dir, "fx_results").select("document_id", "slot", "l_returnflag")
+    return evaluate.details(flags.filter("slot = 2").drop("slot"), flags.filter("slot = 4").drop("slot"), "document_id", "l_returnflag")
+
+
+@query("SELECT (count(*) FILTER (WHERE l_returnflag IS NOT NULL) + count(*) FILTER (WHERE l_linestatus IS NOT NULL) + 0)::DOUBLE / (count(*) * 3) AS completeness FROM fx_results")
+def completeness(spark, sf_dir):
+    values = view(spark, sf_dir, "fx_results").select(fields.as_map(F.col("extracted_data")).alias("values"))
+    return evaluate.completeness(values, "values", ["returnflag", "linestatus", "comment"])
+
+
+@query("""SELECT * FROM (VALUES ('unknown', 'zz'), ('cycle', 'a'), ('cycle', 'b')) t(kind, name)""")
+def dag_issues(spark, sf_dir):
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    return planner.issues(nodes, spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "zz")], "name string, needs string"))
+
+
+@query("SELECT event_type, session_start, session_end, n FROM (SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY event_type, s)")
+def event_sessions(spark, sf_dir):
+    return messages.sessions(view(spark, sf_dir, "events"), "ts", "10 minutes", "event_type")
+
+
+@query("""SELECT result_pages.document_id, p.page FROM (SELECT conv_id AS document_id, CAST(length(text) AS INT) + 3 AS off FROM conversations WHERE turn = 0) result_pages
+JOIN (SELECT conv_id, turn AS page, coalesce(sum(length(text) + 1) OVER w, 0) AS a, coalesce(sum(length(text) + 1) OVER w, 0) + length(text) AS b FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p ON p.conv_id = result_pages.document_id AND off >= a AND off < b""")
+def page_of_offset(spark, sf_dir):
+    talk = view(spark, sf_dir, "conversations")
+    pages = linking.page_offsets(talk, "conv_id", "turn", "text").withColumn("hit", F.struct("page", "start_char", "end_char"))
+    maps = pages.groupBy("document_id").agg(F.array_sort(F.collect_list("hit")).alias("pages"))
+    wanted = talk.filter("turn = 0").select(F.col("conv_id").alias("document_id"), (F.length("text") + 3).alias("off"))
+    inside = F.exists("pages", lambda p: (p["start_char"] <= F.col("off")) & (F.col("off") < p["end_char"]))
+    return wanted.join(maps, "document_id").filter(inside).select("document_id", linking.page_of(F.col("pages"), F.col("off")).alias("page"))

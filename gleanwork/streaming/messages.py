@@ -87,3 +87,21 @@ def breaker_stream(calls: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=COLUMNS).assign(model=key[0])
 
     return calls.groupBy("model").applyInPandasWithState(one, "call_id long, before string, after string, model string", "name string, failures int, successes int, opened double", "append", "NoTimeout")
+
+
+def once(messages: DataFrame, ts: str, delay: str, *keys: str) -> DataFrame:
+    """A stream without the repeats that a late joiner gets from a replay, within the watermark."""
+    return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def sessions(events: DataFrame, ts: str, gap: str, *by: str) -> DataFrame:
+    """Counts of sessions that end after a gap; on a stream, give it a watermark first."""
+    return events.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n")
+
+
+def sweep(jobs, every: str, act):
+    """Start a stream that hands each batch's stuck jobs to `act`, at most every so often."""
+    def batch(df, _):
+        act(stuck(df, df.sparkSession.range(1).select(F.current_timestamp().alias("as_of"))))
+
+    return jobs.writeStream.trigger(processingTime=every).foreachBatch(batch).start()
