@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import oracle, view
 from .functions import fields, norm
-from .operators import chunks, coverage, linking, tables
+from .operators import chunks, coverage, edits, linking, tables
 from .plans import evaluate, planner, review
 from .streaming import messages
 
@@ -427,3 +427,106 @@ def page_of_offset(spark, sf_dir):
     wanted = talk.filter("turn = 0").select(F.col("conv_id").alias("document_id"), (F.length("text") + 3).alias("off"))
     inside = F.exists("pages", lambda p: (p["start_char"] <= F.col("off")) & (F.col("off") < p["end_char"]))
     return wanted.join(maps, "document_id").filter(inside).select("document_id", linking.page_of(F.col("pages"), F.col("off")).alias("page"))
+
+
+@query("""SELECT document_id, slot, CASE WHEN document_id % 7 = 0 THEN 'X' ELSE l_returnflag END AS returnflag, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS quantity FROM fx_results""")
+def bulk_edit(spark, sf_dir):
+    results = view(spark, sf_dir, "fx_results").select("document_id", "slot", "extracted_data")
+    cells = view(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("document_id"), F.lit("returnflag").alias("field"), F.lit("X").alias("new_value"))
+    out, _ = edits.apply_edits(results, cells)
+    values = fields.as_map(F.col("extracted_data"))
+    return out.select("document_id", "slot", values["returnflag"].alias("returnflag"), values["quantity"].alias("quantity"))
+
+
+@query("""SELECT job_id, before, after FROM (SELECT job_id, lag(status) OVER (PARTITION BY user_id ORDER BY created_at, job_id) AS before, status AS after FROM fx_jobs)
+WHERE before <> after AND NOT ((before = 'pending' AND after IN ('processing', 'cancelled')) OR (before = 'processing' AND after IN ('completed', 'failed', 'cancelled')))""")
+def status_guard(spark, sf_dir):
+    order = Window.partitionBy("user_id").orderBy("created_at", "job_id")
+    changes = view(spark, sf_dir, "fx_jobs").select("job_id", F.lag("status").over(order).alias("before"), F.col("status").alias("after"))
+    allowed = [("pending", "processing"), ("pending", "cancelled"), ("processing", "completed"), ("processing", "failed"), ("processing", "cancelled")]
+    return edits.bad_transitions(changes, allowed)
+
+
+@query("SELECT user_id, job_id, status FROM fx_jobs WHERE (status = 'completed' AND user_id % 3 <> 0) OR (status = 'failed' AND user_id % 5 <> 0)")
+def notification_gate(spark, sf_dir):
+    jobs = view(spark, sf_dir, "fx_jobs").select("user_id", "job_id", "status")
+    wishes = jobs.select("user_id").distinct().filter("user_id % 3 = 0 or user_id % 5 = 0").select("user_id", F.expr("user_id % 3 <> 0").alias("notify_completed"), F.expr("user_id % 5 <> 0").alias("notify_failed"))
+    return edits.notified(jobs, wishes).select("user_id", "job_id", "status")
+
+
+@query("SELECT 'fx_users' AS name, count(*)::BIGINT AS n FROM fx_users UNION ALL SELECT 'fx_documents', count(*)::BIGINT FROM fx_documents UNION ALL SELECT 'fx_jobs', count(*)::BIGINT FROM fx_jobs")
+def table_counts(spark, sf_dir):
+    counts = [view(spark, sf_dir, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("fx_users", "fx_documents", "fx_jobs")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("SELECT document_id FROM fx_results WHERE reviewer_role = 'reviewer_1' INTERSECT SELECT document_id FROM fx_results WHERE reviewer_role = 'reviewer_2' EXCEPT SELECT document_id FROM fx_documents WHERE processing_status = 'failed'")
+def ready_to_adjudicate(spark, sf_dir):
+    results, docs = view(spark, sf_dir, "fx_results"), view(spark, sf_dir, "fx_documents")
+    done = lambda role: results.filter(F.col("reviewer_role") == role).select("document_id")
+    return done("reviewer_1").intersect(done("reviewer_2")).join(docs.filter("processing_status = 'failed'").select("document_id"), "document_id", "left_anti")
+
+
+@query("""SELECT project_id, processing_status, document_id FROM fx_documents d WHERE EXISTS (SELECT 1 FROM fx_members m WHERE m.project_id = d.project_id AND m.user_id = 24 AND m.can_run_extractions)""")
+def row_security(spark, sf_dir):
+    member = view(spark, sf_dir, "fx_members").filter("user_id = 24 and can_run_extractions").select("project_id")
+    return tables.visible(view(spark, sf_dir, "fx_documents"), member).select("project_id", "processing_status", "document_id")
+
+
+@query("""SELECT document_id, slot, CASE WHEN document_id % 2 = 0 AND slot = 1 THEN 0.0::DOUBLE ELSE l_quantity END AS l_quantity FROM fx_results
+UNION ALL SELECT -document_id, slot, 0.0::DOUBLE FROM fx_results WHERE slot = 7""")
+def upsert_results(spark, sf_dir):
+    now = view(spark, sf_dir, "fx_results").select("document_id", "slot", "l_quantity", F.lit(0).alias("version"))
+    changed = now.filter("document_id % 2 = 0 and slot = 1").union(now.filter("slot = 7").withColumn("document_id", -F.col("document_id")))
+    changed = changed.withColumn("l_quantity", F.lit(0.0)).withColumn("version", F.lit(1))
+    return tables.upsert(now, changed, ["document_id", "slot"], [F.desc("version"), F.asc("l_quantity")]).drop("version")
+
+
+@query("SELECT document_id, slot FROM fx_results r WHERE NOT EXISTS (SELECT 1 FROM fx_documents d WHERE d.document_id = r.document_id AND d.project_id < 5)")
+def cascade_delete(spark, sf_dir):
+    gone = view(spark, sf_dir, "fx_documents").filter("project_id < 5")
+    return tables.cascade(view(spark, sf_dir, "fx_results").select("document_id", "slot"), gone, "document_id", "document_id")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE action_type = 'error')::BIGINT AS unread, CAST(count(*) FILTER (WHERE action_type <> 'error') AS BIGINT) AS seen FROM fx_activities GROUP BY 1")
+def unread_counts(spark, sf_dir):
+    read = tables.update(view(spark, sf_dir, "fx_activities").withColumn("read", F.lit(False)), F.col("action_type") != "error", read=F.lit(True))
+    return read.groupBy("user_id").agg(F.count_if(~F.col("read")).alias("unread"), F.count_if("read").alias("seen"))
+
+
+@query("""SELECT form_id, document_id FROM (SELECT d.form_id, d.document_id, processing_status, max(CASE WHEN processing_status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY d.form_id, d.project_id) AS any_failed FROM fx_documents d)
+WHERE any_failed = 0 OR processing_status = 'failed'""")
+def retry_set(spark, sf_dir):
+    failed = F.col("processing_status") == "failed"
+    any_failed = F.max(failed).over(Window.partitionBy("form_id", "project_id"))
+    return view(spark, sf_dir, "fx_documents").withColumn("any_failed", any_failed).filter(~F.col("any_failed") | failed).select("form_id", "document_id")
+
+
+@query("""SELECT l_returnflag AS field, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS incorrect, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+round_even((sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) * 100.0 / count(*))::DOUBLE, 2) + 0.0::DOUBLE AS incorrect_pct FROM fx_results GROUP BY 1 ORDER BY incorrect + missing DESC, field LIMIT 2""")
+def worst_fields(spark, sf_dir):
+    counted = view(spark, sf_dir, "fx_results").groupBy(F.col("l_returnflag").alias("field")).agg(
+        F.count_if(F.col("l_linestatus") == "F").alias("incorrect"), F.count_if(F.col("l_linestatus") == "O").alias("missing"), norm.half_even(F.count_if(F.col("l_linestatus") == "F") * 100.0 / F.count("*"), 2).alias("incorrect_pct")
+    )
+    return counted.orderBy(F.desc(F.col("incorrect") + F.col("missing")), "field").limit(2)
+
+
+@query("SELECT p_brand AS name, count(DISTINCT p_size)::BIGINT AS groups FROM part GROUP BY 1 HAVING count(DISTINCT p_size) > 1")
+def shared_names(spark, sf_dir):
+    return view(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count_distinct("p_size").alias("groups")).filter("groups > 1")
+
+
+@query("""SELECT j.job_id, j.status, CASE WHEN d.document_id IS NOT NULL THEN 'document' WHEN u.user_id IS NOT NULL THEN 'user' ELSE 'none' END AS target, coalesce(d.filename, u.full_name) AS label
+FROM fx_jobs j LEFT JOIN fx_documents d ON j.status = 'failed' AND d.document_id = j.job_id LEFT JOIN fx_users u ON j.status <> 'failed' AND u.user_id = j.user_id""")
+def job_targets(spark, sf_dir):
+    jobs = view(spark, sf_dir, "fx_jobs").select("job_id", "status", "user_id")
+    docs, users = view(spark, sf_dir, "fx_documents").select(F.col("document_id").alias("job_id"), "filename"), view(spark, sf_dir, "fx_users").select("user_id", "full_name")
+    failed = jobs.filter("status = 'failed'").join(docs, "job_id", "left").select("job_id", "status", F.when(F.col("filename").isNotNull(), "document").otherwise("none").alias("target"), F.col("filename").alias("label"))
+    others = jobs.filter("status <> 'failed'").join(users, "user_id", "left").select("job_id", "status", F.when(F.col("full_name").isNotNull(), "user").otherwise("none").alias("target"), F.col("full_name").alias("label"))
+    return failed.union(others)
+
+
+@query("SELECT event_id, CASE WHEN value IS NULL THEN '—' WHEN length(props) > 8 THEN substr(props, 1, 8) ELSE props END AS shown FROM events")
+def display_values(spark, sf_dir):
+    shown = F.when(F.col("value").isNull(), "—").when(F.length("props") > 8, F.substring("props", 1, 8)).otherwise(F.col("props"))
+    return view(spark, sf_dir, "events").select("event_id", shown.alias("shown"))

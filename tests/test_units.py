@@ -118,3 +118,19 @@ def test_breaker_batch_equals_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.call_id, r.before, r.after) for r in spark.table("breaker_out").collect()) == want
+
+
+def test_edits_guards_and_gates(spark):
+    from gleanwork.operators import edits
+
+    results = spark.createDataFrame([(1, '{"a":"x","b":1.0}'), (2, '{"a":"y"}')], "document_id int, extracted_data string")
+    cells = spark.createDataFrame([(1, "a", "new"), (9, "a", "lost")], "document_id int, field string, new_value string")
+    out, lost = edits.apply_edits(results, cells)
+    assert {r.document_id: r.extracted_data for r in out.collect()} == {1: '{"b":"1.0","a":"new"}', 2: '{"a":"y"}'} and [r.document_id for r in lost.collect()] == [9]
+    forms = spark.createDataFrame([(1, "ok", "text", None), (1, "9x", "enum", None), (1, "ok", "blob", None)], "form_id int, field_name string, field_type string, options array<string>")
+    assert sorted((r.field_name, r.problem) for r in edits.field_problems(forms).collect()) == [("9x", "name"), ("9x", "options"), ("ok", "duplicate"), ("ok", "type")]
+    df = spark.createDataFrame([(429, None, "a.PDF", 5, bytearray(b"%PDF-1")), (200, "Too many requests", "a.txt", 5, bytearray(b"%PDF-1")), (None, None, "b.pdf", 2**40, None)], "s int, m string, n string, z long, c binary")
+    got = df.select(edits.rate_limited(F.col("s"), F.col("m")), edits.uploadable(F.col("n"), F.col("z"), F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [(True, True), (True, False), (False, False)]
+    qa = spark.createDataFrame([({"a": False}, 1), ({"a": True}, 1), ({}, 0)], "c map<string,boolean>, n int")
+    assert [r[0] for r in qa.select(edits.qa_status(F.col("c"), F.col("n"))).collect()] == ["flagged", "passed", "in_progress"]
