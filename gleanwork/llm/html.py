@@ -53,6 +53,8 @@ HEADS = {"header"}
 #: Text in one slot on this share of a host's pages is template, and a slot with this share of link text is a menu; hosts with fewer pages have no wrapper.
 TEMPLATE_SHARE, LINK_SHARE, MIN_PAGES = 0.8, 0.6, 5
 
+LAYOUT, CAMEL = re.compile(r"\b(?:has|with|no|without|is)[-_][\w-]*", re.I), re.compile(r"(?<=[a-z])(?=[A-Z])")
+
 
 class Node:
     __slots__ = ("label", "tag", "kids", "bad", "main", "slot")
@@ -74,7 +76,9 @@ class Text:
 def traits(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
     """(label, boilerplate, boilerplate outside articles, marks the main text) of an opening tag."""
     found = {m["k"].lower(): m["a"] or m["b"] or m["c"] or "" for m in ATTR.finditer(attrs)} if attrs.strip(" /") else {}
-    names = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) - {""}
+    # "has-sidebar" and the like say what a layout holds, not what the element is; camel case counts whole and in parts
+    given = LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
+    names = set(re.split(r"[^a-z]+", f"{given} {CAMEL.sub(' ', given)}".lower())) - {""}
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     bad = tag in BAD_TAGS or role in BAD_ROLES or bool(names & BAD_NAMES) or hidden

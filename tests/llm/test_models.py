@@ -110,6 +110,11 @@ def test_main_text_of_a_page():
     assert html.main_text(html.aligned(PAGE % "end", PAGE % "other"), set(), set()) == "Title & more\n\nOne two three\n\nFour five\n\na\n\nb\n\nend"
 
 
+def test_names_of_layouts_and_camel_case():
+    page = '<body><div class="page has-sidebar no-ads"><p>kept</p></div><div class="adBanner"><p>off</p></div><div id="sideBar"><p>off</p></div></body>'
+    assert html.main_text(html.aligned(page, page), set(), set()) == "kept"
+
+
 def test_wrapper_drops_constant_slots(spark):
     page = "<body><div><p>Standing line</p><div><p>text %d of its own</p></div></div></body>"
     rows = [(i, f"http://h.example/{i}", page % i) for i in range(8)] + [(100, None, None), (101, "http://x.example", ""), (102, "http://y.example/a", page % 9)]
