@@ -110,3 +110,9 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert clean[60].n_chars == len(clean[60].text) and clean[0].text == texts[0]
     assert pii.sanitise(spark.createDataFrame([], DOCS)).count() == 0
     assert pii.sanitise(spark.createDataFrame(ROWS, DOCS)).count() == len(ROWS)
+
+
+def test_native_queries_have_no_python(spark):
+    for name in ("op1_fingerprints", "op8_pii"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|InArrow|InPandas", plan)
