@@ -41,3 +41,34 @@ def last_examples(feedback: DataFrame, by: str, newest: list[Column], note: str,
     ranked = feedback.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*newest))).filter(F.col("_r") <= n)
     listed = F.array_sort(F.collect_list(F.struct((-F.col("_r")).alias("r"), F.col(note).alias("note"))))
     return ranked.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["note"]), "|").alias("notes"))
+
+
+def field_coverage(form_fields: DataFrame, signature_fields: DataFrame) -> DataFrame:
+    """(field, problem): form fields that no signature gives, fields given more than once, and given ones the form lacks."""
+    missing = form_fields.join(signature_fields.select("field"), "field", "left_anti").select("field", F.lit("missing").alias("problem"))
+    twice = signature_fields.groupBy("field").agg(F.count_distinct("signature").alias("n")).filter("n > 1").select("field", F.lit("duplicate").alias("problem"))
+    extra = signature_fields.join(form_fields, "field", "left_anti").select("field", F.lit("unknown").alias("problem")).distinct()
+    return missing.union(twice).union(extra)
+
+
+def stage_problems(stages: DataFrame) -> DataFrame:
+    """(stage, problem) of pipeline stages (stage, execution, signatures, provides, requires).
+
+    A stage may require only what earlier stages provide; signatures of a parallel stage must provide
+    different fields; a stage has signatures, and a parallel one more than one.
+    """
+    given = stages.select(F.col("stage").alias("by"), F.explode("provides").alias("field"))
+    needed = stages.select("stage", F.explode("requires").alias("field"))
+    late = needed.join(given, "field", "left").groupBy("stage", "field").agg(F.coalesce(F.min("by") >= F.col("stage"), F.lit(True)).alias("late")).filter("late")
+    empty = stages.filter(F.size("signatures") == 0).select("stage", F.lit("no signatures").alias("problem"))
+    alone = stages.filter((F.col("execution") == "parallel") & (F.size("signatures") == 1)).select("stage", F.lit("parallel with one signature").alias("problem"))
+    overlap = stages.filter((F.col("execution") == "parallel") & (F.size("provides") > F.size(F.array_distinct("provides")))).select("stage", F.lit("field provided twice").alias("problem"))
+    return late.select("stage", F.concat(F.lit("requires later field "), "field").alias("problem")).union(empty).union(alone).union(overlap)
+
+
+def accumulate(feedback: DataFrame) -> DataFrame:
+    """(field, examples, notes) of pilot feedback (field, iteration, rating, correct_value, note): corrections in order, notes once each."""
+    rows = feedback.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("iteration", "rating", "correct_value", "note"))).alias("rows"))
+    fixed = F.filter("rows", lambda r: (r["rating"] == "incorrect") & r["correct_value"].isNotNull())
+    notes = F.array_distinct(F.filter(F.transform("rows", lambda r: F.trim(r["note"])), lambda n: n.isNotNull() & (n != "")))
+    return rows.select("field", F.transform(fixed, lambda r: r["correct_value"]).alias("examples"), F.array_join(F.transform(notes, lambda n: F.concat(F.lit("- "), n)), "\n").alias("notes"))
