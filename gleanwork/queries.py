@@ -129,8 +129,8 @@ def job_by_json_key(spark, sf_dir):
 WHERE created_at >= (SELECT max(created_at) FROM fx_activities) - INTERVAL 7 DAY ORDER BY created_at DESC, activity_id LIMIT 100""")
 def activity_feed(spark, sf_dir):
     acts, users = view(spark, sf_dir, "fx_activities"), view(spark, sf_dir, "fx_users").select("user_id", "full_name")
-    newest = acts.agg(F.max("created_at").alias("now"))
-    recent = acts.crossJoin(F.broadcast(newest)).filter("created_at >= now - interval 7 days")  # one row
+    newest = acts.agg(F.max("created_at")).first()[0]
+    recent = acts.filter(F.expr(f"created_at >= timestamp_ntz'{newest}' - interval 7 days"))
     feed = tables.page(recent, [F.desc("created_at"), F.asc("activity_id")], limit=100)
     return feed.join(users, "user_id", "left").select("activity_id", "action_type", "full_name", "created_at")
 
