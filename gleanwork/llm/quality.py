@@ -110,8 +110,8 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     p = 1 / (1 + F.exp(-F.col("evidence")))
     paths = stored(evidence.groupBy("site", "source").agg(F.sum(p).alias("votes"), F.count("*").alias("n")))
     hosts = paths.groupBy("source").agg(F.sum("votes").alias("host_votes"), F.sum("n").alias("host_n"))
-    total = hosts.agg((F.sum("host_votes") / F.sum("host_n")).alias("prior"))
-    hosts = hosts.crossJoin(F.broadcast(total))  # one row
+    prior = hosts.agg(F.sum("host_votes") / F.sum("host_n")).first()[0]
+    hosts = hosts.withColumn("prior", F.lit(prior).cast("double"))
     hosts = with_shrunk(hosts, "host_votes", "host_n", "prior", "host_posterior")
     joined = paths.join(hosts.select(F.col("source").alias("_host"), "host_posterior", "prior"), F.col("source").eqNullSafe(F.col("_host")))
     return stored(with_shrunk(joined, "votes", "n", "host_posterior", "path_posterior").select("site", "host_posterior", "path_posterior", "prior"))
@@ -121,8 +121,8 @@ def with_shrunk(sites: DataFrame, votes: str, n: str, parent: str, name: str) ->
     rate, mean = F.col(votes) / F.col(n), F.col(parent)
     spread = F.avg((rate - mean) ** 2 - mean * (1 - mean) / F.col(n))
     strength = F.when(spread > 0, F.least(F.greatest(F.avg(mean * (1 - mean)) / spread - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))).otherwise(F.lit(STRENGTH[1]))
-    out = sites.crossJoin(F.broadcast(sites.agg(strength.alias("_strength"))))  # one row
-    return out.withColumn(name, (F.col(votes) + F.col("_strength") * mean) / (F.col(n) + F.col("_strength"))).drop("_strength")
+    m = F.lit(sites.agg(strength).first()[0]).cast("double")
+    return sites.withColumn(name, (F.col(votes) + m * mean) / (F.col(n) + m))
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, bound: int = MOST_LABELLED) -> DataFrame:
