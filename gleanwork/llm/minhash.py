@@ -7,8 +7,9 @@ near and large trees. Proposals are confirmed on the full sets, best first, and
 apart; the components come from alternating large-star and small-star steps.
 
 With 30 bands of 5 rows, a pair at the threshold 0.85 shares no bucket with a chance of 2e-8 (0.80: 7e-6).
-No pair is ever formed from all members of a bucket outside one bounded run, and no run emits more than
-1 + 5 * PARTNERS pairs a member.
+No run of a bucket emits more than 1 + 5 * PARTNERS pairs a member. What these rounds miss comes from an exact
+one: sets of different components that share a shingle of their heads (prefix filter) are compared by length
+and by a count sketch, which only ever overrates a pair, and the rest is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ RUN, WIDE = 512, 4096
 SURE, MARGIN = 0.93, 0.12
 #: Trees of a run, nearest to a member and largest, in which it proposes its two best partners (and the large ones' roots).
 PARTNERS = 4
+#: The exact round: cells of a set's count sketch, members of a shared shingle that meet in one block pair, and
+#: how many frequent shingles come last in the heads' order (any order is exact; this one keeps them out of heads).
+CELLS, BLOCK, FREQUENT = 512, 512, 1 << 17
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -276,6 +280,110 @@ def _best(edges: DataFrame, *by: str) -> DataFrame:
     return top.select(F.least("top.a", "top.b").alias("a"), F.greatest("top.a", "top.b").alias("b")).distinct()
 
 
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes in ascending order and their counts, of the FREQUENT most frequent ones in a fourth of the texts."""
+    made = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        held, size = [], 0
+
+        def counted():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 2].view(np.int64)), pa.array(n[n > 2])], schema=made)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                for s in shingle_hashes(batch.column("text").slice(at, 512).to_pylist(), k):
+                    held.append(s)
+                    size += len(s)
+                if size > 1 << 22:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).select("text")
+    top = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingles, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, size, cells, head): set size, count sketch, and the first shingles in one order, rare ones first.
+
+    Two sets with 100 * intersection >= percent * union share a shingle of their heads, whatever the order.
+    """
+    known, often = frequent(docs, k)
+    made = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("cells", pa.binary()), ("head", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for at in range(0, len(ids), 512):
+                rows = []
+                for i, s in zip(ids[at : at + 512], shingle_hashes(batch.column("text").slice(at, 512).to_pylist(), k)):
+                    if not len(s):
+                        continue
+                    cells = np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+                    n = len(s) + 1 + (-percent * len(s) // 100)
+                    if len(known):
+                        where = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                        s = s[np.argsort(np.where(known[where] == s, often[where], 0), kind="stable")]
+                    rows.append((i, len(s), cells.tobytes(), s[:n].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, made)], schema=made)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, cells binary, head array<long>")
+
+
+def possible(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, ca, cb): all pairs of `sets` (rep, component) in different components that may reach the threshold.
+
+    Sets meet by an equi-join on the shingles of their heads. A shingle of many sets is dealt into pairs of blocks.
+    """
+    made = pa.schema([(c, pa.int64()) for c in ("a", "b", "ca", "cb")])
+    cut = stored(heads(docs, k, percent).join(sets, F.col("doc_id") == F.col("rep")).select("rep", "component", "size", "cells", "head"))
+    rows = cut.select("rep", "component", F.explode("head").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "n")
+    met = stored(rows.select("rep", "shingle").join(shared, "shingle"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    met = met.withColumn("own", F.pmod(F.xxhash64("rep", "shingle"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    met = met.select("rep", "shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own").join(cut.drop("head"), "rep")
+
+    def compare(key, rows):
+        rep, component, size, own = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+        cells = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), CELLS).astype(np.int16)
+        for i in range(len(rows)):
+            if key[1] != key[2] and own[i] != key[1]:
+                continue
+            fits = (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            fits &= own == key[2] if key[1] != key[2] else np.arange(len(rows)) > i
+            j = np.flatnonzero(fits)
+            both, apart = size[j] + size[i], np.abs(cells[j] - cells[i]).sum(axis=1)  # at least `apart` shingles are in one set only
+            j = j[100 * (both - apart) >= percent * (both + apart)]
+            if len(j):
+                turned = rep[j] < rep[i]
+                yield [np.where(turned, v[j], v[i]) for v in (rep, component)] + [np.where(turned, v[i], v[j]) for v in (rep, component)]
+
+    def run(batches):
+        now, held = None, []
+
+        def found():
+            for a, ca, b, cb in compare(now, held) if len(held) > 1 else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, ca, cb)], schema=made)
+
+        for batch in batches:
+            for key, *row in zip(zip(*(batch.column(c).to_pylist() for c in ("shingle", "x", "y"))), *(batch.column(c).to_pylist() for c in ("rep", "component", "size", "own", "cells"))):
+                if key != now:
+                    yield from found()
+                    now, held = key, []
+                held.append(row)
+        yield from found()
+
+    dealt = met.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    return dealt.mapInArrow(run, "a long, b long, ca long, cb long").groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents, linked at Jaccard >= percent / 100 on k-word shingles.
 
@@ -311,6 +419,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # a set that the first round left alone is its own component
     nodes = nodes.select(F.coalesce("rep", "component").alias("rep"), F.coalesce("joined", "component").alias("component"))
     found = nodes.groupBy("rep").agg(F.min("component").alias("component"))
+    # last every pair between components that the proposals left apart
+    now = stored(sets.select("rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    rest = stored(possible(docs, now, k, percent))
+    ends = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi"))
+    third = stored(connected(confirm(rest, texts, k, percent).select("ca", "cb").toDF("a", "b"))).toDF("component", "joined")
+    found = now.join(third, "component", "left").select("rep", F.coalesce("joined", "component").alias("component"))
     classes = sets.select("d1", "d2", "rep").join(found, "rep", "left")
     classes = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")

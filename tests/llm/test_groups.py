@@ -63,6 +63,27 @@ def test_near_duplicate_family_around_the_threshold(spark):
         assert got == brute_components(range(len(texts)), texts, k, percent)[0]
 
 
+@pytest.mark.parametrize("block", [8, 512])
+def test_near_duplicates_need_no_proposal(spark, monkeypatch, block):
+    """Links that no bucket proposes are found all the same, over one block and over several."""
+    rng = np.random.default_rng(11)
+    base = [f"w{rng.integers(10_000)}" for _ in range(150)]
+    texts = []
+    for i in range(90):
+        t = list(base)
+        for p in rng.choice(150, 2 + i % 2, replace=False):
+            t[p] = f"x{i}_{p}"
+        texts.append(" ".join(t))
+    texts += [" ".join(f"{i}v{rng.integers(60)}" for _ in range(80)) for i in range(3)] + ["two words", "two words more"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    nothing = lambda members, lowest: members.selectExpr("rep AS a", "rep AS b", "float(1) AS est").limit(0)
+    monkeypatch.setattr(minhash, "proposals", nothing)
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    want = brute_components(range(len(texts)), texts, 3, 85)[0]
+    assert 1 < len(set(want.values())) < len(texts) - 5
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()} == want
+
+
 def test_near_duplicates_awkward_rows(spark):
     df = spark.createDataFrame(ROWS, DOCS)
     kept = minhash.keep_one(df).collect()
