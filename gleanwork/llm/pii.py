@@ -2,7 +2,8 @@
 
 Everything here is DataFrame and SQL functions. Four patterns (email, ip, card, phone) give the base
 spans. A corpus pass then estimates how strongly a term reveals a protected entity: with n(e), n(t)
-documents that mention the entity e or hold the term t, n(e,t) in which t stands near e, and N documents,
+documents that mention the entity e or hold the term t, n(e,t) in which t stands near e, and N documents
+(different texts, each counted once),
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e)),
 
@@ -125,16 +126,17 @@ def term_spans(spanned: DataFrame, min_support: int, generalise_at: float, remov
     )
     near = stored(near_terms(mentions))
     entities = stored(mentions.groupBy("_entity", "_key").agg(F.lit(1).alias("_one")).groupBy(F.col("_entity").alias("entity")).agg(F.count("*").alias("n_e")))
-    # copies of a text share one key, so a passage that was only copied counts as one document
+    # copies of a text share one key and count as one document, in all four numbers
     pairs = near.groupBy("entity", "term", "_key").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
     pairs = stored(pairs)
-    distinct = spanned.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))).alias("term"))
+    one = spanned.groupBy("_key").agg(F.first(text).alias("text"))
+    distinct = one.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     held = distinct.groupBy("term").agg(F.count("*").alias("n_t")) if not pairs.isEmpty() else None
     if held is None:
         return spanned.sparkSession.createDataFrame([], f"_key string, terms {SPAN}")
     scored = (
         pairs.join(held, "term").join(entities, "entity")
-        .withColumn("n", F.lit(spanned.count()))
+        .withColumn("n", F.lit(spanned.select("_key").distinct().count()))
         .withColumn("n_t", F.greatest("n_t", "n_et"))
         .withColumn("disclosure", F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e")))
         .filter(F.col("disclosure") >= generalise_at)

@@ -112,6 +112,13 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert pii.sanitise(spark.createDataFrame(ROWS, DOCS)).count() == len(ROWS)
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    texts = [f"word{i % 7} common filler number{i} and the rest" for i in range(60)] + [f"contact zanzibar bob@corp.org number{i} please" for i in range(3) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    clean = [r.text for r in pii.sanitise(df, min_support=3).collect()]
+    assert len(clean) == len(texts) and not any("zanzibar" in t for t in clean)
+
+
 def test_native_queries_have_no_python(spark):
     for name in ("op1_fingerprints", "op8_pii"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
