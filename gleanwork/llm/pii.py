@@ -1,14 +1,15 @@
-"""Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
+"""Personal data: pattern spans, and information-theoretic sanitisation of the terms that go with them.
 
 Everything here is DataFrame and SQL functions. Four patterns (email, ip, card, phone) give the base
 spans. A corpus pass then estimates how strongly a term reveals a protected entity: with n(e), n(t)
-documents that mention the entity e or hold the term t, n(e,t) in which t stands near e, and N documents
+documents that mention the entity e or hold the term t, n(e,t) that do both, and N documents
 (different texts, each counted once),
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e)),
 
-which is 1 when t occurs nowhere but near e. Terms seen near e in at least `min_support` documents with
-a disclosure of `generalise_at` or more are generalised, of `remove_at` or more are removed.
+which is 1 when t occurs nowhere but in documents with e. Terms seen with e in at least `min_support` documents
+with a disclosure of `generalise_at` or more are generalised, of `remove_at` or more are removed, wherever they
+stand in the corpus.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import join_small, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the fixed patterns: the same leftmost matches, found without backtracking and
@@ -35,18 +36,17 @@ TERM_LABEL = "[TERM]"
 OPEN, CLOSE, PLAIN = "\ue000", "\ue001", "\ufffd"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 TERM = r"[\p{L}\p{N}]+"
-#: Code points on each side of a mention that count as near it.
-NEAR = 60
 
 
-def marked_spans(text: Column, pattern: str, kind: str) -> Column:
+def marked_spans(text: Column, pattern: str | Column, kind: str) -> Column:
     """Spans (code points, end exclusive) of the leftmost non-overlapping matches, without a UDF.
 
     Matches are set between two private-use marks and the text is cut there: odd pieces are matches.
     Marks that the text itself holds are first replaced by another character no pattern knows.
     """
     clean = F.translate(text, OPEN + CLOSE, PLAIN * 2)
-    pieces = F.split(F.regexp_replace(clean, f"({pattern})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    whole = F.concat(F.lit("("), F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(")"))
+    pieces = F.split(F.regexp_replace(clean, whole, F.lit(f"{OPEN}$1{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
     return F.aggregate(
         F.transform(pieces, lambda p: F.length(p)),
@@ -93,61 +93,40 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_spans", F.concat(*[spans_of(text, k) for k in KINDS]))
 
 
-def near_terms(mentions: DataFrame) -> DataFrame:
-    """(key, entity, term, start, end): whole terms within NEAR code points of a mention, outside all base spans.
-
-    Windows may cut a term at their far edge; such a cut piece is left out.
-    """
-    span = F.col("_span")
-    left_from = F.greatest(span["start"] - NEAR, F.lit(0))
-    right_to = F.least(span["end"] + NEAR, F.length("text"))
-    left = F.struct(left_from.alias("at"), F.substring(F.col("text"), left_from + 1, span["start"] - left_from).alias("part"))
-    right = F.struct(span["end"].alias("at"), F.substring(F.col("text"), span["end"] + 1, right_to - span["end"]).alias("part"))
-    sides = mentions.withColumn("_length", F.length("text")).withColumn("_side", F.explode(F.array(left, right)))
-    part, at = F.col("_side")["part"], F.col("_side")["at"]
-    terms = sides.select("_key", "_spans", "_length", at.alias("_at"), F.length(part).alias("_n"), F.col("_entity"), F.explode(marked_spans(part, TERM, "term")).alias("_term"))
-    start, end = F.col("_at") + F.col("_term")["start"], F.col("_at") + F.col("_term")["end"]
-    cut = ((F.col("_term")["start"] == 0) & (start > 0)) | ((F.col("_term")["end"] == F.col("_n")) & (end < F.col("_length")))
-    return (
-        terms.withColumn("start", start)
-        .withColumn("end", end)
-        .filter(~cut & ~F.exists("_spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-        .select("_key", F.col("_entity").alias("entity"), F.lower(F.col("_term")["value"]).alias("term"), "start", "end")
-    )
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def term_spans(spanned: DataFrame, min_support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(_key, terms): the disclosing terms of each text as spans with kind term or gone; stored, one row a text."""
+    """(_key, terms): all places of disclosing terms in each text as spans with kind term or gone; stored, one row a text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    mentions = (
-        spanned.filter(F.size("_spans") > 0)
-        .select("_key", text.alias("text"), "_spans", F.explode("_spans").alias("_span"))
-        .withColumn("_entity", F.concat_ws(":", F.col("_span")["kind"], F.lower(F.when(F.col("_span")["kind"].isin("card", "phone"), digits_of(F.col("_span")["value"])).otherwise(F.col("_span")["value"]))))
-    )
-    near = stored(near_terms(mentions))
-    entities = stored(mentions.groupBy("_entity", "_key").agg(F.lit(1).alias("_one")).groupBy(F.col("_entity").alias("entity")).agg(F.count("*").alias("n_e")))
     # copies of a text share one key and count as one document, in all four numbers
-    pairs = near.groupBy("entity", "term", "_key").agg(F.lit(1).alias("_one")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
-    pairs = stored(pairs)
-    one = spanned.groupBy("_key").agg(F.first(text).alias("text"))
-    distinct = one.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = distinct.groupBy("term").agg(F.count("*").alias("n_t")) if not pairs.isEmpty() else None
-    if held is None:
+    one = stored(spanned.groupBy("_key").agg(F.first(text).alias("text"), F.first("_spans").alias("_spans")))
+    name = lambda s: F.concat_ws(":", s["kind"], F.lower(F.when(s["kind"].isin("card", "phone"), digits_of(s["value"])).otherwise(s["value"])))
+    some = one.filter(F.size("_spans") > 0).withColumn("entity", F.explode(F.array_distinct(F.transform("_spans", name))))
+    entities = stored(some.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_support))
+    # parts of the mentions themselves are no terms
+    masked = sanitised(F.col("text"), F.transform("_spans", lambda s: F.struct(F.lit("blank").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    known = join_small(some, entities.select("entity"), "entity", "inner")
+    pairs = known.select("entity", F.explode(terms_of(masked)).alias("term"))
+    pairs = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support))
+    if pairs.isEmpty():
         return spanned.sparkSession.createDataFrame([], f"_key string, terms {SPAN}")
+    held = one.select("_key", F.explode(terms_of(F.col("text"))).alias("term"))
     scored = (
-        pairs.join(held, "term").join(entities, "entity")
-        .withColumn("n", F.lit(spanned.select("_key").distinct().count()))
+        pairs.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term").join(entities, "entity")
+        .withColumn("n", F.lit(one.count()))
         .withColumn("n_t", F.greatest("n_t", "n_et"))
         .withColumn("disclosure", F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e")))
         .filter(F.col("disclosure") >= generalise_at)
-        .select("entity", "term", F.when(F.col("disclosure") >= remove_at, "gone").otherwise("term").alias("kind"))
-    )
-    hits = near.join(scored, ["entity", "term"])
-    return stored(
-        hits.groupBy("_key", "start", "end").agg(F.min("kind").alias("kind"), F.min("term").alias("value"))
-        .groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "value"))).alias("found"))
-        .select("_key", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))).cast(SPAN).alias("terms"))
+        .groupBy("term").agg(F.min(F.when(F.col("disclosure") >= remove_at, "gone").otherwise("term")).alias("kind"))
     )
+    hits = join_small(held.withColumnRenamed("_key", "_text"), stored(scored), "term", "inner").withColumnRenamed("_text", "_key")
+    hits = hits.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("_kinds"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_kinds"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    spans = F.transform(marked_spans(F.col("text"), pattern, "term"), lambda s: F.struct(F.try_element_at("_kinds", F.lower(s["value"])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    outside = lambda t: t["kind"].isNotNull() & ~F.exists("_spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
+    return stored(one.join(hits, "_key").select("_key", F.filter(spans, outside).cast(SPAN).alias("terms")))
 
 
 def find(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.98) -> DataFrame:
@@ -159,16 +138,14 @@ def find(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.9, remo
     docs = docs.drop("base", "terms", "_key", "_spans")
     spanned = with_base_spans(docs).withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     terms = term_spans(spanned.select("text", "_spans", "_key"), min_support, generalise_at, remove_at)
-    # only texts with mentions can hold terms: the others don't take part in the join
-    some, none = spanned.filter(F.size("_spans") > 0), spanned.filter(F.size("_spans") == 0)
     empty = F.expr(f"cast(array() as {SPAN})")
-    joined = some.join(terms, "_key", "left").withColumn("terms", F.coalesce("terms", empty)).unionByName(none.withColumn("terms", empty))
+    joined = join_small(spanned, terms, "_key").withColumn("terms", F.coalesce("terms", empty))
     return joined.withColumnRenamed("_spans", "base").drop("_key").select(*docs.columns, "base", "terms")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
     """`text` with the spans replaced by labels; of overlapping spans the one that starts first is written."""
-    label = F.create_map(*[F.lit(x) for kv in (LABELS | {"term": TERM_LABEL, "gone": ""}).items() for x in kv])
+    label = F.create_map(*[F.lit(x) for kv in (LABELS | {"term": TERM_LABEL, "gone": "", "blank": " "}).items() for x in kv])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -112,6 +112,16 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert pii.sanitise(spark.createDataFrame(ROWS, DOCS)).count() == len(ROWS)
 
 
+def test_disclosing_terms_are_replaced_far_from_the_mention(spark):
+    far = " ".join(f"w{i}" for i in range(50))
+    texts = [f"word{i % 7} {far} number{i} and the rest" for i in range(3000)]
+    texts += [f"zanzibar bob@corp.org {far} number{i} and Zanzibar, mombasa" for i in range(40)] + [f"{far} and Zanzibar alone"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    clean = [r.text for r in pii.sanitise(df, min_support=3).collect()]
+    assert len(clean) == len(texts) and not any("zanzibar" in t.lower() or "mombasa" in t for t in clean)
+    assert all(far in t for t in clean)
+
+
 def test_copies_do_not_hide_a_disclosing_term(spark):
     texts = [f"word{i % 7} common filler number{i} and the rest" for i in range(60)] + [f"contact zanzibar bob@corp.org number{i} please" for i in range(3) for _ in range(20)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
