@@ -1,15 +1,16 @@
 """Near-duplicates: many universal hash minima, banding, verification, connected components.
 
 Documents with equal shingle sets collapse first. Each different set gets BANDS x ROWS minima of linear
-hashes; sets that agree on a whole band share a bucket. Inside a bucket (in bounded runs) signatures
-propose a spanning tree of the surely alike members and, for every member, its two best partners in PARTNERS
-near and large trees. Proposals are confirmed on the full sets, best first, and only between components that are still
-apart; the components come from alternating large-star and small-star steps.
-
-With 30 bands of 5 rows, a pair at the threshold 0.85 shares no bucket with a chance of 2e-8 (0.80: 7e-6).
-No run of a bucket emits more than 1 + 5 * PARTNERS pairs a member. What these rounds miss comes from an exact
-one: sets of different components that share a shingle of their heads (prefix filter) are compared by length
-and by a count sketch, which only ever overrates a pair, and the rest is confirmed on the full sets.
+hashes; sets that agree on a whole band share a bucket. Signatures propose, in bounded runs of a bucket, a
+spanning tree of the surely alike members and further likely partners; proposals are confirmed on the full
+sets, best first, and only between components that are still apart. The components come from alternating
+large-star and small-star steps.
+
+Proposals are quick but not complete, so every bucket that still holds several components is then searched
+through: each of its pairs between different components is verified by size and by a count sketch, which only
+ever overrates a pair, and whatever may reach the threshold is confirmed on the full sets. A bucket of any
+size is dealt into blocks. So no link between members of a bucket is lost. With 30 bands of 5 rows, a pair at
+the threshold 0.85 shares no bucket with a chance of 2e-8 (0.80: 7e-6).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import discard, stored, table
 from .components import connected
 
 BANDS, ROWS = 30, 5
@@ -31,9 +32,8 @@ RUN, WIDE = 512, 4096
 SURE, MARGIN = 0.93, 0.12
 #: Trees of a run, nearest to a member and largest, in which it proposes its two best partners (and the large ones' roots).
 PARTNERS = 4
-#: The exact round: cells of a set's count sketch, members of a shared shingle that meet in one block pair, and
-#: how many frequent shingles come last in the heads' order (any order is exact; this one keeps them out of heads).
-CELLS, BLOCK, FREQUENT = 512, 512, 1 << 17
+#: The full search of a bucket: cells of a set's count sketch, and members that a block holds on average.
+CELLS, BLOCK = 512, 512
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | 1).astype(np.uint32)
@@ -123,10 +123,15 @@ def band_keys(minima: np.ndarray) -> np.ndarray:
     return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(_P)).view(np.int64)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of CELLS cells, up to 255: two sets differ by at least the cells' differences."""
+    return np.minimum(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands, sig): set size, a 128-bit digest of the set, band keys, low bytes of the minima."""
+    """(doc_id, n_shingles, d1, d2, bands, sig, cells): set size, a 128-bit digest of the set, band keys, low bytes of the minima, count sketch."""
     longs = pa.list_(pa.int64())
-    made = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", longs), ("sig", pa.binary())])
+    made = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", longs), ("sig", pa.binary()), ("cells", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -135,15 +140,15 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 rows = []
                 for i, s in zip(ids[at : at + 512], shingle_hashes(batch.column("text").slice(at, 512).to_pylist(), k)):
                     if not len(s):
-                        rows.append((i, 0, None, None, None, None))
+                        rows.append((i, 0, None, None, None, None, None))
                         continue
                     minima = signature(s)
                     d1 = mix(s * np.uint64(_P)).sum(dtype=np.uint64).view(np.int64)
                     d2 = mix(s + np.uint64(_P)).sum(dtype=np.uint64).view(np.int64)
-                    rows.append((i, len(s), int(d1), int(d2), band_keys(minima), minima.astype(np.uint8).tobytes()))
+                    rows.append((i, len(s), int(d1), int(d2), band_keys(minima), minima.astype(np.uint8).tobytes(), sketch(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), made)], schema=made)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary, cells binary")
 
 
 def propose(ids: list[int], sigs: np.ndarray, lowest: float):
@@ -280,131 +285,99 @@ def _best(edges: DataFrame, *by: str) -> DataFrame:
     return top.select(F.least("top.a", "top.b").alias("a"), F.greatest("top.a", "top.b").alias("b")).distinct()
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in ascending order and their counts, of the FREQUENT most frequent ones in a fourth of the texts."""
-    made = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        held, size = [], 0
-
-        def counted():
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found[n > 2].view(np.int64)), pa.array(n[n > 2])], schema=made)
+def apart(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, block, visits, rep, component, main) of the members (key, rep) of buckets that hold several components of `sets` (rep, component).
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for s in shingle_hashes(batch.column("text").slice(at, 512).to_pylist(), k):
-                    held.append(s)
-                    size += len(s)
-                if size > 1 << 22:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(4)) == 0).select("text")
-    top = some.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    shingles, n = top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(shingles)
-    return shingles[order], n[order]
-
-
-def heads(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, size, cells, head): set size, count sketch, and the first shingles in one order, rare ones first.
-
-    Two sets with 100 * intersection >= percent * union share a shingle of their heads, whatever the order.
+    A bucket has one block for every BLOCK members. Each member lives in one block; members outside the
+    bucket's largest component also visit all blocks, so that each pair between components meets.
     """
-    known, often = frequent(docs, k)
-    made = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("cells", pa.binary()), ("head", pa.list_(pa.int64()))])
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for at in range(0, len(ids), 512):
-                rows = []
-                for i, s in zip(ids[at : at + 512], shingle_hashes(batch.column("text").slice(at, 512).to_pylist(), k)):
-                    if not len(s):
-                        continue
-                    cells = np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
-                    n = len(s) + 1 + (-percent * len(s) // 100)
-                    if len(known):
-                        where = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        s = s[np.argsort(np.where(known[where] == s, often[where], 0), kind="stable")]
-                    rows.append((i, len(s), cells.tobytes(), s[:n].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, made)], schema=made)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, cells binary, head array<long>")
-
+    placed = members.select("key", "rep").join(sets, "rep")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    split = parts.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("n", "component"))["component"].alias("main")).filter("kinds > 1")
+    rows = placed.join(split.select("key", "n", "main"), "key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    home = F.struct(F.pmod(F.xxhash64("rep", "key"), blocks).alias("block"), F.lit(0).alias("visits"))
+    visits = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(x.alias("block"), F.lit(1).alias("visits")))
+    places = F.when(F.col("component") == F.col("main"), F.array(home)).otherwise(F.concat(F.array(home), visits))
+    rows = rows.select("key", "rep", "component", (F.col("component") == F.col("main")).alias("main"), F.explode(places).alias("at"))
+    return rows.select("key", "at.block", "at.visits", "rep", "component", "main")
 
-def possible(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, ca, cb): all pairs of `sets` (rep, component) in different components that may reach the threshold.
 
-    Sets meet by an equi-join on the shingles of their heads. A shingle of many sets is dealt into pairs of blocks.
-    """
+def possible(members: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): the pairs of different components in one bucket that may reach the threshold, by size and sketch (rep, size, cells)."""
     made = pa.schema([(c, pa.int64()) for c in ("a", "b", "ca", "cb")])
-    cut = stored(heads(docs, k, percent).join(sets, F.col("doc_id") == F.col("rep")).select("rep", "component", "size", "cells", "head"))
-    rows = cut.select("rep", "component", F.explode("head").alias("shingle"))
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle", "n")
-    met = stored(rows.select("rep", "shingle").join(shared, "shingle"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    met = met.withColumn("own", F.pmod(F.xxhash64("rep", "shingle"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    met = met.select("rep", "shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own").join(cut.drop("head"), "rep")
-
-    def compare(key, rows):
-        rep, component, size, own = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
-        cells = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), CELLS).astype(np.int16)
-        for i in range(len(rows)):
-            if key[1] != key[2] and own[i] != key[1]:
+
+    def compare(homes, visitors):
+        ids, own, main, size = (np.array([r[i] for r in homes], np.int64) for i in range(4))
+        cells = np.frombuffer(b"".join(r[4] for r in homes), np.uint8).reshape(len(homes), CELLS)
+        for rep, component, _, n, raw in visitors:
+            # two visitors meet twice, so the one with the smaller id looks
+            j = np.flatnonzero((own != component) & ((main > 0) | (ids > rep)) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+            if not len(j):
                 continue
-            fits = (component != component[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
-            fits &= own == key[2] if key[1] != key[2] else np.arange(len(rows)) > i
-            j = np.flatnonzero(fits)
-            both, apart = size[j] + size[i], np.abs(cells[j] - cells[i]).sum(axis=1)  # at least `apart` shingles are in one set only
-            j = j[100 * (both - apart) >= percent * (both + apart)]
+            other, mine = cells[j], np.frombuffer(raw, np.uint8)
+            differ = (np.maximum(other, mine) - np.minimum(other, mine)).sum(axis=1, dtype=np.int64)
+            both = size[j] + n
+            j = j[100 * (both - differ) >= percent * (both + differ)]
             if len(j):
-                turned = rep[j] < rep[i]
-                yield [np.where(turned, v[j], v[i]) for v in (rep, component)] + [np.where(turned, v[i], v[j]) for v in (rep, component)]
+                low = ids[j] < rep
+                yield [np.where(low, v[j], x) for v, x in ((ids, rep), (own, component))] + [np.where(low, x, v[j]) for v, x in ((ids, rep), (own, component))]
 
     def run(batches):
-        now, held = None, []
+        now, homes, visitors = None, [], []
 
         def found():
-            for a, ca, b, cb in compare(now, held) if len(held) > 1 else ():
+            for a, ca, b, cb in compare(homes, visitors) if homes and visitors else ():
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, ca, cb)], schema=made)
+            visitors.clear()
 
         for batch in batches:
-            for key, *row in zip(zip(*(batch.column(c).to_pylist() for c in ("shingle", "x", "y"))), *(batch.column(c).to_pylist() for c in ("rep", "component", "size", "own", "cells"))):
-                if key != now:
+            for key, block, visits, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "visits", "rep", "component", "main", "size", "cells"))):
+                if (key, block) != now:
+                    yield from found()
+                    now, homes = (key, block), []
+                (visitors if visits else homes).append(row)
+                if len(visitors) >= 4 * BLOCK:
                     yield from found()
-                    now, held = key, []
-                held.append(row)
         yield from found()
 
-    dealt = met.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
+    met = stored(apart(members, sets))
+    sketches = sketches.join(met.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("size").alias("size"), F.first("cells").alias("cells"))
+    met = met.join(sketches, "rep")
+    dealt = met.repartition("key", "block").sortWithinPartitions("key", "block", "visits")
     return dealt.mapInArrow(run, "a long, b long, ca long, cb long").groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"))
 
 
+def joined_components(now: DataFrame, links: DataFrame) -> DataFrame:
+    """`now` (rep, component) after its components were linked as in `links` (a, b)."""
+    more = stored(connected(links)).toDF("component", "joined")
+    return now.join(more, "component", "left").select("rep", F.coalesce("joined", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents, linked at Jaccard >= percent / 100 on k-word shingles.
 
-    component_id is the smallest doc_id reachable; kept marks the row that carries it. Null, empty and
-    blank texts have no shingles and stand alone. Rows repeated under one id are one document.
+    component_id is the smallest doc_id reachable; kept marks the row that carries it. Null, empty and blank
+    texts have no shingles and stand alone; of long ones every word counts. Rows repeated under one id are one
+    document. A row without an id is linked with nothing: its component_id is null, and it is kept. An empty
+    table gives no rows. Other columns of `docs`, whatever their names, are not read.
     """
     sigs = stored(signatures(docs, k))
-    sets = stored(sigs.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    named = sigs.filter("n_shingles > 0 and doc_id is not null")
+    sets = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     bands = sets.select("rep", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("n > 1")
     # bands that put the very same sets together need comparing once
     buckets = buckets.groupBy("n", "low", "who").agg(F.min("key").alias("key")).select("key", "n")
-    members = bands.join(buckets, "key").join(sets.select("rep", "sig"), "rep")
-    # a very wide bucket is dealt by other minima (which alike sets share), then by hash; other bands reconnect it
+    members = stored(bands.join(buckets, "key").select("key", "n", "rep"))
+    # a very wide bucket is dealt by other minima (which alike sets share), then by hash, for the proposals
     other = F.pmod(F.xxhash64(F.substring(F.col("sig"), F.pmod(F.col("key"), F.lit(BANDS * ROWS - 2)).cast("int") + 1, F.lit(2))), F.ceil(F.col("n") / WIDE))
     spread = F.when(F.col("n") > WIDE * 64, F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("n") / (WIDE * 64)))).otherwise(F.lit(0))
-    members = members.withColumn("part", F.when(F.col("n") > WIDE, other * 1_000_003 + spread).otherwise(F.lit(0)).cast("long"))
-    edges = stored(proposals(members.select("key", "part", "rep", "sig"), percent / 100 - MARGIN))
+    dealt = members.join(sets.select("rep", "sig"), "rep").withColumn("part", F.when(F.col("n") > WIDE, other * 1_000_003 + spread).otherwise(F.lit(0)).cast("long"))
+    edges = stored(proposals(dealt.select("key", "part", "rep", "sig"), percent / 100 - MARGIN))
     ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # the same join at every size: the list of ends grows with the input, so it is never broadcast
-    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi"))
+    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     # first each set's best proposal; then all others between components that are still apart
     tried = stored(_best(edges.withColumn("node", F.explode(F.array("a", "b"))), "node"))
     first = stored(connected(confirm(tried, texts, k, percent)))
@@ -413,26 +386,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         names = first.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         left = left.join(names, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
     left = stored(left.filter("ca <> cb"))
-    more = confirm(left, texts, k, percent).select("ca", "cb").toDF("a", "b")
-    second = stored(connected(more)).toDF("component", "joined")
-    nodes = first.select(F.col("node").alias("rep"), "component").join(second, "component", "full_outer")
-    # a set that the first round left alone is its own component
-    nodes = nodes.select(F.coalesce("rep", "component").alias("rep"), F.coalesce("joined", "component").alias("component"))
-    found = nodes.groupBy("rep").agg(F.min("component").alias("component"))
-    # last every pair between components that the proposals left apart
-    now = stored(sets.select("rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    rest = stored(possible(docs, now, k, percent))
+    now = sets.select("rep").join(first.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = stored(joined_components(now, confirm(left, texts, k, percent).select("ca", "cb").toDF("a", "b")))
+    discard(edges, tried, first, left, texts)
+    # last, every pair of a bucket that the proposals left apart
+    sketches = sigs.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "cells")
+    rest = stored(possible(members, now, sketches, percent))
     ends = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi"))
-    third = stored(connected(confirm(rest, texts, k, percent).select("ca", "cb").toDF("a", "b"))).toDF("component", "joined")
-    found = now.join(third, "component", "left").select("rep", F.coalesce("joined", "component").alias("component"))
-    classes = sets.select("d1", "d2", "rep").join(found, "rep", "left")
-    classes = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = joined_components(now, confirm(rest, texts, k, percent).select("ca", "cb").toDF("a", "b"))
+    classes = sets.select("d1", "d2", "rep").join(found, "rep").select("d1", "d2", F.col("component").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    """Components of all `documents` at Jaccard 0.85 on three-word shingles: see `near_duplicates` for the awkward rows."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 

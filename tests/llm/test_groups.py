@@ -84,11 +84,64 @@ def test_near_duplicates_need_no_proposal(spark, monkeypatch, block):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()} == want
 
 
+@pytest.mark.parametrize("words", [232, 240])
+def test_near_duplicates_of_a_large_family_at_the_threshold(spark, words):
+    """1,300 texts, each four words from one base: most pairs lie just below the threshold, the linked ones just above."""
+    rng = np.random.default_rng(words)
+    base = [f"w{i}" for i in range(words)]
+    texts = []
+    for i in range(1300):
+        t = list(base)
+        for p in rng.choice(words, 4, replace=False):
+            t[p] = f"x{i}_{p}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+    assert got == near_components(texts, 3, 85)
+
+
+def near_components(texts, k, percent):
+    """Components by a matrix of all intersections: for families that share nearly all shingles."""
+    sets = [t.split() for t in texts]
+    sets = [{" ".join(w[j : j + k]) for j in range(len(w) - k + 1)} for w in sets]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    common = [x for x in number if sum(x in s for s in sets[:50]) > 1]
+    place = {x: i for i, x in enumerate(common)}
+    matrix = np.zeros((len(sets), len(common)), np.float32)
+    rest = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            if x in place:
+                matrix[i, place[x]] = 1
+            else:
+                rest[x].append(i)
+    both = matrix @ matrix.T
+    for who in rest.values():
+        for i in who:
+            for j in who:
+                both[i, j] += 1
+    size = np.array([len(s) for s in sets])
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    root, seen = {}, set()
+    for i in range(len(sets)):
+        todo = [] if i in seen else [i]
+        while todo:
+            j = todo.pop()
+            if j not in seen:
+                seen.add(j)
+                root[j] = i
+                todo.extend(np.flatnonzero(linked[j]))
+    return {i: root[i] for i in range(len(sets))}
+
+
 def test_near_duplicates_awkward_rows(spark):
     df = spark.createDataFrame(ROWS, DOCS)
     kept = minhash.keep_one(df).collect()
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [1, 3, 4, 5] and any(r.doc_id is None for r in kept)
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+    mine = df.withColumn("component_id", F.lit("mine")).withColumn("rep", F.lit("mine")).withColumn("key", F.lit("mine"))
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(mine).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 3, True), (None, None, True), (4, 4, True), (5, 5, True)}
 
 
 def test_components_of_chains_and_stars(spark):
