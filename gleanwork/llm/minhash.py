@@ -31,7 +31,7 @@ RUN, WIDE = 512, 4096
 #: threshold a proposal may lie: four standard errors.
 SURE, MARGIN = 0.93, 0.12
 #: Trees of a run, nearest to a member and largest, in which it proposes its two best partners (and the large ones' roots).
-PARTNERS = 4
+PARTNERS = 1
 #: The full search of a bucket: cells of a set's count sketch, and members that a block holds on average.
 CELLS, BLOCK = 512, 512
 
