@@ -61,14 +61,15 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in columns.items()]])
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
     """Join on a null-safe key, where `small` has one row a key and one key may hold much of `big`.
 
-    `small` must be stored already, so that counting it is cheap. Up to BROADCAST_ROWS rows it is
-    broadcast; beyond, it is repeated SALTS times and `big` is dealt by (key, salt).
+    `small` must be stored already, so that counting it is cheap; `rows` is what it counts as, where its rows
+    are not narrow. Up to BROADCAST_ROWS it is broadcast; beyond, it is repeated SALTS times and `big` is
+    dealt by (key, salt).
     """
     side = small.withColumnRenamed(key, "_key")
-    if small.count() <= BROADCAST_ROWS:
+    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
         out = big.join(F.broadcast(side), big[key].eqNullSafe(side["_key"]), how)
         return out.drop("_key")
     salted = side.withColumn("_side_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -7,9 +7,10 @@ documents that mention the entity e or hold the term t, n(e,t) that do both, and
 
     disclosure(e, t) = PMI(e; t) / IC(e) = log2(n(e,t) N / (n(e) n(t))) / log2(N / n(e)),
 
-which is 1 when t occurs nowhere but in documents with e. Terms seen with e in at least `min_support` documents
-with a disclosure of `generalise_at` or more are generalised, of `remove_at` or more are removed, wherever they
-stand in the corpus.
+which is 1 when t occurs nowhere but in documents with e. An entity that every document mentions tells nothing, so
+its disclosure is 0. Terms seen with e in at least `min_support` documents with a disclosure of `generalise_at` or more
+are generalised (to their class: name, number, code or other term), of `remove_at` or more are removed, wherever they
+stand in the corpus. Equal texts count as one document in all four numbers.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stored, table
+from .common import discard, join_small, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the fixed patterns: the same leftmost matches, found without backtracking and
@@ -31,6 +32,8 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
+#: What a generalised term becomes: the class it belongs to, by its characters.
+CLASSES = {r"^\p{N}+$": "[NUMBER]", r"\p{N}": "[CODE]", r"^\p{Lu}": "[NAME]"}
 TERM_LABEL = "[TERM]"
 
 OPEN, CLOSE, PLAIN = "\ue000", "\ue001", "\ufffd"
@@ -97,68 +100,92 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def term_spans(spanned: DataFrame, min_support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """(_key, terms): all places of disclosing terms in each text as spans with kind term or gone; stored, one row a text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # copies of a text share one key and count as one document, in all four numbers
-    one = stored(spanned.groupBy("_key").agg(F.first(text).alias("text"), F.first("_spans").alias("_spans")))
+def disclosing(docs: DataFrame, min_support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """(_key, _kinds): for each text of (_key, text) that holds disclosing terms, the map of these terms to term or gone; stored.
+
+    Only texts with mentions are brought together. What these alone say about a term bounds its disclosure from above:
+    a term must be in at most n(e,t) (N / n(e)) ** (1 - generalise_at) documents. The few terms that pass are counted in all texts.
+    """
+    some = stored(with_base_spans(docs).filter(F.size("_spans") > 0).groupBy("_key").agg(F.first("text").alias("text"), F.first("_spans").alias("_spans")))
+    n = docs.select("_key").distinct().count()
     name = lambda s: F.concat_ws(":", s["kind"], F.lower(F.when(s["kind"].isin("card", "phone"), digits_of(s["value"])).otherwise(s["value"])))
-    some = one.filter(F.size("_spans") > 0).withColumn("entity", F.explode(F.array_distinct(F.transform("_spans", name))))
-    entities = stored(some.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_support))
+    mentions = some.withColumn("entity", F.explode(F.array_distinct(F.transform("_spans", name))))
+    entities = stored(mentions.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= min_support) & (F.col("n_e") < n)))
     # parts of the mentions themselves are no terms
     masked = sanitised(F.col("text"), F.transform("_spans", lambda s: F.struct(F.lit("blank").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    known = join_small(some, entities.select("entity"), "entity", "inner")
-    pairs = known.select("entity", F.explode(terms_of(masked)).alias("term"))
-    pairs = stored(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support))
-    if pairs.isEmpty():
-        return spanned.sparkSession.createDataFrame([], f"_key string, terms {SPAN}")
-    held = one.select("_key", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = join_small(mentions, entities, "entity", "inner").select("entity", "n_e", F.explode(terms_of(masked)).alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).filter(F.col("n_et") >= min_support)
+    near = some.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_et") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1.0 - generalise_at)) * (1 + 1e-9)
+    pairs = stored(pairs.join(near, "term").filter(F.col("n_near") <= most).drop("n_near"))
+    terms = stored(pairs.select("term").distinct())
+    held = docs.select(F.col("_key").alias("_text"), F.explode(terms_of(F.col("text"))).alias("term"))
+    held = stored(join_small(held, terms, "term", "inner").distinct())
     scored = (
-        pairs.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term").join(entities, "entity")
-        .withColumn("n", F.lit(one.count()))
+        pairs.join(held.groupBy("term").agg(F.count("*").alias("n_t")), "term")
         .withColumn("n_t", F.greatest("n_t", "n_et"))
-        .withColumn("disclosure", F.log2(F.col("n_et") * F.col("n") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e")))
+        .withColumn("disclosure", F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(n)) / F.col("n_e")))
         .filter(F.col("disclosure") >= generalise_at)
         .groupBy("term").agg(F.min(F.when(F.col("disclosure") >= remove_at, "gone").otherwise("term")).alias("kind"))
     )
-    hits = join_small(held.withColumnRenamed("_key", "_text"), stored(scored), "term", "inner").withColumnRenamed("_text", "_key")
-    hits = hits.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("_kinds"))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("_kinds"), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    spans = F.transform(marked_spans(F.col("text"), pattern, "term"), lambda s: F.struct(F.try_element_at("_kinds", F.lower(s["value"])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
-    outside = lambda t: t["kind"].isNotNull() & ~F.exists("_spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
-    return stored(one.join(hits, "_key").select("_key", F.filter(spans, outside).cast(SPAN).alias("terms")))
+    scored = stored(scored)
+    hits = join_small(held, scored, "term", "inner").groupBy(F.col("_text").alias("_key"))
+    out = stored(hits.agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("_kinds")))
+    discard(some, entities, pairs, terms, held, scored)
+    return out
+
+
+def term_spans(text: Column, kinds: Column, base: Column) -> Column:
+    """All places in `text` of the terms that `kinds` maps to term or gone, but for those that touch a base span."""
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys(kinds), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    spans = F.transform(marked_spans(text, pattern, "term"), lambda s: F.struct(F.try_element_at(kinds, F.lower(s["value"])).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value")))
+    outside = lambda t: t["kind"].isNotNull() & ~F.exists(base, lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
+    return F.filter(spans, outside).cast(SPAN)
 
 
 def find(docs: DataFrame, min_support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.98) -> DataFrame:
     """`docs` with `base` and `terms`, arrays of (kind, start, end, value): pattern spans and disclosing terms.
 
-    A null text has no spans. Equal texts get equal spans, repeated rows too. Terms never overlap base
-    spans. An empty table stays empty. Caller columns named base, terms, _key or _spans are replaced.
+    A null or empty text has no spans; of long texts every character counts. Equal texts get equal spans, repeated
+    rows too. Terms never overlap base spans. An empty table stays empty. Caller columns named base, terms, _key,
+    _kinds or _spans are replaced; all others, nulls among them, pass through.
     """
-    docs = docs.drop("base", "terms", "_key", "_spans")
-    spanned = with_base_spans(docs).withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    terms = term_spans(spanned.select("text", "_spans", "_key"), min_support, generalise_at, remove_at)
-    empty = F.expr(f"cast(array() as {SPAN})")
-    joined = join_small(spanned, terms, "_key").withColumn("terms", F.coalesce("terms", empty))
-    return joined.withColumnRenamed("_spans", "base").drop("_key").select(*docs.columns, "base", "terms")
+    docs = docs.drop("base", "terms", "_key", "_kinds", "_spans")
+    keyed = docs.withColumn("_key", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    marks = disclosing(keyed.select("_key", F.coalesce("text", F.lit("")).alias("text")), min_support, generalise_at, remove_at)
+    size = marks.agg(F.count("*") + F.coalesce(F.sum(F.size("_kinds")), F.lit(0))).first()[0]
+    marked = join_small(with_base_spans(keyed), marks, "_key", rows=size)
+    terms = F.when(F.col("_kinds").isNotNull(), term_spans(F.coalesce("text", F.lit("")), F.col("_kinds"), F.col("_spans")))
+    marked = marked.withColumn("terms", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")))
+    return marked.withColumnRenamed("_spans", "base").select(*docs.columns, "base", "terms")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
     """`text` with the spans replaced by labels; of overlapping spans the one that starts first is written."""
-    label = F.create_map(*[F.lit(x) for kv in (LABELS | {"term": TERM_LABEL, "gone": "", "blank": " "}).items() for x in kv])
+    fixed = F.create_map(*[F.lit(x) for kv in (LABELS | {"gone": "", "blank": " "}).items() for x in kv])
+
+    def label(s):
+        value, of = F.substring(text, s["start"] + 1, -s["back"] - s["start"]), F.lit(TERM_LABEL)
+        for pattern, name in reversed(CLASSES.items()):
+            of = F.when(value.rlike(pattern), name).otherwise(of)
+        return F.when(s["kind"] == "term", of).otherwise(fixed[s["kind"]])
+
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc, s):
         end = -s["back"]
-        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label[s["kind"]])).otherwise(F.lit(""))
+        piece = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label(s))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     return F.aggregate(ordered, begin, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def sanitise(docs: DataFrame, **kw) -> DataFrame:
-    """`docs` with personal data in `text` replaced and n_chars counted anew; every row stays, null texts too."""
+    """`docs` with personal data in `text` replaced and n_chars counted anew; every row stays, null texts too.
+
+    The awkward rows are those of `find`; equal texts stay equal, an empty table stays empty.
+    """
     found = find(docs, **kw)
     spans = F.concat("base", "terms")
     clean = F.when(F.size(spans) > 0, sanitised(F.col("text"), spans)).otherwise(F.col("text"))
@@ -173,6 +200,7 @@ def joined_spans(spans: Column) -> Column:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
+    """Base and term spans of all `documents`, as counts and digests: see `find` for the awkward rows."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(k).alias(f"n_{k}") for k in KINDS]

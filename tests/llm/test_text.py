@@ -129,6 +129,67 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     assert len(clean) == len(texts) and not any("zanzibar" in t for t in clean)
 
 
+def test_entities_in_every_document_disclose_nothing(spark):
+    texts = [f"contact zanzibar chief bob@corp.org number{i} please" for i in range(4)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS).withColumn("_kinds", F.lit("mine")).withColumn("term", F.lit("mine"))
+    got = pii.find(df)
+    assert all(r.terms == [] and len(r.base) == 1 for r in got.collect()) and got.columns == [c for c in df.columns if c != "_kinds"] + ["base", "terms"]
+
+
+def brute_terms(texts, min_support, generalise_at, remove_at):
+    """Spans of disclosing terms by plain counting over different texts."""
+    import math
+
+    term = re.compile(r"[^\W_]+")
+    one = {}
+    for t in set(texts):
+        spans, masked = [], list(t)
+        for x in base_spans(t).split(","):
+            if x:
+                kind, a, b = x.split(":")
+                spans.append((kind, int(a), int(b)))
+        for _, a, b in spans:
+            masked[a:b] = " " * (b - a)
+        names = {f"{k}:{(re.sub('[^0-9]', '', t[a:b]) if k in ('card', 'phone') else t[a:b]).lower()}" for k, a, b in spans}
+        one[t] = (spans, names, set(term.findall("".join(masked).lower())), set(term.findall(t.lower())))
+    n, kinds = len(one), {}
+    for e in {e for _, names, _, _ in one.values() for e in names}:
+        with_e = [v for v in one.values() if e in v[1]]
+        if not min_support <= len(with_e) < n:
+            continue
+        for t in set().union(*(v[2] for v in with_e)):
+            n_et = sum(t in v[2] for v in with_e)
+            n_t = max(n_et, sum(t in v[3] for v in one.values()))
+            score = math.log2(n_et * n / (len(with_e) * n_t)) / math.log2(n / len(with_e))
+            if n_et >= min_support and score >= generalise_at:
+                kinds[t] = "gone" if score >= remove_at or kinds.get(t) == "gone" else "term"
+    out = {}
+    for t, (spans, *_) in one.items():
+        found = [(m.start(), m.end()) for m in term.finditer(t) if m.group().lower() in kinds]
+        out[t] = [(a, b) for a, b in found if not any(x < b and y > a for _, x, y in spans)]
+    return out
+
+
+def test_all_spans_against_brute_force(spark):
+    plain = QUERIES["op8_pii"](spark, SF).toPandas().set_index("doc_id").spans
+    d = documents()
+    planted = [f"Zanzibar chief bob@corp.org {t[:200]} mombasa" for t in d.text[:9]] + [f"mombasa and {t[:90]}" for t in d.text[20:22]] + ["+1 555 010 9999 anna zanzibar"] * 4
+    for texts, found in ((list(d.text), plain), (list(d.text) + planted, None)):
+        if found is None:
+            df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+            found = {r[0]: r[1] for r in pii.find(df).select("doc_id", pii.joined_spans(F.concat("base", "terms"))).collect()}
+        want = brute_terms(texts, 3, 0.9, 0.98)
+        for i, t in zip(list(d.doc_id) if len(texts) == len(d) else range(len(texts)), texts):
+            assert found[i] == ",".join([x for x in [base_spans(t)] if x] + [f"term:{a}:{b}" for a, b in want[t]]), i
+    assert any(want.values())
+
+
+def test_generalised_terms_name_their_class(spark):
+    spans = F.array(*[F.struct(F.lit("term").alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 6), (7, 11), (12, 15), (16, 20))])
+    got = spark.createDataFrame([("Berlin 1984 x21 tree",)], "text string").select(pii.sanitised(F.col("text"), spans)).first()[0]
+    assert got == "[NAME] [NUMBER] [CODE] [TERM]"
+
+
 def test_native_queries_have_no_python(spark):
     for name in ("op1_fingerprints", "op8_pii"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
