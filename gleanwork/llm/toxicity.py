@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier on character n-grams, scaled by naive Bayes log-count ratios.
 
-A feature is the count (up to MOST_COUNT) of a hashed n-gram of the lower-cased UTF-8 bytes, times the log ratio of the
-rates at which toxic and clean training texts hold it; a logistic regression weighs the scaled features.
-Ratios and weights come from a bounded sample of labelled rows (labelled.MOST_LABELLED); every whole
-text is scored, in pieces, so that its length bounds nothing but time.
+A feature is the logarithm of one plus the count of a hashed n-gram of the lower-cased characters, times the log
+ratio of the rates at which toxic and clean training texts hold it. The ratio is shrunk smoothly by its own
+uncertainty, so that no bucket needs a least count; all 2 ** BITS buckets take part. A logistic regression weighs
+the scaled features. Ratios and weights come from a bounded sample of labelled rows, balanced between the classes
+(at most about BOUND rows); the regression is fitted in one task, and the bias is put right for the classes' true
+shares. Every whole text is scored, in pieces, so that its length bounds nothing but time.
 """
 
 from __future__ import annotations
@@ -15,42 +17,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, widened
-from .labelled import MOST_LABELLED, logistic, sample_labelled
+from .common import discard, stored, table, widened
+from .labelled import logistic, sample_labelled
 
-SIZES, BITS, PIECE = (3, 4, 5, 6), 18, 1 << 20
-MOST_COUNT = 8
-MIN_DOCS, FEATURES, SMOOTH, L2 = 5, 4_000, 1.0, 10.0
+SIZES, BITS, PIECE = (3, 4, 5), 18, 1 << 20
+#: Most labelled rows that the classifier is fitted on (in expectation, half of each class if there are as many).
+BOUND = 5_000
+#: Smoothing of the rates, pseudo-evidence that the ratios are shrunk by, and strength of the penalty.
+SMOOTH, SHRINK, L2 = 1.0, 10.0, 4.0
 
 
-def ngram_hits(texts: list[str], keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, bucket, count) of each text's n-gram buckets, in order; with `keep`, only of buckets it marks."""
-    raw = [b" " + (t or "").lower().encode() for t in texts]
-    whole = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    found: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    for at in range(0, len(whole), PIECE):
-        piece = whole[at : at + PIECE + max(SIZES) - 1].astype(np.uint64)
-        code = piece
+def bucket_of(code: np.ndarray, n: int) -> np.ndarray:
+    return ((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n * 0xBF58476D1CE4E5B9 % 2**64)) >> np.uint64(64 - BITS)
+
+
+def ngram_hits(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, bucket, count) of each text's buckets of character n-grams, in order."""
+    whole = [" " + (t or "").lower() for t in texts]
+    ends = np.cumsum([len(t) for t in whole])
+    chars = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(chars), PIECE):
+        piece = chars[at : at + PIECE + max(SIZES) - 1].astype(np.uint64)
+        code, pairs = piece, []
         for n in range(2, max(SIZES) + 1):
             if len(code) < 2:
                 break
-            code = code[:-1] | (piece[n - 1 :] << np.uint64(8 * (n - 1)))
+            code = code[:-1] * np.uint64(0x100000001B3) + piece[n - 1 :]
             if n not in SIZES:
                 continue
-            here = code[:PIECE]
-            bucket = ((here + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-            where = np.flatnonzero(keep[bucket]) if keep is not None else np.arange(len(bucket))
-            doc = np.searchsorted(ends, where + at, side="right")
-            inside = where + at + n <= ends[doc]  # no n-gram spans two texts
-            found.append((doc[inside].astype(np.uint64) << np.uint64(BITS)) | bucket[where[inside]])
-    pairs, counts = np.unique(np.concatenate(found), return_counts=True)
+            bucket = bucket_of(code[:PIECE], n)
+            where = np.arange(at, at + len(bucket))
+            doc = np.searchsorted(ends, where, side="right")
+            inside = where + n <= ends[doc]  # no n-gram spans two texts
+            pairs.append((doc[inside].astype(np.uint64) << np.uint64(BITS)) | bucket[inside])
+        pairs, n = np.unique(np.concatenate(pairs or [np.zeros(0, np.uint64)]), return_counts=True)
+        found.append(pairs)
+        counts.append(n)
+    pairs, where = np.unique(np.concatenate(found), return_inverse=True)
+    counts = np.bincount(where, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
     return (pairs >> np.uint64(BITS)).astype(np.int64), (pairs & np.uint64((1 << BITS) - 1)).astype(np.int64), counts
 
 
 def strength(counts: np.ndarray) -> np.ndarray:
-    """What a count is worth as a feature: itself, up to MOST_COUNT."""
-    return np.minimum(counts, MOST_COUNT).astype(np.float64)
+    """What a count is worth as a feature: its logarithm, so that no count is cut off."""
+    return np.log1p(counts)
 
 
 def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -72,7 +83,7 @@ def bucket_counts(batches):
     for batch in batches:
         y = np.array(batch.column("y").to_pylist(), dtype=np.int64)
         for first, run in slices(batch.column("text")):
-            doc, bucket, _ = ngram_hits(run, None)
+            doc, bucket, _ = ngram_hits(run)
             hot = y[first + doc] > 0
             pos += np.bincount(bucket[hot], minlength=1 << BITS)
             neg += np.bincount(bucket[~hot], minlength=1 << BITS)
@@ -87,55 +98,64 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     def score(self, texts: list[str]) -> np.ndarray:
-        doc, bucket, counts = ngram_hits(texts, self.weights != 0)
+        doc, bucket, counts = ngram_hits(texts)
         z = np.bincount(doc, weights=self.weights[bucket] * strength(counts), minlength=len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+def shrunk_ratio(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log ratio of the smoothed rates of n1 toxic and n0 clean texts, times z / (z + SHRINK) with z its squared error ratio."""
+    p1, p0 = (pos + SMOOTH) / (n1 + 2 * SMOOTH), (neg + SMOOTH) / (n0 + 2 * SMOOTH)
+    ratio = np.log(p1) - np.log(p0)
+    error = (1 - p1) / (pos + SMOOTH) + (1 - p0) / (neg + SMOOTH)
+    z = ratio**2 / np.maximum(error, 1e-9)
+    return np.where(pos + neg > 0, ratio * z / (z + SHRINK), 0.0)
+
+
 def fit(sample: DataFrame) -> Model:
-    """Fit on (doc_id, text, y). With one class or no rows at all, the score is the smoothed rate everywhere."""
-    totals = dict(sample.groupBy("y").count().collect())  # two rows
-    n1, n0 = sum(c for y, c in totals.items() if y > 0), sum(c for y, c in totals.items() if y <= 0)
-    bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
+    """Fit on (doc_id, text, y, weight), weight the labelled rows that a row of its class stands for.
+
+    With one class or no rows at all, the score is the smoothed rate everywhere.
+    """
+    sample = stored(sample)  # bounded
+    totals = {r.y > 0: (r.n, r.weight) for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
+    (n1, m1), (n0, m0) = totals.get(True, (0, 0.0)), totals.get(False, (0, 0.0))
     weights = np.zeros(1 << BITS)
     if not n1 or not n0:
-        return Model(weights, bias)
+        return Model(weights, float(np.log((m1 + 0.5) / (m0 + 0.5))))
     counts = sample.select("text", "y").mapInArrow(bucket_counts, "bucket int, pos long, neg long")
     # at most 2 ** BITS rows, whatever the input
-    held = counts.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= MIN_DOCS).toPandas()
-    ratio = np.log((held["pos"] + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((held["neg"] + SMOOTH) / (n0 + 2 * SMOOTH))
-    gap = (held["pos"] / n1 - held["neg"] / n0).abs()
-    top = np.argsort(-(gap * ratio.abs()).to_numpy(), kind="stable")[:FEATURES]
-    bucket, ratio = held["bucket"].to_numpy()[top], ratio.to_numpy()[top]
-    column = np.full(1 << BITS, -1)
-    column[bucket] = np.arange(len(bucket))
-
-    lists = pa.list_(pa.int32())
-    made = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("cols", lists), ("counts", lists)])
-
-    def features(batches):
-        for batch in batches:
-            ids, y = batch.column("doc_id").to_pylist(), batch.column("y").to_pylist()
-            for first, run in slices(batch.column("text")):
-                doc, b, counts = ngram_hits(run, column >= 0)
-                cut = np.searchsorted(doc, np.arange(len(run) + 1))
-                cols, counts = column[b].astype(np.int32), np.minimum(counts, MOST_COUNT).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[first : first + len(run)], "y": y[first : first + len(run)], "cols": [cols[i:j] for i, j in zip(cut, cut[1:])], "counts": [counts[i:j] for i, j in zip(cut, cut[1:])]}, schema=made)
-
-    # the sample is bounded, and so is what comes to the driver: ids of hit features alone
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(features, "doc_id long, y int, cols array<int>, counts array<int>").orderBy("doc_id").toArrow()
-    held_cols, held_counts = rows.column("cols").combine_chunks(), rows.column("counts").combine_chunks()
-    lengths = np.diff(held_cols.offsets.to_numpy())
-    cols = held_cols.flatten().to_numpy().astype(np.int64)
-    values = ratio[cols] * strength(held_counts.flatten().to_numpy())
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    w, b = logistic(owner, cols, values, (np.array(rows.column("y").to_pylist()) > 0).astype(float), len(bucket), L2)
-    weights[bucket] = w * ratio
-    return Model(weights, b)
+    held = counts.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
+    ratio = shrunk_ratio(*(np.bincount(held["bucket"], weights=held[c], minlength=1 << BITS) for c in ("pos", "neg")), n1, n0)
+    shared = sample.sparkSession.sparkContext.broadcast(ratio)
+
+    def fitted(batches):
+        """One row: weights and bias. Texts are taken in order of id, so that reruns agree."""
+        rows = sorted((i if i is not None else -1, y, t) for b in batches for i, y, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "text"))))
+        owner, cols, values = [], [], []
+        for at in range(0, len(rows), 256):
+            doc, bucket, n = ngram_hits([t for _, _, t in rows[at : at + 256]])
+            owner.append((doc + at).astype(np.int32))
+            cols.append(bucket.astype(np.int32))
+            values.append((strength(n) * shared.value[bucket]).astype(np.float32))
+        y = np.array([r[1] > 0 for r in rows], float)
+        w, b = logistic(np.concatenate(owner), np.concatenate(cols), np.concatenate(values), y, 1 << BITS, L2, steps=40, inner=10)
+        yield pa.RecordBatch.from_pydict({"w": pa.array([w], pa.list_(pa.float64())), "b": [float(b)]})
+
+    # one row of 2 ** BITS numbers from a bounded sample, whatever the input
+    (found,) = sample.select("doc_id", "y", "text").repartition(1).mapInArrow(fitted, "w array<double>, b double").toArrow().to_batches()
+    weights = found.column("w").values.to_numpy() * ratio
+    bias = found.column("b")[0].as_py() + float(np.log(m1 / n1) - np.log(m0 / n0))
+    discard(sample)
+    return Model(weights, bias)
 
 
 def with_scores(docs: DataFrame, model: Model, column: str = "toxicity") -> DataFrame:
-    """`docs` with `column`, the probability that the text is toxic; null and empty texts get the bias alone."""
+    """`docs` with `column`, the probability that the text is toxic.
+
+    Null and empty texts get the bias (and a blank) alone; of long texts every character counts; equal texts and
+    repeated rows get equal scores. An empty table stays empty. A caller's column of that name is replaced.
+    """
     docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers, whatever the input
 
@@ -148,8 +168,9 @@ def with_scores(docs: DataFrame, model: Model, column: str = "toxicity") -> Data
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all `documents`, learnt from the labels outside the held-out fold. A row without an id is in no fold: held_out is false."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    model = fit(sample_labelled(docs, labels, "toxic", usable=fold != 0, bound=MOST_LABELLED))
+    model = fit(sample_labelled(docs, labels, "toxic", usable=fold != 0, bound=BOUND, balanced=True))
     scored = with_scores(docs.select("doc_id", "text"), model, "score")
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
