@@ -4,14 +4,15 @@ Evidence of a text is a naive Bayes log ratio over binned statistics (symbols, r
 word lengths, ...), calibrated on a bounded sample of labelled rows. Every document then votes with its
 probability for its host (source) and path (source and language). A site's posterior is a beta-binomial
 mean: its own votes shrunk toward its parent's posterior (path to host, host to all), by a prior strength
-that the spread between sites itself gives (method of moments). Sparse sites stay near the global prior.
+that the spread between sites itself gives (method of moments). Sparse sites stay near the global prior. For each
+document its own vote is taken out of its host's and path's sums again, so that no text counts twice.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_small, stored, table, widened
@@ -102,48 +103,66 @@ def with_evidence(docs: DataFrame, model: Evidence) -> DataFrame:
     return docs.mapInArrow(run, widened(docs, evidence="double"))
 
 
+def vote(evidence: Column) -> Column:
+    return 1 / (1 + F.exp(-evidence))
+
+
+def shrunk(votes: Column, n: Column, strength: Column, parent: Column) -> Column:
+    return (votes + strength * parent) / (n + strength)
+
+
 def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """(site, host_posterior, path_posterior, prior): one row a path, from grouped sums over all documents.
+    """One row a path (site) of (source, site, evidence): its and its host's votes and counts, the prior, both strengths and posteriors.
 
-    Strengths come from sums over the sites, so all of it stays in Spark; a null host or language is its own.
+    All sums are grouped and over all documents; only three numbers come to the driver. A null host or language is its own.
     """
-    p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = stored(evidence.groupBy("site", "source").agg(F.sum(p).alias("votes"), F.count("*").alias("n")))
-    hosts = paths.groupBy("source").agg(F.sum("votes").alias("host_votes"), F.sum("n").alias("host_n"))
+    paths = stored(evidence.groupBy("site", "source").agg(F.sum(vote(F.col("evidence"))).alias("votes"), F.count("*").alias("n")))
+    hosts = stored(paths.groupBy("source").agg(F.sum("votes").alias("host_votes"), F.sum("n").alias("host_n")))
     prior = hosts.agg(F.sum("host_votes") / F.sum("host_n")).first()[0]
-    hosts = hosts.withColumn("prior", F.lit(prior).cast("double"))
-    hosts = with_shrunk(hosts, "host_votes", "host_n", "prior", "host_posterior")
-    joined = paths.join(hosts.select(F.col("source").alias("_host"), "host_posterior", "prior"), F.col("source").eqNullSafe(F.col("_host")))
-    return stored(with_shrunk(joined, "votes", "n", "host_posterior", "path_posterior").select("site", "host_posterior", "path_posterior", "prior"))
+    hosts = with_shrunk(hosts.withColumn("prior", F.lit(prior).cast("double")), "host_votes", "host_n", "prior", "host")
+    joined = paths.join(hosts.withColumnRenamed("source", "_host"), F.col("source").eqNullSafe(F.col("_host")))
+    return stored(with_shrunk(joined, "votes", "n", "host_posterior", "path").drop("_host", "source"))
 
 
 def with_shrunk(sites: DataFrame, votes: str, n: str, parent: str, name: str) -> DataFrame:
+    """`sites` with {name}_strength, the prior strength in pseudo-documents, and {name}_posterior."""
     rate, mean = F.col(votes) / F.col(n), F.col(parent)
     spread = F.avg((rate - mean) ** 2 - mean * (1 - mean) / F.col(n))
     strength = F.when(spread > 0, F.least(F.greatest(F.avg(mean * (1 - mean)) / spread - 1, F.lit(STRENGTH[0])), F.lit(STRENGTH[1]))).otherwise(F.lit(STRENGTH[1]))
     m = F.lit(sites.agg(strength).first()[0]).cast("double")
-    return sites.withColumn(name, (F.col(votes) + m * mean) / (F.col(n) + m))
+    return sites.withColumn(f"{name}_strength", m).withColumn(f"{name}_posterior", shrunk(F.col(votes), F.col(n), m, mean))
+
+
+#: What `judge` adds or uses on the way; a caller's columns of these names are replaced.
+OWN = ("evidence", "host_posterior", "path_posterior", "posterior", "keep", "site", "prior", "votes", "n", "host_votes", "host_n", "host_strength", "path_strength")
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, bound: int = MOST_LABELLED) -> DataFrame:
     """`docs` with evidence, host_posterior, path_posterior, posterior and keep.
 
-    The posterior's log odds are the text's evidence, moved by how far its path's posterior stands from
-    the global prior. Caller columns of these names are replaced; repeated rows are judged alike.
+    The posteriors of host and path are those without the document's own vote. The posterior's log odds are the
+    text's evidence, moved by how far its path's posterior stands from the global prior. A null text counts as
+    empty; null sources and languages are sites of their own; of long texts every byte counts; repeated rows are
+    judged alike. An empty table stays empty; without labels of both classes every text is kept. Caller columns
+    named as in OWN are replaced.
     """
-    docs = docs.drop("evidence", "host_posterior", "path_posterior", "posterior", "keep", "site", "prior")
+    docs = docs.drop(*OWN)
     seen = with_evidence(docs, fit(sample_labelled(docs, labels, "quality", bound=bound)))
     site = F.to_json(F.struct("source", "lang"))
     sites = site_posteriors(seen.select("source", "evidence", site.alias("site")))
-    out = join_small(seen.withColumn("site", site), sites, "site")
+    out = join_small(seen.withColumn("site", site), sites.drop("host_posterior", "path_posterior"), "site")
+    own = vote(F.col("evidence"))
+    out = out.withColumn("host_posterior", shrunk(F.col("host_votes") - own, F.col("host_n") - 1, F.col("host_strength"), F.col("prior")))
+    out = out.withColumn("path_posterior", shrunk(F.col("votes") - own, F.col("n") - 1, F.col("path_strength"), F.col("host_posterior")))
     logit = lambda c: F.log(c / (1 - c))
     squeeze = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
     z = F.col("evidence") + logit(squeeze("path_posterior")) - logit(squeeze("prior"))
-    out = out.withColumn("posterior", 1 / (1 + F.exp(-z)))
-    return out.withColumn("keep", F.col("posterior") >= keep_at).drop("site", "prior")
+    out = out.withColumn("posterior", 1 / (1 + F.exp(-z))).withColumn("keep", F.col("posterior") >= keep_at)
+    return out.select(*docs.columns, "evidence", "host_posterior", "path_posterior", "posterior", "keep")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Evidence, posteriors and verdict of all `documents`, fitted on `labels.quality`: see `judge` for the awkward rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = judge(docs.select("doc_id", "text", "lang", "source"), labels)
     return judged.select("doc_id", "evidence", "host_posterior", "path_posterior", "posterior", "keep")

@@ -27,15 +27,48 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_ngrams_do_not_span_texts_or_depend_on_pieces(monkeypatch):
     texts = ["abcdefgh" * 40, "", None, "xyz", "abcdefgh"]
-    whole = toxicity.ngram_hits(texts, None)
+    whole = toxicity.ngram_hits(texts)
     monkeypatch.setattr(toxicity, "PIECE", 37)
-    for a, b in zip(whole, toxicity.ngram_hits(texts, None)):
+    for a, b in zip(whole, toxicity.ngram_hits(texts)):
         assert (a == b).all()
-    alone = toxicity.ngram_hits(["xyz"], None)
+    alone = toxicity.ngram_hits(["xyz"])
     mine = whole[0] == 3
     assert (whole[1][mine] == alone[1]).all()
 
 
+def test_ngrams_are_of_characters():
+    def brute(text):
+        out = {}
+        text = " " + text.lower()
+        for n in toxicity.SIZES:
+            for i in range(len(text) - n + 1):
+                code = ord(text[i])
+                for c in text[i + 1 : i + n]:
+                    code = (code * 0x100000001B3 + ord(c)) % 2**64
+                b = int(toxicity.bucket_of(np.array([code], np.uint64), n)[0])
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    texts = ["Crème brûlée, 😀 é", "a", "", "naïve NAÏVE naïve"]
+    doc, bucket, count = toxicity.ngram_hits(texts)
+    for i, t in enumerate(texts):
+        assert {int(b): int(c) for d, b, c in zip(doc, bucket, count) if d == i} == brute(t)
+
+
+def test_toxicity_of_a_balanced_sample(spark):
+    """A sample of a hundred rows finds the telling word, and the bias holds the classes' true shares."""
+    from gleanwork.llm.labelled import sample_labelled
+
+    rng = random.Random(4)
+    words = ["tree", "house", "river", "stone", "cloud"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" vile" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = sample_labelled(df, df, "toxic", bound=100, balanced=True)
+    assert 60 < sample.count() < 140 and abs(sample.agg(F.sum("weight")).first()[0] - 2000) < 500
+    model = toxicity.fit(sample)
+    assert ((model.score([r[1] for r in rows]) >= 0.5) == [bool(r[2]) for r in rows]).all()
+
+
 def test_toxicity_awkward_rows(spark):
     df = spark.createDataFrame(ROWS, DOCS).withColumn("score", F.lit("mine"))
     one_class = spark.createDataFrame([(1, 0), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
@@ -44,6 +77,7 @@ def test_toxicity_awkward_rows(spark):
     model = toxicity.fit(sample_labelled(df, one_class, "toxic"))
     got = toxicity.with_scores(df, model, "score").collect()
     assert len(got) == len(ROWS) and all(0 < r.score < 0.5 for r in got)
+    assert len({r.score for r in got if r.doc_id == 2}) == 1
     assert toxicity.with_scores(spark.createDataFrame([], DOCS), model).count() == 0
 
 
@@ -61,6 +95,31 @@ def test_quality_shrinks_sparse_sites(spark):
     assert sites["lone/en"].path_posterior > 0.3
 
 
+def test_quality_posteriors_against_brute_force(spark):
+    """From the evidence on, plain sums over all other documents give the same posteriors."""
+    got = QUERIES["op3_quality"](spark, BIG).toPandas().merge(pd.read_parquet(f"{BIG}/documents.parquet")[["doc_id", "source", "lang"]], on="doc_id")
+    vote = 1 / (1 + np.exp(-got.evidence))
+
+    def strength(rate, mean, n):
+        spread = ((rate - mean) ** 2 - mean * (1 - mean) / n).mean()
+        return min(max((mean * (1 - mean)).mean() / spread - 1, 2.0), 1000.0) if spread > 0 else 1000.0
+
+    prior = vote.mean()
+    hosts = pd.DataFrame({"source": got.source, "v": vote}).groupby("source", dropna=False).v.agg(["sum", "count"])
+    m = strength(hosts["sum"] / hosts["count"], pd.Series(prior, hosts.index), hosts["count"])
+    whole = (hosts["sum"] + m * prior) / (hosts["count"] + m)
+    paths = pd.DataFrame({"source": got.source, "lang": got.lang, "v": vote}).groupby(["source", "lang"], dropna=False).v.agg(["sum", "count"]).reset_index()
+    k = strength(paths["sum"] / paths["count"], paths.source.map(whole), paths["count"])
+    for i in range(0, len(got), 7):
+        r, v = got.iloc[i], vote.iloc[i]
+        near = got.source == r.source
+        here = near & (got.lang == r.lang)
+        host = (vote[near].sum() - v + m * prior) / (near.sum() - 1 + m)
+        path = (vote[here].sum() - v + k * host) / (here.sum() - 1 + k)
+        z = r.evidence + np.log(path / (1 - path)) - np.log(prior / (1 - prior))
+        assert np.allclose([r.host_posterior, r.path_posterior, r.posterior], [host, path, 1 / (1 + np.exp(-z))])
+
+
 def test_quality_awkward_rows(spark):
     df = spark.createDataFrame(ROWS, DOCS).withColumn("keep", F.lit("mine")).withColumn("site", F.lit("mine"))
     none = spark.createDataFrame([], "doc_id long, quality int")
