@@ -1,17 +1,22 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host: their block trees, in which runs of
-like siblings are one repeated node, are compared by simple tree matching, and each node takes the slot
-of the reference node it is matched with. Over all pages of a host, text that stands in one slot on
-nearly every page is template; slots that are mostly link text are menus; other slots vary and hold
-content. A page's main text is its varying blocks, inside its article if it marks one, without the
-parts that are boilerplate by their markup (navigation, adverts, forms, reader comments, ...).
+Pages of one host are aligned with a reference page of that host: their block trees, in which runs of like
+siblings (and of like pairs or triples of siblings) are one repeated node, are compared by simple tree matching,
+and each node takes the slot of the reference node it is matched with. A node without a counterpart takes a slot
+of its own, named by its path of labels, so that what the reference page lacks is counted as well. Over all
+different pages of a host, text that stands in one slot on nearly all pages with that slot is template, and slots
+that are mostly link text are menus; the other slots vary. The content region is the part of the reference tree
+that holds most of the varying text: from the root, the wrapper goes down while one container holds CORE of it.
+
+A page's main text is its varying blocks in the region (narrowed to its article, if it marks one there), without
+the parts whose markup says that they vary but are no content (adverts, forms, reader comments, ...).
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from hashlib import blake2b
 from html import unescape
 from zlib import crc32
 
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SALTS, stored, table
+from .common import SALTS, discard, stored, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?"
@@ -30,7 +35,6 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"(?P<k>[\w:-]++)(?:\s*+=\s*+(?:\"(?P<a>[^\"]*+)\"|'(?P<b>[^']*+)'|(?P<c>[^\s>]++)))?")
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "html", "head", "body", "address", "article", "aside", "blockquote", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "legend", "li", "main", "menu", "nav", "object", "ol", "optgroup", "option",
@@ -50,17 +54,26 @@ BAD_NAMES = {
 #: Boilerplate only outside an article, where they hold its title.
 HEADS = {"header"}
 
-#: Text in one slot on this share of a host's pages is template, and a slot with this share of link text is a menu; hosts with fewer pages have no wrapper.
-TEMPLATE_SHARE, LINK_SHARE, MIN_PAGES = 0.8, 0.6, 5
+#: Text on this share of the pages with its slot is template, and a slot with this share of link text is a menu.
+TEMPLATE_SHARE, LINK_SHARE = 0.8, 0.6
+#: Different pages that must have a slot before its text can be called constant: on one or two, all text is.
+EVIDENCE = 3
+#: Share of the varying text that a container must hold to be gone into, and the elements that are containers.
+CORE, CONTAINERS = 0.7, {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
+#: Children lists of more cells than this are aligned by their labels alone; longest repeated sibling pattern.
+CELLS, PERIOD = 4096, 3
+#: Bytes of wrappers that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 LAYOUT, CAMEL = re.compile(r"\b(?:has|with|no|without|is)[-_][\w-]*", re.I), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("label", "tag", "kids", "bad", "main", "slot")
+    __slots__ = ("label", "tag", "kids", "bad", "main", "slot", "home", "up")
 
-    def __init__(self, tag, label, bad, main):
-        self.tag, self.label, self.kids, self.bad, self.main, self.slot = tag, label, [], bad, main, None
+    def __init__(self, tag, label, bad, main, up=None):
+        self.tag, self.label, self.kids, self.bad, self.main, self.up = tag, label, [], bad, main, up
+        self.slot = self.home = None  # the slot, and that of the nearest node with a counterpart
 
 
 class Text:
@@ -141,7 +154,7 @@ def parse(html: str) -> tuple[Node, list[Text]]:
             stack.pop()
         up = stack[-1]
         label, bad, head, main = traits(tag, m["attrs"])
-        node = Node(tag, label, up.bad or bad or (head and not up.main), up.main or main)
+        node = Node(tag, label, up.bad or bad or (head and not up.main), up.main or main, up)
         up.kids.append(node)
         stack.append(node)
     if at < len(html):
@@ -156,72 +169,189 @@ def parse(html: str) -> tuple[Node, list[Text]]:
 
 
 class Group:
-    """A run of like siblings as one node: the iterator of the wrapper."""
+    """A run of like siblings, or of like tuples of siblings, as one node: the iterator of the wrapper."""
 
-    __slots__ = ("label", "members", "kids", "number")
+    __slots__ = ("label", "tag", "members", "kids", "number", "sign", "size")
 
-    def __init__(self, label, members):
-        self.label, self.members = label, members
-        self.kids = grouped([k for n in members for k in n.kids])
+    def __init__(self, label, tag, members):
+        self.label, self.tag, self.members, self.kids, self.number = label, tag, members, [], -1
 
 
-def grouped(nodes: list[Node]) -> list[Group]:
-    runs: list[tuple[str, list[Node]]] = []
+def runs(nodes: list[Node]) -> list[Group]:
+    """`nodes` in groups: runs of one label first, then runs of a repeated tuple of up to PERIOD of these."""
+    single: list[Group] = []
     for n in nodes:
-        if runs and runs[-1][0] == n.label:
-            runs[-1][1].append(n)
+        if single and single[-1].label == n.label:
+            single[-1].members.append(n)
         else:
-            runs.append((n.label, [n]))
-    return [Group(label, members) for label, members in runs]
-
-
-def match(a: Group, b: Group) -> tuple[int, list]:
-    """Simple tree matching: the size of the largest order-keeping match of the trees, and its pairs of nodes."""
-    if a.label != b.label:
-        return 0, []
-    m, n = len(a.kids), len(b.kids)
-    if not m or not n:
-        return 1, [(a, b)]
-    cells = [[match(x, y) if x.label == y.label else (0, []) for y in b.kids] for x in a.kids]
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + cells[i][j][0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
+            single.append(Group(n.label, n.tag, [n]))
+    for period in range(2, PERIOD + 1):
+        out, i = [], 0
+        while i < len(single):
+            labels, times = [g.label for g in single[i : i + period]], 1
+            while [g.label for g in single[i + times * period : i + (times + 1) * period]] == labels and len(labels) == period:
+                times += 1
+            if times == 1:
+                out.append(single[i])
+                i += 1
+                continue
+            for k in range(period):
+                part = single[i + k : i + times * period : period]
+                out.append(Group(part[0].label, part[0].tag, [n for g in part for n in g.members]))
+            i += times * period
+        single = out
+    return single
+
+
+def grouped(root: Node) -> tuple[Group, list[Group]]:
+    """The tree of groups and its nodes in page order of levels; numbers are places in that list."""
+    tree = Group("", "", [root])
+    order = [tree]
+    for g in order:
+        g.kids = runs([k for n in g.members for k in n.kids])
+        order.extend(g.kids)
+    for number, g in enumerate(order):
+        g.number = number
+    for g in reversed(order):
+        g.size = 1 + sum(k.size for k in g.kids)
+        g.sign = blake2b(b"".join([g.label.encode(), b"\0", *[k.sign for k in g.kids]]), digest_size=8).digest()
+    return tree, order
+
+
+def common_labels(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, by bit vectors: long lists take a machine word for 64 cells."""
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v, rows = full, []
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+    out, i, j = [], len(a) - 1, len(b) - 1
+    # a zero bit at j marks where the length grows
+    while i >= 0 and j >= 0:
+        if rows[i] >> j & 1:
             j -= 1
+        elif i and not rows[i - 1] >> j & 1:
+            i -= 1
         else:
-            pairs += cells[i - 1][j - 1][1]
+            out.append((i, j))
             i, j = i - 1, j - 1
-    return best[m][n] + 1, pairs
+    return out[::-1]
 
 
-@lru_cache(maxsize=256)
-def reference(html: str) -> Group:
-    root, _ = parse(html)
-    tree, number = Group("", [root]), 0
-    todo = [tree]
+def weight(a: Group, b: Group, known: dict) -> int:
+    """Simple tree matching: size of the largest order-keeping match of two trees of one label; no recursion, each pair of shapes once."""
+    todo = [(a, b)]
     while todo:
-        g = todo.pop(0)
-        g.number, number = number, number + 1
-        todo.extend(g.kids)
-    return tree
+        x, y = todo[-1]
+        key = x.sign, y.sign
+        if key in known or x.sign == y.sign:
+            known.setdefault(key, x.size)
+            todo.pop()
+        elif len(x.kids) * len(y.kids) > CELLS:
+            known[key] = 1 + len(common_labels([k.label for k in x.kids], [k.label for k in y.kids]))
+            todo.pop()
+        else:
+            need = {(p.sign, q.sign): (p, q) for p in x.kids for q in y.kids if p.label == q.label and (p.sign, q.sign) not in known}
+            if need:
+                todo.extend(need.values())
+                continue
+            known[key] = 1 + table_of(x, y, known)[-1][-1]
+            todo.pop()
+    return known[a.sign, b.sign]
+
+
+def table_of(x: Group, y: Group, known: dict) -> list[list[int]]:
+    best = [[0] * (len(y.kids) + 1)]
+    for p in x.kids:
+        last, row = best[-1], [0]
+        for j, q in enumerate(y.kids):
+            both = last[j] + known[p.sign, q.sign] if p.label == q.label else 0
+            row.append(max(last[j + 1], row[j], both))
+        best.append(row)
+    return best
+
+
+def match(a: Group, b: Group) -> list[tuple[Group, Group]]:
+    """The pairs of nodes of a largest match of two trees of one label."""
+    known: dict = {}
+    weight(a, b, known)
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        out.append((x, y))
+        if x.sign == y.sign:
+            todo.extend(zip(x.kids, y.kids))
+        elif len(x.kids) * len(y.kids) > CELLS:
+            for i, j in common_labels([k.label for k in x.kids], [k.label for k in y.kids]):
+                weight(x.kids[i], y.kids[j], known)
+                todo.append((x.kids[i], y.kids[j]))
+        else:
+            best, i, j = table_of(x, y, known), len(x.kids), len(y.kids)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    todo.append((x.kids[i], y.kids[j]))
+    return out
+
+
+@lru_cache(maxsize=256)
+def reference(html: str) -> tuple[Group, list[Group]]:
+    return grouped(parse(html)[0])
 
 
 def aligned(html: str, reference_html: str) -> list[Text]:
-    """The text blocks of a page; their nodes know the slot they were matched with (None: no counterpart)."""
+    """The text blocks of a page; their nodes know their slot (a number, or a negative one named by the path) and home slot."""
     root, blocks = parse(html)
-    for x, y in match(Group("", [root]), reference(reference_html))[1]:
+    tree, order = grouped(root)
+    for x, y in match(tree, reference(reference_html)[0]):
         for node in x.members:
-            node.slot = y.number
+            node.slot = node.home = y.number
+    path = {id(root): b""}
+    for g in order[1:]:
+        for node in g.members:
+            here = path[id(node)] = blake2b(path[id(node.up)] + g.label.encode(), digest_size=8).digest()
+            if node.slot is None:
+                node.slot, node.home = -1 - (int.from_bytes(here[:4], "big") >> 1), node.up.home
     return blocks
 
 
-def main_text(blocks: list[Text], template: set[tuple[int, int]], menus: set[int]) -> str:
+def region(reference_html: str, varying: dict[int, int]) -> set[int]:
+    """The slots of the content region, and of the headings right before it; empty if no text varies."""
+    tree, order = reference(reference_html)
+    held = [varying.get(g.number, 0) for g in order]
+    for g in reversed(order):
+        held[g.number] += sum(held[k.number] for k in g.kids)
+    if not held[0]:
+        return set()
+    here, found = tree, set()
+    while True:
+        best = max(here.kids, key=lambda k: held[k.number], default=None)
+        if best is None or best.tag not in CONTAINERS or held[best.number] < CORE * held[here.number]:
+            break
+        heads = []
+        for k in here.kids[: here.kids.index(best)]:
+            heads = [*heads, k.number] if re.fullmatch("h[1-6]", k.tag) else []
+        found.update(heads)
+        here = best
+    todo = [here]
+    for g in todo:
+        found.add(g.number)
+        todo.extend(g.kids)
+    return found
+
+
+def main_text(blocks: list[Text], template: set[tuple[int, int]], menus: set[int], core: set[int] = frozenset()) -> str:
+    """What of `blocks` is neither template, nor menu, nor marked as boilerplate, nor outside the region `core`, if the page has it."""
     good = [b for b in blocks if not b.node.bad and b.node.slot not in menus and (b.node.slot, crc32(b.text.encode())) not in template]
+    good = [b for b in good if b.node.home in core] or good
     inside = [b for b in good if b.node.main]
     return "\n\n".join(b.text for b in inside or good)
 
@@ -231,9 +361,11 @@ def host_of(url):
 
 
 def with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Join on host. Up to 2000 hosts' rows (a page each, at most) are broadcast; beyond, big hosts are dealt by salt."""
+    """Join on host. Hosts' rows of BROADCAST_BYTES in all are broadcast; beyond, big hosts are dealt by salt (and by adaptive skew joins)."""
     side = hosts.withColumnRenamed("host", "_host")
-    if hosts.count() <= 2000:
+    listed = [F.size(c) * 24 for c in hosts.columns if c in ("template", "menus", "varying")]
+    size = hosts.agg(F.sum(sum((F.coalesce(F.greatest(x, F.lit(0)), F.lit(0)) for x in listed), F.octet_length("reference") + 64))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         return pages.join(F.broadcast(side), pages["host"] == F.col("_host")).drop("_host")
     salted = side.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = pages.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
@@ -241,14 +373,14 @@ def with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, reference, template, menus) of pages (host, html): stored, one row a host.
+    """(host, reference, template, menus, varying) of pages (host, html): stored, one row a host.
 
-    Slots and texts are counted over all pages of a host; the counts combine before the shuffle, so a host
-    with a third of all pages is a few rows a task.
+    Slots and texts are counted once for each different page of a host, over all of them; the counts combine before
+    the shuffle, so a host with a third of all pages is a few rows a task. The reference is any page, by hash.
     """
-    order = F.struct(F.length("html") > 20_000, F.xxhash64("html").alias("by"), "html")  # rather not a huge page
-    hosts = stored(pages.groupBy("host").agg(F.min(order).alias("first"), F.count("*").alias("pages")).select("host", F.col("first.html").alias("reference"), "pages"))
-    made = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())])
+    different = stored(pages.groupBy("host", F.xxhash64("html").alias("by")).agg(F.first("html").alias("html")))
+    hosts = stored(different.groupBy("host").agg(F.min(F.struct("by", "html"))["html"].alias("reference")))
+    made = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("good", pa.int64())])
 
     def run(batches):
         for batch in batches:
@@ -257,46 +389,63 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 for host, html, ref in zip(*(part.column(c).to_pylist() for c in ("host", "html", "reference"))):
                     seen = {}
                     for b in aligned(html, ref):
-                        if b.node.slot is not None:
-                            row = seen.setdefault((b.node.slot, crc32(b.text.encode())), [0, 0])
+                        for text in (crc32(b.text.encode()), -1):  # -1: the slot as a whole
+                            row = seen.setdefault((b.node.slot, text), [0, 0, 0])
                             row[0] += len(b.text)
                             row[1] += min(b.link, len(b.text))
-                    out.extend((host, s, h, c, n) for (s, h), (c, n) in seen.items())
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 5, made)], schema=made)
-
-    seen = with_hosts(pages, hosts.select("host", "reference")).select("host", "html", "reference").mapInArrow(run, "host string, slot int, hash long, chars long, links long")
-    texts = stored(seen.groupBy("host", "slot", "hash").agg(F.count("*").alias("on"), F.sum("chars").alias("chars"), F.sum("links").alias("links")))
-    constant = texts.join(hosts.select("host", "pages"), "host").filter((F.col("pages") >= MIN_PAGES) & (F.col("on") >= TEMPLATE_SHARE * F.col("pages")))
-    constant = constant.groupBy("host").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))
-    menus = texts.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links")).filter(F.col("links") >= LINK_SHARE * F.col("chars"))
-    menus = menus.groupBy("host").agg(F.collect_set("slot").alias("menus"))
-    return stored(hosts.drop("pages").join(constant, "host", "left").join(menus, "host", "left"))
+                            row[2] += 0 if b.node.bad else len(b.text)
+                    out.extend((host, s, h, *n) for (s, h), n in seen.items())
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, made)], schema=made)
+
+    seen = with_hosts(different, hosts).select("host", "html", "reference").mapInArrow(run, "host string, slot int, hash long, chars long, links long, good long")
+    counts = [F.count("*").alias("on"), *[F.sum(c).alias(c) for c in ("chars", "links", "good")]]
+    texts = stored(seen.groupBy("host", "slot", "hash").agg(*counts))
+    slots = texts.filter("hash = -1").select("host", "slot", F.col("on").alias("pages"), "chars", "links", "good")
+    constant = (F.col("pages") >= EVIDENCE) & (F.col("on") >= TEMPLATE_SHARE * F.col("pages"))
+    texts_of = texts.filter("hash >= 0").join(slots.select("host", "slot", "pages"), ["host", "slot"]).withColumn("constant", constant)
+    fixed = texts_of.filter("constant").groupBy("host", "slot").agg(F.sum("good").alias("stands"))
+    template = texts_of.filter("constant").groupBy("host").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))
+    moving = slots.join(fixed, ["host", "slot"], "left").withColumn("moves", F.col("good") - F.coalesce("stands", F.lit(0)))
+    menu = F.col("links") >= LINK_SHARE * F.col("chars")
+    parts = moving.groupBy("host").agg(
+        F.collect_set(F.when(menu, F.col("slot"))).alias("menus"),
+        F.collect_list(F.when(~menu & (F.col("slot") >= 0) & (F.col("moves") > 0), F.struct("slot", "moves"))).alias("varying"),
+    )
+    out = stored(hosts.join(template, "host", "left").join(parts, "host", "left"))
+    discard(different, hosts, texts)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """`pages` (url, html, and whatever else) with `text`, the main text.
 
-    A null or empty html gives an empty text; a null url is the host "". Repeated rows get the same text.
-    Caller columns named text, host, reference, template or menus are replaced.
+    A null or empty html gives an empty text; a null url is the host "". Pages of any length, depth and number of
+    siblings are read whole, without recursion. Repeated rows get the same text and count as one page; of hosts with
+    few pages nothing is template. An empty table stays empty. Caller columns named text, host, reference, template,
+    menus or varying are replaced.
     """
-    pages = pages.drop("text", "host", "reference", "template", "menus")
+    pages = pages.drop("text", "host", "reference", "template", "menus", "varying")
     named = pages.withColumn("host", host_of(F.col("url"))).withColumn("html", F.coalesce("html", F.lit("")))
     joined = with_hosts(named, wrappers(named.select("host", "html")))
     keep = [c for c in pages.columns if c != "html"]
     fields = [f for f in pages.schema.fields if f.name != "html"]
 
     def run(batches):
+        last, core = None, set()
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(at, 512)
                 out = []
-                for html, ref, template, menus in zip(*(part.column(c).to_pylist() for c in ("html", "reference", "template", "menus"))):
-                    out.append(main_text(aligned(html, ref), {(t["slot"], t["hash"]) for t in template or ()}, set(menus or ())))
+                for host, html, ref, template, menus, varying in zip(*(part.column(c).to_pylist() for c in ("host", "html", "reference", "template", "menus", "varying"))):
+                    if host != last:
+                        last, core = host, region(ref, {v["slot"]: v["moves"] for v in varying or ()})
+                    out.append(main_text(aligned(html, ref), {(t["slot"], t["hash"]) for t in template or ()}, set(menus or ()), core))
                 yield part.select(keep).append_column("text", pa.array(out, pa.string()))
 
-    return joined.select(*keep, "html", "reference", "template", "menus").mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
+    return joined.select(*keep, "host", "html", "reference", "template", "menus", "varying").mapInArrow(run, T.StructType([*fields, T.StructField("text", T.StringType())]))
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:
+    """Main text of every row of `pages`: see `extract` for the awkward rows."""
     texts = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

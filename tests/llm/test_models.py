@@ -174,6 +174,140 @@ def test_names_of_layouts_and_camel_case():
     assert html.main_text(html.aligned(page, page), set(), set()) == "kept"
 
 
+def tree_of(shape, label="t.div"):
+    node = html.Node("div", label, False, False)
+    node.kids = [tree_of(kids, name) for name, kids in shape]
+    return html.grouped(node)[0]
+
+
+def brute_match(a, b):
+    """Simple tree matching by its recursive definition."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_match(x, y))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_its_definition(monkeypatch):
+    rng = random.Random(8)
+
+    def shape(depth):
+        return [(rng.choice("abcd"), shape(depth - 1)) for _ in range(rng.randrange(5))] if depth else []
+
+    for _ in range(150):
+        a, b = tree_of(shape(3)), tree_of(shape(3))
+        pairs = html.match(a, b)
+        assert html.weight(a, b, {}) == len(pairs) == brute_match(a, b) and all(x.label == y.label for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_common_labels_against_its_definition():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = html.common_labels(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+
+
+def test_deep_and_wide_pages_are_read_whole(spark):
+    rng = random.Random(10)
+    deep = "<body>" + "<div>" * 5000 + "<p>at the bottom</p>" + "</div>" * 5000
+    wide = "<body><div>" + "".join(f"<{t}>line {i}</{t}>" for i in range(10_000) for t in ("h3", "p")) + "</div>"
+    mixed = ["<body><div>" + "".join(f"<{t}>{k} says {i}</{t}>" for i, t in enumerate(rng.choices(["h3", "p", "pre", "blockquote"], k=20_000))) + "</div>" for k in range(3)]
+    rows = [(i, f"http://{h}.example/{i}", page) for i, (h, page) in enumerate([("deep", deep), ("deep", deep + "<p>more"), ("wide", wide), ("wide", wide + "<p>more")] + [("mixed", m) for m in mixed])]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "at the bottom" and got[2].count("line") == 20_000 and all(got[4 + k].count(f"{k} says") == 20_000 for k in range(3))
+
+
+def plain_host(host, n, rng, notice):
+    """Pages of a host whose boilerplate has no telling names: (url, html, main text)."""
+    words = lambda k: " ".join(rng.choice(["mira", "tolo", "seva", "runi", "pado", "keli"]) + str(rng.randrange(99)) for _ in range(k))
+    for i in range(n):
+        paragraphs = [words(rng.randrange(20, 60)) for _ in range(rng.randrange(2, 6))]
+        links = "".join(f"<li><a href=/{words(1)}>{words(2)}</a></li>" for _ in range(rng.randrange(3, 7)))
+        shown = f"<div class=x9><p>{notice}</p></div>" if i % 3 else ""
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        yield (
+            f"http://{host}/{i}",
+            f"<body><div class=x1>{host} standing head</div><div class=x2><ul>{links}</ul></div>{shown}<div class=x3><div class=x4>{body}</div></div><div class=x5><p>All of it by {host}</p><p>{words(3)}</p></div></body>",
+            "\n\n".join(paragraphs),
+        )
+
+
+def test_wrapper_finds_the_text_without_telling_names(spark):
+    rng = random.Random(11)
+    pages = [p for h in ("one.example", "two.example", "three.example") for p in plain_host(h, 12, rng, "We wish to say this on most pages")]
+    copies = [pages[0]] * 60  # copies of one page must not make its article a template
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(pages + copies)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert [got[i] for i in range(len(pages + copies))] == [t for _, _, t in pages + copies]
+
+
+def test_blocks_that_the_reference_lacks_are_counted(spark):
+    page = "<body><div>%s<p>text %d of its own, long enough to be the core</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page % ("<section><p>Standing notice</p></section>" * (i % 2), i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r.text == f"text {r.page_id} of its own, long enough to be the core" for r in html.extract(df).collect())
+
+
+def plain_articles(page):
+    """Main text of a supplied page by a plain reader: what stands in <article>, but for adverts, comments and the like."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.blocks, self.now = [], [], []
+
+        def close_block(self):
+            text = " ".join("".join(self.now).split())
+            self.blocks += [text] if text else []
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "hr", "img", "meta", "link", "input"):
+                self.now.append(" ")
+                return
+            if tag in html.BLOCK:
+                self.close_block()
+                if tag == "p" and "p" in [t for t, _ in self.stack]:
+                    self.handle_endtag("p")
+            names = set((dict(attrs).get("class") or "").split()) | {tag}
+            self.stack.append((tag, bool(names & {"ad", "nav", "aside", "footer", "form", "script", "style", "comment", "comments"})))
+
+        def handle_endtag(self, tag):
+            if tag in html.BLOCK:
+                self.close_block()
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    del self.stack[i:]
+                    break
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.stack) and not any(bad for _, bad in self.stack):
+                self.now.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.close_block()
+    return "\n\n".join(reader.blocks)
+
+
+def test_html_query_against_a_plain_reader(spark):
+    got = QUERIES["op5_html"](spark, SF).toPandas().set_index("page_id").text
+    pages = pd.read_parquet(f"{SF}/pages.parquet")
+    assert all(got[i] == plain_articles(h) for i, h in zip(pages.page_id, pages.html))
+
+
 def test_wrapper_drops_constant_slots(spark):
     page = "<body><div><p>Standing line</p><div><p>text %d of its own</p></div></div></body>"
     rows = [(i, f"http://h.example/{i}", page % i) for i in range(8)] + [(100, None, None), (101, "http://x.example", ""), (102, "http://y.example/a", page % 9)]
