@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SALTS, discard, stored, table
+from .common import SALTS, discard, join_small, stored, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?"
@@ -375,44 +375,47 @@ def with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, reference, template, menus, varying) of pages (host, html): stored, one row a host.
 
-    Slots and texts are counted once for each different page of a host, over all of them; the counts combine before
+    Slots and texts are counted once for each different page of a host, over all pages; the counts combine before
     the shuffle, so a host with a third of all pages is a few rows a task. The reference is any page, by hash.
     """
-    different = stored(pages.groupBy("host", F.xxhash64("html").alias("by")).agg(F.first("html").alias("html")))
-    hosts = stored(different.groupBy("host").agg(F.min(F.struct("by", "html"))["html"].alias("reference")))
-    made = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64()), ("chars", pa.int64()), ("links", pa.int64()), ("good", pa.int64())])
+    marked = pages.withColumn("by", F.xxhash64("host", "html"))
+    # copies weigh one page together, so that no page has to move to be told from its copies
+    copies = stored(marked.groupBy("by").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    hosts = stored(marked.groupBy("host").agg(F.min(F.struct("by", "html"))["html"].alias("reference")))
+    made = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64()), *[(c, pa.float64()) for c in ("on", "chars", "links", "good")]])
 
     def run(batches):
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 512):
                 part, out = batch.slice(at, 512), []
-                for host, html, ref in zip(*(part.column(c).to_pylist() for c in ("host", "html", "reference"))):
-                    seen = {}
+                for host, html, ref, n in zip(*(part.column(c).to_pylist() for c in ("host", "html", "reference", "copies"))):
+                    seen, weight = {}, 1 / (n or 1)
                     for b in aligned(html, ref):
                         for text in (crc32(b.text.encode()), -1):  # -1: the slot as a whole
-                            row = seen.setdefault((b.node.slot, text), [0, 0, 0])
-                            row[0] += len(b.text)
-                            row[1] += min(b.link, len(b.text))
-                            row[2] += 0 if b.node.bad else len(b.text)
+                            row = seen.setdefault((b.node.slot, text), [weight, 0, 0, 0])
+                            row[1] += weight * len(b.text)
+                            row[2] += weight * min(b.link, len(b.text))
+                            row[3] += 0 if b.node.bad else weight * len(b.text)
                     out.extend((host, s, h, *n) for (s, h), n in seen.items())
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 6, made)], schema=made)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * 7, made)], schema=made)
 
-    seen = with_hosts(different, hosts).select("host", "html", "reference").mapInArrow(run, "host string, slot int, hash long, chars long, links long, good long")
-    counts = [F.count("*").alias("on"), *[F.sum(c).alias(c) for c in ("chars", "links", "good")]]
-    texts = stored(seen.groupBy("host", "slot", "hash").agg(*counts))
+    weighed = with_hosts(join_small(marked, copies, "by"), hosts).select("host", "html", "reference", "copies")
+    seen = weighed.mapInArrow(run, "host string, slot int, hash long, on double, chars double, links double, good double")
+    texts = stored(seen.groupBy("host", "slot", "hash").agg(*[F.sum(c).alias(c) for c in ("on", "chars", "links", "good")]))
     slots = texts.filter("hash = -1").select("host", "slot", F.col("on").alias("pages"), "chars", "links", "good")
-    constant = (F.col("pages") >= EVIDENCE) & (F.col("on") >= TEMPLATE_SHARE * F.col("pages"))
-    texts_of = texts.filter("hash >= 0").join(slots.select("host", "slot", "pages"), ["host", "slot"]).withColumn("constant", constant)
+    constant = (F.col("pages") >= EVIDENCE - 1e-6) & (F.col("on") >= TEMPLATE_SHARE * F.col("pages") - 1e-6)
+    # a text on too few pages to be constant need not be held against its slot
+    texts_of = texts.filter((F.col("hash") >= 0) & (F.col("on") >= TEMPLATE_SHARE * EVIDENCE - 1e-6)).join(slots.select("host", "slot", "pages"), ["host", "slot"]).withColumn("constant", constant)
     fixed = texts_of.filter("constant").groupBy("host", "slot").agg(F.sum("good").alias("stands"))
     template = texts_of.filter("constant").groupBy("host").agg(F.collect_set(F.struct("slot", "hash")).alias("template"))
     moving = slots.join(fixed, ["host", "slot"], "left").withColumn("moves", F.col("good") - F.coalesce("stands", F.lit(0)))
     menu = F.col("links") >= LINK_SHARE * F.col("chars")
     parts = moving.groupBy("host").agg(
         F.collect_set(F.when(menu, F.col("slot"))).alias("menus"),
-        F.collect_list(F.when(~menu & (F.col("slot") >= 0) & (F.col("moves") > 0), F.struct("slot", "moves"))).alias("varying"),
+        F.collect_list(F.when(~menu & (F.col("slot") >= 0) & (F.col("moves") >= 1), F.struct("slot", F.col("moves").cast("long").alias("moves")))).alias("varying"),
     )
     out = stored(hosts.join(template, "host", "left").join(parts, "host", "left"))
-    discard(different, hosts, texts)
+    discard(copies, hosts, texts)
     return out
 
 
