@@ -31,6 +31,12 @@ VIEWS = {
     "fx_call_log": "SELECT event_id AS call_id, event_type AS model, value AS cost, CAST(floor(value) AS INT) AS total_tokens, event_type = 'error' AS rate_limited, ts FROM events",
     "fx_messages": "SELECT conv_id AS job_id, turn AS seq, role AS type, text AS message FROM conversations",
     "fx_ratings": "SELECT doc_id AS document_id, CAST(quality AS VARCHAR(2)) AS rater_1, CAST(1 - toxic AS VARCHAR(2)) AS rater_2 FROM labels",
+    "fx_forms": """SELECT o_orderpriority AS form_id, concat('Form ', o_orderpriority) AS form_name, CASE WHEN count(*) % 2 = 0 THEN 'active' ELSE 'draft' END AS status,
+        CASE WHEN o_orderpriority LIKE '1%' THEN '["returnflag","linestatus"]' WHEN o_orderpriority LIKE '2%' THEN 'not a list' ELSE '["returnflag","linestatus","quantity"]' END AS fields FROM orders GROUP BY o_orderpriority""",
+    "fx_extractions": """SELECT project_id * 10 + CAST(substr(form_id, 1, 1) AS INT) AS extraction_id, project_id, form_id, max(created_at) AS created_at,
+        CASE WHEN count(*) % 3 = 0 THEN 'failed' WHEN count(*) % 3 = 1 THEN 'completed' ELSE 'active' END AS status FROM fx_documents GROUP BY project_id, form_id""",
+    "fx_extraction_results": """SELECT d.project_id * 10 + CAST(substr(d.form_id, 1, 1) AS INT) AS extraction_id, r.document_id, r.slot, r.extraction_type, r.reviewer_role, r.extracted_data, r.created_at
+        FROM fx_results r JOIN fx_documents d ON r.document_id = d.document_id""",
     "fx_terms": "SELECT p_partkey AS ord, p_name AS term, p_brand AS code, p_type AS synonym FROM part",
 }
 
@@ -57,7 +63,7 @@ def oracle(body: str) -> str:
                 needed.append(name)
 
     need(body)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)  # used many times over
     if not ctes:
         return body
     return f"WITH {ctes}{',' if body.lstrip().upper().startswith('WITH ') else ''}\n" + re.sub(r"^\s*WITH\s", "", body, flags=re.I)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json as json_module
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 META_KEYS = ("document_id", "form_id", "extraction_id", "extraction_type", "id", "job_id", "project_id", "created_at", "metadata")
 SUFFIXES = (".confidence", ".reasoning")
@@ -42,19 +46,45 @@ def wide(values: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return out.fillna("", subset=sorted(fields))
 
 
-def flat(json: Column, depth: int = 3) -> Column:
-    """Map of dotted paths to text, objects opened down to `depth` levels."""
-    level = as_map(json)
-    for _ in range(depth - 1):
-        level = F.map_from_entries(
-            F.flatten(
-                F.transform(
-                    F.map_entries(level),
-                    lambda e: F.when(
-                        e["value"].rlike(r"^\s*\{") & as_map(e["value"]).isNotNull(),
-                        F.transform(F.map_entries(as_map(e["value"])), lambda x: F.struct(F.concat_ws(".", e["key"], x["key"]).alias("key"), x["value"].alias("value"))),
-                    ).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))),
-                )
-            )
-        )
-    return level
+def flat(json: Column, opaque: str = "source_location") -> Column:
+    """Map of dotted paths to text, objects opened at every depth; a key named `opaque` keeps its object as it is.
+
+    One level is opened by SQL alone; only texts with an object inside an object go through the walk of all levels.
+    Null for what is no object.
+    """
+    top = as_map(json)
+    nested = F.exists(F.map_values(top), lambda v: F.coalesce(v.rlike(r"^\s*\{"), F.lit(False)))
+    return F.when(top.isNull() | ~nested, top).otherwise(_flat_all(json, F.lit(opaque)))
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def _flat_all(texts: pd.Series, opaque: pd.Series) -> pd.Series:
+    def walk(value, path, out, stop):
+        todo = [(path, value)]
+        while todo:
+            path, value = todo.pop()
+            for key, inner in value.items():
+                name = f"{path}.{key}" if path else key
+                if isinstance(inner, dict) and inner and key != stop:
+                    todo.append((name, inner))
+                elif inner is None or isinstance(inner, str):
+                    out[name] = inner
+                else:
+                    out[name] = json_module.dumps(inner, ensure_ascii=False, separators=(",", ":"))
+        return out
+
+    def one(text, stop):
+        try:
+            value = json_module.loads(text)
+        except (TypeError, ValueError):
+            return None
+        return walk(value, "", {}, stop) if isinstance(value, dict) else None
+
+    return pd.Series([one(t, s) for t, s in zip(texts, opaque)], dtype=object)
+
+
+def flat_columns(json: Column) -> Column:
+    """Paths joined by underscores, lists of scalars joined by ', ': the form of a CSV export."""
+    paths = F.map_entries(flat(json, ""))
+    text = lambda v: F.when(v.rlike(r"^\s*\["), F.coalesce(F.array_join(F.from_json(v, "array<string>"), ", "), v)).otherwise(v)
+    return F.map_from_entries(F.transform(paths, lambda e: F.struct(F.regexp_replace(e["key"], r"\.", "_").alias("key"), text(e["value"]).alias("value"))))

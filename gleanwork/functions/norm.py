@@ -50,14 +50,31 @@ def to_number(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), strip(c).try_cast("double"))
 
 
+#: Endings of fields that the evaluator compares as whole numbers; fixed values.
+NUMERIC_ENDINGS = ("_n", "_percent", "_tendency", "_variability", "_randomized")
+
+
+def whole_number(text: Column) -> Column:
+    """A number as text rounded half-even to a whole one; other texts as they are."""
+    return F.coalesce(F.when(text.rlike(NUMBER), F.bround(text.try_cast("double"), 0).try_cast("decimal(38,0)").cast("string")), text)
+
+
+def range_form(text: Column) -> Column:
+    """Hyphens and commas, with the blanks around them, as plain commas."""
+    return F.regexp_replace(F.regexp_replace(text, r"\s*-\s*", ","), r"\s*,\s*", ",")
+
+
 def evaluator_value(c: Column, field: Column) -> Column:
-    """The evaluator's form of a value: numbers rounded half-even for numeric fields, ranges by commas, end marks off."""
-    base = F.lower(collapse(c.cast("string")))
-    number = strip(c.cast("string")).try_cast("double")
-    numeric = field.rlike(r"(?i)(_n|_count|_number|_total|^total_n)$") & c.rlike(NUMBER)
-    ranged = F.regexp_replace(F.regexp_replace(base, r"\s*-\s*", ","), r"\s*,\s*", ",")
-    plain = F.when(field.contains("filename"), F.regexp_replace(base, "^_+", "")).when(field.contains("range"), ranged).otherwise(base)
-    return F.when(numeric, F.bround(number, 0).cast("long").cast("string")).otherwise(F.regexp_replace(plain, r"[.,;]+$", ""))
+    """The evaluator's form of a value; null is ''. Endings, `filename` and `range` in the field's name, whatever its case, say how.
+
+    Numeric fields are rounded half-even, file names lose leading underscores, ranges are put in commas; end marks go last.
+    """
+    base, name = F.coalesce(F.lower(collapse(c.cast("string"))), F.lit("")), F.lower(field)
+    numeric = F.lit(False)
+    for ending in NUMERIC_ENDINGS:
+        numeric = numeric | name.endswith(ending)
+    form = F.when(numeric, whole_number(base)).when(name.contains("filename"), F.regexp_replace(base, "^_+", "")).when(name.contains("range"), range_form(base)).otherwise(base)
+    return F.regexp_replace(form, r"[.,;]+$", "")
 
 
 def safe_file_name(c: Column) -> Column:

@@ -3,52 +3,57 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import searchable
-
-#: Similarity from which a rough hit counts; fixed value. Share of a snippet's word triples that a text must hold to be tried.
-ROUGH_AT, SHARED = 0.65, 0.3
-SEPARATOR = re.compile(r"^[\s|:+-]+$")
-
-
-def chunks_of(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end): paragraphs between blank lines; a paragraph of | lines is a table and each of its rows."""
-    out, at = [], 0
-    for part in re.split(r"(\n\s*\n)", text):
-        body = part.strip()
-        if body and not re.fullmatch(r"\n\s*\n", part):
-            start = at + part.index(body)
-            lines = body.split("\n")
-            table = len(lines) > 1 and all("|" in x for x in lines)
-            out.append(("table" if table else "paragraph", start, start + len(body)))
-            if table:
-                pos = start
-                for line in lines:
-                    if not SEPARATOR.match(line):
-                        out.append(("row", pos, pos + len(line)))
-                    pos += len(line) + 1
-        at += len(part)
+from ..functions.norm import collapse
+from .linking import page_of, pages_in, searchable, section_before
+
+#: Similarity from which a rough hit counts, length ratios outside which a chunk is passed over, most characters of a matched text. Fixed values.
+ROUGH_AT, TOO_LONG, MOST_SHOWN = 0.65, 3, 500
+SEPARATOR = re.compile(r"[|\-\s:]+")
+
+
+def chunks_of(text: str, pages: list[tuple[int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, page) of each page (page, start, end): paragraphs between blank lines.
+
+    A paragraph with two bars is a table; the table and each of its rows are chunks, but for rows of rules alone.
+    """
+    out = []
+    for page, first, last in pages:
+        at = first
+        for part in [*re.finditer(r"\n\n+", text[first:last]), None]:
+            end = first + part.start() if part else last
+            body = text[at:end]
+            if body.strip():
+                table = body.count("|") >= 2
+                out.append(("table" if table else "paragraph", at, end, page))
+                pos = at
+                for row in body.split("\n") if table else ():
+                    if row.strip() and not SEPARATOR.fullmatch(row.strip()):
+                        out.append(("row", pos, pos + len(row), page))
+                    pos += len(row) + 1
+            at = first + part.end() if part else last
     return out
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, kind, start_char, end_char, text), offsets in code points; a null text has no chunks."""
-    schema = "doc_id long, chunk_no int, kind string, start_char long, end_char long, text string"
+    """(doc_id, chunk_no, kind, page, start_char, end_char, text), offsets in code points; a null text has no chunks."""
+    schema = "doc_id long, chunk_no int, kind string, page int, start_char long, end_char long, text string"
 
     def run(batches):
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                rows = [(doc, i, k, a, b, text[a:b]) for i, (k, a, b) in enumerate(chunks_of(text or ""))]
+            for doc, text, pages in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "pages"))):
+                rows = [(doc, i, k, p, a, b, text[a:b].strip()) for i, (k, a, b, p) in enumerate(chunks_of(text, [(p["page"], p["start_char"], p["end_char"]) for p in pages]))]
                 if rows:
-                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "chunk_no", "kind", "start_char", "end_char", "text"])
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "chunk_no", "kind", "page", "start_char", "end_char", "text"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return documents.filter("text is not null").select("doc_id", "text", pages_in(F.col("text")).alias("pages")).mapInArrow(run, schema)
 
 
 def common_length(a: str, b: str) -> int:
@@ -65,40 +70,120 @@ def common_length(a: str, b: str) -> int:
 
 
 def partial_ratio(short: str, long: str) -> float:
-    """Best similarity 2 * common / (m + n) of the shorter text with a window of its length in the longer one.
+    """Best similarity 2 * common / (m + n) of the shorter text with any window of at most its length in the longer one.
 
-    Windows are tried where a word of the short text stands in the long one.
+    All windows count, those cut off at the ends too; a window is passed over only if its characters alone, whatever
+    their order, can't beat the best one so far.
     """
     if len(short) > len(long):
         short, long = long, short
     m = len(short)
     if not m:
         return 0.0
-    starts = {0, max(0, len(long) - m)}
-    for word in re.finditer(r"\w{4,}", short):
-        starts.update(max(0, min(hit.start() - word.start(), len(long) - m)) for hit in re.finditer(re.escape(word[0]), long))
-    return max(2 * common_length(short, long[a : a + m]) / (m + len(long[a : a + m])) for a in starts)
-
-
-def word_triples(text):
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    n = F.size(words)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, 3), " "))))).otherwise(F.expr("cast(array() as array<bigint>)"))
-
-
-def locate_rough(documents: DataFrame, snippets: DataFrame, at: float = ROUGH_AT) -> DataFrame:
-    """(doc_id, item_id, ratio): texts that hold a snippet roughly. Texts are tried that share word triples with it.
-
-    Shared triples are counted by an equi-join and a combined sum; only pairs over the share are compared.
+    need, best = Counter(short), 0.0
+    held: Counter = Counter()
+    both = 0  # characters that the window and the short text share, by count
+    for end in range(1, len(long) + m):
+        if end <= len(long):
+            c = long[end - 1]
+            held[c] += 1
+            both += held[c] <= need[c]
+        if end > m:
+            c = long[end - m - 1]
+            both -= held[c] <= need[c]
+            held[c] -= 1
+        window = min(end, len(long)) - max(0, end - m)
+        if 2 * both > best * (m + window):
+            best = max(best, 2 * common_length(short, long[max(0, end - m) : end]) / (m + window))
+            if best == 1:
+                break
+    return best
+
+
+def nearest_chunk(snippet: str, parts: list[tuple[str, int, int, int]], at: float = ROUGH_AT) -> tuple[int, int, float, str] | None:
+    """(start, end, similarity, text) of the chunk, or else of the pair of neighbouring chunks, that holds a snippet roughly.
+
+    `parts` are (text, start, end, page). Chunks under a third of the snippet are passed over; pairs are tried only if no
+    chunk reaches `at`, and only on the same page or on neighbouring ones.
     """
-    wanted = snippets.filter(searchable(F.col("text"))).select("item_id", F.col("text").alias("snippet"), word_triples(F.col("text")).alias("triples"))
-    probes = wanted.select("item_id", F.size("triples").alias("n"), F.explode("triples").alias("t"))
-    held = documents.select("doc_id", F.explode(word_triples(F.col("text"))).alias("t"))
-    tried = held.join(probes, "t").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= SHARED * F.col("n"))
+    best, found = 0.0, None
+    for text, start, end, _ in parts:
+        ratio = len(snippet) / max(len(text), 1)
+        if text and not (ratio > 5 and len(snippet) > len(text) * TOO_LONG):
+            score = partial_ratio(snippet, text)
+            if score > best:
+                best, found = score, (start, end, score, text)
+    if best < at:
+        for (a, start, _, page), (b, _, end, other) in zip(parts, parts[1:]):
+            if abs(page - other) <= 1:
+                score = partial_ratio(snippet, f"{a} {b}")
+                if score > best:
+                    best, found = score, (start, end, score, f"{a} {b}")
+    return found if found and best >= at else None
+
+
+def located(snippets: DataFrame, documents: DataFrame, at: float = ROUGH_AT) -> DataFrame:
+    """`snippets` (doc_id, snippet, ...) with `location`: page, start_char, end_char, matched_text, confidence, section; null if not found.
+
+    A snippet is looked for in its own document (doc_id, text): as it stands, in SQL; only what isn't found so is compared
+    with the text's chunks. Snippets that are too short or say that nothing was reported have no location.
+    """
+    rows = snippets.join(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "doc_id", "left")
+    rows = rows.withColumn("_clean", F.when(searchable(F.col("snippet")), collapse(F.col("snippet"))))
+    at_char = F.expr("instr(_text, _clean)") - 1
+    rows = rows.withColumn("_pages", pages_in(F.col("_text"))).withColumn("_hit", F.when(at_char >= 0, F.struct(at_char.alias("start"), (at_char + F.length("_clean")).alias("end"), F.lit(1.0).alias("confidence"), F.col("_clean").alias("matched"))))
+
+    @F.pandas_udf("start int, end int, confidence double, matched string")
+    def rough(clean: pd.Series, text: pd.Series, pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for snippet, whole, marks in zip(clean, text, pages):
+            hit = None
+            if snippet is not None and whole:
+                parts = chunks_of(whole, [(p["page"], p["start_char"], p["end_char"]) for p in marks])
+                hit = nearest_chunk(snippet, [(whole[a:b].strip(), a, b, page) for _, a, b, page in parts], at)
+            out.append(hit or (None, None, None, None))
+        return pd.DataFrame(out, columns=["start", "end", "confidence", "matched"]).astype({"start": "Int32", "end": "Int32"})
+
+    found = rows.filter("_hit is not null or _clean is null or _text is null")
+    left = rows.filter("_hit is null and _clean is not null and _text is not null").withColumn("_hit", rough("_clean", "_text", "_pages"))
+    left = left.withColumn("_hit", F.when(F.col("_hit.start").isNotNull(), F.col("_hit")))
+    both = found.unionByName(left)
+    place = F.struct(
+        page_of(F.col("_pages"), F.col("_hit.start")).alias("page"), F.col("_hit.start").cast("long").alias("start_char"), F.col("_hit.end").cast("long").alias("end_char"),
+        F.substring("_hit.matched", 1, MOST_SHOWN).alias("matched_text"), F.col("_hit.confidence").alias("confidence"), section_before(F.col("_text"), F.col("_hit.start")).alias("section"),
+    )
+    return both.withColumn("location", F.when(F.col("_hit").isNotNull(), place)).drop("_text", "_clean", "_pages", "_hit")
+
+
+def enriched(results: DataFrame, documents: DataFrame) -> DataFrame:
+    """`results` (result_id, doc_id, values, ...) with source locations in `values`, a map of texts.
+
+    A key x.source_text gets a neighbour x.source_location; a value that is an object with value and source_text gets
+    source_location inside. Locations are JSON texts; everything else stays.
+    """
+    entries = results.select("result_id", "doc_id", F.explode("values").alias("key", "value"))
+    inner = F.from_json("value", "map<string,string>")
+    nested = F.coalesce(F.map_contains_key(inner, "source_text") & F.map_contains_key(inner, "value"), F.lit(False))
+    flat = F.col("key").endswith(".source_text")
+    snippet = F.when(nested, F.try_element_at(inner, F.lit("source_text"))).when(flat, F.col("value"))
+    wanted = entries.withColumn("snippet", snippet).withColumn("nested", nested).filter("snippet is not null")
+    found = located(wanted, documents).filter("location is not null")
+    text = F.to_json("location")
+    put = F.when(F.col("nested"), F.struct(F.col("key"), F.concat(F.regexp_replace("value", r"\}\s*$", ""), F.lit(',"source_location":'), text, F.lit("}")).alias("value")))
+    put = put.otherwise(F.struct(F.regexp_replace("key", r"\.source_text$", ".source_location").alias("key"), text.alias("value")))
+    new = found.groupBy("result_id").agg(F.map_from_entries(F.collect_list(put)).alias("_new"))
+    out = results.join(new, "result_id", "left")
+    kept = F.map_filter("values", lambda k, _: ~F.array_contains(F.map_keys("_new"), k))
+    return out.withColumn("values", F.when(F.col("_new").isNull(), F.col("values")).otherwise(F.map_concat(kept, "_new"))).drop("_new")
+
+
+def page_index(located_fields: DataFrame) -> DataFrame:
+    """(doc_id, page, entries): for each page the (field, start_char, end_char, text) of the values found on it, in order of place."""
+    hits = located_fields.filter("location is not null").select("doc_id", F.col("location.page").alias("page"), F.struct(F.col("location.start_char").alias("start_char"), F.col("location.end_char").alias("end_char"), "field", F.col("location.matched_text").alias("text")).alias("e"))
+    return hits.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("e")).alias("entries"))
 
-    @F.pandas_udf("double")
-    def ratio(snippet: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(a, b) for a, b in zip(snippet, text)])
 
-    pairs = tried.join(wanted.select("item_id", "snippet"), "item_id").join(documents.select("doc_id", "text"), "doc_id")
-    return pairs.select("doc_id", "item_id", ratio("snippet", "text").alias("ratio")).filter(F.col("ratio") >= at)
+def locate_rough(documents: DataFrame, snippets: DataFrame, at: float = ROUGH_AT) -> DataFrame:
+    """(doc_id, item_id, confidence, start_char, end_char) of the snippets (doc_id, item_id, snippet) that their own document holds, exactly or roughly."""
+    found = located(snippets, documents, at).filter("location is not null")
+    return found.select("doc_id", "item_id", "location.confidence", "location.start_char", "location.end_char")

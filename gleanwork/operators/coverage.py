@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import norm
+from ..functions import norm, shapes
+from . import tables
 
 
 def form_coverage(documents: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -41,3 +42,28 @@ def call_stats(calls: DataFrame) -> DataFrame:
         F.count("*").alias("calls"), F.round(F.sum("cost"), 4).alias("total_cost"), F.round(F.avg("cost"), 6).alias("average_cost"),
         F.sum("total_tokens").alias("tokens"), F.min("ts").alias("first_call"), F.max("ts").alias("last_call"),
     )
+
+
+def call_summary(calls: DataFrame) -> DataFrame:
+    """One row: calls, models, cost in all and on average (0 for calls without prompt tokens), tokens, share of cache hits, first and last call."""
+    cost = F.when(F.col("prompt_tokens") > 0, F.col("cost")).otherwise(F.lit(0.0))
+    hits = F.count_if("cache_hit") / F.count("*")
+    return calls.agg(
+        F.count("*").alias("calls"), F.count_distinct("model").alias("models"), F.round(F.sum(cost), 4).alias("total_cost"), F.round(F.avg(cost), 6).alias("average_cost"),
+        F.sum("prompt_tokens").alias("tokens"), F.round(hits, 6).alias("hit_rate"), F.min("ts").alias("first_call"), F.max("ts").alias("last_call"),
+    )
+
+
+def top_models(calls: DataFrame, n: int = 5) -> DataFrame:
+    return calls.groupBy("model").agg(F.count("*").alias("calls")).orderBy(F.desc("calls"), "model").limit(n)
+
+
+def page_costs(jobs: DataFrame, pages: str, by: list[str], order: list, rate: float = 3.0, threshold: float = 500.0, block=None) -> DataFrame:
+    """`jobs` with cost (a rate for a thousand pages), spent (in order, so far) and whether that is over the threshold."""
+    costed = jobs.withColumn("cost", F.col(pages) / 1000.0 * rate)
+    return tables.running_total(costed, "cost", by, order, "spent", block).withColumn("over", F.col("spent") > threshold)
+
+
+def run_summary(runs: DataFrame, ok: str, start: str, end: str) -> DataFrame:
+    """One row: runs, successes, and the wall time from the first start to the last end in seconds, two places."""
+    return runs.agg(F.count("*").alias("runs"), F.count_if(ok).alias("successes"), shapes.seconds(F.min(start), F.max(end)).alias("wall_s"))

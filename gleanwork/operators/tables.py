@@ -80,8 +80,107 @@ def exact_sample(df: DataFrame, within: str, key: str, percent: int, seed: str =
     return ranked.filter(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100))).drop("_place", "_n")
 
 
-def running_total(df: DataFrame, value: str, by: list[str], order: list[Column], name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+def running_total(df: DataFrame, value: str, by: list[str], order: list[Column], name: str, block: Column | None = None) -> DataFrame:
+    """Running sum of `value` of each key in the order given.
+
+    With `block`, which must not fall along the order (a day of the time, say), a key's rows are summed block by block:
+    the blocks' sums run on first, and each block's rows are then summed apart, so no task holds a key's whole history.
+    """
+    if block is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumn("_block", block)
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    summed = rows.withColumn("_inside", inside).join(starts, [*by, "_block"])
+    return summed.withColumn(name, F.col("_start") + F.col("_inside")).drop("_block", "_start", "_inside")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column], name: str, block: Column | None = None) -> DataFrame:
+    """Place of each row among its key's, from 1; `block` as in `running_total`."""
+    return running_total(df.withColumn("_one", F.lit(1).cast("long")), "_one", by, order, name, block).drop("_one")
+
+
+def page_with_total(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
+    """Page `number` (from 1) of the order, each row with the total of rows."""
+    total = df.agg(F.count("*").alias("total"))
+    return page(df, order, (number - 1) * size, size).crossJoin(F.broadcast(total))  # one row
+
+
+def any_row(df: DataFrame, condition: Column) -> DataFrame:
+    """One row (found): whether any row meets the condition; the scan ends at the first."""
+    return df.filter(condition).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def active_first(df: DataFrame, active: Column, newest: str, key: str, name: str = "place") -> DataFrame:
+    """`df`, a short list, with the place of each row: active ones first, each part by newest; those without a date last."""
+    order = Window.partitionBy().orderBy(F.when(active, 0).otherwise(1), F.desc_nulls_last(newest), key)
+    return df.withColumn(name, F.row_number().over(order))
+
+
+def first_of(key: str, *lists: DataFrame) -> DataFrame:
+    """Union of lists with `src`, the number of the list; of rows with one key those of the first list stay."""
+    both = None
+    for i, rows in enumerate(lists):
+        part = rows.withColumn("src", F.lit(i))
+        both = part if both is None else both.unionByName(part)
+    return both.groupBy(key).agg(F.min_by(F.struct("*"), F.col("src")).alias("r")).select("r.*")
+
+
+def latest_runs(runs: DataFrame, by: str, key: str, at: str, status: str) -> DataFrame:
+    """(by, latest, latest_failed, n_active): newest run of each key, newest failed one, and how many are active; one pass."""
+    newest = lambda cond: F.max(F.when(cond, F.struct(at, key)))[key]
+    return runs.groupBy(by).agg(newest(F.lit(True)).alias("latest"), newest(F.col(status) == "failed").alias("latest_failed"), F.count_if(F.col(status).isin("active", "pending", "processing")).alias("n_active"))
+
+
+def named(rows: DataFrame, key: str, people: DataFrame, default: Column, name: str = "name") -> DataFrame:
+    """`rows` with the name of the person `key` points to: (user_id, full_name, email); a blank name is the email, none the default."""
+    who = people.select(F.col("user_id").alias(key), F.coalesce(F.nullif(F.trim("full_name"), F.lit("")), F.col("email")).alias("_name"))
+    return rows.join(who, key, "left").withColumn(name, F.coalesce("_name", default)).drop("_name")
+
+
+def members_with_owner(projects: DataFrame, members: DataFrame, people: DataFrame) -> DataFrame:
+    """(project_id, user_id, role, full_name): the owner first, then members other than the owner."""
+    owner = projects.select("project_id", F.col("owner_user_id").alias("user_id"), F.lit("owner").alias("role"))
+    others = members.join(owner.select("project_id", "user_id"), ["project_id", "user_id"], "left_anti").select("project_id", "user_id", F.lit("member").alias("role"))
+    return owner.unionByName(others).join(people.select("user_id", "full_name"), "user_id", "left")
+
+
+def same_name(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows whose name is `name`, whatever the case and the blanks around."""
+    return df.filter(F.lower(F.trim(column)) == name.strip().lower())
+
+
+def find_terms(terms: DataFrame, text: str, limit: int) -> DataFrame:
+    """The first terms (ord, term, synonyms) that hold a text, in the term or in a synonym, whatever the case."""
+    low = text.lower()
+    hit = F.lower("term").contains(low) | F.exists("synonyms", lambda s: F.lower(s).contains(low))
+    return terms.filter(F.coalesce(hit, F.lit(False))).orderBy("ord").limit(limit)
+
+
+def find_labels(df: DataFrame, labels: str, text: str) -> DataFrame:
+    """Rows one of whose labels holds a text, whatever the case."""
+    return df.filter(F.coalesce(F.exists(labels, lambda s: F.lower(s).contains(text.lower())), F.lit(False)))
+
+
+def since(now: Column, window: str) -> Column:
+    """Start of 'today' (midnight), 'week' or 'month' (7 or 30 days back) as seen from `now`; anything else is a week."""
+    return {"today": F.date_trunc("day", now), "month": now - F.expr("interval 30 days")}.get(window, now - F.expr("interval 7 days"))
+
+
+def mark_read(df: DataFrame, condition: Column, at: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows, count): unread rows that meet the condition marked as read, with the time, and a one-row count of them."""
+    hit = F.coalesce(condition, F.lit(False)) & ~F.col("read")
+    return update(df, hit, read=F.lit(True), read_at=at), df.agg(F.count_if(hit).alias("n_marked"))
+
+
+def set_where_in(df: DataFrame, condition: Column, column: str, allowed: list[str], value: str) -> DataFrame:
+    """Sets a status, but only where it is one of `allowed` now."""
+    return update(df, condition & F.col(column).isin(*allowed), **{column: F.lit(value)})
+
+
+def unsampled(rows: DataFrame, sampled: DataFrame, key: str) -> DataFrame:
+    return rows.join(sampled.select(key).distinct(), key, "left_anti")
 
 
 def merge_terms(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import norm
-from ..functions.fields import field_values
+from ..functions.fields import as_map, field_values
+
 
 
 def reviewer_pairs(results: DataFrame) -> DataFrame:
-    """(document_id, field, v1, v2) of documents that both reviewers filled; fields of either, a missing one null."""
-    manual = field_values(results.filter("extraction_type = 'manual'"), "document_id", "reviewer_role")
-    # one pass and one shuffle instead of a self join: both reviewers' values land in one row
-    pick = lambda role: F.max(F.when(F.col("reviewer_role") == role, F.col("value")))
-    rows = manual.groupBy("document_id", "field").agg(pick("reviewer_1").alias("v1"), pick("reviewer_2").alias("v2"))
-    roles = results.filter("extraction_type = 'manual'").groupBy("document_id").agg(F.count_distinct("reviewer_role").alias("roles"))
-    return rows.join(roles.filter("roles = 2").select("document_id"), "document_id", "left_semi")
+    """(document_id, field, v1, v2) of documents that both reviewers filled; fields of either, a missing one null.
+
+    One pass and one shuffle: both reviewers' texts land in one row, whose fields are then laid side by side.
+    """
+    text = lambda role: F.max(F.when(F.col("reviewer_role") == role, F.col("extracted_data")))
+    both = results.filter("extraction_type = 'manual'").groupBy("document_id").agg(text("reviewer_1").alias("t1"), text("reviewer_2").alias("t2"))
+    maps = both.filter("t1 is not null and t2 is not null").select("document_id", as_map(F.col("t1")).alias("m1"), as_map(F.col("t2")).alias("m2"))
+    fields = F.array_union(F.coalesce(F.map_keys("m1"), F.expr("cast(array() as array<string>)")), F.coalesce(F.map_keys("m2"), F.expr("cast(array() as array<string>)")))
+    return maps.select("document_id", "m1", "m2", F.explode(fields).alias("field")).select("document_id", "field", F.try_element_at("m1", F.col("field")).alias("v1"), F.try_element_at("m2", F.col("field")).alias("v2"))
 
 
 def compare(pairs: DataFrame, ai: DataFrame | None = None) -> DataFrame:
@@ -42,19 +45,16 @@ def irr(pairs: DataFrame) -> DataFrame:
     Percent agreement normalises and takes pairs with both values; kappa compares the values as they are,
     and is 1 with a single category or when chance agreement is 1.
     """
-    both = pairs.filter("v1 is not null and v2 is not null")
-    each = both.select(F.explode(F.array(F.col("field"), F.lit(None).cast("string"))).alias("field"), "v1", "v2")
+    each = pairs.filter("v1 is not null and v2 is not null").select(F.explode(F.array(F.col("field"), F.lit(None).cast("string"))).alias("field"), "v1", "v2")
     cells = each.groupBy("field", "v1", "v2").agg(F.count("*").alias("c"))
-    rows = cells.groupBy("field", F.col("v1").alias("v")).agg(F.sum("c").alias("c1"))
-    cols = cells.groupBy("field", F.col("v2").alias("v")).agg(F.sum("c").alias("c2"))
-    same_field = rows["field"].eqNullSafe(cols["field"]) & (rows["v"] == cols["v"])
-    chance = rows.join(cols, same_field).groupBy(rows["field"].alias("f")).agg(F.sum(F.col("c1") * F.col("c2")).alias("cross"))
-    seen = cells.select("field", F.explode(F.array("v1", "v2")).alias("v")).groupBy(F.col("field").alias("g")).agg(F.count_distinct("v").alias("categories"))
-    totals = cells.groupBy("field").agg(
-        F.sum("c").alias("n"), F.sum(F.when(F.col("v1") == F.col("v2"), F.col("c")).otherwise(0)).alias("same"), F.sum(F.when(norm.both_agree(F.col("v1"), F.col("v2")), F.col("c")).otherwise(0)).alias("alike")
-    )
-    out = totals.join(chance, F.col("field").eqNullSafe(F.col("f")), "left").join(seen, F.col("field").eqNullSafe(F.col("g")))
-    po, pe = F.col("same") / F.col("n"), F.coalesce(F.col("cross"), F.lit(0)) / (F.col("n") * F.col("n"))
+    # each cell as its two marginal entries; agreements are told once, with the first
+    c, none = F.col("c"), F.lit(0).cast("long")
+    first = F.struct(F.col("v1").alias("v"), c.alias("c1"), none.alias("c2"), F.when(F.col("v1") == F.col("v2"), c).otherwise(none).alias("same"), F.when(norm.both_agree(F.col("v1"), F.col("v2")), c).otherwise(none).alias("alike"))
+    second = F.struct(F.col("v2").alias("v"), none.alias("c1"), c.alias("c2"), none.alias("same"), none.alias("alike"))
+    sides = cells.select("field", F.explode(F.array(first, second)).alias("s")).select("field", "s.*")
+    margins = sides.groupBy("field", "v").agg(*[F.sum(x).alias(x) for x in ("c1", "c2", "same", "alike")])
+    out = margins.groupBy("field").agg(F.sum("c1").alias("n"), F.sum("same").alias("same"), F.sum("alike").alias("alike"), F.sum(F.col("c1") * F.col("c2")).alias("cross"), F.count("*").alias("categories"))
+    po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
     kappa = F.when((F.col("categories") == 1) | (pe == 1), F.lit(1.0)).otherwise(norm.half_even((po - pe) / (1 - pe), 4))
     return out.select("field", "n", norm.half_even(F.col("alike") / F.col("n"), 4).alias("percent_agreement"), kappa.alias("kappa"))
 
@@ -100,6 +100,37 @@ def violates(rule: str, value: Column, other: Column | None = None, low=None, hi
     return other.isNotNull() & (norm.strip(other) != "") & blank
 
 
+#: Schema of a table of rules: which field, which rule, and what the rule needs.
+RULES = "rule_id int, field string, rule string, low double, high double, pattern string, form string, other_field string"
+
+
+def violations(grid: DataFrame, rules: DataFrame) -> DataFrame:
+    """(document_id, rule_id, field, value) of each rule's violations in a grid (document_id, values), values a map.
+
+    Rules meet documents by exploding the grid's rows over the few rules of one literal; missing fields count as null.
+    """
+    listed = rules.agg(F.collect_list(F.struct(*[f.name for f in rules.schema.fields])).alias("rules"))
+    rows = grid.crossJoin(F.broadcast(listed)).select("document_id", "values", F.explode("rules").alias("r"))  # one row of a few rules
+    value, other = F.try_element_at("values", F.col("r.field")), F.try_element_at("values", F.col("r.other_field"))
+    number, blank = norm.to_number(value), value.isNull() | (norm.strip(value) == "")
+    wrong_form = F.when(F.col("r.form") == "email", ~value.contains("@")).otherwise(norm.iso_time(value).isNull())
+    broken = (
+        F.when(F.col("r.rule") == "required", blank)
+        .when(F.col("r.rule") == "range", F.coalesce(number < F.col("r.low"), F.lit(False)) | F.coalesce(number > F.col("r.high"), F.lit(False)))
+        .when(F.col("r.rule") == "regex", F.coalesce(~F.regexp_like(value, F.concat(F.lit("^(?:"), "r.pattern", F.lit(")"))), F.lit(False)))
+        .when(F.col("r.rule") == "format", F.when(blank, F.lit(False)).otherwise(F.coalesce(wrong_form, F.lit(False))))
+        .when(F.col("r.rule") == "cross_field", F.coalesce(other.isNotNull() & (norm.strip(other) != ""), F.lit(False)) & blank)
+        .otherwise(F.lit(False))
+    )
+    return rows.filter(broken).select("document_id", "r.rule_id", "r.field", value.alias("value"))
+
+
+def accuracy(compared: DataFrame, *by: str) -> DataFrame:
+    """Fields, matches and accuracy (four places, 0 without any) of `result_compare`."""
+    n, right = F.count("*"), F.count_if("matches")
+    return compared.groupBy(*by).agg(n.alias("total_fields"), right.alias("matches"), norm.half_even(F.when(n > 0, right / n).otherwise(0.0), 4).alias("accuracy"))
+
+
 def consensus(pairs: DataFrame) -> DataFrame:
     """Per document: fields, agreed (both present and equal), disputed, and the rounded percent."""
     agreed = F.count_if(norm.both_agree(F.col("v1"), F.col("v2")))

@@ -5,29 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .fixtures import oracle, view
+from .fixtures import view
 from .functions import fields, norm
 from .operators import chunks, coverage, edits, linking, tables
 from .plans import evaluate, planner, review
+from .registry import QUERIES, SQL, query  # noqa: F401
 from .streaming import messages
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 FIELDS = ["returnflag", "linestatus", "quantity"]
 
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its oracle."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = oracle(sql)
-        return f
-
-    return put
-
-
 #: Long rows of the latest manual results, from the columns rather than the JSON text.
 MANUAL = """
 WITH m AS (SELECT document_id, reviewer_role, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM fx_results WHERE extraction_type = 'manual'),
@@ -113,9 +100,9 @@ def visible_documents(spark, sf_dir):
     return tables.visible(view(spark, sf_dir, "fx_documents"), mine).select("document_id", "project_id", "filename")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'th')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')")
 def search_ilike(spark, sf_dir):
-    return tables.search(view(spark, sf_dir, "part"), "p_name", "TH").select("p_partkey", "p_name")
+    return tables.search(view(spark, sf_dir, "part"), "p_name", "RiNg").select("p_partkey", "p_name")
 
 
 @query("""SELECT k, job_id, status FROM (SELECT CAST(json_extract_string(input_data, '$.k') AS VARCHAR) AS k, job_id, status,
@@ -234,12 +221,6 @@ def auto_complete(spark, sf_dir):
     return coverage.complete(results.select("document_id", F.col("l_returnflag").alias("item")), results.select(F.col("l_returnflag").alias("item")).distinct(), "document_id", "item")
 
 
-@query("SELECT ord, term FROM fx_terms WHERE contains(lower(term), 'the') OR contains(lower(synonym), 'steel') ORDER BY ord LIMIT 40")
-def vocabulary_search(spark, sf_dir):
-    hit = F.lower("term").contains("the") | F.lower("synonym").contains("steel")
-    return view(spark, sf_dir, "fx_terms").filter(hit).orderBy("ord").limit(40).select("ord", "term")
-
-
 @query("""SELECT ord, term, src FROM (SELECT *, row_number() OVER (PARTITION BY lower(term) ORDER BY src, ord) AS rn FROM (SELECT ord, term, 0 AS src FROM fx_terms WHERE ord % 2 = 0
 UNION ALL SELECT ord, upper(term), 1 FROM fx_terms)) WHERE rn = 1""")
 def vocabulary_merge(spark, sf_dir):
@@ -253,11 +234,6 @@ def content_duplicates(spark, sf_dir):
     return hashed.filter("copies > 1")
 
 
-@query("SELECT doc_id, item_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start_char, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS BIGINT) AS end_char FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
-def locate_exact(spark, sf_dir):
-    return linking.locate_exact(view(spark, sf_dir, "documents"), view(spark, sf_dir, "benchmark"))
-
-
 @query("""WITH t AS (SELECT conv_id, turn, length(text) + 1 AS n FROM conversations)
 SELECT conv_id AS document_id, turn AS page, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char,
 CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n - 1 AS BIGINT) AS end_char FROM t""")
@@ -265,31 +241,11 @@ def page_boundaries(spark, sf_dir):
     return linking.page_offsets(view(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("SELECT turn AS page, count(*)::BIGINT AS n_entries, count(DISTINCT conv_id)::BIGINT AS n_documents, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
-def page_index(spark, sf_dir):
-    return view(spark, sf_dir, "conversations").groupBy(F.col("turn").alias("page")).agg(F.count("*").alias("n_entries"), F.count_distinct("conv_id").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
-
-
 @query("SELECT * FROM (SELECT conv_id AS document_id, turn AS chunk_no, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_no, CAST(length(text) + lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) + 1 AS BIGINT) AS pair_chars FROM conversations) WHERE next_no = chunk_no + 1")
 def chunk_pairs(spark, sf_dir):
     return linking.chunk_pairs(view(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("""WITH e AS (SELECT document_id, slot, l_returnflag AS ef, l_linestatus AS es FROM fx_results WHERE slot IN (1, 3)),
-m AS (SELECT a.document_id, a.ef AS x1, b.ef AS y1, a.es AS x2, b.es AS y2 FROM e a JOIN e b ON a.document_id = b.document_id AND a.slot = 1 AND b.slot = 3)
-SELECT 'returnflag' AS field, count(*)::BIGINT AS n, count(*) FILTER (WHERE x1 = y1)::BIGINT AS matched, count(*) FILTER (WHERE x1 <> y1)::BIGINT AS incorrect FROM m
-UNION ALL SELECT 'linestatus', count(*)::BIGINT, count(*) FILTER (WHERE x2 = y2)::BIGINT, count(*) FILTER (WHERE x2 <> y2)::BIGINT FROM m""")
-def field_counts(spark, sf_dir):
-    values = fields.field_values(view(spark, sf_dir, "fx_results").filter("slot in (1, 3)"), "document_id", "slot").filter("field <> 'quantity'")
-    return evaluate.field_counts(values.filter("slot = 1").drop("slot"), values.filter("slot = 3").drop("slot"))
-
-
-@query(None)
-def record_metrics(spark, sf_dir):
-    results = view(spark, sf_dir, "fx_results").select("document_id", "slot", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").alias("q"))
-    return evaluate.record_metrics(results.filter("slot % 2 = 1").drop("slot"), results.filter("slot % 2 = 0").drop("slot"), "document_id", ["l_returnflag", "l_linestatus", "q"])
-
-
 @query("""SELECT event_id, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN lower(trim(props)) IN ('nr', 'not reported') THEN 'nr' WHEN json_valid(props) THEN 'substantive' ELSE 'invalid_json' END AS kind,
 CASE WHEN json_valid(props) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM events""")
 def extraction_quality(spark, sf_dir):
@@ -304,7 +260,7 @@ def call_stats(spark, sf_dir):
 @query("""SELECT call_id, model, CAST(total_tokens AS BIGINT) AS tokens, CAST(sum(total_tokens) OVER (PARTITION BY model ORDER BY ts, call_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM fx_call_log""")
 def cost_running(spark, sf_dir):
     calls = view(spark, sf_dir, "fx_call_log").select("call_id", "model", F.col("total_tokens").cast("long").alias("tokens"), "ts")
-    return tables.running_total(calls, "tokens", ["model"], [F.asc("ts"), F.asc("call_id")], "running").drop("ts")
+    return tables.running_total(calls, "tokens", ["model"], [F.asc("ts"), F.asc("call_id")], "running", F.date_trunc("hour", "ts")).drop("ts")
 
 
 @query("SELECT job_id, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS back FROM fx_messages) WHERE back <= 3")
@@ -315,7 +271,7 @@ def replay_last_n(spark, sf_dir):
 @query("""WITH r AS (SELECT document_id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY document_id) AS done, count(*) OVER (PARTITION BY project_id) AS n FROM fx_documents)
 SELECT project_id, document_id, CAST(floor(done * 100.0 / n) AS BIGINT) AS pct FROM r WHERE floor(floor(done * 100.0 / n) / 10) <> floor(floor((done - 1) * 100.0 / n) / 10)""")
 def progress_steps(spark, sf_dir):
-    return messages.progress_steps(view(spark, sf_dir, "fx_documents"), "project_id", "document_id")
+    return messages.progress_steps(view(spark, sf_dir, "fx_documents"), "project_id", "document_id", F.floor(F.col("document_id") / 10_000))
 
 
 @query("""SELECT job_id, status FROM fx_jobs WHERE status IN ('pending', 'processing') AND created_at < (SELECT max(created_at) FROM fx_jobs) - INTERVAL 3900 SECOND""")
@@ -383,11 +339,6 @@ def assignment_progress(spark, sf_dir):
     return view(spark, sf_dir, "fx_assignments").groupBy("reviewer_role").agg(F.count("*").alias("total"), norm.half_even(done, 1).alias("pct"))
 
 
-@query(None)
-def locate_fuzzy(spark, sf_dir):
-    return chunks.locate_rough(view(spark, sf_dir, "documents"), view(spark, sf_dir, "benchmark"))
-
-
 @query(None)
 def chunk_tables(spark, sf_dir):
     return chunks.chunks(view(spark, sf_dir, "documents")).drop("text")
@@ -417,18 +368,6 @@ def event_sessions(spark, sf_dir):
     return messages.sessions(view(spark, sf_dir, "events"), "ts", "10 minutes", "event_type")
 
 
-@query("""SELECT result_pages.document_id, p.page FROM (SELECT conv_id AS document_id, CAST(length(text) AS INT) + 3 AS off FROM conversations WHERE turn = 0) result_pages
-JOIN (SELECT conv_id, turn AS page, coalesce(sum(length(text) + 1) OVER w, 0) AS a, coalesce(sum(length(text) + 1) OVER w, 0) + length(text) AS b FROM conversations
-WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) p ON p.conv_id = result_pages.document_id AND off >= a AND off < b""")
-def page_of_offset(spark, sf_dir):
-    talk = view(spark, sf_dir, "conversations")
-    pages = linking.page_offsets(talk, "conv_id", "turn", "text").withColumn("hit", F.struct("page", "start_char", "end_char"))
-    maps = pages.groupBy("document_id").agg(F.array_sort(F.collect_list("hit")).alias("pages"))
-    wanted = talk.filter("turn = 0").select(F.col("conv_id").alias("document_id"), (F.length("text") + 3).alias("off"))
-    inside = F.exists("pages", lambda p: (p["start_char"] <= F.col("off")) & (F.col("off") < p["end_char"]))
-    return wanted.join(maps, "document_id").filter(inside).select("document_id", linking.page_of(F.col("pages"), F.col("off")).alias("page"))
-
-
 @query("""SELECT document_id, slot, CASE WHEN document_id % 7 = 0 THEN 'X' ELSE l_returnflag END AS returnflag, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS quantity FROM fx_results""")
 def bulk_edit(spark, sf_dir):
     results = view(spark, sf_dir, "fx_results").select("document_id", "slot", "extracted_data")
@@ -494,14 +433,6 @@ def unread_counts(spark, sf_dir):
     return read.groupBy("user_id").agg(F.count_if(~F.col("read")).alias("unread"), F.count_if("read").alias("seen"))
 
 
-@query("""SELECT form_id, document_id FROM (SELECT d.form_id, d.document_id, processing_status, max(CASE WHEN processing_status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY d.form_id, d.project_id) AS any_failed FROM fx_documents d)
-WHERE any_failed = 0 OR processing_status = 'failed'""")
-def retry_set(spark, sf_dir):
-    failed = F.col("processing_status") == "failed"
-    any_failed = F.max(failed).over(Window.partitionBy("form_id", "project_id"))
-    return view(spark, sf_dir, "fx_documents").withColumn("any_failed", any_failed).filter(~F.col("any_failed") | failed).select("form_id", "document_id")
-
-
 @query("""SELECT l_returnflag AS field, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS incorrect, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS missing,
 round_even((sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) * 100.0 / count(*))::DOUBLE, 2) + 0.0::DOUBLE AS incorrect_pct FROM fx_results GROUP BY 1 ORDER BY incorrect + missing DESC, field LIMIT 2""")
 def worst_fields(spark, sf_dir):
@@ -526,7 +457,4 @@ def job_targets(spark, sf_dir):
     return failed.union(others)
 
 
-@query("SELECT event_id, CASE WHEN value IS NULL THEN '—' WHEN length(props) > 8 THEN substr(props, 1, 8) ELSE props END AS shown FROM events")
-def display_values(spark, sf_dir):
-    shown = F.when(F.col("value").isNull(), "—").when(F.length("props") > 8, F.substring("props", 1, 8)).otherwise(F.col("props"))
-    return view(spark, sf_dir, "events").select("event_id", shown.alias("shown"))
+from . import catalog  # noqa: E402, F401  registers the queries of its modules

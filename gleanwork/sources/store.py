@@ -83,3 +83,50 @@ def append_calls(calls: DataFrame, path: str) -> None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
     new.write.mode("append").parquet(path)
+
+
+def list_results(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """(name, bytes, modified) of the cached result files in a folder, the newest first."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    rows = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return rows.orderBy(F.desc("modified"), "name")
+
+
+def sample_records(records: DataFrame, key: str, most: int = 5, seed: str = "sample") -> DataFrame:
+    """Up to `most` records, the same in every run."""
+    return records.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key).limit(most)
+
+
+CALLS = "call_hash string, model string, prompt_tokens long, completion_tokens long, cost double, ts timestamp"
+
+
+def read_calls(spark: SparkSession, path: str) -> DataFrame:
+    """Call history from CSV files with a header."""
+    return spark.read.csv(path, header=True, schema=CALLS, enforceSchema=False)
+
+
+def read_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """(schema, field, kind) from the field mappings of a folder: schema_*/field_mapping.json, objects of a name and a type."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "field_mapping.json").option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("schema"), F.from_json(F.decode("content", "UTF-8"), "map<string,string>").alias("fields"))
+    return named.select("schema", F.explode("fields").alias("field", "kind"))
+
+
+def stamped(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """`rows` with updated_at, the time of the write."""
+    return rows.withColumn("updated_at", F.current_timestamp() if now is None else now)
+
+
+def export_one_csv(values: DataFrame, keys: list[str], header: list[str], path: str) -> None:
+    """One row a key under a given header, the first record's keys in their order; other fields are left out."""
+    out = values.filter(F.col("field").isin(*header)).groupBy(*keys).pivot("field", header).agg(F.first("value")).fillna("", subset=header)
+    out.select(*keys, *header).coalesce(1).write.mode("overwrite").csv(path, header=True)  # one small file
+
+
+def evaluation_rows(details: DataFrame, key: str) -> DataFrame:
+    """(pair, classification, side, value) of evaluation details: a true positive is two rows of one pair, the others are one."""
+    true = F.col("classification") == "TP"
+    sides = F.when(true, F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("value")) for s in ("extracted", "truth")]))
+    sides = sides.when(F.col("classification") == "FN", F.array(F.struct(F.lit("truth").alias("side"), F.col("truth").alias("value"))))
+    sides = sides.otherwise(F.array(F.struct(F.lit("extracted").alias("side"), F.col("extracted").alias("value"))))
+    return details.select(F.col(key).alias("pair"), "classification", F.inline(sides))

@@ -3,25 +3,48 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered
+
 #: Circuit breaker: failures in a row that open it, seconds until it is tried again, successes that close it. Fixed values.
 FAILURES, COOL_S, SUCCESSES = 3, 60, 2
 #: Seconds after which a running job counts as stuck: its limit and the sweep's interval. Fixed values.
 STUCK_S = 3600 + 300
 
 
-def replay(messages: DataFrame, key: str, order: str, n: int = 100) -> DataFrame:
+#: Messages that a replay holds, and seconds that they live; seconds of silence after which a heartbeat goes out. Fixed values.
+REPLAYED, ALIVE_S, SILENCE_S = 100, 3600, 30
+
+
+def replay(messages: DataFrame, key: str, order: str, n: int = REPLAYED) -> DataFrame:
     """The last n messages of each key."""
     back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return messages.withColumn("_back", back).filter(F.col("_back") <= n).drop("_back")
 
 
-def progress_steps(items: DataFrame, by: str, order: str) -> DataFrame:
-    """(by, order, pct) of the items at which the percent done enters another ten."""
-    w = Window.partitionBy(by)
-    ranked = items.select(by, order).withColumn("done", F.row_number().over(w.orderBy(order))).withColumn("n", F.count("*").over(w))
+def alive(messages: DataFrame, ts: str, now: Column, seconds: int = ALIVE_S) -> DataFrame:
+    """Messages that a replay still holds at `now`."""
+    return messages.filter(F.col(ts) > now - F.expr(f"interval {seconds} seconds"))
+
+
+def heartbeats(messages: DataFrame, key: str, ts: str, order: str, every: int = SILENCE_S) -> DataFrame:
+    """(key, order, beats): how many heartbeats went out in the silence before each message; messages without any are left out."""
+    before = F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(Window.partitionBy(key).orderBy(ts, order))
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - before) / 1e6
+    return messages.select(key, order, F.floor(gap / every).cast("long").alias("beats")).filter("beats > 0")
+
+
+def publish(messages: DataFrame, path: str, checkpoint: str):
+    """Append a stream of job messages, as JSON, to a folder that a subscriber reads; started, to be stopped by the caller."""
+    return messages.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def progress_steps(items: DataFrame, by: str, order: str, block: Column | None = None) -> DataFrame:
+    """(by, order, pct) of the items at which the percent done enters another ten; `block` as in `running_total`."""
+    ranked = numbered(items.select(by, order), [by], [F.asc(order)], "done", block)
+    ranked = ranked.join(items.groupBy(by).agg(F.count("*").alias("n")), by)
     pct, before = F.floor(F.col("done") * 100.0 / F.col("n")), F.floor((F.col("done") - 1) * 100.0 / F.col("n"))
     return ranked.filter(F.floor(pct / 10) != F.floor(before / 10)).select(by, order, pct.alias("pct"))
 
@@ -53,6 +76,9 @@ def step(state: tuple[str, int, int, float], at: float, limited: bool) -> tuple[
     return name, 0, successes, opened
 
 
+START = ("CLOSED", 0, 0, 0.0)
+
+
 def _walk(rows: pd.DataFrame, state):
     out = []
     for ts, call, limited in zip(rows["ts"], rows["call_id"], rows["rate_limited"]):
@@ -67,20 +93,43 @@ COLUMNS = ["call_id", "before", "after"]
 
 
 def breaker(calls: DataFrame) -> DataFrame:
-    """(model, call_id, before, after): each change of a model's breaker, in call order. One group is one model's log."""
+    """(model, call_id, before, after): each change of a model's breaker, in call order.
+
+    A breaker's state follows from all calls before, so a model's calls stay in one task; they come sorted and in
+    batches, of which a task holds one and the state.
+    """
+
+    def run(frames):
+        now, state = None, START
+        for rows in frames:
+            out = []
+            for model, part in rows.groupby("model", sort=False, dropna=False):
+                if model != now:
+                    now, state = model, START
+                state, changes = _walk(part, state)
+                out.extend((model, *c) for c in changes)
+            yield pd.DataFrame(out, columns=["model", *COLUMNS])
+
+    dealt = calls.select("model", "ts", "call_id", "rate_limited").repartition("model").sortWithinPartitions("model", "ts", "call_id")
+    return dealt.mapInPandas(run, "model string, call_id long, before string, after string")
+
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, out = _walk(rows.sort_values(["ts", "call_id"]), ("CLOSED", 0, 0, 0.0))
-        return pd.DataFrame(out, columns=COLUMNS).assign(model=key[0])
+def candidates(states: DataFrame, now: Column) -> DataFrame:
+    """(model, place) of the models that a call may try: closed breakers first, half-open ones, then open ones that have cooled; each by `rank`.
 
-    return calls.groupBy("model").applyInPandas(one, "call_id long, before string, after string, model string").select("model", *COLUMNS)
+    `states` are (model, rank, state, opened_at).
+    """
+    cooled = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("opened_at").cast("timestamp"))) / 1e6 >= COOL_S
+    tier = F.when(F.col("state") == "CLOSED", 0).when(F.col("state") == "HALF_OPEN", 1).when((F.col("state") == "OPEN") & cooled, 2)
+    order = Window.partitionBy().orderBy("tier", "rank")  # a short list
+    return states.withColumn("tier", tier).filter("tier is not null").select("model", F.row_number().over(order).alias("place"))
 
 
 def breaker_stream(calls: DataFrame) -> DataFrame:
     """The same over a stream of calls, with the breaker kept as state; batches must come in time order."""
 
     def one(key, frames, state):
-        now = state.get if state.exists else ("CLOSED", 0, 0, 0.0)
+        now = state.get if state.exists else START
         rows = pd.concat(list(frames)).sort_values(["ts", "call_id"])
         now, out = _walk(rows, tuple(now))
         state.update(now)
