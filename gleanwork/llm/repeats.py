@@ -8,10 +8,11 @@ where they differ and ending where one row is left. Common lengths so come in in
 
 To run it on many machines, strings that can match must meet. Every window of MIN_LENGTH bytes has one
 anchor, its smallest hashed ANCHOR-byte piece (leftmost of equals), so equal windows have equal anchors.
-A context is a maximal run of windows with one anchor. Contexts are counted by (anchor, context) hashes:
-a context seen twice is repeated as a whole; anchors seen in several different contexts have one copy of
-each context's bytes brought together and expanded as above. An anchor with over MOST_CONTEXTS different
-contexts is split further, by the bytes to the left or right that its windows must share, until small.
+A context is a maximal run of windows with one anchor. Of contexts that agree in their anchor's and their own hash
+the bytes of two copies (the first and the last) are brought together, of others those of their one copy, and all of
+one anchor are expanded as above: every removed byte comes from an interval, and what the first copy of a context
+repeats, all its copies do. An anchor with over MOST_CONTEXTS contexts is split further, by the bytes to the left or
+right that its windows must share, until small.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, stored, table
+from .common import discard, join_small, stored, table
 from .minhash import _P, _powers, mix
 
 MIN_LENGTH, ANCHOR = 400, 16
@@ -175,34 +176,35 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.nda
 
 
 def expand(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, start, stop): runs of repeated windows of contexts that are alone as a whole, anchor by anchor."""
-    made = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    """(doc_id, th, n, key0, context, base, start, stop): runs of repeated windows, anchor by anchor."""
+    made = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "th", "n", "key0", "context")], *[(c, pa.int32()) for c in ("base", "start", "stop")]])
+
+    carried = ("doc_id", "th", "n", "key0", "context", "base", "start", "width", "bytes")
 
     def solve(rows):
-        sizes = np.array([len(r[4]) for r in rows])
-        base = np.cumsum(sizes) - sizes
-        widths = np.array([r[3] for r in rows])
+        doc, th, n, key0, context, base, start, width, raw = zip(*rows)
+        sizes, widths = np.array([len(x) for x in raw]), np.array(width)
+        at = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(rows)), widths)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(widths) - widths, widths)
-        hits = repeated_starts(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), base[owner] + inner, length)
-        single = np.array([r[5] == 1 for r in rows])
-        hits = hits[single[owner[hits]]]
+        hits = repeated_starts(np.frombuffer(b"".join(raw), np.uint8), at[owner] + inner, length)
         if not len(hits):
             return None
         cut = np.flatnonzero(np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(owner[hits]) != 0)]))
         a, b = hits[cut], hits[np.append(cut[1:], len(hits)) - 1]
         who = owner[a]
-        begin = np.array([r[2] for r in rows])[who]
-        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in who], pa.int64()), pa.array([rows[i][1] for i in who], pa.int64()), pa.array((begin + inner[a]).astype(np.int32)), pa.array((begin + inner[b] + length).astype(np.int32))], schema=made)
+        begin = np.array(start)[who]
+        same = [[values[i] for i in who] for values in (doc, th, n, key0, context, base)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*same, (begin + inner[a]).astype(np.int32), (begin + inner[b] + length).astype(np.int32)], made)], schema=made)
 
     def run(batches):
         rows, group, size, now = [], [], 0, None
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "th", "start", "width", "bytes", "n"))):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *carried))):
                 if key != now:
                     if len(group) > 1:
                         rows += group
-                        size += sum(len(r[4]) for r in group)
+                        size += sum(len(r[-1]) for r in group)
                     group, now = [], key
                     if size >= TEXT:
                         if (out := solve(rows)) is not None:
@@ -213,11 +215,14 @@ def expand(contexts: DataFrame, length: int) -> DataFrame:
         if rows and (out := solve(rows)) is not None:
             yield out
 
-    dealt = contexts.select("key", "doc_id", "th", "start", "width", "bytes", "n").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc_id long, th long, start int, stop int")
+    dealt = contexts.select("key", *carried).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, RUNS)
 
 
-CONTEXT = "doc_id long, th long, key long, n long, start int, width int, u int, v int, bytes binary"
+#: Runs that are repeated: of which context (key0, context), where that begins (base), and how often it was seen (n).
+RUNS = "doc_id long, th long, n long, key0 long, context long, base int, start int, stop int"
+CONTEXT = "doc_id long, th long, key long, n long, key0 long, context long, base int, start int, width int, u int, v int, bytes binary"
+FIELDS = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in CONTEXT.split(", ")]
 
 
 def split(contexts: DataFrame, length: int) -> DataFrame:
@@ -230,16 +235,15 @@ def split(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for doc, th, key, n, start, width, u, v, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "key", "n", "start", "width", "u", "v", "bytes"))):
+            for doc, th, key, n, key0, context, base, start, width, u, v, raw in zip(*(batch.column(c).to_pylist() for c, _ in FIELDS)):
                 rest = length - (v - u)
                 half = -(-rest // 2)
                 cut = u - half  # windows up to here reach `half` further left
                 for lo, hi, a, b, side in ((0, min(width - 1, cut), u - half, v, b"l"), (max(0, cut + 1), width - 1, u, v + rest - half + 1, b"r")):
                     if lo <= hi:
                         new = hashlib.blake2b(side + key.to_bytes(8, "big", signed=True) + raw[a:b], digest_size=8).digest()
-                        out.append((doc, th, int.from_bytes(new, "big", signed=True), n, start + lo, hi - lo + 1, a - lo, b - lo, raw[lo : hi + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)], names=["doc_id", "th", "key", "n", "start", "width", "u", "v", "bytes"])
+                        out.append((doc, th, int.from_bytes(new, "big", signed=True), n, key0, context, base, start + lo, hi - lo + 1, a - lo, b - lo, raw[lo : hi + length]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [()] * len(FIELDS), FIELDS)], names=[c for c, _ in FIELDS])
 
     return contexts.mapInArrow(run, CONTEXT)
 
@@ -251,13 +255,14 @@ def crowded(contexts: DataFrame, most: int) -> DataFrame:
 def covered(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS) -> DataFrame:
     """(doc_id, th, start, stop) of documents (doc_id, th, text): byte runs whose windows start elsewhere too; may overlap."""
     windows = stored(context_table(docs, length))
-    found = windows.groupBy("key", "context").agg(F.sum(F.size("starts")).alias("n"), F.min(F.struct("doc_id", "th", F.col("starts")[0].alias("start"), "width", "left")).alias("at"))
-    found = stored(found.select("key", "context", "n", "at.*"))
-    again = found.filter("n > 1").select("key", "context")
-    whole = windows.join(again, ["key", "context"]).select("doc_id", "th", F.explode("starts").alias("start"), "width")
-    whole = whole.select("doc_id", "th", "start", (F.col("start") + F.col("width") + length - 1).alias("stop"))
-    several = found.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("key")
-    wanted = found.join(several, "key").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "n", "start", "width", "left")).alias("wanted"))
+    copy = lambda at: F.struct("doc_id", "th", F.element_at("starts", at).alias("start"), "width", "left")
+    found = windows.groupBy("key", "context").agg(F.sum(F.size("starts")).alias("n"), F.min(copy(1)).alias("first"), F.max(copy(-1)).alias("last"))
+    found = stored(found)
+    # an anchor with one context that was seen once repeats nothing
+    several = found.groupBy("key").agg(F.sum(F.least("n", F.lit(2))).alias("copies")).filter("copies > 1").select("key")
+    both = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
+    wanted = found.join(several, "key").select("key", "context", "n", F.explode(both).alias("at")).select("key", "context", "n", "at.*")
+    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "n", "context", "start", "width", "left")).alias("wanted"))
     wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "wanted")
 
     def cut(batches):
@@ -265,9 +270,8 @@ def covered(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS
             out = []
             for doc, th, zipped, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "zipped", "wanted"))):
                 raw = unzip(zipped)
-                out.extend((doc, th, r["key"], r["n"], r["start"], r["width"], r["left"], r["left"] + ANCHOR, raw[r["start"] : r["start"] + r["width"] + length - 1]) for r in rows)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 9, kinds)], names=["doc_id", "th", "key", "n", "start", "width", "u", "v", "bytes"])
+                out.extend((doc, th, r["key"], r["n"], r["key"], r["context"], r["start"], r["start"], r["width"], r["left"], r["left"] + ANCHOR, raw[r["start"] : r["start"] + r["width"] + length - 1]) for r in rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [()] * len(FIELDS), FIELDS)], names=[c for c, _ in FIELDS])
 
     # of rows repeated under one id and text, one is enough
     full = packed(docs)
@@ -277,18 +281,26 @@ def covered(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS
     while True:
         hot = crowded(contexts, most)
         if hot.isEmpty():
-            parts.append(expand(contexts, length))
+            parts.append(stored(expand(contexts, length)))
             break
         marked = join_small(contexts, hot, "key")
-        parts.append(expand(marked.filter("crowd is null").drop("crowd"), length))
+        parts.append(stored(expand(marked.filter("crowd is null").drop("crowd"), length)))
         mine = marked.filter("crowd is not null").drop("crowd")
         # windows that are equal as a whole need no further look
-        parts.append(mine.filter((F.col("v") - F.col("u") >= length) & (F.col("n") == 1)).select("doc_id", "th", "start", (F.col("start") + F.col("width") + length - 1).alias("stop")))
-        contexts = stored(split(mine.filter(F.col("v") - F.col("u") < length), length))
-    out = whole
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+        equal = mine.filter(F.col("v") - F.col("u") >= length)
+        parts.append(stored(equal.select("doc_id", "th", "n", "key0", "context", "base", "start", (F.col("start") + F.col("width") + length - 1).alias("stop"))))
+        rest = stored(split(mine.filter(F.col("v") - F.col("u") < length), length))
+        discard(contexts)
+        contexts = rest
+    discard(contexts)
+    runs = parts[0]
+    for part in parts[1:]:
+        runs = runs.unionByName(part)
+    alone = runs.filter("n = 1").select("doc_id", "th", "start", "stop")
+    # what a context's copies repeat, all its occurrences do
+    spread = runs.filter("n > 1").select(F.col("key0").alias("key"), "context", (F.col("start") - F.col("base")).alias("_from"), (F.col("stop") - F.col("base")).alias("_to")).distinct()
+    again = windows.join(spread, ["key", "context"]).select("doc_id", "th", F.explode("starts").alias("at"), "_from", "_to")
+    return alone.unionByName(again.select("doc_id", "th", (F.col("at") + F.col("_from")).alias("start"), (F.col("at") + F.col("_to")).alias("stop")))
 
 
 def keep_rest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -309,7 +321,8 @@ def keep_rest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes
 def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of documents (doc_id, text); kept is bytes, as cuts may split a character.
 
-    Null and short texts stay whole. Rows repeated under one id repeat each other. An empty table stays empty.
+    Null and short texts stay whole; of long ones every byte counts. Rows repeated under one id repeat each other; a
+    null id is an id. An empty table stays empty. Other columns of `docs`, whatever their names, are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -333,5 +346,6 @@ def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
+    """What 400-byte repeats take from each of all `documents`: see `without_repeats` for the awkward rows."""
     rest = without_repeats(table(spark, sf_dir, "documents"))
     return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
