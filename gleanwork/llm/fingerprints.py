@@ -112,6 +112,10 @@ def next_rows(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all `documents` and of their edited texts: see `group_exact` and `next_rows` for the awkward rows.
+
+    Null texts are empty ones; equal texts, repeated rows too, have equal fingerprints.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     pairs = next_rows(docs, ["text"])
     n = F.length("text")

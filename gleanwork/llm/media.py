@@ -4,7 +4,8 @@
 an ID3v2 tag, a Xing frame with the frame count, byte count and seek table, then full frames of the
 highest bit rate and a last one of the lowest rate that holds the rest. `probe_audio` takes any bytes:
 it skips tags, looks for the next header whose successor is a header too (so it finds its way back after
-junk), checks each frame's CRC, and reports exact sample counts and the offset of every frame.
+junk), checks the CRC of each frame of any layer, and reports exact sample counts and the offset of every frame.
+Streams of free format take the distance between their first two headers as the frame size.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,12 @@ RATES = {
 HERTZ = {1.0: (44100, 48000, 32000), 2.0: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 
+#: Bits of the allocation of each subband in Layer II, by table: two for low sampling rates and four by rate and sampling.
+ALLOCATION = {"low": (4,) * 4 + (3,) * 7 + (2,) * 19, "a": (4,) * 11 + (3,) * 12 + (2,) * 4, "b": (4,) * 11 + (3,) * 12 + (2,) * 7, "c": (4,) * 2 + (3,) * 6, "d": (4,) * 2 + (3,) * 10}
+
 HEADER, CRC, SIDE = 4, 2, 17
+#: Most bytes that a frame of free format is looked through for its successor.
+FREE = 8192
 #: Rows an output batch holds: bounds what a task keeps of the stored bytes.
 ROWS = 256
 
@@ -58,18 +65,23 @@ def crc16(data: bytes) -> int:
 
 
 @lru_cache(maxsize=4096)
-def header(raw: bytes) -> tuple[int, int, int, int, bool, float, int] | None:
-    """(frame bytes, samples, hertz, side-information bytes, has CRC, version, layer) of four header bytes, or None."""
+def header(raw: bytes, free: int = 0) -> tuple[int, int, int, int, bool, float, int] | None:
+    """(frame bytes, samples, hertz, side-information bytes, has CRC, version, layer) of four header bytes, or None.
+
+    `free` is the size of an unpadded frame where the header leaves the rate open (free format); 0: such headers are none.
+    """
     if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
         return None
     version = {0: 2.5, 2: 2.0, 3: 1.0}.get((raw[1] >> 3) & 3)
     layer = {1: 3, 2: 2, 3: 1}.get((raw[1] >> 1) & 3)
     rate, hz, pad = raw[2] >> 4, (raw[2] >> 2) & 3, (raw[2] >> 1) & 1
-    if version is None or layer is None or rate in (0, 15) or hz == 3:
+    if version is None or layer is None or rate == 15 or rate == 0 and not free or hz == 3:
         return None
     family = 1 if version == 1.0 else 2
     bits, hertz, samples = RATES[family, layer][rate] * 1000, HERTZ[version][hz], SAMPLES[family, layer]
     size = (12 * bits // hertz + pad) * 4 if layer == 1 else samples // 8 * bits // hertz + pad
+    if rate == 0:
+        size = free + pad * (4 if layer == 1 else 1)
     mono = raw[3] >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if family == 1 else (9 if mono else 17)
     return size, samples, hertz, side, not raw[1] & 1, version, layer
@@ -143,12 +155,29 @@ def skip_tags(data: bytes) -> tuple[int, int, dict[str, str], list[str]]:
     return first, end, texts, kinds
 
 
+def free_size(data: bytes, at: int, end: int) -> int:
+    """Size without padding of the frame of free format at `at`, by its distance to the next header like it; 0 if there is none."""
+    raw = data[at : at + HEADER]
+    if not header(raw, 1) or raw[2] >> 4:
+        return 0
+    step, limit = at + HEADER, min(end, at + FREE)
+    while (step := data.find(raw[:2], step, limit)) >= 0:
+        near = data[step : step + HEADER]
+        if len(near) == HEADER and near[2] & 0xFC == raw[2] & 0xFC:
+            return step - at - (raw[2] >> 1 & 1) * (4 if header(raw, 1)[6] == 1 else 1)
+        step += 1
+    return 0
+
+
 def frames(data: bytes, at: int, end: int):
     """(offset, header) of each frame; a header counts when another follows it, or the end does, or it is in step."""
-    in_step = False
+    in_step, free = False, 0
     while at + HEADER <= end:
-        h = header(data[at : at + 4])
-        if h and at + h[0] <= end and (in_step or at + h[0] == end or header(data[at + h[0] : at + h[0] + 4])):
+        h = header(data[at : at + 4], free)
+        if not h and not free and data[at] == 0xFF and (size := free_size(data, at, end)):
+            h = header(data[at : at + 4], size)
+            free = size if h and at + h[0] <= end else 0
+        if h and at + h[0] <= end and (in_step or at + h[0] == end or header(data[at + h[0] : at + h[0] + 4], free)):
             yield at, h
             at += h[0]
             in_step = True
@@ -159,6 +188,36 @@ def frames(data: bytes, at: int, end: int):
             return
 
 
+def protected_bits(head: bytes, body: bytes) -> int:
+    """How many bits after the CRC it covers, in a frame of Layer I or II: the allocation, and in Layer II the scale factor choices."""
+    _, _, hertz, _, _, version, layer = header(head, 1)
+    mode, bound = head[3] >> 6, ((head[3] >> 4 & 3) + 1) * 4
+    channels = 1 if mode == 3 else 2
+    if layer == 1:
+        table_ = (4,) * 32
+    else:
+        kbits = RATES[1 if version == 1.0 else 2, 2][head[2] >> 4] / channels
+        name = "low" if version != 1.0 else "a" if hertz == 48000 and kbits >= 56 or 56 <= kbits <= 80 else "b" if hertz != 48000 and kbits >= 96 else "c" if hertz != 32000 and kbits <= 48 else "d"
+        table_ = ALLOCATION[name]
+    bits, size, at, chosen = int.from_bytes(body, "big"), len(body) * 8, 0, 0
+    for band, n in enumerate(table_):
+        shared = mode == 1 and band >= bound  # joint stereo: one allocation for both channels above the bound
+        for _ in range(1 if shared else channels):
+            value = bits >> max(0, size - at - n) & ((1 << n) - 1)
+            at += n
+            chosen += (value > 0) * (channels if shared else 1)
+    return at + (2 * chosen if layer == 2 else 0)
+
+
+def crc_bits(data: bytes, n: int) -> int:
+    """CRC of the first n bits."""
+    c = crc16(data[: n // 8])
+    for i in range(n // 8 * 8, n):
+        bit = data[i // 8] >> (7 - i % 8) & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
 def vbr_table(data: bytes, at: int, h) -> dict | None:
     """What a Xing, Info or VBRI table in the frame at `at` says: kind, frames, bytes, toc."""
     for skip in (HEADER + h[3], HEADER + CRC + h[3]):
@@ -172,7 +231,9 @@ def vbr_table(data: bytes, at: int, h) -> dict | None:
             return out
     p = at + HEADER + 32
     if data[p : p + 4] == b"VBRI":
-        return {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big"), "toc": []}
+        entries, scale, size, _ = (int.from_bytes(data[p + i : p + i + 2], "big") for i in (18, 20, 22, 24))
+        lengths = [int.from_bytes(data[p + 26 + i * size : p + 26 + (i + 1) * size], "big") * scale for i in range(entries)] if 1 <= size <= 4 else []
+        return {"kind": "VBRI", "bytes": int.from_bytes(data[p + 10 : p + 14], "big"), "frames": int.from_bytes(data[p + 14 : p + 18], "big"), "toc": list(accumulate(lengths))}
     return None
 
 
@@ -184,11 +245,16 @@ def parse(data: bytes) -> dict:
         size, n, hz, side, has_crc, _, layer = h
         skipped, expected = skipped + at - expected, at + size
         start = at + HEADER + CRC * has_crc
-        if has_crc and layer == 3:
-            good = crc16(data[at + 2 : at + 4] + data[start : start + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if has_crc:
+            if layer == 3:
+                found = crc16(data[at + 2 : at + 4] + data[start : start + side])
+            else:
+                body_ = data[start : min(at + size, start + 64)]
+                found = crc_bits(data[at + 2 : at + 4] + body_, 16 + min(protected_bits(data[at : at + 4], body_), 8 * len(body_)))
+            good = found == int.from_bytes(data[at + 4 : at + 6], "big")
             ok, bad = ok + good, bad + (not good)
-        if not offsets and table_ is None and (found := vbr_table(data, at, h)):
-            table_ = found  # this frame holds the table, no sound
+        if not offsets and table_ is None and (vbr := vbr_table(data, at, h)):
+            table_ = vbr  # this frame holds the table, no sound
             continue
         offsets.append(at)
         samples, hertz = samples + n, hertz or hz
@@ -223,12 +289,20 @@ ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double":
 
 
 def stored_audio(df: DataFrame, payload: str = "payload", media: str = "media") -> DataFrame:
-    """`df` with `media`, an audio stream that holds the bytes of `payload`; a null payload counts as empty."""
+    """`df` with `media`, an audio stream that holds the bytes of `payload`; a null payload counts as empty.
+
+    Payloads of any length are stored whole; equal ones, repeated rows too, give equal streams. An empty table stays
+    empty. A caller's column of that name is replaced.
+    """
     return _mapped(df, payload, {media: "binary"}, lambda x: (encode(x or b""),))
 
 
 def probe_audio(df: DataFrame, media: str = "media") -> DataFrame:
-    """`df` with the columns of PROBE; null, empty or foreign bytes have no frames and count as skipped."""
+    """`df` with the columns of PROBE; null, empty or foreign bytes have no frames and count as skipped.
+
+    Streams of any length are read whole; equal ones give equal columns. An empty table stays empty. A caller's columns
+    of these names are replaced.
+    """
 
     def one(data):
         got = parse(data or b"")
@@ -244,6 +318,7 @@ def read_payload(data: bytes) -> bytes:
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
+    """All `documents` stored as audio streams, read back and measured: see `stored_audio` and `probe_audio` for the awkward rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     n = F.octet_length("raw")
     padding = F.greatest(F.ceil(n / 64), F.lit(1)) * 64 - n

@@ -71,6 +71,7 @@ def mix(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of all `documents`: see `with_copies` for the awkward rows."""
     taken = with_copies(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 

@@ -85,4 +85,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataF
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """Bins of all `documents`: see `pack` for the awkward rows."""
     return pack(table(spark, sf_dir, "documents"))

@@ -153,6 +153,64 @@ def test_media_parser_resynchronises():
     assert media.parse(b"junk" + stream + b"TAG" + bytes(125))["tags"] in ("id3v1", "id3v2,id3v1")
 
 
+def crc_plainly(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = ((c << 1) & 0xFFFF) ^ (0x8005 if (c >> 15) ^ b else 0)
+    return c
+
+
+def frame_of(head, body_bits, size):
+    """A frame of Layer I or II with a CRC over header and the bits given."""
+    bits = [int(b) for x in head[2:4] for b in f"{x:08b}"] + body_bits
+    body = "".join(map(str, body_bits))
+    body = int(body.ljust(-(-len(body) // 8) * 8, "0"), 2).to_bytes(-(-len(body) // 8), "big")
+    return (head + crc_plainly(bits).to_bytes(2, "big") + body).ljust(size, b"\x55")
+
+
+def test_media_checks_every_layer():
+    rng = random.Random(6)
+    for head, table_, channels, layer in (
+        (bytes([0xFF, 0xFE, 0x40, 0xC0]), (4,) * 32, 1, 1), (bytes([0xFF, 0xFE, 0x40, 0x00]), (4,) * 32, 2, 1), (bytes([0xFF, 0xFC, 0xA4, 0x00]), media.ALLOCATION["b"], 2, 2),
+        (bytes([0xFF, 0xFC, 0x50, 0xC0]), media.ALLOCATION["a"], 1, 2), (bytes([0xFF, 0xF4, 0x80, 0xC0]), media.ALLOCATION["low"], 1, 2),
+    ):
+        if layer == 2 and head[2] == 0xA4:
+            head = bytes([0xFF, 0xFC, 0xA0, 0x00])  # 192 kbit/s stereo: 96 a channel
+        size = media.header(head)[0]
+        parts = []
+        for _ in range(6):
+            bits, chosen = [], 0
+            for n in table_:
+                for _ in range(channels):
+                    value = rng.randrange(1 << n)
+                    bits += [int(b) for b in f"{value:0{n}b}"]
+                    chosen += value > 0
+            bits += [rng.randrange(2) for _ in range(2 * chosen * (layer == 2))]
+            parts.append(frame_of(head, bits, size))
+        got = media.parse(b"".join(parts))
+        assert (got["frames"], got["crc_ok"], got["crc_bad"], got["skipped_bytes"]) == (6, 6, 0, 0)
+        hurt = bytearray(b"".join(parts))
+        hurt[size + 7] ^= 4
+        assert media.parse(bytes(hurt))["crc_bad"] == 1
+
+
+def test_media_reads_vbri_tables_and_free_format():
+    data = random.Random(3).randbytes(5_000)
+    plain = media.encode(data)
+    first = media.parse(plain)["seek"][0]
+    head = plain[first : first + 4]
+    size = media.header(head)[0]
+    lengths = [7, 9, 11]
+    table_ = b"VBRI" + bytes(6) + (12345).to_bytes(4, "big") + (77).to_bytes(4, "big") + (3).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + b"".join(x.to_bytes(2, "big") for x in lengths)
+    frame = (head + bytes(32) + table_).ljust(size, b"\0")
+    got = media.parse(frame + plain[first:])
+    assert got["vbr"] == {"kind": "VBRI", "bytes": 12345, "frames": 77, "toc": [14, 32, 54]} and got["frames"] == media.parse(plain)["frames"]
+    free = bytes([0xFF, 0xFB, 0x00, 0xC0])
+    stream = b"".join((bytes([0xFF, 0xFB, 0x02 if i % 3 == 1 else 0x00, 0xC0]) + b"\x11" * 496) + b"\x11" * (i % 3 == 1) for i in range(9))
+    got = media.parse(b"junk" + stream)
+    assert media.header(free) is None and (got["frames"], got["samples"], got["skipped_bytes"]) == (9, 9 * 1152, 4)
+
+
 def test_media_columns(spark):
     df = spark.createDataFrame([(1, b"abc" * 999), (2, None), (3, b"")], "id int, payload binary").withColumn("frames", F.lit("mine"))
     got = media.probe_audio(media.stored_audio(df)).orderBy("id").collect()
