@@ -47,7 +47,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifier and the signatures have no SQL form; tests hold the stages against brute force.
+#: The classifier and the signatures have no SQL form; a test holds each stage and the run against plain Python.
 ORACLE_SQL = None
 
 
