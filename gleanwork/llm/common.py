@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 #: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 50_000
-#: Copies of the small side when it is too large to broadcast: spreads a hot key of the large side.
-SALTS = 16
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,14 +63,9 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", ro
     """Join on a null-safe key, where `small` has one row a key and one key may hold much of `big`.
 
     `small` must be stored already, so that counting it is cheap; `rows` is what it counts as, where its rows
-    are not narrow. Up to BROADCAST_ROWS it is broadcast; beyond, it is repeated SALTS times and `big` is
-    dealt by (key, salt).
+    are not narrow. Up to BROADCAST_ROWS it is broadcast; beyond, both sides are sorted and merged, and Spark
+    splits the partition of a hot key among tasks while it runs (spark.sql.adaptive.skewJoin), at any size.
     """
     side = small.withColumnRenamed(key, "_key")
-    if (small.count() if rows is None else rows) <= BROADCAST_ROWS:
-        out = big.join(F.broadcast(side), big[key].eqNullSafe(side["_key"]), how)
-        return out.drop("_key")
-    salted = side.withColumn("_side_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("_salt", F.pmod(F.hash(*[big[c] for c in big.columns]), F.lit(SALTS)))
-    out = dealt.join(salted, dealt[key].eqNullSafe(salted["_key"]) & (F.col("_salt") == F.col("_side_salt")), how)
-    return out.drop("_key", "_salt", "_side_salt")
+    side = F.broadcast(side) if (small.count() if rows is None else rows) <= BROADCAST_ROWS else side.hint("merge")
+    return big.join(side, big[key].eqNullSafe(side["_key"]), how).drop("_key")

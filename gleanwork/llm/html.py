@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SALTS, discard, join_small, stored, table
+from .common import BROADCAST_ROWS, discard, join_small, stored, table
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+>?"
@@ -361,15 +361,10 @@ def host_of(url):
 
 
 def with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Join on host. Hosts' rows of BROADCAST_BYTES in all are broadcast; beyond, big hosts are dealt by salt (and by adaptive skew joins)."""
-    side = hosts.withColumnRenamed("host", "_host")
+    """Join on host: hosts' rows of BROADCAST_BYTES in all are broadcast, beyond that `join_small` merges them."""
     listed = [F.size(c) * 24 for c in hosts.columns if c in ("template", "menus", "varying")]
     size = hosts.agg(F.sum(sum((F.coalesce(F.greatest(x, F.lit(0)), F.lit(0)) for x in listed), F.octet_length("reference") + 64))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        return pages.join(F.broadcast(side), pages["host"] == F.col("_host")).drop("_host")
-    salted = side.withColumn("_side", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = pages.withColumn("_salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)))
-    return dealt.join(salted, (dealt["host"] == F.col("_host")) & (F.col("_salt") == F.col("_side"))).drop("_host", "_salt", "_side")
+    return join_small(pages, hosts, "host", "inner", rows=0 if size <= BROADCAST_BYTES else BROADCAST_ROWS + 1)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gleanwork.llm import html, media, quality, toxicity
@@ -397,3 +398,98 @@ def test_pipeline_stages(spark):
     packed = p.STAGES[-1][1](spark, docs, SF)
     assert packed.groupBy("bin_id").agg(F.sum("tokens").alias("n")).filter("n > 2048").count() == 0
     assert packed.agg(F.sum("tokens")).first()[0] == docs.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0]
+
+
+def test_joins_agree_with_and_without_a_broadcast(spark, monkeypatch):
+    from gleanwork.llm import common
+
+    big = spark.createDataFrame([(i, None if i % 5 == 0 else f"k{i % 3}") for i in range(60)], "i int, k string")
+    small = spark.createDataFrame([("k0", 1), ("k1", 2), (None, 3)], "k string, v int")
+    want = sorted(map(str, common.join_small(big, small, "k").collect()))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    merged = common.join_small(big, small, "k")
+    assert "SortMergeJoin" in merged._jdf.queryExecution().executedPlan().toString() and sorted(map(str, merged.collect())) == want
+
+
+def test_html_without_a_broadcast(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = sorted((r.page_id, r.text) for r in html.extract(pages).collect())
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert sorted((r.page_id, r.text) for r in html.extract(pages).collect()) == want
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from gleanwork.llm import common
+
+    conf = SimpleNamespace(get=lambda name: None)
+    context = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        common.shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def plainly_sanitised(text, spans):
+    """`text` with (kind, start, end) spans replaced; of overlapping ones the one that starts first, then the longer."""
+    import re
+
+    labels = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "gone": ""}
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+        if a >= at:
+            word = text[a:b]
+            name = "[NUMBER]" if re.fullmatch(r"\d+", word) else "[CODE]" if re.search(r"\d", word) else "[NAME]" if word[:1].isupper() else "[TERM]"
+            out += [text[at:a], name if kind == "term" else labels[kind]]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_against_brute_force(spark, oracle):
+    """Each stage's rows from plain Python, on what the stage before kept; then the whole run."""
+    import duckdb
+
+    import corpus_pipeline as p
+
+    from .test_groups import best_fit_plainly, brute_components
+    from .test_text import base_spans, brute_terms
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in QUERIES["op3_quality"](spark, SF).filter("keep").collect()}
+    got = [p.stored(p.STAGES[0][1](spark, docs, SF))]
+    for _, stage in p.STAGES[1:-1]:
+        got.append(p.stored(stage(spark, got[-1], SF)))
+    frames = [g.toPandas().sort_values("doc_id", kind="stable").reset_index(drop=True) for g in got]
+    assert set(frames[0].doc_id) == kept and len(frames[0]) == len(kept)
+    component, _ = brute_components(frames[0].doc_id, frames[0].text, 5, 80)
+    assert list(frames[1].doc_id) == sorted(i for i, c in component.items() if i == c)
+    terms = brute_terms(list(frames[1].text), 3, 0.9, 0.98, kinds=True)
+    for before, after in zip(frames[1].itertuples(), frames[2].itertuples()):
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in base_spans(before.text).split(",") if x)]
+        assert after.doc_id == before.doc_id and after.text == plainly_sanitised(before.text, base + terms[before.text]) and (before.text == after.text or after.n_chars == len(after.text))
+    con = duckdb.connect()
+    con.register("documents", frames[2])
+    from gleanwork.llm.mixing import OP10_SQL
+
+    for r in con.execute(OP10_SQL).df().itertuples():
+        if r.size:
+            assert (frames[3].doc_id == r.doc_id).sum() == r.taken / r.size
+    packed = p.run(spark, SF).toPandas()
+    rest = packed[~packed.bin_id.str.startswith("full")].sort_values(["tokens", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
+    text = frames[3].drop_duplicates("doc_id").set_index("doc_id").text
+    source, cluster = rest.source.fillna("\0").factorize()[0], rest.doc_id.map(text).factorize()[0]
+    bins = best_fit_plainly([(int(n), 1 << int(s), 1 << int(c)) for n, s, c in zip(rest.tokens, source, cluster)], 2048)
+    assert pd.Series(bins).factorize()[0].tolist() == rest.bin_id.factorize()[0].tolist()
+    words = frames[3].text.map(lambda t: len(t.encode().split())).sum()
+    assert packed.tokens.sum() == words and packed.groupby("bin_id").tokens.sum().max() <= 2048
+
+
+def test_pipeline_stages_awkward_rows(spark):
+    import corpus_pipeline as p
+
+    extra = spark.createDataFrame(ROWS, DOCS).withColumn("component_id", F.lit("mine")).withColumn("base", F.lit("mine")).withColumn("target", F.lit("mine"))
+    none = spark.createDataFrame([], DOCS)
+    for name, stage in p.STAGES:
+        rows, nothing = stage(spark, extra, SF), stage(spark, none, SF)
+        if name != "packing":
+            assert rows.columns == extra.columns and nothing.columns == none.columns
+        assert rows.count() > 0 and nothing.count() == 0

@@ -136,7 +136,7 @@ def test_entities_in_every_document_disclose_nothing(spark):
     assert all(r.terms == [] and len(r.base) == 1 for r in got.collect()) and got.columns == [c for c in df.columns if c != "_kinds"] + ["base", "terms"]
 
 
-def brute_terms(texts, min_support, generalise_at, remove_at):
+def brute_terms(texts, min_support, generalise_at, remove_at, kinds=False):
     """Spans of disclosing terms by plain counting over different texts."""
     import math
 
@@ -152,7 +152,7 @@ def brute_terms(texts, min_support, generalise_at, remove_at):
             masked[a:b] = " " * (b - a)
         names = {f"{k}:{(re.sub('[^0-9]', '', t[a:b]) if k in ('card', 'phone') else t[a:b]).lower()}" for k, a, b in spans}
         one[t] = (spans, names, set(term.findall("".join(masked).lower())), set(term.findall(t.lower())))
-    n, kinds = len(one), {}
+    n, with_kinds, kinds = len(one), kinds, {}
     for e in {e for _, names, _, _ in one.values() for e in names}:
         with_e = [v for v in one.values() if e in v[1]]
         if not min_support <= len(with_e) < n:
@@ -165,8 +165,9 @@ def brute_terms(texts, min_support, generalise_at, remove_at):
                 kinds[t] = "gone" if score >= remove_at or kinds.get(t) == "gone" else "term"
     out = {}
     for t, (spans, *_) in one.items():
-        found = [(m.start(), m.end()) for m in term.finditer(t) if m.group().lower() in kinds]
-        out[t] = [(a, b) for a, b in found if not any(x < b and y > a for _, x, y in spans)]
+        found = [(kinds[m.group().lower()], m.start(), m.end()) for m in term.finditer(t) if m.group().lower() in kinds]
+        found = [(k, a, b) for k, a, b in found if not any(x < b and y > a for _, x, y in spans)]
+        out[t] = found if with_kinds else [(a, b) for _, a, b in found]
     return out
 
 
