@@ -10,8 +10,8 @@ To run it on many machines, strings that can match must meet. Every window of MI
 anchor, its smallest hashed ANCHOR-byte piece (leftmost of equals), so equal windows have equal anchors.
 A context is a maximal run of windows with one anchor. Of contexts that agree in their anchor's and their own hash
 the bytes of two copies (the first and the last) are brought together, of others those of their one copy, and all of
-one anchor are expanded as above: every removed byte comes from an interval, and what the first copy of a context
-repeats, all its copies do. An anchor with over MOST_CONTEXTS contexts is split further, by the bytes to the left or
+one anchor are expanded as above. Two copies with equal bytes are one interval at every depth, so one of them is
+expanded with the rest and the whole is repeated; what one copy of a context repeats, all its occurrences do. An anchor with over MOST_CONTEXTS contexts is split further, by the bytes to the left or
 right that its windows must share, until small.
 """
 
@@ -197,25 +197,42 @@ def expand(contexts: DataFrame, length: int) -> DataFrame:
         same = [[values[i] for i in who] for values in (doc, th, n, key0, context, base)]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*same, (begin + inner[a]).astype(np.int32), (begin + inner[b] + length).astype(np.int32)], made)], schema=made)
 
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * len(made), made)], schema=made)
+
     def run(batches):
-        rows, group, size, now = [], [], 0, None
+        """Rows of one anchor stand together, and in it those of one context: two copies with equal bytes are one interval at every depth."""
+        rows, group, size, now, whole = [], [], 0, None, []
+
+        def close():
+            nonlocal size
+            if len(group) > 1:
+                rows.extend(group)
+                size += sum(len(r[-1]) for r in group)
+            group.clear()
+
         for batch in batches:
             for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", *carried))):
                 if key != now:
-                    if len(group) > 1:
-                        rows += group
-                        size += sum(len(r[-1]) for r in group)
-                    group, now = [], key
+                    close()
+                    now = key
                     if size >= TEXT:
                         if (out := solve(rows)) is not None:
                             yield out
                         rows, size = [], 0
-                group.append(row)
-        rows += group if len(group) > 1 else []
+                if group and group[-1][4] == row[4] and group[-1][-1] == row[-1]:
+                    doc, th, n, key0, context, base, start, width, _ = row
+                    whole.append((doc, th, n, key0, context, base, start, start + width + length - 1))
+                else:
+                    group.append(row)
+            if whole:
+                yield batch_of(whole)
+                whole.clear()
+        close()
         if rows and (out := solve(rows)) is not None:
             yield out
 
-    dealt = contexts.select("key", *carried).repartition("key").sortWithinPartitions("key")
+    dealt = contexts.select("key", *carried).repartition("key").sortWithinPartitions("key", "context")
     return dealt.mapInArrow(run, RUNS)
 
 
