@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -69,34 +68,36 @@ def common_length(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
-def partial_ratio(short: str, long: str) -> float:
+def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
     """Best similarity 2 * common / (m + n) of the shorter text with any window of at most its length in the longer one.
 
-    All windows count, those cut off at the ends too; a window is passed over only if its characters alone, whatever
-    their order, can't beat the best one so far.
+    All windows count, those cut off at the ends too; a result below `least` only says that none reaches it. A step
+    of the window adds at most one common character and takes away at most one of its length, so as many steps are
+    skipped as it takes at least to pass the best so far.
     """
     if len(short) > len(long):
         short, long = long, short
-    m = len(short)
+    m, n = len(short), len(long)
     if not m:
         return 0.0
-    need, best = Counter(short), 0.0
-    held: Counter = Counter()
-    both = 0  # characters that the window and the short text share, by count
-    for end in range(1, len(long) + m):
-        if end <= len(long):
-            c = long[end - 1]
-            held[c] += 1
-            both += held[c] <= need[c]
-        if end > m:
-            c = long[end - m - 1]
-            both -= held[c] <= need[c]
-            held[c] -= 1
-        window = min(end, len(long)) - max(0, end - m)
-        if 2 * both > best * (m + window):
-            best = max(best, 2 * common_length(short, long[max(0, end - m) : end]) / (m + window))
-            if best == 1:
-                break
+    best, bar = 0.0, max(least - 1e-12, 0.0)
+
+    def at(end):
+        nonlocal best, bar
+        window = long[max(0, end - m) : end]
+        common = common_length(short, window)
+        ratio = 2 * common / (m + len(window))
+        best, bar = max(best, ratio), max(bar, ratio)
+        return int((bar * (m + len(window)) - 2 * common) / (2 + bar))
+
+    for word in re.finditer(r"\w{6,}", short):  # likely places first: the higher the bar, the longer the steps
+        hit = long.find(word[0])
+        if hit >= 0:
+            at(min(n, max(1, hit - word.start() + m)))
+            break
+    end = 1
+    while end < n + m and best < 1:
+        end += max(1, at(end))
     return best
 
 
@@ -110,13 +111,13 @@ def nearest_chunk(snippet: str, parts: list[tuple[str, int, int, int]], at: floa
     for text, start, end, _ in parts:
         ratio = len(snippet) / max(len(text), 1)
         if text and not (ratio > 5 and len(snippet) > len(text) * TOO_LONG):
-            score = partial_ratio(snippet, text)
+            score = partial_ratio(snippet, text, max(at, best))
             if score > best:
                 best, found = score, (start, end, score, text)
     if best < at:
         for (a, start, _, page), (b, _, end, other) in zip(parts, parts[1:]):
             if abs(page - other) <= 1:
-                score = partial_ratio(snippet, f"{a} {b}")
+                score = partial_ratio(snippet, f"{a} {b}", max(at, best))
                 if score > best:
                     best, found = score, (start, end, score, f"{a} {b}")
     return found if found and best >= at else None
