@@ -96,3 +96,10 @@ HEADED = [(0, "x\n## Methods\nwe did\n", "Methods"), (1, "**2. Results**\nit was
 def section_headings(spark, sf_dir):
     text = F.concat(F.lit("Abstract\nfirst\n"), F.expr("CASE s_suppkey % 3 WHEN 0 THEN '  ## 2. Materials and methods' WHEN 1 THEN '**Inclusion criteria**' ELSE 'Primary findings' END"), F.lit("\n"), "s_name")
     return view(spark, sf_dir, "supplier").select("s_suppkey", linking.section_before(text, F.length(text) - 3).alias("section"))
+
+
+@query("""SELECT conv_id AS document_id, turn AS chunk_no, next_no, pair_chars FROM (SELECT conv_id, turn, lead(turn) OVER w AS next_no, CAST(length(text) + lead(length(text)) OVER w + 1 AS BIGINT) AS pair_chars, abs(lead(turn * turn) OVER w - turn * turn) AS apart FROM conversations
+WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE next_no = turn + 1 AND apart <= 1""")
+def chunk_pairs_on_pages(spark, sf_dir):
+    talk = view(spark, sf_dir, "conversations").withColumn("page", F.col("turn") * F.col("turn"))
+    return linking.chunk_pairs(talk, "conv_id", "turn", "text", "page")

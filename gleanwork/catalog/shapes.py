@@ -137,3 +137,18 @@ def dates_and_names(spark, sf_dir):
     text = F.expr("CASE c_custkey % 4 WHEN 0 THEN '2024-03-05' WHEN 1 THEN '2024-03-05T06:07:08Z' WHEN 2 THEN '2024' ELSE '05/03/2024' END")
     quotient = norm.safe_divide(F.col("c_acctbal"), F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(4))
     return view(spark, sf_dir, "customer").select("c_custkey", norm.iso_time(text).cast("timestamp_ntz").alias("t"), quotient.alias("q"), F.regexp_replace(norm.class_name(F.concat(F.lit("f "), "c_mktsegment", F.lit(" x"))), "X$", "x").alias("kept"))
+
+
+@query("SELECT document_id, slot, CASE WHEN slot % 2 = 0 THEN l_returnflag ELSE l_linestatus END AS a, CASE WHEN slot % 2 = 0 THEN NULL ELSE l_linestatus END AS b FROM fx_results")
+def combined_records(spark, sf_dir):
+    flag, line = F.col("l_returnflag"), F.col("l_linestatus")
+    main = F.when(F.col("slot") % 2 == 0, F.create_map(F.lit("a"), flag)).otherwise(F.create_map(F.lit("a"), F.lit("")))
+    values = staged.combined(main, F.create_map(F.lit("a"), flag, F.lit("b"), line), F.create_map(F.lit("a"), line))
+    return view(spark, sf_dir, "fx_results").select("document_id", "slot", F.try_element_at(values, F.lit("a")).alias("a"), F.try_element_at(values, F.lit("b")).alias("b"))
+
+
+@query("SELECT document_id, CASE WHEN slot % 2 = 0 THEN 'a,b,c' ELSE 'b,c' END AS keys FROM fx_results WHERE slot <= 2")
+def key_union(spark, sf_dir):
+    one = F.when(F.col("slot") % 2 == 0, F.create_map(F.lit("c"), F.lit(1), F.lit("a"), F.lit(2))).otherwise(F.create_map(F.lit("c"), F.lit(1)))
+    keys = fields.all_keys(one, F.create_map(F.lit("b"), F.lit(1)))
+    return view(spark, sf_dir, "fx_results").filter("slot <= 2").select("document_id", F.array_join(keys, ",").alias("keys"))

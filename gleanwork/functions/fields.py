@@ -88,3 +88,11 @@ def flat_columns(json: Column) -> Column:
     paths = F.map_entries(flat(json, ""))
     text = lambda v: F.when(v.rlike(r"^\s*\["), F.coalesce(F.array_join(F.from_json(v, "array<string>"), ", "), v)).otherwise(v)
     return F.map_from_entries(F.transform(paths, lambda e: F.struct(F.regexp_replace(e["key"], r"\.", "_").alias("key"), text(e["value"]).alias("value"))))
+
+
+def all_keys(*maps: Column) -> Column:
+    """The sorted union of the maps' keys."""
+    keys = F.map_keys(maps[0])
+    for m in maps[1:]:
+        keys = F.array_union(keys, F.map_keys(m))
+    return F.array_sort(keys)

@@ -22,6 +22,12 @@ def stages(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     return out.withColumn("execution", F.when(together > 1, "parallel").otherwise("sequential")).withColumn("waits_for", F.when(F.col("stage") > 1, F.col("stage") - 1))
 
 
+def topological(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """(name, place): an order in which every name comes after what it needs; names of one stage by name."""
+    order = Window.partitionBy().orderBy("stage", "name")  # a form's signatures, a short list
+    return stages(nodes, needs).select("name", F.row_number().over(order).alias("place"))
+
+
 def issues(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(kind, name): dependencies that don't exist, names defined twice, and names on a cycle."""
     unknown = needs.join(nodes.withColumnRenamed("name", "needs"), "needs", "left_anti").select(F.lit("unknown").alias("kind"), F.col("needs").alias("name"))

@@ -54,3 +54,15 @@ def run_stages(papers: DataFrame, stages: list[dict], retry: Extractor | None =
 
 def _only(values: Column, fields: list[str]) -> Column:
     return F.map_filter(values, lambda k, _: k.isin(*fields))
+
+
+def combined(main: Column, *parts: Column) -> Column:
+    """What a combiner made of the parts; if it made nothing, the parts themselves, later ones winning."""
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = F.map_concat(_without(merged, part), part)
+    return F.when(score(main) > 0, main).otherwise(merged)
+
+
+def _without(values: Column, others: Column) -> Column:
+    return F.map_filter(values, lambda k, _: ~F.map_contains_key(others, k))

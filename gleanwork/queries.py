@@ -292,13 +292,25 @@ def pilot_accumulate(spark, sf_dir):
     return planner.last_examples(results, "l_returnflag", [F.desc("created_at"), F.desc("document_id"), F.desc("slot")], "note", 5).withColumnRenamed("l_returnflag", "field")
 
 
-@query("""WITH RECURSIVE dep(name, needs) AS (VALUES ('b', 'a'), ('c', 'a'), ('d', 'b'), ('d', 'c'), ('e', 'd')), n AS (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS name),
-walk(name, stage) AS (SELECT name, 1 FROM n UNION ALL SELECT dep.name, walk.stage + 1 FROM dep JOIN walk ON dep.needs = walk.name), s AS (SELECT name, max(stage) AS stage FROM walk GROUP BY 1)
-SELECT s.name, CAST(s.stage AS INT) AS stage, CASE WHEN count(*) OVER (PARTITION BY s.stage) > 1 THEN 'parallel' ELSE 'sequential' END AS execution, CAST(CASE WHEN s.stage > 1 THEN s.stage - 1 END AS INT) AS waits_for FROM s""")
+def _graph(spark, sf_dir):
+    """Suppliers as signatures, each of which needs the one of half its number."""
+    nodes = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("name"))
+    edges = view(spark, sf_dir, "supplier").filter("s_suppkey > 0").select(F.col("s_suppkey").cast("string").alias("name"), F.expr("s_suppkey div 2").cast("string").alias("needs"))
+    return nodes, edges
+
+
+STAGES = """WITH RECURSIVE walk(id, stage) AS (SELECT s_suppkey, 1 FROM supplier WHERE s_suppkey = 0 UNION ALL SELECT s.s_suppkey, walk.stage + 1 FROM supplier s JOIN walk ON s.s_suppkey // 2 = walk.id AND s.s_suppkey > 0),
+s AS (SELECT CAST(id AS VARCHAR) AS name, CAST(max(stage) AS INT) AS stage FROM walk GROUP BY 1)"""
+
+
+@query(STAGES + " SELECT name, stage, CASE WHEN count(*) OVER (PARTITION BY stage) > 1 THEN 'parallel' ELSE 'sequential' END AS execution, CAST(CASE WHEN stage > 1 THEN stage - 1 END AS INT) AS waits_for FROM s")
 def plan_stages(spark, sf_dir):
-    nodes = spark.createDataFrame([(x,) for x in "abcde"], "name string")
-    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("e", "d")], "name string, needs string")
-    return planner.stages(nodes, edges)
+    return planner.stages(*_graph(spark, sf_dir))
+
+
+@query(STAGES + " SELECT name, CAST(row_number() OVER (ORDER BY stage, name) AS INT) AS place FROM s")
+def topological_order(spark, sf_dir):
+    return planner.topological(*_graph(spark, sf_dir))
 
 
 @query("""SELECT document_id, slot, max(l_linestatus) AS linestatus, max(CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS quantity, max(l_returnflag) AS returnflag FROM fx_results GROUP BY 1, 2""")
@@ -357,10 +369,13 @@ def completeness(spark, sf_dir):
     return evaluate.completeness(values, "values", ["returnflag", "linestatus", "comment"])
 
 
-@query("""SELECT * FROM (VALUES ('unknown', 'zz'), ('cycle', 'a'), ('cycle', 'b')) t(kind, name)""")
+@query("""SELECT 'unknown' AS kind, CAST(s_suppkey + 1000000 AS VARCHAR) AS name FROM supplier WHERE s_suppkey % 3 = 2 UNION ALL SELECT 'cycle', '0' UNION ALL SELECT 'cycle', '1'
+UNION ALL SELECT 'duplicate', CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey % 5 = 4""")
 def dag_issues(spark, sf_dir):
-    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
-    return planner.issues(nodes, spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "zz")], "name string, needs string"))
+    nodes, edges = _graph(spark, sf_dir)
+    lost = nodes.filter("name % 3 = 2").select("name", (F.col("name").cast("long") + 1_000_000).cast("string").alias("needs"))
+    back = nodes.filter("name = '0'").select("name", F.lit("1").alias("needs"))
+    return planner.issues(nodes.union(nodes.filter("name % 5 = 4")), edges.union(lost).union(back))
 
 
 @query("SELECT event_type, session_start, session_end, n FROM (SELECT event_type, min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) + INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY event_type, s)")
