@@ -1,6 +1,6 @@
 """The corpus operators' queries, and SQL for those that SQL can express."""
 
-from . import fingerprints, html, media, minhash, mixing, packing, pii, quality, repeats, toxicity
+from . import centroids, fingerprints, html, media, minhash, mixing, packing, phrases, pii, quality, repeats, rules, toxicity
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op11_rules": rules.op11_rules,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_phrases": phrases.op13_phrases,
 }
 
-SQL = {"op10_mixing": mixing.OP10_SQL}
+SQL = {"op10_mixing": mixing.OP10_SQL, "op11_rules": rules.OP11_SQL, "op12_centroids": centroids.OP12_SQL, "op13_phrases": phrases.OP13_SQL}
