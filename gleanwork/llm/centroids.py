@@ -44,7 +44,7 @@ def seeds(vectors: DataFrame, k: int = CENTROIDS, seed: str = "3") -> np.ndarray
     """The k vectors (or all) with the smallest SHA-256 of `seed:vec_id`, in that order; ties by the components. A null id counts as empty."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))).cast("binary"), 256)
     rows = vectors.withColumn("_h", digest).orderBy("_h", "x").limit(k).select("x").collect()  # k rows
-    return np.array([r.x for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.x for r in rows], np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
 def squared(x: np.ndarray, centroid: np.ndarray) -> np.ndarray:

@@ -107,7 +107,7 @@ def common_lines(texts: DataFrame, floor: int = FLOOR, share: float = SHARE) ->
 
 
 #: What `judge` and `clean` add or use on the way; a caller's columns of these names are replaced.
-OWN = (*MEASURED, "n_lines_removed", "n_words_left", "removed_lines", "kept")
+OWN = (*MEASURED, "rules_lost", "n_lines_removed", "n_words_left", "removed_lines", "kept")
 
 
 def judge(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFrame:
@@ -123,14 +123,14 @@ def judge(docs: DataFrame, floor: int = FLOOR, share: float = SHARE) -> DataFram
     texts = stored(seen.select("source", "rules_key", "rules_lines").dropDuplicates(["rules_key"]))
     lines = texts.select("rules_key", F.explode("rules_lines").alias("l")).select("rules_key", "l.*")
     boilerplate = stored(common_lines(texts, floor, share))
-    lost = join_small(lines, boilerplate, "line", "inner").groupBy("rules_key").agg(F.sum("words").alias("words"), F.collect_list("line").alias("removed_lines"))
+    lost = join_small(lines, boilerplate, "line", "inner").groupBy("rules_key").agg(F.sum("words").alias("rules_lost"), F.collect_list("line").alias("removed_lines"))
     lost = stored(lost)
     out = join_small(seen.drop("rules_lines"), lost, "rules_key")
-    left = F.col("n_words") - F.coalesce("words", F.lit(0))
+    left = F.col("n_words") - F.coalesce("rules_lost", F.lit(0))
     kept = ~F.col("base_failed") & (left >= LEAST) & (left >= LEFT * F.col("n_words"))
     removed = F.coalesce("removed_lines", F.array().cast("array<binary>"))
     out = out.withColumn("removed_lines", removed).withColumn("n_lines_removed", F.size("removed_lines").cast("long")).withColumn("n_words_left", left).withColumn("kept", kept)
-    return out.drop("words", "rules_key")
+    return out.drop("rules_lost", "rules_key")
 
 
 def clean(docs: DataFrame, **kw) -> DataFrame:
