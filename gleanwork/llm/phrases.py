@@ -28,7 +28,7 @@ LONGEST, LEAST, TOP = 5, 100, 2000
 #: Names (and bytes of words) up to which they are broadcast.
 NAMES, NAME_BYTES = 1_000_000, 1 << 26
 #: Different words a task counts before it hands them on, ids a block holds, bytes of text that are cut into words at once.
-HELD, BLOCK, SLICE = 1_000_000, 1 << 19, 1 << 22
+HELD, BLOCK, SLICE = 500_000, 1 << 19, 1 << 22
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _BREAK * 10)
@@ -178,7 +178,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
             for ids in batch.column("ids"):
                 held += [ids.values.to_numpy(), np.zeros(1, np.int64)]
                 size += len(ids.values)
-                if size >= 8 * BLOCK:
+                if size >= 4 * BLOCK:
                     yield summed(held)
                     held, size = [], 0
         if held:
