@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import view
 from ..operators import coverage
 from ..registry import query
-from ..streaming import messages
+from ..streaming import live, messages
 
 
 @query("""SELECT activity_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY activity_id DESC) AS back FROM fx_activities WHERE created_at > (SELECT max(created_at) FROM fx_activities) - INTERVAL 86400 SECOND) WHERE back <= 2""")
@@ -52,3 +52,40 @@ def page_costs(spark, sf_dir):
 @query("SELECT count(*)::BIGINT AS runs, count(*) FILTER (WHERE NOT rate_limited)::BIGINT AS successes, round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS wall_s FROM fx_call_log")
 def run_summary(spark, sf_dir):
     return coverage.run_summary(view(spark, sf_dir, "fx_call_log").withColumn("ok", ~F.col("rate_limited")), "ok", "ts", "ts")
+
+
+@query("""WITH m AS (SELECT *, epoch_ms(ts) AS t_ms, min(epoch_ms(ts)) OVER (PARTITION BY job_id) + 3900000 AS due, min(CASE WHEN type <> 'log' THEN epoch_ms(ts) END) OVER (PARTITION BY job_id) AS done FROM fx_job_log),
+r AS (SELECT job_id, seq, t_ms, least(due, coalesce(done, due)) AS ends FROM m WHERE t_ms < least(due, coalesce(done, due)))
+SELECT * FROM (SELECT job_id, seq, (least(coalesce(lead(t_ms) OVER (PARTITION BY job_id ORDER BY t_ms, seq), ends), (SELECT max(epoch_ms(ts)) FROM fx_job_log)) - t_ms) // 30000 AS beats FROM r) WHERE beats > 0""")
+def job_silences(spark, sf_dir):
+    """Heartbeats in each silence of a job, until it ends or counts as stuck."""
+    log = view(spark, sf_dir, "fx_job_log")
+    return live.silences(log, F.lit(log.agg(F.max("ts")).first()[0]))
+
+
+@query("""SELECT job_id, make_timestamp((due * 1000)::BIGINT) AS failed_at FROM (SELECT job_id, min(epoch_ms(ts)) + 3900000 AS due, min(CASE WHEN type <> 'log' THEN epoch_ms(ts) END) AS done FROM fx_job_log GROUP BY 1)
+WHERE coalesce(done >= due, true) AND due <= (SELECT max(epoch_ms(ts)) FROM fx_job_log)""")
+def job_timeouts(spark, sf_dir):
+    """Jobs that did not end in time, and when they failed for that."""
+    log = view(spark, sf_dir, "fx_job_log")
+    return live.deadlines(log, F.lit(log.agg(F.max("ts")).first()[0])).withColumn("failed_at", F.col("failed_at").cast("timestamp_ntz"))
+
+
+@query("""WITH m AS (SELECT user_id, event_id AS seq, epoch_ms(ts) AS t_ms FROM events WHERE event_type <> 'signup'),
+j AS (SELECT user_id, props AS subscriber, min(epoch_ms(ts)) AS joined FROM events WHERE event_type = 'signup' GROUP BY 1, 2)
+SELECT user_id, subscriber, seq, 'live' AS how FROM m JOIN j USING (user_id) WHERE t_ms > joined UNION ALL
+SELECT user_id, subscriber, seq, 'replay' FROM (SELECT *, row_number() OVER (PARTITION BY user_id, subscriber ORDER BY t_ms DESC, seq DESC) AS back FROM m JOIN j USING (user_id) WHERE t_ms <= joined AND t_ms > joined - 432000000) WHERE back <= 5""")
+def late_joiners(spark, sf_dir):
+    """What each subscriber of a user's events sees: up to 5 of the last five days, then every later one."""
+    events = view(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("seq"), "event_type", "props")
+    joins = events.filter("event_type = 'signup'").select("user_id", "ts", F.col("props").alias("subscriber"))
+    return live.joined_views(events.filter("event_type <> 'signup'"), joins, "user_id", n=5, alive_s=432_000)
+
+
+@query("""WITH a AS (SELECT event_id, epoch_us(ts) AS us, (event_id + CAST(floor(value * 20) AS BIGINT)) // 250 AS batch FROM events),
+b AS (SELECT batch, max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 86400000000 AS mark FROM a GROUP BY batch)
+SELECT event_id, a.batch, coalesce(us < mark, false) AS late FROM a JOIN b USING (batch)""")
+def late_events(spark, sf_dir):
+    """Events that arrive in batches, some of them a while after they happened, with a watermark a day behind."""
+    arrived = view(spark, sf_dir, "events").withColumn("batch", F.expr("(event_id + cast(floor(value * 20) as bigint)) div 250"))
+    return live.late_rows(arrived, "ts", "batch", 86_400).select("event_id", "batch", "late")

@@ -29,6 +29,8 @@ VIEWS = {
         ELSE 'cancelled' END AS status, props AS input_data, ts AS created_at, value FROM events""",
     "fx_activities": "SELECT event_id AS activity_id, user_id, event_type AS action_type, ts AS created_at FROM events",
     "fx_call_log": "SELECT event_id AS call_id, event_type AS model, value AS cost, CAST(floor(value) AS INT) AS total_tokens, event_type = 'error' AS rate_limited, ts FROM events",
+    "fx_job_log": """SELECT user_id * 1000 + CAST(dayofyear(ts) AS INT) AS job_id, event_id AS seq, ts,
+        CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE 'log' END AS type FROM events""",
     "fx_messages": "SELECT conv_id AS job_id, turn AS seq, role AS type, text AS message FROM conversations",
     "fx_ratings": "SELECT doc_id AS document_id, CAST(quality AS VARCHAR(2)) AS rater_1, CAST(1 - toxic AS VARCHAR(2)) AS rater_2 FROM labels",
     "fx_forms": """SELECT o_orderpriority AS form_id, concat('Form ', o_orderpriority) AS form_name, CASE WHEN count(*) % 2 = 0 THEN 'active' ELSE 'draft' END AS status,
@@ -66,4 +68,5 @@ def oracle(body: str) -> str:
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed)  # used many times over
     if not ctes:
         return body
-    return f"WITH {ctes}{',' if body.lstrip().upper().startswith('WITH ') else ''}\n" + re.sub(r"^\s*WITH\s", "", body, flags=re.I)
+    recursive = " RECURSIVE" if body.lstrip().upper().startswith("WITH RECURSIVE ") else ""
+    return f"WITH{recursive} {ctes}{',' if body.lstrip().upper().startswith('WITH ') else ''}\n" + re.sub(r"^\s*WITH\s(?:RECURSIVE\s)?", "", body, flags=re.I)

@@ -280,9 +280,21 @@ def stuck_jobs(spark, sf_dir):
     return messages.stuck(jobs, jobs.agg(F.max("created_at").alias("as_of"))).select("job_id", "status")
 
 
-@query(None)
+@query("""WITH RECURSIVE c AS (SELECT 'm' || (user_id % 7) AS model, event_id AS call_id, event_type IN ('error', 'signup') AS bad, epoch_us(ts) // 100 AS us,
+  row_number() OVER (PARTITION BY user_id % 7 ORDER BY epoch_us(ts) // 100, event_id) AS rn FROM events),
+s AS (SELECT DISTINCT model, 0::BIGINT AS rn, 0::BIGINT AS call_id, 'CLOSED' AS before, 'CLOSED' AS name, 0 AS f, 0 AS ok, 0::BIGINT AS opened FROM c UNION ALL
+  SELECT model, rn, call_id, before, CASE WHEN mode = 'HALF_OPEN' AND bad OR mode = 'CLOSED' AND bad AND f + 1 >= 3 THEN 'OPEN' WHEN mode = 'HALF_OPEN' AND ok + 1 >= 2 THEN 'CLOSED' ELSE mode END,
+    CASE WHEN bad THEN f + 1 WHEN mode = 'HALF_OPEN' AND ok + 1 < 2 THEN f ELSE 0 END, CASE WHEN bad THEN 0 WHEN mode = 'HALF_OPEN' THEN (ok + 1) % 2 ELSE ok END,
+    CASE WHEN bad AND (mode = 'HALF_OPEN' OR mode = 'CLOSED' AND f + 1 >= 3) THEN us ELSE opened END
+  FROM (SELECT c.*, s.name AS before, s.f, s.opened, CASE WHEN s.name = 'OPEN' AND c.us - s.opened >= 60000000 THEN 'HALF_OPEN' ELSE s.name END AS mode,
+    CASE WHEN s.name = 'OPEN' AND c.us - s.opened >= 60000000 THEN 0 ELSE s.ok END AS ok FROM s JOIN c ON c.model = s.model AND c.rn = s.rn + 1))
+SELECT model, call_id, before, name AS after FROM s WHERE rn > 0 AND before <> name""")
 def breaker_states(spark, sf_dir):
-    return messages.breaker(view(spark, sf_dir, "fx_call_log").select("model", "ts", "call_id", "rate_limited"))
+    calls = view(spark, sf_dir, "events").select(
+        F.concat(F.lit("m"), F.col("user_id") % 7).alias("model"), F.timestamp_micros(F.expr("unix_micros(cast(ts as timestamp)) div 100")).alias("ts"),
+        F.col("event_id").alias("call_id"), F.col("event_type").isin("error", "signup").alias("rate_limited"),
+    )
+    return messages.breaker(calls)
 
 
 @query("""SELECT l_returnflag AS field, array_to_string(list(note ORDER BY back DESC), '|') AS notes FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY created_at DESC, document_id DESC, slot DESC) AS back,

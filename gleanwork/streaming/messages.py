@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,10 +62,10 @@ def tumbling(events: DataFrame, ts: str, width: str, *by: str) -> DataFrame:
     return events.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")
 
 
-def step(state: tuple[str, int, int, float], at: float, limited: bool) -> tuple[str, int, int, float]:
-    """The breaker (name, failures, successes, opened) after one call."""
+def step(state: tuple[str, int, int, int], at: int, limited: bool) -> tuple[str, int, int, int]:
+    """The breaker (name, failures, successes, opened) after one call; times in microseconds."""
     name, failures, successes, opened = state
-    if name == "OPEN" and at - opened >= COOL_S:
+    if name == "OPEN" and at - opened >= COOL_S * 1_000_000:
         name, successes = "HALF_OPEN", 0
     if limited:
         failures += 1
@@ -76,13 +78,17 @@ def step(state: tuple[str, int, int, float], at: float, limited: bool) -> tuple[
     return name, 0, successes, opened
 
 
-START = ("CLOSED", 0, 0, 0.0)
+START = ("CLOSED", 0, 0, 0)
+
+
+def _micros(rows: pd.DataFrame) -> list[int]:
+    return rows["ts"].astype("datetime64[us]").astype("int64").tolist()
 
 
 def _walk(rows: pd.DataFrame, state):
     out = []
-    for ts, call, limited in zip(rows["ts"], rows["call_id"], rows["rate_limited"]):
-        new = step(state, ts.timestamp(), bool(limited))
+    for at, call, limited in zip(_micros(rows), rows["call_id"], rows["rate_limited"]):
+        new = step(state, at, bool(limited))
         if new[0] != state[0]:
             out.append((call, state[0], new[0]))
         state = new
@@ -90,28 +96,86 @@ def _walk(rows: pd.DataFrame, state):
 
 
 COLUMNS = ["call_id", "before", "after"]
+_STATE = "struct<name: string, failures: int, successes: int, opened: bigint>"
 
 
-def breaker(calls: DataFrame) -> DataFrame:
+def block_exits(times: list[int], limited: list[bool]) -> tuple[list[tuple], list[int], list[tuple]]:
+    """What a block of calls does to a breaker, whatever its state before: (exits, until, trials).
+
+    `exits` has the state after the block for each of the closed states with 0, 1, ... failures and the half-open ones
+    with 0, 1, ... successes. An open breaker is tried at the first call that comes late enough: `trials` has what
+    follows from a trial, `until` the last call time for which that holds. Found from the last call to the first.
+    """
+    n, cool = len(times), COOL_S * 1_000_000
+    closed = [("CLOSED", i, 0, 0) for i in range(FAILURES)]
+    half = [("HALF_OPEN", 0, i, 0) for i in range(SUCCESSES)]
+    tried = [half[0]] * n
+    for i in range(n - 1, -1, -1):
+        if limited[i]:
+            again = bisect_left(times, times[i] + cool)
+            opened = tried[again] if again < n else ("OPEN", 0, 0, times[i])
+            closed, half = [*closed[1:], opened], [opened] * SUCCESSES
+        else:
+            closed, half = [closed[0]] * FAILURES, [*half[1:], closed[0]]
+        tried[i] = half[0]
+    until: list[int] = []
+    trials: list[tuple] = []
+    for at, exit_ in zip(times, tried):
+        if until and (at == until[-1] or until[-1] >= times[0] + cool):
+            continue
+        if trials and trials[-1] == exit_:
+            until[-1] = at
+        else:
+            until.append(at)
+            trials.append(exit_)
+    return closed + half, until, trials
+
+
+def after_block(state: tuple, exits: list[tuple], until: list[int], trials: list[tuple]) -> tuple:
+    name, failures, successes, opened = state
+    if name == "OPEN":
+        at = bisect_left(until, opened + COOL_S * 1_000_000)
+        return trials[at] if at < len(until) else state
+    return exits[failures if name == "CLOSED" else FAILURES + successes]
+
+
+def breaker(calls: DataFrame, block: Column | None = None) -> DataFrame:
     """(model, call_id, before, after): each change of a model's breaker, in call order.
 
-    A breaker's state follows from all calls before, so a model's calls stay in one task; they come sorted and in
-    batches, of which a task holds one and the state.
+    A state follows from all calls before it, but a block of calls (an hour, or `block`, which must not fall along the
+    time) is a small function from the state before to the state after. So blocks become functions in parallel, a
+    model's functions are applied in order, and each block is walked from the state it then starts with, in parallel
+    again. A task holds one block's calls, or one row for each block of a model.
     """
+    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp") if block is None else block
+    rows = calls.select("model", "ts", "call_id", "rate_limited", hour.alias("block"))
+    kind = rows.schema["block"].dataType.simpleString()
+    name = rows.schema["model"].dataType.simpleString()
+
+    def ordered(part):
+        return part.sort_values(["ts", "call_id"])
+
+    def function(key, part):
+        part = ordered(part)
+        exits, until, trials = block_exits(_micros(part), part["rate_limited"].tolist())
+        return pd.DataFrame([(*key, exits, until, trials)], columns=["model", "block", "exits", "until", "trials"])
+
+    def fold(key, part):
+        state, out = START, []
+        for r in part.sort_values("block").itertuples(index=False):
+            out.append((key[0], r.block, *state))
+            states = lambda x: [(s["name"], s["failures"], s["successes"], s["opened"]) for s in x]
+            state = after_block(state, states(r.exits), list(r.until), states(r.trials))
+        return pd.DataFrame(out, columns=["model", "block", "name", "failures", "successes", "opened"])
 
-    def run(frames):
-        now, state = None, START
-        for rows in frames:
-            out = []
-            for model, part in rows.groupby("model", sort=False, dropna=False):
-                if model != now:
-                    now, state = model, START
-                state, changes = _walk(part, state)
-                out.extend((model, *c) for c in changes)
-            yield pd.DataFrame(out, columns=["model", *COLUMNS])
+    def walk(key, part, entry):
+        _, out = _walk(ordered(part), tuple(entry[["name", "failures", "successes", "opened"]].iloc[0]))
+        return pd.DataFrame(out, columns=COLUMNS).assign(model=key[0])
 
-    dealt = calls.select("model", "ts", "call_id", "rate_limited").repartition("model").sortWithinPartitions("model", "ts", "call_id")
-    return dealt.mapInPandas(run, "model string, call_id long, before string, after string")
+    functions = rows.groupBy("model", "block").applyInPandas(function, f"model {name}, block {kind}, exits array<{_STATE}>, until array<bigint>, trials array<{_STATE}>")
+    entries = functions.groupBy("model").applyInPandas(fold, f"model {name}, block {kind}, name string, failures int, successes int, opened long")
+    walked = rows.groupBy("model", "block").cogroup(entries.groupBy("model", "block")).applyInPandas(walk, f"call_id long, before string, after string, model {name}")
+    return walked.select("model", *COLUMNS)
 
 
 def candidates(states: DataFrame, now: Column) -> DataFrame:
@@ -135,7 +199,7 @@ def breaker_stream(calls: DataFrame) -> DataFrame:
         state.update(now)
         yield pd.DataFrame(out, columns=COLUMNS).assign(model=key[0])
 
-    return calls.groupBy("model").applyInPandasWithState(one, "call_id long, before string, after string, model string", "name string, failures int, successes int, opened double", "append", "NoTimeout")
+    return calls.groupBy("model").applyInPandasWithState(one, "call_id long, before string, after string, model string", "name string, failures int, successes int, opened long", "append", "NoTimeout")
 
 
 def once(messages: DataFrame, ts: str, delay: str, *keys: str) -> DataFrame:

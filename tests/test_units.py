@@ -1,3 +1,4 @@
+import random
 from itertools import permutations
 
 import pytest
@@ -118,6 +119,23 @@ def test_breaker_batch_equals_stream(spark, tmp_path):
     assert sorted((r.call_id, r.before, r.after) for r in spark.table("breaker_out").collect()) == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_blocks_of_calls_compose(seed):
+    """A state taken through the blocks' functions is the state after step() by step(), wherever the blocks are cut."""
+    rng = random.Random(seed)
+    times = sorted(rng.randrange(0, 900) * 1_000_000 + rng.choice([0, 0, 1]) for _ in range(200))
+    bad = [rng.random() < (0.3 + 0.1 * seed) for _ in times]
+    state = walked = messages.START
+    at, alike = 0, lambda s: (s[0], s[1] if s[0] == "CLOSED" else 0, s[2] if s[0] == "HALF_OPEN" else 0, s[3] if s[0] == "OPEN" else 0)
+    while at < len(times):
+        end = min(len(times), at + rng.randrange(1, 60))
+        for t, b in zip(times[at:end], bad[at:end]):
+            walked = messages.step(walked, t, b)
+        state = messages.after_block(state, *messages.block_exits(times[at:end], bad[at:end]))
+        assert alike(state) == alike(walked)
+        at = end
+
+
 def test_edits_guards_and_gates(spark):
     from gleanwork.operators import edits
 
