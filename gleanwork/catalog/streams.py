@@ -54,25 +54,25 @@ def run_summary(spark, sf_dir):
     return coverage.run_summary(view(spark, sf_dir, "fx_call_log").withColumn("ok", ~F.col("rate_limited")), "ok", "ts", "ts")
 
 
-@query("""WITH m AS (SELECT *, epoch_ms(ts) AS t_ms, min(epoch_ms(ts)) OVER (PARTITION BY job_id) + 3900000 AS due, min(CASE WHEN type <> 'log' THEN epoch_ms(ts) END) OVER (PARTITION BY job_id) AS done FROM fx_job_log),
+@query("""WITH m AS (SELECT *, (epoch_us(ts) // 1000) AS t_ms, min((epoch_us(ts) // 1000)) OVER (PARTITION BY job_id) + 3900000 AS due, min(CASE WHEN type <> 'log' THEN (epoch_us(ts) // 1000) END) OVER (PARTITION BY job_id) AS done FROM fx_job_log),
 r AS (SELECT job_id, seq, t_ms, least(due, coalesce(done, due)) AS ends FROM m WHERE t_ms < least(due, coalesce(done, due)))
-SELECT * FROM (SELECT job_id, seq, (least(coalesce(lead(t_ms) OVER (PARTITION BY job_id ORDER BY t_ms, seq), ends), (SELECT max(epoch_ms(ts)) FROM fx_job_log)) - t_ms) // 30000 AS beats FROM r) WHERE beats > 0""")
+SELECT * FROM (SELECT job_id, seq, (least(coalesce(lead(t_ms) OVER (PARTITION BY job_id ORDER BY t_ms, seq), ends), (SELECT max((epoch_us(ts) // 1000)) FROM fx_job_log)) - t_ms) // 30000 AS beats FROM r) WHERE beats > 0""")
 def job_silences(spark, sf_dir):
     """Heartbeats in each silence of a job, until it ends or counts as stuck."""
     log = view(spark, sf_dir, "fx_job_log")
     return live.silences(log, F.lit(log.agg(F.max("ts")).first()[0]))
 
 
-@query("""SELECT job_id, make_timestamp((due * 1000)::BIGINT) AS failed_at FROM (SELECT job_id, min(epoch_ms(ts)) + 3900000 AS due, min(CASE WHEN type <> 'log' THEN epoch_ms(ts) END) AS done FROM fx_job_log GROUP BY 1)
-WHERE coalesce(done >= due, true) AND due <= (SELECT max(epoch_ms(ts)) FROM fx_job_log)""")
+@query("""SELECT job_id, make_timestamp((due * 1000)::BIGINT) AS failed_at FROM (SELECT job_id, min((epoch_us(ts) // 1000)) + 3900000 AS due, min(CASE WHEN type <> 'log' THEN (epoch_us(ts) // 1000) END) AS done FROM fx_job_log GROUP BY 1)
+WHERE coalesce(done >= due, true) AND due <= (SELECT max((epoch_us(ts) // 1000)) FROM fx_job_log)""")
 def job_timeouts(spark, sf_dir):
     """Jobs that did not end in time, and when they failed for that."""
     log = view(spark, sf_dir, "fx_job_log")
     return live.deadlines(log, F.lit(log.agg(F.max("ts")).first()[0])).withColumn("failed_at", F.col("failed_at").cast("timestamp_ntz"))
 
 
-@query("""WITH m AS (SELECT user_id, event_id AS seq, epoch_ms(ts) AS t_ms FROM events WHERE event_type <> 'signup'),
-j AS (SELECT user_id, props AS subscriber, min(epoch_ms(ts)) AS joined FROM events WHERE event_type = 'signup' GROUP BY 1, 2)
+@query("""WITH m AS (SELECT user_id, event_id AS seq, (epoch_us(ts) // 1000) AS t_ms FROM events WHERE event_type <> 'signup'),
+j AS (SELECT user_id, props AS subscriber, min((epoch_us(ts) // 1000)) AS joined FROM events WHERE event_type = 'signup' GROUP BY 1, 2)
 SELECT user_id, subscriber, seq, 'live' AS how FROM m JOIN j USING (user_id) WHERE t_ms > joined UNION ALL
 SELECT user_id, subscriber, seq, 'replay' FROM (SELECT *, row_number() OVER (PARTITION BY user_id, subscriber ORDER BY t_ms DESC, seq DESC) AS back FROM m JOIN j USING (user_id) WHERE t_ms <= joined AND t_ms > joined - 432000000) WHERE back <= 5""")
 def late_joiners(spark, sf_dir):
