@@ -5,40 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import graphs
+from ..operators.tables import numbered
+
 
 def stages(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(name, stage, execution, waits_for) of an acyclic graph (name, needs): the longest chain of dependencies below.
 
-    A recursive query over edges; `issues` says beforehand whether the graph has cycles.
+    `issues` says beforehand whether the graph has cycles; names on a cycle or behind one are left out.
     """
-    spark = nodes.sparkSession
-    out = spark.sql(
-        """WITH RECURSIVE walk(name, stage) AS (
-             SELECT name, 1 FROM {nodes} UNION ALL SELECT e.name, w.stage + 1 FROM {needs} e JOIN walk w ON e.needs = w.name)
-           SELECT name, max(stage) AS stage FROM walk GROUP BY name""",
-        nodes=nodes, needs=needs,
-    )
-    together = F.count("*").over(Window.partitionBy("stage"))
-    return out.withColumn("execution", F.when(together > 1, "parallel").otherwise("sequential")).withColumn("waits_for", F.when(F.col("stage") > 1, F.col("stage") - 1))
+    out = graphs.levels(nodes, needs).filter("stage is not null")
+    sizes = out.groupBy("stage").agg(F.count("*").alias("_n"))
+    out = out.join(sizes, "stage")
+    execution = F.when(F.col("_n") > 1, "parallel").otherwise("sequential")
+    return out.select("name", "stage", execution.alias("execution"), F.when(F.col("stage") > 1, F.col("stage") - 1).alias("waits_for"))
 
 
 def topological(nodes: DataFrame, needs: DataFrame) -> DataFrame:
-    """(name, place): an order in which every name comes after what it needs; names of one stage by name."""
-    order = Window.partitionBy().orderBy("stage", "name")  # a form's signatures, a short list
-    return stages(nodes, needs).select("name", F.row_number().over(order).alias("place"))
+    """(name, place): an order in which every name comes after what it needs; names of one stage by name.
+
+    Stages are counted and added up first, and names numbered within parts of a stage, so no task orders all names.
+    """
+    out = graphs.levels(nodes, needs).filter("stage is not null")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy().orderBy("stage").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a stage
+    starts = out.groupBy("stage").agg(F.count("*").alias("_n")).select("stage", before.alias("_start"))
+    inside = numbered(out, ["stage"], [F.asc("name")], "_place", F.substring("name", 1, 3))
+    return inside.join(starts, "stage").select("name", (F.col("_start") + F.col("_place")).cast("int").alias("place"))
 
 
 def issues(nodes: DataFrame, needs: DataFrame) -> DataFrame:
     """(kind, name): dependencies that don't exist, names defined twice, and names on a cycle."""
     unknown = needs.join(nodes.withColumnRenamed("name", "needs"), "needs", "left_anti").select(F.lit("unknown").alias("kind"), F.col("needs").alias("name"))
     twice = nodes.groupBy("name").count().filter("count > 1").select(F.lit("duplicate").alias("kind"), "name")
-    cyclic = nodes.sparkSession.sql(
-        """WITH RECURSIVE walk(start, name, path) AS (
-             SELECT name, needs, array(name) FROM {needs}
-             UNION ALL SELECT w.start, e.needs, array_append(w.path, e.name) FROM walk w JOIN {needs} e ON e.name = w.name WHERE NOT array_contains(w.path, e.name))
-           SELECT DISTINCT 'cycle' AS kind, start AS name FROM walk WHERE name = start""",
-        needs=needs,
-    )
+    cyclic = graphs.on_cycles(needs).select(F.lit("cycle").alias("kind"), "name")
     return unknown.union(twice).union(cyclic).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .fixtures import view
 from .functions import fields, norm
-from .operators import chunks, coverage, edits, linking, tables
+from .operators import chunks, coverage, edits, graphs, linking, tables
 from .plans import evaluate, planner, review
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .streaming import messages
@@ -325,6 +325,29 @@ def topological_order(spark, sf_dir):
     return planner.topological(*_graph(spark, sf_dir))
 
 
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier WHERE s_suppkey > 0 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey > 2 UNION SELECT s_suppkey, s_suppkey - 1 FROM supplier WHERE s_suppkey % 20 <> 0),
+w AS (SELECT s_suppkey AS a, 1 AS stage FROM supplier UNION SELECT e.a, w.stage + 1 FROM w JOIN e ON e.b = w.a)
+SELECT CAST(a AS VARCHAR) AS name, CAST(max(stage) AS INT) AS stage FROM w GROUP BY 1""")
+def plan_layers(spark, sf_dir):
+    """Stages of a graph of suppliers with many paths between two of them, and with chains."""
+    nodes, edges = _graph(spark, sf_dir)
+    key = F.col("name").cast("long")
+    third = nodes.filter(key > 2).select("name", F.expr("cast(cast(name as long) div 3 as string)").alias("needs"))
+    chain = nodes.filter(key % 20 != 0).select("name", (key - 1).cast("string").alias("needs"))
+    return graphs.levels(nodes, edges.union(third).union(chain))
+
+
+@query("""WITH RECURSIVE n AS (SELECT max(s_suppkey) + 1 AS n FROM supplier), e AS (SELECT s_suppkey AS a, (s_suppkey * 7 + 3) % n AS b FROM supplier, n WHERE s_suppkey % 3 > 0 UNION SELECT s_suppkey, (s_suppkey * 5 + 1) % n FROM supplier, n WHERE s_suppkey % 4 = 0),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT CAST(x.a AS VARCHAR) AS name, min(CAST(y.a AS VARCHAR)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a IN (SELECT a FROM r WHERE a = b) GROUP BY 1""")
+def graph_cycles(spark, sf_dir):
+    """Suppliers on a cycle of a graph of theirs, with the smallest name of their component."""
+    nodes, _ = _graph(spark, sf_dir)
+    key, n = F.col("name").cast("long"), nodes.agg(F.max(F.col("name").cast("long"))).first()[0] + 1
+    first = nodes.filter(key % 3 > 0).select("name", ((key * 7 + 3) % n).cast("string").alias("needs"))
+    return graphs.on_cycles(first.union(nodes.filter(key % 4 == 0).select("name", ((key * 5 + 1) % n).cast("string").alias("needs"))))
+
+
 @query("""SELECT document_id, slot, max(l_linestatus) AS linestatus, max(CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS quantity, max(l_returnflag) AS returnflag FROM fx_results GROUP BY 1, 2""")
 def export_wide(spark, sf_dir):
     return fields.wide(fields.field_values(view(spark, sf_dir, "fx_results"), "document_id", "slot"), ["document_id", "slot"], FIELDS)
