@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import norm
+from ..storage import written
 
 #: A match of at least this similarity is a true positive; fixed value.
 TRUE_AT = 0.70
@@ -43,23 +44,45 @@ def record_key(values: Column) -> Column:
     return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(values)))), 256)
 
 
+def value_keys(values: Column, required: list[str], semantic: tuple[str, ...] = ()) -> Column:
+    """Array of (field, key) of a record: two records score 1 in a field exactly where these keys are equal."""
+    out = []
+    for i, f in enumerate(required):
+        x = norm.evaluator_value(F.try_element_at(values, F.lit(f)), F.lit(f))
+        words = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))), " ")
+        out.append(F.struct(F.lit(i).alias("field"), F.when(norm.is_empty(x), F.lit("")).otherwise(F.concat(F.lit("="), words if f in semantic else x)).alias("key")))
+    return F.array(*out)
+
+
+def similar(extracted: DataFrame, truth: DataFrame, required: list[str], semantic: tuple[str, ...] = ()) -> DataFrame:
+    """(study, ext_id, gt_id, similarity) of the pairs of a study that score in any field: the similarities that aren't 0.
+
+    Pairs meet by the values they share, so a study's records are never all compared with each other.
+    """
+    side = lambda df, name: df.select("study", F.col("id").alias(name), F.explode(value_keys(F.col("values"), required, semantic)).alias("k")).select("study", name, "k.field", "k.key")
+    shared = side(extracted, "ext_id").join(side(truth, "gt_id"), ["study", "field", "key"])
+    return shared.groupBy("study", "ext_id", "gt_id").agg((F.count("*") / len(required)).alias("similarity"))
+
+
 def compared(extracted: DataFrame, truth: DataFrame, required: list[str], semantic: tuple[str, ...] = ()) -> DataFrame:
-    """(study, ext_id, gt_id, ev, gv, scores, similarity): every extracted record of a study with every true one.
+    """(study, ext_id, gt_id, ev, gv, scores, similarity) of the pairs of a study whose similarity isn't 0.
 
-    Both sides are (study, id, values), values a map. An equi-join on the study: a study holds a handful of records.
+    Both sides are (study, id, values), values a map.
     """
     a = extracted.select("study", F.col("id").alias("ext_id"), F.col("values").alias("ev"))
     b = truth.select("study", F.col("id").alias("gt_id"), F.col("values").alias("gv"))
     scores = F.array(*[score(F.try_element_at("ev", F.lit(f)), F.try_element_at("gv", F.lit(f)), F.lit(f), semantic) for f in required])
-    out = a.join(b, "study").withColumn("scores", scores)
-    return out.withColumn("similarity", F.aggregate("scores", F.lit(0.0), lambda x, y: x + y) / len(required))
+    out = similar(extracted, truth, required, semantic).join(a, ["study", "ext_id"]).join(b, ["study", "gt_id"])
+    return out.select("study", "ext_id", "gt_id", "ev", "gv", scores.alias("scores"), "similarity")
 
 
 def matched(pairs: DataFrame) -> DataFrame:
     """The rows of `compared` in the best one-to-one matching of each study, those of similarity 0 left out.
 
-    A study with one record on a side takes its likest pair in SQL; the others' similarities go through an assignment.
+    A study with one record on a side takes its likest pair in SQL; the others' similarities, those above 0 alone, go
+    through an assignment. Where several matchings are best, which one it is follows from the ids.
     """
+    pairs = pairs.filter("similarity > 0")
     sides = pairs.groupBy("study").agg(F.count_distinct("ext_id").alias("n_ext"), F.count_distinct("gt_id").alias("n_gt"))
     ids = pairs.select("study", "ext_id", "gt_id", "similarity").join(sides, "study")
     single = F.least("n_ext", "n_gt") == 1
@@ -72,10 +95,8 @@ def matched(pairs: DataFrame) -> DataFrame:
         now, held = None, []
 
         def solved():
-            ext, gt = sorted({r[0] for r in held}), sorted({r[1] for r in held})
-            sims = {(e, g): s for e, g, s in held}
-            found = assign([[sims.get((e, g), 0.0) for g in gt] for e in ext]) if held else []
-            return pa.RecordBatch.from_pydict({"study": pa.array([now] * len(found), pa.int64()), "ext_id": pa.array([ext[i] for i, _ in found], pa.int64()), "gt_id": pa.array([gt[j] for _, j in found], pa.int64())})
+            found = assign_pairs(held)
+            return pa.RecordBatch.from_pydict({"study": pa.array([now] * len(found), pa.int64()), "ext_id": pa.array([i for i, _ in found], pa.int64()), "gt_id": pa.array([j for _, j in found], pa.int64())})
 
         for batch in batches:
             for study, *row in zip(*(batch.column(c).to_pylist() for c in ("study", "ext_id", "gt_id", "similarity"))):
@@ -105,6 +126,7 @@ def record_metrics(extracted: DataFrame, truth: DataFrame, matches: DataFrame) -
 
 def field_counts(extracted: DataFrame, truth: DataFrame, matches: DataFrame, required: list[str]) -> DataFrame:
     """Per field: gt_count, extracted_count, matched, missing, incorrect, extra, over matched and unmatched records."""
+    matches = written(matches.select("study", "ext_id", "gt_id", "ev", "gv", "scores"))  # read three times
     none = F.expr("cast(null as map<string,string>)")
     left = lambda df, side: df.join(matches.select("study", F.col(side).alias("id")), ["study", "id"], "left_anti")
     rows = matches.select("ev", "gv", "scores")
@@ -171,38 +193,63 @@ def with_metric(pairs: DataFrame, metric, schema: str = "double") -> DataFrame:
     return pairs.withColumn("metric", measure(F.to_json("ev"), F.to_json("gv")))
 
 
-def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
-    """Pairs of the assignment with the largest total weight, by shortest augmenting paths with potentials."""
-    n = max(len(weights), len(weights[0]) if weights else 0)
-    cost = [[-(weights[i][j] if i < len(weights) and j < len(weights[i]) else 0.0) for j in range(n)] for i in range(n)]
-    inf = float("inf")
-    u, v, owner, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        low, used = [inf] * (n + 1), [False] * (n + 1)
-        while True:
-            used[j0] = True
-            i0, delta, j1 = owner[j0], inf, 0
-            for j in range(1, n + 1):
-                if not used[j]:
-                    left = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if left < low[j]:
-                        low[j], way[j] = left, j0
-                    if low[j] < delta:
-                        delta, j1 = low[j], j
-            for j in range(n + 1):
-                if used[j]:
-                    u[owner[j]] += delta
-                    v[j] -= delta
-                else:
-                    low[j] -= delta
-            j0 = j1
-            if owner[j0] == 0:
+def assign_pairs(pairs: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """The one-to-one part of (left, right, weight) with the largest total weight; pairs left out weigh nothing.
+
+    Every free left node bids the same, at first the largest weight. At each price level as many nodes as possible are
+    matched along tight pairs; where no path is left, the bids of all nodes reached fall, and the prices of what they
+    reached rise, by the least that makes another pair tight. It ends when a free node would bid nothing. Memory and a
+    level's work are in proportion to the pairs. Weights count as multiples of a billionth.
+    """
+    out: dict[int, list[tuple[int, int]]] = {}
+    for i, j, w in sorted(pairs):
+        out.setdefault(i, []).append((j, round(w * 1_000_000_000)))
+    top = max((w for edges in out.values() for _, w in edges), default=0)
+    bid, price = dict.fromkeys(out, top), {j: 0 for edges in out.values() for j, _ in edges}
+    to: dict[int, int] = {}
+    owner: dict[int, int] = {}
+    free, level = list(out), top
+    while free and level > 0:
+        while True:  # passes; the nodes that a pass without a path has reached bound the next level
+            reached, seen, grown = set(), set(), False
+            for start in free:
+                stack, path = [(start, iter(out[start]))], []
+                reached.add(start)
+                while stack:
+                    i, edges = stack[-1]
+                    for j, w in edges:
+                        if j in seen or bid[i] + price[j] != w:
+                            continue
+                        seen.add(j)
+                        path.append(j)
+                        if j in owner:
+                            stack.append((owner[j], iter(out[owner[j]])))
+                            reached.add(owner[j])
+                        else:
+                            for (k, _), j in zip(stack, path):
+                                to[k], owner[j] = j, k
+                            stack, grown = [], True
+                        break
+                    else:
+                        stack.pop()
+                        if path:
+                            path.pop()
+            free = [i for i in free if i not in to]
+            if not grown:
                 break
-        while j0:
-            owner[j0], j0 = owner[way[j0]], way[j0]
-    pairs = [(owner[j] - 1, j - 1) for j in range(1, n + 1)]
-    return sorted((i, j) for i, j in pairs if i < len(weights) and j < len(weights[i]) and weights[i][j] > 0)
+        fall = min((bid[i] + price[j] - w for i in reached for j, w in out[i] if j not in seen), default=level)
+        fall = min(fall, level)
+        for i in reached:
+            bid[i] -= fall
+        for j in seen:
+            price[j] += fall
+        level -= fall
+    return sorted(to.items())
+
+
+def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
+    """The same for a whole matrix of weights."""
+    return assign_pairs([(i, j, w) for i, row in enumerate(weights) for j, w in enumerate(row) if w > 0])
 
 
 def quality(rows: DataFrame, column: str) -> DataFrame:

@@ -82,6 +82,32 @@ def test_matching_is_best_and_one_to_one(spark):
     assert sorted((r.study, r.ext_id, r.gt_id) for r in evaluate.matched(df).collect()) == [(1, 0, 11), (1, 1, 10), (3, 2, 1)]
 
 
+def test_one_study_of_many_records(spark):
+    """5,000 extracted and 5,000 true records of one study, a third of them changed: each finds its own again, without all pairs."""
+    n = 5000
+    gt = spark.range(n).selectExpr("1L AS study", "id", "map('a', concat('a', id), 'b', concat('b', id div 3), 'c', concat('c', id * 7 % 5000)) AS values")
+    ext = spark.range(n).selectExpr("1L AS study", "id + 100000 AS id", "map('a', if(id % 3 = 0, 'other', concat('A', id)), 'b', concat('b', id div 3), 'c', concat('c', id * 7 % 5000, '.')) AS values")
+    pairs = evaluate.similar(ext, gt, ["a", "b", "c"])
+    assert pairs.count() < 4 * n
+    got = evaluate.matched(evaluate.compared(ext, gt, ["a", "b", "c"])).select("ext_id", "gt_id", "similarity").collect()
+    assert len(got) == n and all(r.ext_id - 100_000 == r.gt_id for r in got)
+    assert abs(sum(r.similarity for r in got) - (n - (n + 2) // 3 / 3)) < 1e-6
+
+
+def test_similarities_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    values = ["x", "X.", "", None, "nr", "a b", "B, a", "!", "?", "12.2", "12"]
+    rows = [[(s, i, {f: rng.choice(values) for f in ("note", "arm_n", "b")}) for s in range(3) for i in range(9)] for _ in range(2)]
+    ext, gt = (spark.createDataFrame(r, "study long, id long, values map<string,string>") for r in rows)
+    fields = ["note", "arm_n", "b"]
+    a, b = (x.select("study", F.col("id").alias(i), F.col("values").alias(v)) for x, i, v in ((ext, "ext_id", "ev"), (gt, "gt_id", "gv")))
+    scores = sum((evaluate.score(F.try_element_at("ev", F.lit(f)), F.try_element_at("gv", F.lit(f)), F.lit(f), ("note",)) for f in fields), F.lit(0.0)) / 3
+    want = {(r.study, r.ext_id, r.gt_id): round(r.s, 9) for r in a.join(b, "study").withColumn("s", scores).collect() if r.s}
+    got = evaluate.compared(ext, gt, fields, ("note",)).collect()
+    assert {(r.study, r.ext_id, r.gt_id): round(r.similarity, 9) for r in got} == want
+    assert all(abs(sum(r.scores) / 3 - r.similarity) < 1e-9 for r in got)
+
+
 def test_field_counts_of_unmatched_records(spark):
     record = "study long, id long, values map<string,string>"
     ext = spark.createDataFrame([(1, 1, {"a": "x", "b": "nr"}), (1, 2, {"a": "odd"}), (2, 1, {"a": "q"})], record)

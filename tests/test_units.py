@@ -75,6 +75,18 @@ def test_assignment_is_optimal(m, n, rnd):
     assert got == pytest.approx(max(sum(full[i][p[i]] for i in range(k)) for p in permutations(range(k))))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.integers(1, 5), st.randoms())
+def test_assignment_of_pairs_is_optimal(m, n, rnd):
+    pairs = [(3 * i, 7 * j, rnd.random() if rnd.random() < 0.5 else 1 / 3) for i in range(m) for j in range(n) if rnd.random() < 0.6]
+    got = evaluate.assign_pairs(pairs)
+    w = {(i, j): x for i, j, x in pairs}
+    assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+    k = max(m, n)
+    best = max(sum(w.get((3 * i, 7 * p[i]), 0) for i in range(k)) for p in permutations(range(k)))
+    assert sum(w[x] for x in got) == pytest.approx(best, abs=1e-8)
+
+
 def test_planner_issues(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "name string")
     needs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "zz")], "name string, needs string")
