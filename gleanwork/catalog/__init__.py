@@ -1,3 +1,3 @@
 """Further registered queries, by subject."""
 
-from . import dashboards, evaluation, linking, listing, shapes, streams, vocabularies  # noqa: F401
+from . import dashboards, evaluation, extraction, linking, listing, shapes, streams, vocabularies  # noqa: F401
