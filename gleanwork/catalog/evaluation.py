@@ -138,3 +138,15 @@ def group_items(spark, sf_dir):
     wide = rows.groupBy("document_id").agg(F.map_from_entries(F.flatten(F.collect_list(F.array(cell("flag", F.col("l_returnflag")), cell("qty", F.col("l_quantity").cast("int").cast("string")))))).alias("values"))
     items = wide.select("document_id", F.inline(evaluate.group_items(F.col("values"), **GROUP)))
     return items.select("document_id", "slot", F.col("item")["flag"].alias("flag"), F.col("item")["qty"].alias("qty"))
+
+
+@query(None)
+def aligned_slots(spark, sf_dir):
+    """Groups of a document's extraction (slots 1, 3, 5, 7) renamed after the true ones (2, 4, 6) they match: (document_id, key, value)."""
+    rows = view(spark, sf_dir, "fx_results").filter("slot <= 7").withColumn("arm", F.expr("(slot + 1) div 2"))
+    cell = lambda name, value: F.struct(F.concat(F.lit("arm_"), F.col("arm"), F.lit(f"_{name}")).alias("k"), value.alias("v"))
+    cells = F.array(cell("flag", F.col("l_returnflag")), cell("line", F.col("l_linestatus")), cell("qty", F.col("l_quantity").cast("int").cast("string")))
+    side = lambda odd, name: rows.filter(F.col("slot") % 2 == odd).groupBy("document_id").agg(F.map_from_entries(F.flatten(F.collect_list(cells))).alias(name))
+    pairs = side(1, "ev").join(side(0, "gv"), "document_id")
+    aligned = evaluate.aligned_groups(pairs, "arm", ["flag", "line"], ["flag", "line", "qty"], 4)
+    return aligned.select("document_id", F.explode("ev").alias("key", "value"))

@@ -22,6 +22,8 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "fx_results": """SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY document_id, slot ORDER BY created_at DESC, tb1 DESC, tb2 DESC, tb3 DESC) AS rn
         FROM fx_results_raw r) q WHERE rn = 1""",
+    "fx_messy": """SELECT document_id, slot, extraction_type, reviewer_role, CASE WHEN tb1 % 11 = 0 THEN NULL WHEN tb1 % 5 = 0 THEN concat('  ', lower(l_returnflag), ' ') ELSE l_returnflag END AS f1,
+        CASE WHEN tb2 % 7 = 0 THEN NULL WHEN tb2 % 3 = 0 THEN lower(l_linestatus) ELSE l_linestatus END AS f2, CAST(CAST(l_quantity AS INT) AS VARCHAR(10)) AS f3 FROM fx_results""",
     "fx_assignments": """SELECT d.document_id, d.project_id, r.role AS reviewer_role, CASE WHEN d.document_id % 4 = 0 THEN 'completed' WHEN d.document_id % 4 = 1 THEN 'in_progress'
         WHEN d.document_id % 4 = 2 THEN 'pending' ELSE 'skipped' END AS status FROM fx_documents d
         CROSS JOIN (SELECT 'reviewer_1' AS role UNION ALL SELECT 'reviewer_2' UNION ALL SELECT 'adjudicator') r""",

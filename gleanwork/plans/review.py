@@ -60,8 +60,9 @@ def irr(pairs: DataFrame) -> DataFrame:
 
 
 def icc(pairs: DataFrame) -> DataFrame:
-    """Simplified intraclass correlation per field; null under three pairs, or if any value isn't a number."""
-    both = pairs.filter("v1 is not null and v2 is not null").select("field", norm.to_number(F.col("v1")).alias("a"), norm.to_number(F.col("v2")).alias("b"))
+    """Simplified intraclass correlation per field, and over all (field null); null under three pairs, or if any value isn't a number."""
+    each = pairs.filter("v1 is not null and v2 is not null").select(F.explode(F.array(F.col("field"), F.lit(None).cast("string"))).alias("field"), "v1", "v2")
+    both = each.select("field", norm.to_number(F.col("v1")).alias("a"), norm.to_number(F.col("v2")).alias("b"))
     n = F.count("*")
     between, within = F.var_samp((F.col("a") + F.col("b")) / 2) * 2, F.avg((F.col("a") - F.col("b")) ** 2) / 2
     sums = both.groupBy("field").agg(n.alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("bad"), between.alias("msb"), within.alias("msw"))

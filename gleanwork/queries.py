@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .fixtures import view
 from .functions import fields, norm
 from .operators import chunks, coverage, edits, graphs, linking, tables
-from .plans import evaluate, planner, review
+from .plans import dashboard, evaluate, planner, review
 from .registry import QUERIES, SQL, query  # noqa: F401
 from .streaming import messages
 
@@ -42,9 +42,9 @@ def irr_kappa(spark, sf_dir):
     return review.irr(pairs(spark, sf_dir))
 
 
-@query(MANUAL + """, q AS (SELECT field, TRY_CAST(v1 AS DOUBLE) AS a, TRY_CAST(v2 AS DOUBLE) AS b FROM p),
+@query(MANUAL + """, q AS (SELECT f AS field, TRY_CAST(v1 AS DOUBLE) AS a, TRY_CAST(v2 AS DOUBLE) AS b FROM (SELECT field AS f, v1, v2 FROM p UNION ALL SELECT '*', v1, v2 FROM p)),
 t AS (SELECT field, count(*) AS n, count(*) FILTER (WHERE a IS NULL OR b IS NULL) AS bad, 2 * var_samp((a + b) / 2) AS msb, sum((a - b) * (a - b)) / (2 * count(*)) AS msw FROM q GROUP BY 1)
-SELECT field, CAST(n AS BIGINT) AS n, CASE WHEN n >= 3 AND bad = 0 THEN round_even(greatest(-1.0, least(1.0, CASE WHEN msb + msw = 0 THEN 1.0 ELSE (msb - msw) / (msb + msw) END))::DOUBLE, 4) + 0.0::DOUBLE END AS icc FROM t""")
+SELECT nullif(field, '*') AS field, CAST(n AS BIGINT) AS n, CASE WHEN n >= 3 AND bad = 0 THEN round_even(greatest(-1.0, least(1.0, CASE WHEN msb + msw = 0 THEN 1.0 ELSE (msb - msw) / (msb + msw) END))::DOUBLE, 4) + 0.0::DOUBLE END AS icc FROM t""")
 def irr_icc(spark, sf_dir):
     return review.icc(pairs(spark, sf_dir))
 
@@ -57,12 +57,17 @@ def label_kappa(spark, sf_dir):
     return review.irr(rated).filter("field is not null")
 
 
-@query(MANUAL + """, ai AS (SELECT document_id, arg_max(l_returnflag, (slot, created_at)) AS value FROM fx_results WHERE extraction_type = 'ai' AND slot = 3 GROUP BY 1)
-SELECT p.document_id, p.field, p.v1, p.v2, p.v1 IS NOT DISTINCT FROM p.v2 AS agreed, ai.value AS ai_value FROM p LEFT JOIN ai ON p.document_id = ai.document_id AND p.field = 'returnflag'""")
+@query("""WITH m AS (SELECT document_id, max(f1) FILTER (WHERE reviewer_role = 'reviewer_1') AS a1, max(f1) FILTER (WHERE reviewer_role = 'reviewer_2') AS b1, max(f2) FILTER (WHERE reviewer_role = 'reviewer_1') AS a2, max(f2) FILTER (WHERE reviewer_role = 'reviewer_2') AS b2, max(f3) FILTER (WHERE reviewer_role = 'reviewer_1') AS a3, max(f3) FILTER (WHERE reviewer_role = 'reviewer_2') AS b3,
+max(f1) FILTER (WHERE slot = 3) AS ai FROM fx_messy GROUP BY 1 HAVING count(reviewer_role) FILTER (WHERE reviewer_role = 'reviewer_1') > 0 AND count(reviewer_role) FILTER (WHERE reviewer_role = 'reviewer_2') > 0)
+SELECT document_id, 'returnflag' AS field, a1 AS v1, b1 AS v2, lower(trim(a1)) IS NOT DISTINCT FROM lower(trim(b1)) AS agreed, ai AS ai_value FROM m UNION ALL
+SELECT document_id, 'linestatus' AS field, a2 AS v1, b2 AS v2, lower(trim(a2)) IS NOT DISTINCT FROM lower(trim(b2)) AS agreed, NULL AS ai_value FROM m UNION ALL
+SELECT document_id, 'quantity' AS field, a3 AS v1, b3 AS v2, lower(trim(a3)) IS NOT DISTINCT FROM lower(trim(b3)) AS agreed, NULL AS ai_value FROM m""")
 def review_compare(spark, sf_dir):
-    results = view(spark, sf_dir, "fx_results")
+    """Both reviewers' values with nulls and differences of case and blanks, and the machine's flag."""
+    record = F.to_json(F.struct(F.col("f1").alias("returnflag"), F.col("f2").alias("linestatus"), F.col("f3").alias("quantity")), {"ignoreNullFields": "false"})
+    results = view(spark, sf_dir, "fx_messy").withColumn("extracted_data", record)
     ai = fields.field_values(results.filter("extraction_type = 'ai' and slot = 3"), "document_id").filter("field = 'returnflag'").withColumnRenamed("value", "ai_value")
-    return review.compare(pairs(spark, sf_dir), ai)
+    return review.compare(review.reviewer_pairs(results), ai)
 
 
 @query(MANUAL + """SELECT field, count(*)::BIGINT AS total_fields, count(*) FILTER (WHERE v1 = v2)::BIGINT AS agreed_count, count(*) FILTER (WHERE v1 <> v2)::BIGINT AS disagreed_count,
@@ -163,6 +168,17 @@ def cleaning_grid(spark, sf_dir):
     return review.best_values(view(spark, sf_dir, "fx_results"))
 
 
+@query("""WITH r AS (SELECT document_id, slot, l_returnflag, l_linestatus, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q, coalesce(reviewer_role, 'ai') AS origin, created_at, CASE reviewer_role WHEN 'reviewer_1' THEN 1 WHEN 'reviewer_2' THEN 2 ELSE 3 END AS rnk FROM fx_results),
+v AS (SELECT document_id, 'returnflag' AS field, l_returnflag AS value, origin, created_at, rnk FROM r UNION ALL SELECT document_id, 'linestatus', l_linestatus, origin, created_at, rnk FROM r UNION ALL SELECT document_id, 'quantity', q, origin, created_at, rnk FROM r
+  UNION ALL SELECT a.document_id, 'quantity', a.q || ' or ' || b.q, 'adjudicator', NULL, 0 FROM r a JOIN r b ON a.document_id = b.document_id AND a.slot = 1 AND b.slot = 2 AND a.q <> b.q)
+SELECT document_id, field, value, origin FROM (SELECT *, row_number() OVER (PARTITION BY document_id, field ORDER BY rnk, created_at DESC, value) AS best FROM v) WHERE best = 1""")
+def adjudicated_grid(spark, sf_dir):
+    """The best values where each quantity that the reviewers dispute has been adjudicated."""
+    disputed = review.reviewer_pairs(view(spark, sf_dir, "fx_results")).filter("field = 'quantity' and v1 <> v2")
+    decided = disputed.select("document_id", "field", F.concat("v1", F.lit(" or "), "v2").alias("value"))
+    return review.best_values(view(spark, sf_dir, "fx_results"), decided)
+
+
 def _grid_violations(spark, sf_dir, field, **rule):
     values = fields.field_values(view(spark, sf_dir, "fx_results"), "document_id", "slot").filter(F.col("field") == field)
     return values.filter(review.violates(value=F.col("value"), **rule)).select("document_id", "slot", "value")
@@ -350,7 +366,8 @@ def graph_cycles(spark, sf_dir):
 
 @query("""SELECT document_id, slot, max(l_linestatus) AS linestatus, max(CAST(CAST(l_quantity AS INT) AS VARCHAR)) AS quantity, max(l_returnflag) AS returnflag FROM fx_results GROUP BY 1, 2""")
 def export_wide(spark, sf_dir):
-    return fields.wide(fields.field_values(view(spark, sf_dir, "fx_results"), "document_id", "slot"), ["document_id", "slot"], FIELDS)
+    results = view(spark, sf_dir, "fx_results")
+    return fields.wide(fields.field_values(results, "document_id", "slot"), ["document_id", "slot"], dashboard.all_fields(results))
 
 
 @query("SELECT document_id, strftime(created_at, '%Y-%m-%d') AS iso, strftime(created_at, '%m/%d/%Y') AS us, strftime(created_at, '%d/%m/%Y') AS eu, strftime(created_at, '%B %-d, %Y') AS long FROM fx_documents")
@@ -497,6 +514,20 @@ def shared_names(spark, sf_dir):
     return view(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.count_distinct("p_size").alias("groups")).filter("groups > 1")
 
 
+@query("""WITH stuck AS (SELECT *, CAST(floor(value) AS BIGINT) % 3 AS kind, CAST(json_extract_string(input_data, '$.k') AS BIGINT) AS k FROM fx_jobs WHERE status IN ('pending', 'processing') AND created_at < (SELECT max(created_at) FROM fx_jobs) - INTERVAL 3900 SECOND)
+SELECT document_id, CASE WHEN document_id IN (SELECT k FROM stuck WHERE kind = 0) THEN 'failed' ELSE processing_status END AS processing_status,
+CASE WHEN document_id IN (SELECT k FROM stuck WHERE kind = 0) THEN 'Timed out: job exceeded maximum processing time' END AS processing_error FROM fx_documents""")
+def stuck_documents(spark, sf_dir):
+    """Documents after a sweep has failed the stuck jobs and, with each, what it worked on."""
+    jobs = view(spark, sf_dir, "fx_jobs")
+    kind = F.expr("element_at(array('pdf_processing', 'form_generation', 'extraction'), cast(floor(value) % 3 as int) + 1)")
+    named = F.expr("element_at(array('document_id', 'form_id', 'extraction_id'), cast(floor(value) % 3 as int) + 1)")
+    jobs = jobs.withColumn("job_type", kind).withColumn("input_data", F.to_json(F.create_map(named, F.get_json_object("input_data", "$.k"))))
+    failed = messages.fail_stuck(jobs, jobs.agg(F.max("created_at").alias("as_of")))
+    docs = view(spark, sf_dir, "fx_documents").select("document_id", "processing_status", F.lit(None).cast("string").alias("processing_error"))
+    return messages.mark_targets(docs, failed, "document", "document_id", "processing_status", "processing_error")
+
+
 @query("""SELECT j.job_id, j.status, CASE WHEN d.document_id IS NOT NULL THEN 'document' WHEN u.user_id IS NOT NULL THEN 'user' ELSE 'none' END AS target, coalesce(d.filename, u.full_name) AS label
 FROM fx_jobs j LEFT JOIN fx_documents d ON j.status = 'failed' AND d.document_id = j.job_id LEFT JOIN fx_users u ON j.status <> 'failed' AND u.user_id = j.user_id""")
 def job_targets(spark, sf_dir):

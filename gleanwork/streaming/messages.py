@@ -57,6 +57,27 @@ def stuck(jobs: DataFrame, as_of: DataFrame) -> DataFrame:
     return waiting.join(F.broadcast(as_of), F.col("created_at") < F.col("as_of") - F.expr(f"interval {STUCK_S} seconds"), "left_semi")  # one row
 
 
+#: What a job of each type works on; its id stands in the job's input under {target}_id. Fixed values.
+TARGETS = {"pdf_processing": "document", "form_generation": "form", "extraction": "extraction"}
+TIMED_OUT = "Timed out: job exceeded maximum processing time"
+
+
+def fail_stuck(jobs: DataFrame, as_of: DataFrame) -> DataFrame:
+    """(job_id, status, progress, error_message, target, target_id): stuck jobs as failed ones, and what each worked on; null if its input names none."""
+    target = F.coalesce(*[F.when(F.col("job_type") == kind, F.lit(name)) for kind, name in TARGETS.items()])
+    ids = F.coalesce(*[F.when(F.col("job_type") == kind, F.get_json_object("input_data", f"$.{name}_id")) for kind, name in TARGETS.items()])
+    return stuck(jobs, as_of).select("job_id", F.lit("failed").alias("status"), F.lit(0).alias("progress"), F.lit(TIMED_OUT).alias("error_message"), target.alias("target"), ids.alias("target_id"))
+
+
+def mark_targets(rows: DataFrame, failed: DataFrame, target: str, key: str, status: str, error: str | None = None) -> DataFrame:
+    """`rows` of one target (documents, say) with the status of those that a failed job worked on set to failed, and the error where there is a column for it."""
+    hit = failed.filter((F.col("target") == target) & F.col("target_id").isNotNull()).groupBy("target_id").agg(F.first("error_message").alias("_error"))
+    out = rows.join(hit, rows[key].cast("string") == F.col("target_id"), "left")
+    out = out.withColumn(status, F.when(F.col("_error").isNotNull(), F.lit("failed")).otherwise(F.col(status)))
+    out = out.withColumn(error, F.coalesce("_error", F.col(error))) if error else out
+    return out.drop("_error", "target_id")
+
+
 def tumbling(events: DataFrame, ts: str, width: str, *by: str) -> DataFrame:
     """Counts of tumbling windows; on a stream, give it a watermark first."""
     return events.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *by, "n")

@@ -76,6 +76,27 @@ def test_record_metrics_against_plain_python(spark):
         assert whole.loc[study].completeness == 1.0
 
 
+def test_aligned_slots_against_plain_python(spark):
+    got = defaultdict(dict)
+    for r in queries.QUERIES["aligned_slots"](spark, SF).collect():
+        _, slot, field = r.key.split("_")
+        got[r.document_id].setdefault(int(slot), {})[field] = r.value
+    flags = {"NR": "N"}
+    for study, slots in plain_records().items():
+        item = lambda r: {"flag": flags.get(r["returnflag"], r["returnflag"]), "line": r["linestatus"], "qty": r["quantity_n"]}
+        ext, gt = ({(s + 1) // 2: item(slots[s]) for s in own if s in slots} for own in ((1, 3, 5, 7), (2, 4, 6)))
+        if not ext or not gt:
+            assert study not in got
+            continue
+        mine = got[study]
+        assert sorted(map(str, mine.values())) == sorted(map(str, ext.values())) and max(mine) <= 4
+        alike = lambda a, b: (plain_score(a["flag"], b["flag"], "f") + plain_score(a["line"], b["line"], "l")) / 2
+        sims = [[alike(e, g) for g in gt.values()] for e in ext.values()]
+        matched = [alike(mine[s], gt[s]) for s in gt if s in mine and alike(mine[s], gt[s]) > 0.5]
+        # groups that match wholly are found as often as a best one-to-one matching finds them at most
+        assert len(matched) >= max(0, round(best_total(sims)) - len(ext)) and (len(matched) > 0) == any(x > 0.5 for row in sims for x in row)
+
+
 def test_matching_is_best_and_one_to_one(spark):
     pairs = [(1, i, 10 + j, s) for i, row in enumerate([[0.9, 0.8, 0.0], [0.9, 0.1, 0.0]]) for j, s in enumerate(row)] + [(2, 5, 1, 0.0), (3, 1, 1, 0.4), (3, 2, 1, 0.6)]
     df = spark.createDataFrame(pairs, "study long, ext_id long, gt_id long, similarity double")
