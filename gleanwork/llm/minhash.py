@@ -357,11 +357,38 @@ def joined_components(now: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of documents, linked at Jaccard >= percent / 100 on k-word shingles.
 
-    component_id is the smallest doc_id reachable; kept marks the row that carries it. Null, empty and blank
-    texts have no shingles and stand alone; of long ones every word counts. Rows repeated under one id are one
-    document. A row without an id is linked with nothing: its component_id is null, and it is kept. An empty
-    table gives no rows. Other columns of `docs`, whatever their names, are not read.
+    One row for each row of `docs`. component_id is the smallest doc_id reachable; kept marks the rows that carry it.
+    Null, empty and blank texts have no shingles and stand alone; of long ones every word counts. Rows under one id are
+    one document: it has the links of each of its texts, and each row the size of its own. A row without an id is
+    linked with nothing: its component_id is null, and it is kept. An empty table gives no rows. Other columns of
+    `docs`, whatever their names, are not read.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    repeated = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
+    if repeated.isEmpty():
+        return _of_nodes(docs, k, percent)
+    # all texts of an id but one go under ids beyond all others, which are then linked with it
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    texts = stored(docs.join(repeated, "doc_id", "left_semi").select("doc_id", digest.alias("_text")).distinct())
+    first = texts.groupBy("doc_id").agg(F.min("_text").alias("_first"))
+    beyond = docs.agg(F.max("doc_id")).first()[0] + 1
+    others = texts.join(first, "doc_id").filter("_text <> _first").select("doc_id", "_text", (F.monotonically_increasing_id() + beyond).alias("_node"))
+    others = stored(others)
+    named = docs.withColumn("_text", digest).join(others, ["doc_id", "_text"], "left")
+    found = stored(_of_nodes(named.select(F.coalesce("_node", "doc_id").alias("doc_id"), "text"), k, percent))
+    places = found.filter("doc_id is not null").select("doc_id", "component_id").distinct()
+    ends = others.select(F.col("doc_id").alias("_of"), F.col("_node").alias("doc_id")).join(places, "doc_id").select("_of", F.col("component_id").alias("a"))
+    links = ends.join(places.select(F.col("doc_id").alias("_of"), F.col("component_id").alias("b")), "_of").select("a", "b")
+    more = stored(connected(links)).toDF("component_id", "_joined")
+    back = others.select(F.col("_node").alias("doc_id"), F.col("doc_id").alias("_of"))
+    out = found.join(more, "component_id", "left").join(back, "doc_id", "left")
+    component = F.coalesce("_joined", "component_id")
+    out = out.select(F.coalesce("_of", "doc_id").alias("doc_id"), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _of_nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The same for ids (null ones aside) that have one text each."""
     sigs = stored(signatures(docs, k))
     named = sigs.filter("n_shingles > 0 and doc_id is not null")
     sets = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
@@ -407,7 +434,8 @@ def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each near-duplicate class: the row with the smallest doc_id. Rows without an id stay."""
-    kept = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), k, percent).filter("kept").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate class: a row of the smallest doc_id, of several the one whose text has the smallest MD5. Rows without an id stay."""
+    kept = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), k, percent).filter("kept").select("doc_id").distinct()
+    rank = F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.xxhash64(*docs.columns))
+    named = docs.join(kept, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), rank).alias("row")).select("row.*")
     return named.unionByName(docs.filter(F.col("doc_id").isNull()))

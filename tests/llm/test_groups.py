@@ -63,6 +63,25 @@ def test_near_duplicate_family_around_the_threshold(spark):
         assert got == brute_components(range(len(texts)), texts, k, percent)[0]
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """As many rows as came in, the links of each text, and one row kept by rule."""
+    rng = np.random.default_rng(2)
+    base = [[f"w{rng.integers(1000)}" for _ in range(60)] for _ in range(4)]
+    near = lambda b, i: " ".join([*base[b][:-1], f"x{i}"])
+    rows = [(10, near(0, 1)), (10, near(1, 2)), (10, near(1, 2)), (10, ""), (3, near(1, 3)), (7, near(0, 4)), (20, near(2, 5)), (21, near(2, 6)), (30, near(3, 7)), (30, "other words alone here and there"), (None, near(0, 8)), (40, None), (40, "")]
+    df = spark.createDataFrame([(i, t, "en", f"s{j}", j) for j, (i, t) in enumerate(rows)], DOCS)
+    got = minhash.near_duplicates(df, 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {10: 3, 3: 3, 7: 3, 20: 20, 21: 20, 30: 30, 40: 40, None: None}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 10) == [0, 58, 58, 58]
+    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+    kept = minhash.keep_one(df, 3, 85).collect()
+    assert sorted(kept, key=str) == sorted(minhash.keep_one(df.repartition(7), 3, 85).collect(), key=str)
+    assert sorted(str(r.doc_id) for r in kept) == ["20", "3", "30", "40", "None"]
+    first = min((t for i, t in rows if i == 30), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert next(r.text for r in kept if r.doc_id == 30) == first
+
+
 @pytest.mark.parametrize("block", [8, 512])
 def test_near_duplicates_need_no_proposal(spark, monkeypatch, block):
     """Links that no bucket proposes are found all the same, over one block and over several."""
