@@ -1,3 +1,3 @@
 """Further registered queries, by subject."""
 
-from . import dashboards, evaluation, extraction, linking, listing, shapes, stored, streams, vocabularies  # noqa: F401
+from . import dashboards, evaluation, extraction, folders, linking, listing, shapes, stored, streams, vocabularies  # noqa: F401
