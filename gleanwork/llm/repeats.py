@@ -8,7 +8,8 @@ where they differ and ending where one row is left. Common lengths so come in in
 
 To run it on many machines, strings that can match must meet. Every window of MIN_LENGTH bytes has one
 anchor, its smallest hashed ANCHOR-byte piece (leftmost of equals), so equal windows have equal anchors.
-A context is a maximal run of windows with one anchor. Of contexts that agree in their anchor's and their own hash
+A context is a maximal run of windows with one anchor; its name is a 128-bit BLAKE2b digest of all its bytes, which every
+copy has computed from its own bytes, so no copy goes under another's name. Of contexts with one name
 the bytes of two copies (the first and the last) are brought together, of others those of their one copy, and all of
 one anchor are expanded as above. Two copies with equal bytes are one interval at every depth, so one of them is
 expanded with the rest and the whole is repeated; what one copy of a context repeats, all its occurrences do. An anchor with over MOST_CONTEXTS contexts is split further, by the bytes to the left or
@@ -52,8 +53,9 @@ def window_minimum(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[:n], before[w - 1 : w - 1 + n])
 
 
-def contexts_of(data: np.ndarray, at: np.ndarray, ends: np.ndarray, length: int):
-    """(piece, anchor, first, last, key, context hash) of each context in a buffer of pieces [at, ends)."""
+def contexts_of(raw: bytes, ends: np.ndarray, length: int):
+    """(piece, anchor, first, last, key, names) of each context in a buffer of pieces that end at `ends`."""
+    data = np.frombuffer(raw, np.uint8)
     n, w = len(data), length - ANCHOR + 1
     p, q = powers(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n])])
@@ -70,10 +72,8 @@ def contexts_of(data: np.ndarray, at: np.ndarray, ends: np.ndarray, length: int)
     new = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(piece) != 0)]))
     first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
     piece, anchor = piece[new], least[new]
-    stop = last + length
-    size = (stop - first).astype(np.uint64)
-    context = mix(mix((total[stop] - total[first]) * q[first]) + size * np.uint64(_P))
-    return piece, anchor, first, last, grams[anchor].view(np.int64), context.view(np.int64)
+    names = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist())]
+    return piece, anchor, first, last, grams[anchor].view(np.int64), names
 
 
 def context_table(docs: DataFrame, length: int) -> DataFrame:
@@ -82,27 +82,28 @@ def context_table(docs: DataFrame, length: int) -> DataFrame:
     `starts` are where such contexts begin, `width` how many windows each holds, `left` the bytes before its anchor.
     """
     ints = pa.list_(pa.int32())
-    made = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("key", pa.int64()), ("context", pa.int64()), ("starts", ints), ("width", pa.int32()), ("left", pa.int32())])
+    made = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("key", pa.int64()), ("context", pa.binary()), ("starts", ints), ("width", pa.int32()), ("left", pa.int32())])
 
     def rows_of(pieces, ids, hashes):
         """pieces: (row, offset in the text, bytes); one buffer of them."""
         sizes = np.array([len(x[2]) for x in pieces])
         ends = np.cumsum(sizes)
-        found = contexts_of(np.frombuffer(b"".join(x[2] for x in pieces), np.uint8), ends - sizes, ends, length)
+        found = contexts_of(b"".join(x[2] for x in pieces), ends, length)
         if found is None:
             return None
-        piece, anchor, first, last, key, context = found
+        piece, anchor, first, last, key, names = found
+        high, low = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2).T
         offset = np.array([x[1] for x in pieces]) - (ends - sizes)
         owner = np.array([x[0] for x in pieces])[piece]
         start = first + offset[piece]
-        order = np.lexsort((start, context, key, owner))
-        o, k, c = owner[order], key[order], context[order]
-        cut = np.flatnonzero(np.concatenate([[True], (np.diff(o) != 0) | (np.diff(k) != 0) | (np.diff(c) != 0)]))
+        order = np.lexsort((start, low, high, key, owner))
+        differ = [x[order][1:] != x[order][:-1] for x in (owner, key, high, low)]
+        cut = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce(differ)]))
         begin = order[cut]
         lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(order)).astype(np.int32)), pa.array(start[order].astype(np.int32)))
         rows = owner[begin]
         return pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(key[begin]), pa.array(context[begin]), lists, pa.array((last - first + 1)[begin].astype(np.int32)), pa.array((anchor - first)[begin].astype(np.int32))], schema=made
+            [ids.take(pa.array(rows)), hashes.take(pa.array(rows)), pa.array(key[begin]), pa.array([names[i] for i in begin], pa.binary()), lists, pa.array((last - first + 1)[begin].astype(np.int32)), pa.array((anchor - first)[begin].astype(np.int32))], schema=made
         )
 
     def run(batches):
@@ -122,7 +123,7 @@ def context_table(docs: DataFrame, length: int) -> DataFrame:
             if pieces and (out := rows_of(pieces, ids, hashes)) is not None:
                 yield out
 
-    return docs.mapInArrow(run, "doc_id long, th long, key long, context long, starts array<int>, width int, left int")
+    return docs.mapInArrow(run, "doc_id long, th long, key long, context binary, starts array<int>, width int, left int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.nda
 
 def expand(contexts: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, n, key0, context, base, start, stop): runs of repeated windows, anchor by anchor."""
-    made = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "th", "n", "key0", "context")], *[(c, pa.int32()) for c in ("base", "start", "stop")]])
+    made = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "th", "n", "key0")], ("context", pa.binary()), *[(c, pa.int32()) for c in ("base", "start", "stop")]])
 
     carried = ("doc_id", "th", "n", "key0", "context", "base", "start", "width", "bytes")
 
@@ -237,8 +238,8 @@ def expand(contexts: DataFrame, length: int) -> DataFrame:
 
 
 #: Runs that are repeated: of which context (key0, context), where that begins (base), and how often it was seen (n).
-RUNS = "doc_id long, th long, n long, key0 long, context long, base int, start int, stop int"
-CONTEXT = "doc_id long, th long, key long, n long, key0 long, context long, base int, start int, width int, u int, v int, bytes binary"
+RUNS = "doc_id long, th long, n long, key0 long, context binary, base int, start int, stop int"
+CONTEXT = "doc_id long, th long, key long, n long, key0 long, context binary, base int, start int, width int, u int, v int, bytes binary"
 FIELDS = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]]) for f in CONTEXT.split(", ")]
 
 

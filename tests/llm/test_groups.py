@@ -198,6 +198,18 @@ def test_repeats_against_brute_force(spark, length, most):
     assert [tuple(r)[1:] for r in sorted(got)] == brute_repeats(texts, length)
 
 
+def test_contexts_are_named_by_all_their_bytes():
+    """Two runs of windows have one name only where all their bytes are equal, whatever their anchor's hash says."""
+    rng = np.random.default_rng(3)
+    pieces = [bytes(rng.integers(0, 2, 300, dtype=np.uint8)) for _ in range(6)]
+    raw = b"".join([*pieces, *pieces[:3], b"a" * 400])
+    _, _, first, last, _, names = repeats.contexts_of(raw, np.array([len(raw)]), 40)
+    seen = {}
+    for a, b, name in zip(first, last, names):
+        assert seen.setdefault(name, raw[a : b + 40]) == raw[a : b + 40]
+    assert len(seen) == len(set(seen.values())) < len(names)
+
+
 def test_repeats_query_and_awkward_rows(spark):
     d = documents()
     got = QUERIES["op6_repeats"](spark, SF).toPandas().set_index("doc_id").loc[d.doc_id]
