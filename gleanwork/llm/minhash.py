@@ -15,6 +15,8 @@ the threshold 0.85 shares no bucket with a chance of 2e-8 (0.80: 7e-6).
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -129,26 +131,28 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands, sig, cells): set size, a 128-bit digest of the set, band keys, low bytes of the minima, count sketch."""
+    """(doc_id, n_shingles, d1, d2, words, bands, sig, cells): set size, 128 bits of the set's hashes, digest of the words, band keys, low bytes of the minima, count sketch."""
     longs = pa.list_(pa.int64())
-    made = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bands", longs), ("sig", pa.binary()), ("cells", pa.binary())])
+    made = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("words", pa.binary()), ("bands", longs), ("sig", pa.binary()), ("cells", pa.binary())])
 
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for at in range(0, len(ids), 512):
                 rows = []
-                for i, s in zip(ids[at : at + 512], shingle_hashes(batch.column("text").slice(at, 512).to_pylist(), k)):
+                texts = batch.column("text").slice(at, 512).to_pylist()
+                for i, t, s in zip(ids[at : at + 512], texts, shingle_hashes(texts, k)):
                     if not len(s):
-                        rows.append((i, 0, None, None, None, None, None))
+                        rows.append((i, 0, *[None] * 6))
                         continue
                     minima = signature(s)
                     d1 = mix(s * np.uint64(_P)).sum(dtype=np.uint64).view(np.int64)
                     d2 = mix(s + np.uint64(_P)).sum(dtype=np.uint64).view(np.int64)
-                    rows.append((i, len(s), int(d1), int(d2), band_keys(minima), minima.astype(np.uint8).tobytes(), sketch(s)))
+                    words = hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest()
+                    rows.append((i, len(s), int(d1), int(d2), words, band_keys(minima), minima.astype(np.uint8).tobytes(), sketch(s)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), made)], schema=made)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary, cells binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, words binary, bands array<long>, sig binary, cells binary")
 
 
 def propose(ids: list[int], sigs: np.ndarray, lowest: float):
@@ -387,11 +391,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def mistaken(named: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(d1, d2, words, rep): texts of other words than their class (d1, d2) has first, whose full sets aren't equal to the first one's after all.
+
+    Rows of one word sequence have one set. One text of each sequence is compared with the class's first, shingle by shingle.
+    """
+    kinds = stored(named.groupBy("d1", "d2", "words").agg(F.min("doc_id").alias("rep")))
+    first = kinds.groupBy("d1", "d2").agg(F.min("rep").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    pairs = stored(kinds.join(first, ["d1", "d2"]).filter("rep <> first").select("d1", "d2", "words", F.col("first").alias("a"), F.col("rep").alias("b")))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    equal = confirm(pairs.select("a", "b"), texts, k, 100)
+    return stored(pairs.join(equal, ["a", "b"], "left_anti").select("d1", "d2", "words", F.col("b").alias("rep")))
+
+
 def _of_nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The same for ids (null ones aside) that have one text each."""
     sigs = stored(signatures(docs, k))
     named = sigs.filter("n_shingles > 0 and doc_id is not null")
     sets = stored(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    # sets that only their hashes made equal are nodes of their own, with the same minima
+    odd = mistaken(named, docs, k)
+    if not odd.isEmpty():
+        sets = stored(sets.unionByName(odd.join(sets.drop("rep"), ["d1", "d2"]).select(*sets.columns)))
     bands = sets.select("rep", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("n > 1")
     # bands that put the very same sets together need comparing once
@@ -422,8 +444,11 @@ def _of_nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ends = rest.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(packed(docs).join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     found = joined_components(now, confirm(rest, texts, k, percent).select("ca", "cb").toDF("a", "b"))
-    classes = sets.select("d1", "d2", "rep").join(found, "rep").select("d1", "d2", F.col("component").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
+    classes = sets.select("d1", "d2", "rep").join(odd.select("rep", F.col("words").alias("_words")), "rep", "left").join(found, "rep")
+    classes = stored(classes.select("d1", "d2", "_words", F.col("component").alias("component_id")))
+    out = sigs.select("doc_id", "n_shingles", "d1", "d2", "words").join(classes.filter("_words is null").drop("_words"), ["d1", "d2"], "left")
+    own = classes.filter("_words is not null").select("d1", "d2", F.col("_words").alias("words"), F.col("component_id").alias("_own"))
+    out = out.join(own, ["d1", "d2", "words"], "left").withColumn("component_id", F.coalesce("_own", "component_id"))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

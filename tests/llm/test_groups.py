@@ -82,6 +82,27 @@ def test_near_duplicates_of_one_id_with_several_texts(spark):
     assert next(r.text for r in kept if r.doc_id == 30) == first
 
 
+def test_sets_with_one_digest_are_compared_whole(spark, monkeypatch):
+    """Texts whose sets only seem to be equal stay apart, with the links of their own; equal sets of other words are one class."""
+    real = minhash.signatures
+
+    def blunt(docs, k):  # every set has the hashes and minima of the first
+        made = minhash.stored(real(docs, k))
+        one = made.filter("n_shingles > 0").orderBy("doc_id").limit(1).selectExpr(*[f"{c} AS _{c}" for c in ("d1", "d2", "bands", "sig")])
+        same = F.col("n_shingles") > 0
+        joined = made.crossJoin(one)
+        return joined.select("doc_id", "n_shingles", *[F.when(same, F.col(f"_{c}")).alias(c) for c in ("d1", "d2", "bands", "sig")], "words", "cells")
+
+    base = [" ".join(f"{kind}{i % 9}" for i in range(30)) for kind in "abc"]
+    texts = [base[0], base[1], base[0].upper(), base[0] + " a3 a4", base[2], base[1] + "\n b3", base[1], "", None, base[2] + " z"]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    want = brute_components(range(len(texts)), texts, 3, 85)[0]
+    assert want == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 1, 6: 1, 7: 7, 8: 8, 9: 4}
+    plain = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()}
+    monkeypatch.setattr(minhash, "signatures", blunt)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85).collect()} == plain == want
+
+
 @pytest.mark.parametrize("block", [8, 512])
 def test_near_duplicates_need_no_proposal(spark, monkeypatch, block):
     """Links that no bucket proposes are found all the same, over one block and over several."""
