@@ -9,7 +9,9 @@ that are mostly link text are menus; the other slots vary. The content region is
 that holds most of the varying text: from the root, the wrapper goes down while one container holds CORE of it.
 
 A page's main text is its varying blocks in the region (narrowed to its article, if it marks one there), without
-the parts whose markup says that they vary but are no content (adverts, forms, reader comments, ...).
+the parts whose markup says that they vary but are no content (adverts, forms, reader comments, ...). A name that only
+is part of a longer one ("reply-paid") is a hint: it never holds for an element that marks the main text, and if
+nothing but headings were left of a page, the blocks dropped by hints alone are kept.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import re
 from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
+from math import isqrt
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +55,8 @@ BAD_NAMES = {
     "notice", "notices", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing",
     "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
+#: These say so as part of a longer name, too; names of the main text's own element; tags of headings.
+SURE_NAMES, MAIN_NAMES, HEADINGS = {"comment", "comments", "commentlist", "disqus"}, {"main", "content", "article"}, {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Boilerplate only outside an article, where they hold its title.
 HEADS = {"header"}
 
@@ -60,8 +66,10 @@ TEMPLATE_SHARE, LINK_SHARE = 0.8, 0.6
 EVIDENCE = 3
 #: Share of the varying text that a container must hold to be gone into, and the elements that are containers.
 CORE, CONTAINERS = 0.7, {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td"}
-#: Children lists of more cells than this are aligned by their labels alone; longest repeated sibling pattern.
+#: Tables of more cells than this are filled by rows of arrays, with the same result; longest repeated sibling pattern.
 CELLS, PERIOD = 4096, 3
+#: Pairs of shapes that such a table keeps at once.
+SHAPES = 1 << 18
 #: Bytes of wrappers that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -86,23 +94,30 @@ class Text:
 
 
 @lru_cache(maxsize=1 << 14)
-def traits(tag: str, attrs: str) -> tuple[str, bool, bool, bool]:
-    """(label, boilerplate, boilerplate outside articles, marks the main text) of an opening tag."""
+def traits(tag: str, attrs: str) -> tuple[str, int, bool, bool]:
+    """(label, boilerplate, boilerplate outside articles, marks the main text) of an opening tag.
+
+    Boilerplate is 2 by the element, its role, a whole name or one of SURE_NAMES, 1 by another part of a name, 0 if it is none.
+    """
     found = {m["k"].lower(): m["a"] or m["b"] or m["c"] or "" for m in ATTR.finditer(attrs)} if attrs.strip(" /") else {}
     # "has-sidebar" and the like say what a layout holds, not what the element is; camel case counts whole and in parts
     given = LAYOUT.sub(" ", f"{found.get('class', '')} {found.get('id', '')}")
     names = set(re.split(r"[^a-z]+", f"{given} {CAMEL.sub(' ', given)}".lower())) - {""}
     role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    bad = tag in BAD_TAGS or role in BAD_ROLES or bool(names & BAD_NAMES) or hidden
-    main = not bad and (tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody")
+    whole = set(given.lower().split())
+    marked = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articleBody"
+    if tag in BAD_TAGS or role in BAD_ROLES or whole & BAD_NAMES or names & SURE_NAMES or hidden:
+        bad = 2
+    else:
+        bad = int(bool(names & BAD_NAMES) and not marked and not whole & MAIN_NAMES)
     first = (found.get("class") or "").split()
-    return f"{tag}.{first[0]}" if first else tag, bad and tag not in ("html", "body"), tag == "header" or bool(names & HEADS), main
+    return f"{tag}.{first[0]}" if first else tag, 0 if tag in ("html", "body") else bad, tag == "header" or bool(names & HEADS), marked and not bad
 
 
 def parse(html: str) -> tuple[Node, list[Text]]:
     """The tree of block elements and the text blocks in page order. Inline markup is dropped, its text stays."""
-    root = Node("", "", False, False)
+    root = Node("", "", 0, False)
     stack, blocks = [root], []
     now, link, at = None, 0, 0
 
@@ -154,7 +169,7 @@ def parse(html: str) -> tuple[Node, list[Text]]:
             stack.pop()
         up = stack[-1]
         label, bad, head, main = traits(tag, m["attrs"])
-        node = Node(tag, label, up.bad or bad or (head and not up.main), up.main or main, up)
+        node = Node(tag, label, max(up.bad, bad, 2 * (head and not up.main)), up.main or main, up)
         up.kids.append(node)
         stack.append(node)
     if at < len(html):
@@ -218,30 +233,6 @@ def grouped(root: Node) -> tuple[Group, list[Group]]:
     return tree, order
 
 
-def common_labels(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, by bit vectors: long lists take a machine word for 64 cells."""
-    where: dict[str, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v, rows = full, []
-    for x in a:
-        u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out, i, j = [], len(a) - 1, len(b) - 1
-    # a zero bit at j marks where the length grows
-    while i >= 0 and j >= 0:
-        if rows[i] >> j & 1:
-            j -= 1
-        elif i and not rows[i - 1] >> j & 1:
-            i -= 1
-        else:
-            out.append((i, j))
-            i, j = i - 1, j - 1
-    return out[::-1]
-
-
 def weight(a: Group, b: Group, known: dict) -> int:
     """Simple tree matching: size of the largest order-keeping match of two trees of one label; no recursion, each pair of shapes once."""
     todo = [(a, b)]
@@ -252,7 +243,7 @@ def weight(a: Group, b: Group, known: dict) -> int:
             known.setdefault(key, x.size)
             todo.pop()
         elif len(x.kids) * len(y.kids) > CELLS:
-            known[key] = 1 + len(common_labels([k.label for k in x.kids], [k.label for k in y.kids]))
+            known[key] = 1 + LongTable(x, y).total
             todo.pop()
         else:
             need = {(p.sign, q.sign): (p, q) for p in x.kids for q in y.kids if p.label == q.label and (p.sign, q.sign) not in known}
@@ -275,6 +266,61 @@ def table_of(x: Group, y: Group, known: dict) -> list[list[int]]:
     return best
 
 
+class LongTable:
+    """`table_of` for long lists: a row is one step over arrays, and some 2 sqrt(rows) rows are held at a time.
+
+    Exact like `table_of`, so its time grows with the product of both lengths, and with the pairs of different shapes.
+    """
+
+    def __init__(self, x: Group, y: Group):
+        self.x, self.y, self.known = x.kids, y.kids, {}
+        self.step = max(1, isqrt(len(x.kids)))
+        self.where: dict[str, tuple[np.ndarray, np.ndarray, list[Group]]] = {}
+        places: dict[str, list[int]] = {}
+        for j, q in enumerate(y.kids):
+            places.setdefault(q.label, []).append(j)
+        for label, at in places.items():
+            kinds = {y.kids[j].sign: y.kids[j] for j in at}
+            number = {sign: k for k, sign in enumerate(kinds)}
+            self.where[label] = np.array(at), np.array([number[y.kids[j].sign] for j in at]), list(kinds.values())
+        row, self.held = np.zeros(len(y.kids) + 1, np.int64), []
+        for i in range(len(x.kids)):
+            if i % self.step == 0:
+                self.held.append(row)
+            row = self.next(row, i)
+        self.total = int(row[-1])
+
+    def next(self, last: np.ndarray, i: int) -> np.ndarray:
+        p = self.x[i]
+        if p.label not in self.where:
+            return last
+        at, kind, kinds = self.where[p.label]
+        if len(self.known) > SHAPES:
+            self.known.clear()
+        gains = np.array([weight(p, q, self.known) for q in kinds])[kind]
+        row = last.copy()
+        row[at + 1] = np.maximum(row[at + 1], last[at] + gains)
+        return np.maximum.accumulate(row)
+
+    def pairs(self):
+        """The matched pairs, last first, by the same rule as in `match`."""
+        i, j = len(self.x), len(self.y)
+        while i and j:
+            low = (i - 1) // self.step * self.step
+            rows = [self.held[low // self.step]]
+            for k in range(low, i):
+                rows.append(self.next(rows[-1], k))
+            while i > low and j:
+                row, last = rows[i - low], rows[i - low - 1]
+                if row[j] == last[j]:
+                    i -= 1
+                elif row[j] == row[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    yield self.x[i], self.y[j]
+
+
 def match(a: Group, b: Group) -> list[tuple[Group, Group]]:
     """The pairs of nodes of a largest match of two trees of one label."""
     known: dict = {}
@@ -286,9 +332,9 @@ def match(a: Group, b: Group) -> list[tuple[Group, Group]]:
         if x.sign == y.sign:
             todo.extend(zip(x.kids, y.kids))
         elif len(x.kids) * len(y.kids) > CELLS:
-            for i, j in common_labels([k.label for k in x.kids], [k.label for k in y.kids]):
-                weight(x.kids[i], y.kids[j], known)
-                todo.append((x.kids[i], y.kids[j]))
+            for p, q in LongTable(x, y).pairs():
+                weight(p, q, known)
+                todo.append((p, q))
         else:
             best, i, j = table_of(x, y, known), len(x.kids), len(y.kids)
             while i and j:
@@ -350,7 +396,10 @@ def region(reference_html: str, varying: dict[int, int]) -> set[int]:
 
 def main_text(blocks: list[Text], template: set[tuple[int, int]], menus: set[int], core: set[int] = frozenset()) -> str:
     """What of `blocks` is neither template, nor menu, nor marked as boilerplate, nor outside the region `core`, if the page has it."""
-    good = [b for b in blocks if not b.node.bad and b.node.slot not in menus and (b.node.slot, crc32(b.text.encode())) not in template]
+    own = [b for b in blocks if b.node.bad < 2 and b.node.slot not in menus and (b.node.slot, crc32(b.text.encode())) not in template]
+    good = [b for b in own if not b.node.bad]
+    if all(b.node.tag in HEADINGS for b in good):  # hints don't empty a page
+        good = own
     good = [b for b in good if b.node.home in core] or good
     inside = [b for b in good if b.node.main]
     return "\n\n".join(b.text for b in inside or good)
@@ -367,15 +416,32 @@ def with_hosts(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     return join_small(pages, hosts, "host", "inner", rows=0 if size <= BROADCAST_BYTES else BROADCAST_ROWS + 1)
 
 
+def blocks_of(batches):
+    """(host, by, first, second) of (host, html, by): 128 bits of the texts of the page's blocks."""
+    for batch in batches:
+        digests = []
+        for html in batch.column("html"):
+            d = blake2b(digest_size=16)
+            for b in parse(html.as_py())[1]:
+                text = b.text.encode()
+                d.update(b"%d:" % len(text) + text)
+            digests.append(d.digest())
+        halves = [pa.array([int.from_bytes(d[k : k + 8], "big", signed=True) for d in digests], pa.int64()) for k in (0, 8)]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("by"), *halves], names=["host", "by", "first", "second"])
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, reference, template, menus, varying) of pages (host, html): stored, one row a host.
 
-    Slots and texts are counted once for each different page of a host, over all pages; the counts combine before
-    the shuffle, so a host with a third of all pages is a few rows a task. The reference is any page, by hash.
+    Slots and texts are counted once for each different page (sequence of blocks) of a host, over all pages; the counts
+    combine before the shuffle, so a host with a third of all pages is a few rows a task. The reference is any page, by hash.
     """
     marked = pages.withColumn("by", F.xxhash64("host", "html"))
-    # copies weigh one page together, so that no page has to move to be told from its copies
-    copies = stored(marked.groupBy("by").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    # pages of the same blocks weigh one page together; digests alone move to tell them
+    same = stored(marked.mapInArrow(blocks_of, "host string, by long, first long, second long"))
+    keyed = same.select("by", F.struct("host", "first", "second").alias("blocks"))
+    times = stored(keyed.groupBy("blocks").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    copies = stored(join_small(keyed, times, "blocks", "inner").select("by", "copies").distinct())
     hosts = stored(marked.groupBy("host").agg(F.min(F.struct("by", "html"))["html"].alias("reference")))
     made = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("hash", pa.int64()), *[(c, pa.float64()) for c in ("on", "chars", "links", "good")]])
 
@@ -410,7 +476,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         F.collect_list(F.when(~menu & (F.col("slot") >= 0) & (F.col("moves") >= 1), F.struct("slot", F.col("moves").cast("long").alias("moves")))).alias("varying"),
     )
     out = stored(hosts.join(template, "host", "left").join(parts, "host", "left"))
-    discard(copies, hosts, texts)
+    discard(same, times, copies, hosts, texts)
     return out
 
 

@@ -263,17 +263,50 @@ def test_tree_matching_against_its_definition(monkeypatch):
         assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
 
 
-def test_common_labels_against_its_definition():
+def test_long_lists_are_matched_as_exactly(monkeypatch):
     rng = random.Random(9)
-    for _ in range(200):
-        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        got = html.common_labels(a, b)
-        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
-        assert got == sorted(got) and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+
+    def shape(depth):
+        return [(rng.choice("abc"), shape(depth - 1)) for _ in range(rng.randrange(9))] if depth else []
+
+    def places(pairs):
+        return [(x.number, y.number) for x, y in pairs]
+
+    for _ in range(100):
+        a, b = tree_of(shape(3)), tree_of(shape(3))
+        with monkeypatch.context() as patch:
+            short = places(html.match(a, b))
+            patch.setattr(html, "CELLS", 0)
+            patch.setattr(html, "SHAPES", 3)
+            assert places(html.match(a, b)) == short and html.weight(a, b, {}) == len(short)
+
+
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_names_do_not_empty_a_page(spark):
+    text = "A long enough text of page %d, with words of its own"
+    pages = [
+        "<body><nav>Home</nav><article class='search-engine-history'><p>%s</p></article></body>",
+        "<body><div id='main' class='post reply-paid'><p>%s</p></div><div class='comment-list'><p>so nice</p></div></body>",
+        "<body><h1>%s</h1><div class='share-story'><p>%s</p></div><div class='post-comments'><p>so nice</p></div></body>",
+        "<body><div class='share-box'><p>%s</p></div><form class='x'>mail?</form></body>",
+    ]
+    rows = [(i * 10 + k, f"http://h{i}.example/{k}", p.replace("%s", text % k)) for i, p in enumerate(pages) for k in range(5)]
+    got = texts_of(spark, rows)
+    assert all(got[i * 10 + k] == "\n\n".join([text % k] * p.count("%s")) for i, p in enumerate(pages) for k in range(5))
+    # beside an article, hints hold
+    both = "<body><article><p>%s</p></article><div class='share-box'><p>share %d</p></div></body>"
+    assert all(t == text % k for k, t in texts_of(spark, [(k, f"http://b.example/{k}", both % (text % k, k)) for k in range(5)]).items())
+    # reader comments alone are no text, whatever the name around them
+    assert set(texts_of(spark, [(k, f"http://c.example/{k}", f"<div class='post-comments'><p>nice {k}</p></div>") for k in range(5)]).values()) == {""}
+
+
+def test_mirrors_of_an_article_count_as_one_page(spark):
+    page = "<body><div class=x%d><script nonce=%d></script><p>The one article of this host</p><p>in two paragraphs</p></div></body>"
+    got = texts_of(spark, [(k, f"http://m.example/{k}", page % (k, k)) for k in range(10)])
+    assert set(got.values()) == {"The one article of this host\n\nin two paragraphs"}
 
 
 def test_deep_and_wide_pages_are_read_whole(spark):
