@@ -152,3 +152,56 @@ def key_union(spark, sf_dir):
     one = F.when(F.col("slot") % 2 == 0, F.create_map(F.lit("c"), F.lit(1), F.lit("a"), F.lit(2))).otherwise(F.create_map(F.lit("c"), F.lit(1)))
     keys = fields.all_keys(one, F.create_map(F.lit("b"), F.lit(1)))
     return view(spark, sf_dir, "fx_results").filter("slot <= 2").select("document_id", F.array_join(keys, ",").alias("keys"))
+
+
+@query(r"""
+    SELECT conv_id, turn, role, n, line FROM (
+      SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS n FROM conversations)
+""")
+def turn_lines(spark, sf_dir):
+    """A turn is a JSON record with a list of its lines, and goes out as a record a line."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct((i + 1).cast("string").alias("n"), x.alias("line")))
+    record = F.to_json(F.struct("role", lines.alias("lines")))
+    rows = view(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(shapes.fanned_out(record, "lines")).alias("r"))
+    return rows.select("conv_id", "turn", F.col("r")["role"].alias("role"), F.col("r")["n"].cast("long").alias("n"), F.col("r")["line"].alias("line"))
+
+
+@query(r"""
+    SELECT page_id, len(list_filter(words, lambda x: contains(lower(coalesce(url, '')), x))) >= floor(len(words) / 2) AS held
+    FROM (SELECT page_id, url, list_slice(list_filter(string_split_regex(lower(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1)), '\s+'), lambda x: length(x) > 4), 1, 5) AS words FROM pages)
+""")
+def titles_in_addresses(spark, sf_dir):
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)", 1)
+    return view(spark, sf_dir, "pages").select("page_id", shapes.overlaps(title, F.coalesce("url", F.lit(""))).alias("held"))
+
+
+@query(r"""
+    SELECT doc_id, round((CASE WHEN regexp_matches(text, '[a-z]@[a-z]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END
+      + CASE WHEN coalesce(lang, '') = '' THEN 0 ELSE 1 END + CASE WHEN coalesce(source, '') = '' THEN 0 ELSE 1 END) / 4, 6) AS score FROM documents
+""")
+def document_scores(spark, sf_dir):
+    """How much of four fields a document gives: an address, a number, its language and its source."""
+    found = {"address": F.regexp_extract("text", "[a-z]@[a-z]", 0), "number": F.regexp_extract("text", "[0-9]", 0), "lang": F.col("lang"), "source": F.col("source")}
+    values = F.create_map(*[x for name, value in found.items() for x in (F.lit(name), value)])
+    return view(spark, sf_dir, "documents").select("doc_id", F.round(staged.score(values), 6).alias("score"))
+
+
+PART_FIELDS = """
+    SELECT p_size AS form_id, CASE WHEN p_retailprice >= 950 THEN split_part(p_name, ' ', 2) ELSE p_name END AS field_name,
+      CASE p_type WHEN 'SMALL' THEN 'enum' WHEN 'ECONOMY' THEN 'number' WHEN 'PROMO' THEN 'text' ELSE lower(p_type) END AS field_type, p_brand < 'Brand#2' AS listed FROM part
+"""
+
+
+@query(f"""
+    WITH f AS ({PART_FIELDS})
+    SELECT form_id, field_name, 'name' AS problem FROM f WHERE NOT regexp_full_match(field_name, '[A-Za-z][A-Za-z0-9_]*')
+    UNION ALL SELECT form_id, field_name, 'type' FROM f WHERE field_type NOT IN ('text', 'number', 'enum', 'object', 'array', 'boolean')
+    UNION ALL SELECT form_id, field_name, 'options' FROM f WHERE field_type = 'enum' AND NOT listed
+    UNION ALL SELECT form_id, field_name, 'duplicate' FROM f GROUP BY form_id, field_name HAVING count(*) > 1
+""")
+def part_fields(spark, sf_dir):
+    """Parts as fields of forms by size: their names, kinds and brands as the fields' names, types and options."""
+    kind = F.expr("CASE p_type WHEN 'SMALL' THEN 'enum' WHEN 'ECONOMY' THEN 'number' WHEN 'PROMO' THEN 'text' ELSE lower(p_type) END")
+    name = F.when(F.col("p_retailprice") >= 950, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.col("p_name"))
+    options = F.when(F.col("p_brand") < "Brand#2", F.array("p_brand"))
+    return edits.field_problems(view(spark, sf_dir, "part").select(F.col("p_size").alias("form_id"), name.alias("field_name"), kind.alias("field_type"), options.alias("options")))
