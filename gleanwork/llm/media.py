@@ -318,7 +318,10 @@ def read_payload(data: bytes) -> bytes:
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
-    """All `documents` stored as audio streams, read back and measured: see `stored_audio` and `probe_audio` for the awkward rows."""
+    """All `documents` stored as audio streams, read back and measured: see `stored_audio` and `probe_audio` for the awkward rows.
+
+    `seconds` is the duration by the frames, `seek` the byte offsets of all frames, comma-joined.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     n = F.octet_length("raw")
     padding = F.greatest(F.ceil(n / 64), F.lit(1)) * 64 - n
@@ -331,7 +334,8 @@ def op2_media(spark, sf_dir: str) -> DataFrame:
         back = b"".join(got["body"])[: int(got["texts"]["payload_bytes"])]
         seek = hashlib.md5(b"".join(x.to_bytes(8, "big") for x in got["seek"])).hexdigest()
         feature = f"{got['vbr']['kind']}:{got['vbr']['frames']}:{got['frames']}:{got['samples']}/{got['hertz']}:{got['crc_ok']}:{got['crc_bad']}:{got['skipped_bytes']}:{seek}"
-        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        seconds, offsets = got["samples"] / got["hertz"] if got["hertz"] else 0.0, ",".join(map(str, got["seek"]))
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, seconds, offsets
 
-    added = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    added = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "seconds": "double", "seek": "string"}
     return _mapped(media, "media", added, digest).drop("media")

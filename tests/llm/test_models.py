@@ -135,6 +135,11 @@ def test_media_round_trip(spark):
         full = raw + bytes(max(1, -(-len(raw) // 64)) * 64 - len(raw))
         r = got.loc[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        stream = media.encode(full)
+        offsets = [int(x) for x in r.seek.split(",")]
+        assert r.media_sha256 == hashlib.sha256(stream).hexdigest() and r.media_bytes == len(stream) and r.seconds == len(offsets) * 1152 / 44100
+        # every offset is that of a frame's sync word, in order
+        assert all(stream[x] == 0xFF and stream[x + 1] & 0xE0 == 0xE0 for x in offsets) and sorted(set(offsets)) == offsets
 
 
 def test_media_parser_resynchronises():
