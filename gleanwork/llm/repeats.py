@@ -27,30 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, join_small, stored, table
-from .minhash import _P, _powers, mix
+from .minhash import mix
+from .passages import BUFFER, candidates, met, powers, runs_at, runs_of, window_minimum
 
 MIN_LENGTH, ANCHOR = 400, 16
 #: Different contexts of one anchor that meet in a task; bytes of text that a task expands at once.
-MOST_CONTEXTS, TEXT = 4096, 4 << 20
-_BUFFER = 1 << 21
-_POW: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW.get("p", ())) < n:
-        size = max(n, _BUFFER + 1)
-        _POW["p"], _POW["q"] = _powers(_P, size), _powers(pow(_P, -1, 1 << 64), size)
-    return _POW["p"], _POW["q"]
-
-
-def window_minimum(v: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each w neighbours, by prefix and suffix minima of blocks of w."""
-    n = len(v) - w + 1
-    pad = -len(v) % w
-    blocks = np.concatenate([v, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, w)
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[:n], before[w - 1 : w - 1 + n])
+MOST_CONTEXTS, TEXT = 4096, 1 << 18
 
 
 def contexts_of(raw: bytes, ends: np.ndarray, length: int):
@@ -61,17 +43,18 @@ def contexts_of(raw: bytes, ends: np.ndarray, length: int):
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n])])
     grams = mix((total[ANCHOR:] - total[:-ANCHOR]) * q[: n - ANCHOR + 1])
     place = np.arange(len(grams), dtype=np.uint64)
-    low = np.uint64(_BUFFER - 1)
+    low = np.uint64(BUFFER - 1)
     least = (window_minimum((grams & ~low) | place, w) & low).astype(np.int64)
-    starts = np.arange(len(least))
-    piece = np.searchsorted(ends, starts, side="right")
-    inside = starts + length <= ends[np.minimum(piece, len(ends) - 1)]
-    starts, piece, least = starts[inside], piece[inside], least[inside]
+    inside = np.ones(len(least), bool)
+    for end in ends.tolist():
+        inside[max(0, end - length + 1) : end] = False
+    starts = np.flatnonzero(inside)
     if not len(starts):
         return None
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(piece) != 0)]))
+    least = least[starts]
+    new = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1)]))
     first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-    piece, anchor = piece[new], least[new]
+    piece, anchor = np.searchsorted(ends, first, side="right"), least[new]
     names = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + length).tolist())]
     return piece, anchor, first, last, grams[anchor].view(np.int64), names
 
@@ -112,9 +95,9 @@ def context_table(docs: DataFrame, length: int) -> DataFrame:
             pieces, size = [], 0
             for i, t in enumerate(texts):
                 raw = (t.as_py() or "").encode()
-                for at in range(0, max(0, len(raw) - length + 1), _BUFFER // 2):
-                    part = raw[at : at + _BUFFER // 2 + length - 1]
-                    if size + len(part) > _BUFFER - 1 and pieces:
+                for at in range(0, max(0, len(raw) - length + 1), BUFFER // 2):
+                    part = raw[at : at + BUFFER // 2 + length - 1]
+                    if size + len(part) > BUFFER - 1 and pieces:
                         if (out := rows_of(pieces, ids, hashes)) is not None:
                             yield out
                         pieces, size = [], 0
@@ -146,33 +129,34 @@ def unzip(zipped: bytes) -> bytes:
 def repeated_starts(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of `starts` (positions of whole windows in `text`) begin a window that another start begins too."""
     n = len(text) - 7
-    words = np.zeros(n, np.uint64)
-    for i in range(8):
-        words |= text[i : i + n].astype(np.uint64) << np.uint64(8 * i)
+    words = np.ndarray(n, "<u8", text, strides=(1,)).copy()  # the 8 bytes from each place on
     depth = 8
     lead = words[starts + length - 8]
-    rows = np.argsort(lead, kind="stable")  # suffixes sorted to depth 8: the first intervals
-    new = np.concatenate([[True], np.diff(lead[rows]) != 0])
+    rows = np.argsort(lead)  # suffixes sorted to depth 8: the first intervals
+    lead = lead[rows]
+    new = np.concatenate([[True], lead[1:] != lead[:-1]])
+    at = starts[rows] + length
     while True:
         alone = new & np.append(new[1:], True)
         if alone.any():
-            rows, new = rows[~alone], new[~alone]
+            more = np.flatnonzero(~alone)
+            rows, new, at = rows[more], new[more], at[more]
         if depth >= length or not len(rows):
             return np.sort(rows)
         step = min(8, length - depth)
         depth += step
-        before = words[starts[rows] + length - depth]
+        before = words[at - depth]
         if step < 8:
             before &= np.uint64((1 << 8 * step) - 1)
-        differs = np.concatenate([[False], np.diff(before) != 0]) & ~new
+        differs = np.concatenate([[False], before[1:] != before[:-1]]) & ~new
         if differs.any():  # only intervals that split are sorted again
             interval = np.cumsum(new)
             hit = np.zeros(interval[-1] + 1, bool)
             hit[interval[differs]] = True
             where = np.flatnonzero(hit[interval])
             order = where[np.lexsort((before[where], interval[where]))]
-            rows[where], sorted_before = rows[order], before[order]
-            inner = np.concatenate([[True], np.diff(sorted_before) != 0])
+            rows[where], at[where], before = rows[order], at[order], before[order]
+            inner = np.concatenate([[True], before[1:] != before[:-1]])
             new[where] = new[where] | inner
 
 
@@ -270,31 +254,42 @@ def crowded(contexts: DataFrame, most: int) -> DataFrame:
     return stored(contexts.groupBy("key").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > most))
 
 
-def covered(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS) -> DataFrame:
-    """(doc_id, th, start, stop) of documents (doc_id, th, text): byte runs whose windows start elsewhere too; may overlap."""
+def covered(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, start, stop) of documents (doc_id, th, text): byte runs whose windows start elsewhere too; may overlap.
+
+    Beside them (doc_id, th) of documents that hold a passage of another row (`passages`). The texts move once for both.
+    """
+    found, certain, unsure = candidates(docs)
     windows = stored(context_table(docs, length))
     copy = lambda at: F.struct("doc_id", "th", F.element_at("starts", at).alias("start"), "width", "left")
-    found = windows.groupBy("key", "context").agg(F.sum(F.size("starts")).alias("n"), F.min(copy(1)).alias("first"), F.max(copy(-1)).alias("last"))
-    found = stored(found)
+    seen = windows.groupBy("key", "context").agg(F.sum(F.size("starts")).alias("n"), F.min(copy(1)).alias("first"), F.max(copy(-1)).alias("last"))
+    seen = stored(seen)
     # an anchor with one context that was seen once repeats nothing
-    several = found.groupBy("key").agg(F.sum(F.least("n", F.lit(2))).alias("copies")).filter("copies > 1").select("key")
+    several = seen.groupBy("key").agg(F.sum(F.least("n", F.lit(2))).alias("copies")).filter("copies > 1").select("key")
     both = F.when(F.col("n") > 1, F.array("first", "last")).otherwise(F.array("first"))
-    wanted = found.join(several, "key").select("key", "context", "n", F.explode(both).alias("at")).select("key", "context", "n", "at.*")
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "n", "context", "start", "width", "left")).alias("wanted"))
-    wanted = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "wanted")
+    wanted = seen.join(several, "key").select("key", "context", "n", F.explode(both).alias("at")).select("key", "context", "n", "at.*")
+    wanted = wanted.select("doc_id", "th", F.struct("key", "n", "context", "start", "width", "left").alias("piece")).unionByName(unsure, allowMissingColumns=True)
+    wanted = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list("piece").alias("wanted"), F.first("keys", True).alias("keys"))
 
     def cut(batches):
+        """Rows without a key are a document's runs of words, by their digests."""
         for batch in batches:
             out = []
-            for doc, th, zipped, rows in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "zipped", "wanted"))):
+            for doc, th, zipped, rows, keys in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "zipped", "wanted", "keys"))):
                 raw = unzip(zipped)
+                if keys:
+                    out.append((doc, th, *[None] * 9, runs_at(raw, keys)))
                 out.extend((doc, th, r["key"], r["n"], r["key"], r["context"], r["start"], r["start"], r["width"], r["left"], r["left"] + ANCHOR, raw[r["start"] : r["start"] + r["width"] + length - 1]) for r in rows)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [()] * len(FIELDS), FIELDS)], names=[c for c, _ in FIELDS])
 
     # of rows repeated under one id and text, one is enough
     full = packed(docs)
     texts = full.join(wanted, full["doc_id"].eqNullSafe(wanted["_id"]) & (full["th"] == wanted["_th"])).dropDuplicates(["doc_id", "th"])
-    contexts = stored(texts.mapInArrow(cut, CONTEXT))
+    made = stored(texts.mapInArrow(cut, CONTEXT))
+    sharing = stored(certain.union(met(runs_of(made.filter("key is null"))).filter("same").select("doc_id", "th")).distinct())
+    discard(found)
+    contexts = made.filter("key is not null")
+    contexts.stored_at = made.stored_at
     parts = []
     while True:
         hot = crowded(contexts, most)
@@ -318,7 +313,7 @@ def covered(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS
     # what a context's copies repeat, all its occurrences do
     spread = runs.filter("n > 1").select(F.col("key0").alias("key"), "context", (F.col("start") - F.col("base")).alias("_from"), (F.col("stop") - F.col("base")).alias("_to")).distinct()
     again = windows.join(spread, ["key", "context"]).select("doc_id", "th", F.explode("starts").alias("at"), "_from", "_to")
-    return alone.unionByName(again.select("doc_id", "th", (F.col("at") + F.col("_from")).alias("start"), (F.col("at") + F.col("_to")).alias("stop")))
+    return alone.unionByName(again.select("doc_id", "th", (F.col("at") + F.col("_from")).alias("start"), (F.col("at") + F.col("_to")).alias("stop"))), sharing
 
 
 def keep_rest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -337,33 +332,37 @@ def keep_rest(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes
 
 
 def without_repeats(docs: DataFrame, length: int = MIN_LENGTH, most: int = MOST_CONTEXTS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of documents (doc_id, text); kept is bytes, as cuts may split a character.
+    """(doc_id, n_bytes, n_removed, n_spans, kept, shares_passage) of documents (doc_id, text); kept is bytes, as cuts may split a character.
+
+    shares_passage: a run of over 50 words (`passages.WORDS`) stands in another row's text as well, however few bytes it
+    has. It takes nothing from `kept`.
 
     Null and short texts stay whole; of long ones every byte counts. Rows repeated under one id repeat each other; a
     null id is an id. An empty table stays empty. Other columns of `docs`, whatever their names, are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = covered(docs, length, most).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "spans")
+    spans, sharing = covered(docs, length, most)
+    marks = spans.select("doc_id", "th", F.struct("start", "stop").alias("span")).unionByName(sharing.withColumn("shares", F.lit(True)), allowMissingColumns=True)
+    spans = marks.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("span").alias("spans"), F.max("shares").alias("shares"))
     full = packed(docs)
-    joined = full.join(spans, full["doc_id"].eqNullSafe(spans["_id"]) & (full["th"] == spans["_th"]), "left").select("doc_id", "zipped", "spans")
+    joined = full.join(spans, full["doc_id"].eqNullSafe(spans["_id"]) & (full["th"] == spans["_th"]), "left").select("doc_id", "zipped", "spans", "shares")
 
     def run(batches):
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 512):
                 part, out = batch.slice(at, 512), []
-                for doc, zipped, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "zipped", "spans"))):
+                for doc, zipped, found, shares in zip(*(part.column(c).to_pylist() for c in ("doc_id", "zipped", "spans", "shares"))):
                     raw = unzip(zipped)
                     removed, runs, rest = keep_rest(raw, [(s["start"], s["stop"]) for s in found or ()])
-                    out.append((doc, len(raw), removed, runs, rest))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    out.append((doc, len(raw), removed, runs, rest, bool(shares)))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shares_passage"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, shares_passage boolean")
 
 
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
-    """What 400-byte repeats take from each of all `documents`: see `without_repeats` for the awkward rows."""
+    """What 400-byte repeats take from each of all `documents`, and whether it shares a passage: see `without_repeats` for the awkward rows."""
     rest = without_repeats(table(spark, sf_dir, "documents"))
-    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")

@@ -1,7 +1,7 @@
 """Near-duplicates, repeats, packing, components: against brute force and the awkward rows."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -240,6 +240,33 @@ def test_repeats_query_and_awkward_rows(spark):
     assert repeats.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def brute_shares(texts):
+    words = [(t or "").encode().split() for t in texts]
+    runs = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in words]
+    seen = Counter(r for x in runs for r in x)
+    return [any(seen[r] > 1 for r in x) for x in runs]
+
+
+def test_repeats_tell_passages_of_over_50_words(spark):
+    """Passages below 400 bytes that stand in several documents are told, and still not removed; those of 50 words aren't told."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 4)) for _ in range(n))
+    passages = [fresh(n) for n in (50, 51, 51, 52, 60, 90, 400)]
+    texts = [f"{fresh(rng.integers(0, 90))} {p} {fresh(rng.integers(0, 90))}" for p in passages for _ in range(2)]
+    texts += [passages[1].replace(" ", "\n\t"), f"{passages[2]}x", f"{passages[3]} {fresh(5)} {passages[3]}", fresh(51), "a " * 51, "b " * 60, "a " * 40]
+    alone = fresh(70)
+    texts += [f"{alone} {alone}", fresh(45), fresh(60), None, "", "a " * 30]
+    texts += [texts[-4], texts[-5], fresh(60_000)]
+    texts += [" ".join(texts[-1].split()[i : i + 51]) for i in (0, 26_000, 59_949)]
+    got = sorted(repeats.without_repeats(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)).collect())
+    assert [r.shares_passage for r in got] == brute_shares(texts)
+    assert [(r.n_removed, r.n_spans) for r in got] == [r[1:3] for r in brute_repeats(texts, 400)]
+    assert all(got[i].shares_passage and not got[i].n_removed for i in range(2, 8))
+    d = documents()
+    got = QUERIES["op6_repeats"](spark, SF).toPandas().set_index("doc_id").loc[d.doc_id]
+    assert list(got.shares_passage) == brute_shares(d.text)
+
+
 def best_fit_plainly(pieces, capacity):
     bins, out = [], []
     for size, source, cluster in pieces:
