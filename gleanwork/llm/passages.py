@@ -161,11 +161,10 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     Rows of equal texts are certain, so that one row stands for its text where runs are compared.
     """
-    found = stored(met(anchors(docs)))
-    certain = found.filter("same").select("doc_id", "th").distinct()
-    known = certain.select("th").distinct()
-    open_keys = found.join(known, "th", "left_anti").select("key").distinct()
-    return found, certain, found.join(open_keys, "key", "left_semi").groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.collect_set("key").alias("keys"))
+    found = stored(met(anchors(docs)).groupBy("doc_id", "th").agg(F.max("same").alias("same"), F.collect_set("key").alias("keys")))
+    open_keys = found.filter("not same").select(F.explode("keys").alias("key")).distinct()
+    there = found.select("doc_id", "th", F.explode("keys").alias("key")).join(open_keys, "key", "left_semi")
+    return found, found.filter("same").select("doc_id", "th"), there.groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.collect_set("key").alias("keys"))
 
 
 def runs_at(raw: bytes, keys: list[int]) -> bytes:
