@@ -8,6 +8,7 @@ from ..fixtures import view
 from ..functions import fields
 from ..plans import dashboard, review
 from ..registry import query
+from ..storage import written
 
 
 @query("""SELECT d.document_id, count(*) FILTER (WHERE r.extraction_type = 'ai')::BIGINT AS n_ai, max(r.slot = 1) IS TRUE AS has_r1, max(r.slot = 2) IS TRUE AS has_r2,
@@ -62,10 +63,14 @@ def error_fields(spark, sf_dir):
 @query("""WITH newest AS (SELECT user_id % 25 AS extraction_id, arg_max(job_id, (created_at, job_id)) AS job_id FROM fx_jobs GROUP BY 1), bad AS (SELECT j.job_id, d.document_id FROM fx_jobs j JOIN fx_documents d ON d.project_id = j.user_id % 25 AND d.document_id % 9 = j.job_id % 9 WHERE j.status IN ('failed', 'completed')),
 f AS (SELECT n.extraction_id, b.document_id FROM newest n JOIN bad b ON n.job_id = b.job_id) SELECT extraction_id, document_id FROM f UNION ALL SELECT n.extraction_id, d.document_id FROM newest n JOIN fx_documents d ON d.project_id = n.extraction_id WHERE n.extraction_id NOT IN (SELECT extraction_id FROM f)""")
 def retry_set(spark, sf_dir):
-    jobs = view(spark, sf_dir, "fx_jobs").withColumn("extraction_id", F.col("user_id") % 25)
+    """Documents fail in the jobs of their extraction that share their remainder by 9; only those of newest jobs are made, since no other is asked for."""
+    jobs = view(spark, sf_dir, "fx_jobs").withColumn("extraction_id", F.col("user_id") % 25).select("extraction_id", "job_id", "created_at", "status")
     docs = view(spark, sf_dir, "fx_documents").select(F.col("project_id").cast("long").alias("extraction_id"), "document_id")
-    bad = jobs.filter("status in ('failed', 'completed')").select("job_id", "extraction_id").join(docs, "extraction_id").filter("document_id % 9 = job_id % 9").select("job_id", "document_id")
-    return dashboard.retry_set(jobs.select("extraction_id", "job_id", "created_at"), bad, docs)
+    newest = written(dashboard.newest_jobs(jobs))  # a row an extraction
+    ended = jobs.filter("status in ('failed', 'completed')").join(F.broadcast(newest.select("job_id")), "job_id", "left_semi")
+    slots = ended.select("job_id", "extraction_id", (F.col("job_id") % 9).alias("_slot"))
+    bad = docs.withColumn("_slot", F.col("document_id") % 9).join(F.broadcast(slots), ["extraction_id", "_slot"]).select("job_id", "document_id")
+    return dashboard.retry_set(newest, bad, docs)
 
 
 RULE_ROWS = [(1, "returnflag", "required", None, None, None, None, None), (2, "quantity", "range", 3.0, 48.0, None, None, None), (3, "linestatus", "regex", None, None, "[F]", None, None), (4, "comment", "cross_field", None, None, None, None, "returnflag"), (5, "returnflag", "format", None, None, None, "email", None)]

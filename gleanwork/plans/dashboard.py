@@ -91,12 +91,18 @@ def project_stats(documents: DataFrame, extractions: DataFrame, results: DataFra
     return docs.join(runs, "project_id", "left").join(found, "project_id", "left").fillna(0)
 
 
+def newest_jobs(jobs: DataFrame) -> DataFrame:
+    """(extraction_id, job_id, created_at) of each extraction's newest job."""
+    return jobs.groupBy("extraction_id").agg(F.max(F.struct("created_at", "job_id")).alias("_j")).select("extraction_id", "_j.job_id", "_j.created_at")
+
+
 def retry_set(jobs: DataFrame, failures: DataFrame, documents: DataFrame) -> DataFrame:
     """(extraction_id, document_id) to run again: the documents that failed in an extraction's newest job; all of its documents if none did.
 
     jobs (extraction_id, job_id, created_at), failures (job_id, document_id), documents (extraction_id, document_id).
+    Failures of older jobs are not looked at, and need not be there.
     """
-    newest = jobs.groupBy("extraction_id").agg(F.max(F.struct("created_at", "job_id"))["job_id"].alias("job_id"))
+    newest = newest_jobs(jobs).drop("created_at")
     failed = newest.join(failures, "job_id").select("extraction_id", "document_id").distinct()
     whole = documents.join(failed.select("extraction_id").distinct(), "extraction_id", "left_anti").join(newest.select("extraction_id"), "extraction_id", "left_semi")
     return failed.unionByName(whole.select("extraction_id", "document_id"))

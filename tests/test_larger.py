@@ -31,3 +31,31 @@ def test_upsert_results_keeps_both_rows_of_document_0(spark, tmp_path):
     lines = [(i, 1, 1, slot, 5.0 + slot, 2.0, 0.0, 0.0, "N", "O", DAY) for i in range(3) for slot in (1, 2, 7)]
     got = held_against_sql(spark, "upsert_results", tmp_path, {"orders": (orders, ORDERS), "lineitem": (lines, LINES)})
     assert sorted(got[(got.document_id == 0) & (got.slot == 7)].l_quantity) == [0.0, 12.0]
+
+
+CUSTOMERS = "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def joined_rows(plan):
+    """The most rows that a join of an executed plan gave, whatever adaptive execution wrapped it in."""
+    most, left = 0, [plan]
+    while left:
+        node = left.pop()
+        if "Join" in node.nodeName() and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        inner = [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        left += inner + [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+def test_retry_set_makes_failures_of_newest_jobs_alone(spark, tmp_path):
+    customers = [(i, f"c{i}", i, 0.0, "x") for i in range(3)]
+    orders = [(i, i % 3, "F", 1.0, DAY, "1-URGENT") for i in range(300)]
+    kinds = ["error", "purchase", "view"]
+    events = [(i, DAY + datetime.timedelta(minutes=i // 2), i % 28, kinds[i % 3], 1.0, "{}") for i in range(600)]
+    got = held_against_sql(spark, "retry_set", tmp_path, {"customer": (customers, CUSTOMERS), "orders": (orders, ORDERS), "events": (events, EVENTS)})
+    assert 0 < len(got[got.extraction_id == 0]) < 100 or 0 < len(got[got.extraction_id == 1]) < 100
+    out = queries.QUERIES["retry_set"](spark, str(tmp_path))
+    out.collect()
+    assert joined_rows(out._jdf.queryExecution().executedPlan()) <= 300  # not a document for each of its extraction's jobs
