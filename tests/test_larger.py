@@ -1,12 +1,17 @@
 """Registered queries on what the small tables don't hold: document 0 in every slot, tables of many rows a key."""
 
 import datetime
+import random
+import time
 
 import duckdb
+import pytest
 
 from gleanwork import queries
+from gleanwork.operators import vocabulary
 
 from .conftest import rows_of
+from .test_vocabulary import plain_canonical
 
 
 def held_against_sql(spark, name, sf_dir, tables):
@@ -59,3 +64,16 @@ def test_retry_set_makes_failures_of_newest_jobs_alone(spark, tmp_path):
     out = queries.QUERIES["retry_set"](spark, str(tmp_path))
     out.collect()
     assert joined_rows(out._jdf.queryExecution().executedPlan()) <= 300  # not a document for each of its extraction's jobs
+
+
+@pytest.mark.parametrize("few", [vocabulary.FEW, 0])
+def test_long_texts_in_canonical_terms(spark, monkeypatch, few):
+    monkeypatch.setattr(vocabulary, "FEW", few)
+    rng = random.Random(5)
+    terms = {"a": "one", "a b": "two", "b c": "three", "c a b d": "four"}
+    texts = [" ".join(rng.choices("abcdef", k=n)) for n in (250_000, 3, 0, 200_000)]
+    df, vocab = spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame(list(terms.items()), "term string, canonical string")
+    start = time.monotonic()
+    got = {r.i: (r.t, r.found) for r in vocabulary.canonicalised(df, "i", "t", vocab).collect()}
+    assert time.monotonic() - start < 40  # in proportion to the words, not to their square
+    assert got == {i: plain_canonical(t, terms) for i, t in enumerate(texts)}
