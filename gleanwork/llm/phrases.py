@@ -27,8 +27,8 @@ from .common import stored, table
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Names (and bytes of words) up to which they are broadcast.
 NAMES, NAME_BYTES = 1_000_000, 1 << 26
-#: Different words a task counts before it hands them on, ids a block holds, bytes of text that are cut into words at once.
-HELD, BLOCK, SLICE = 500_000, 1 << 19, 1 << 22
+#: Different words a task counts before it hands them on, ids it works on at once, ids from which a row ends at a break, bytes of text that are cut into words at once.
+HELD, BLOCK, ROW, SLICE = 1 << 17, 1 << 18, 512, 1 << 20
 
 _BREAK = b"\xff"  # in no UTF-8 text
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r", bytes(range(97, 123)) + _BREAK * 10)
@@ -54,9 +54,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) over whole texts; the row whose word is null has the language's words in all."""
 
     def rows(held):
-        langs = [(lang, word, n) for lang, counts in held.items() for word, n in counts.items() if word != _BREAK]
-        totals = [(lang, None, counts.total() - counts[_BREAK]) for lang, counts in held.items()]
-        lang, word, n = zip(*langs, *totals)
+        lang, word, n = [], [], []
+        for name, counts in held.items():
+            total = counts.total() - counts.pop(_BREAK, 0)
+            lang += [name] * (len(counts) + 1)
+            word += [*counts, None]
+            n += [*counts.values(), total]
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     def run(batches):
@@ -84,8 +87,30 @@ def _few(names: DataFrame, size=None) -> bool:
 BLOCKS = "ids array<bigint>"
 
 
-def _block(ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64()))], names=["ids"])
+def _rows(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A batch of packed ids, in rows that end at the first break after ROW ids. What is cut ends with a 0, so every row does.
+
+    Short rows keep batches small that Spark bounds by their number of rows alone.
+    """
+    ids = packed(ids)
+    if len(ids):
+        breaks = np.flatnonzero(ids == 0)
+        cuts = breaks[np.searchsorted(breaks, np.arange(ROW, len(ids) - 1, ROW))] + 1
+        ends = np.unique(np.concatenate([[0], cuts, [len(ids)]])).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["ids"])
+
+
+def _parts(batches) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """(batch, first row, ends of rows from 0, ids): whole rows of `ids`, the last column, up to BLOCK ids or one row at once."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(batch.num_columns - 1)
+        ends, values, first = column.offsets.to_numpy(), column.values.to_numpy(), 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + BLOCK, "right")) - 1)
+            yield batch, first, ends[first : last + 1] - ends[first], values[ends[first] : ends[last]]
+            first = last
 
 
 def packed(ids: np.ndarray) -> np.ndarray:
@@ -97,7 +122,7 @@ def packed(ids: np.ndarray) -> np.ndarray:
 
 
 def word_blocks(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Blocks of word ids of whole texts. A block ends with a text, or at a break once it is full."""
+    """Blocks of word ids of whole texts. A block ends at a break once it is full."""
     if not _few(names, F.length("word")):
         return _joined_words(docs, names)
     numbers: dict[str, dict[bytes, int]] = {}
@@ -115,16 +140,16 @@ def word_blocks(docs: DataFrame, names: DataFrame) -> DataFrame:
                     size += len(part)
                 held.append(np.zeros(1, np.int64))
                 if size >= BLOCK:
-                    yield _block(packed(np.concatenate(held)))
+                    yield from _rows(np.concatenate(held))
                     held, size = [], 0
         if held:
-            yield _block(packed(np.concatenate(held)))
+            yield from _rows(np.concatenate(held))
 
     return docs.select("lang", "text").mapInArrow(run, BLOCKS)
 
 
 def _joined_words(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """The same where names are many: words as rows, joined to their names, and gathered again by text.
+    """The same where names are many: words as rows, joined to their names, and gathered again by text, or by part of a long one.
 
     Hot words make hot keys of a plain merge join, which Spark splits while it runs.
     """
@@ -132,28 +157,33 @@ def _joined_words(docs: DataFrame, names: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for doc, lang, text in zip(batch.column("doc"), batch.column("lang"), batch.column("text")):
-                at = 0
+                at = piece = since = 0
                 for part in tokens(text.as_py()):
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array([language(lang.as_py())] * n, pa.string()), pa.array(part, pa.binary())], names=["doc", "at", "lang", "word"])
+                    n, pieces = len(part), []
+                    for word in part:
+                        pieces.append(piece)
+                        since += 1
+                        if word == _BREAK and since >= ROW:
+                            piece, since = piece + 1, 0
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * n, pa.int64()), pa.array(pieces, pa.int32()), pa.array(range(at, at + n), pa.int64()), pa.array([language(lang.as_py())] * n, pa.string()), pa.array(part, pa.binary())], names=["doc", "piece", "at", "lang", "word"])
                     at += n
 
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("doc"), "lang", "text"))
-    rows = numbered.mapInArrow(run, "doc long, at long, lang string, word binary")
+    rows = numbered.mapInArrow(run, "doc long, piece int, at long, lang string, word binary")
     found = rows.join(names.select("lang", "word", "id").hint("merge"), ["lang", "word"], "left")
-    return _gathered(found.select("doc", "at", F.coalesce("id", F.lit(0)).alias("id")))
+    return _gathered(found.select("doc", "piece", "at", F.coalesce("id", F.lit(0)).alias("id")))
 
 
 def _gathered(found: DataFrame) -> DataFrame:
-    """Blocks of (doc, at, id), one a doc, in order of at."""
+    """Blocks of (doc, piece, at, id), in order of at; a piece ends with a break."""
 
     def run(batches):
         for batch in batches:
             for ids in batch.column("ids"):
-                yield _block(packed(ids.values.to_numpy()))
+                yield from _rows(np.append(ids.values.to_numpy(), 0))
 
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"])
-    return found.groupBy("doc").agg(ordered.alias("ids")).select("ids").mapInArrow(run, BLOCKS)
+    return found.groupBy("doc", "piece").agg(ordered.alias("ids")).select("ids").mapInArrow(run, BLOCKS)
 
 
 def adjacent(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,13 +204,12 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
-            for ids in batch.column("ids"):
-                held += [ids.values.to_numpy(), np.zeros(1, np.int64)]
-                size += len(ids.values)
-                if size >= 4 * BLOCK:
-                    yield summed(held)
-                    held, size = [], 0
+        for _, _, _, ids in _parts(batches):
+            held.append(ids.copy())  # so that the batch can go
+            size += len(ids)
+            if size >= 4 * BLOCK:
+                yield summed(held)
+                held, size = [], 0
         if held:
             yield summed(held)
 
@@ -191,24 +220,23 @@ def renamed(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """Blocks with the ids of the pairs (left, right, id) in place of their left parents; other pairs become 0."""
     if not _few(names):
         return _joined_pairs(blocks, names)
-    held = names.select("left", "right", "id").toPandas().sort_values(["left", "right"])  # few, as counted
-    shared = blocks.sparkSession.sparkContext.broadcast(tuple(held[c].to_numpy(np.int64) for c in ("left", "right", "id")))
+    held = names.select("left", "right", "id").toPandas()  # few, as counted
+    known = np.unique(held[["left", "right"]].to_numpy(np.int64))
+    keys = np.searchsorted(known, held["left"]) * len(known) + np.searchsorted(known, held["right"])
+    order = np.argsort(keys)
+    shared = blocks.sparkSession.sparkContext.broadcast((known, keys[order], held["id"].to_numpy(np.int64)[order]))
 
     def run(batches):
-        left, right, number = shared.value
-        for batch in batches:
-            for block in batch.column("ids"):
-                ids = block.values.to_numpy()
-                where, keys, kinds = adjacent(ids)
-                out = np.zeros(len(ids), np.int64)
-                if len(where) and len(left):
-                    a, b = (np.minimum(np.searchsorted(kinds, c), len(kinds) - 1) for c in (left, right))
-                    here = np.flatnonzero((kinds[a] == left) & (kinds[b] == right))
-                    known = a[here] * len(kinds) + b[here]  # ascending, as left and right are
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                        out[where] = np.where(known[at] == keys, number[here[at]], 0)
-                yield _block(packed(out))
+        known, keys, number = shared.value
+        for _, _, _, ids in _parts(batches) if len(known) else ():
+            place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            there = known[place] == ids
+            where = np.flatnonzero(there[:-1] & there[1:])
+            pairs = place[where] * len(known) + place[where + 1]
+            at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+            out = np.zeros(len(ids), np.int64)
+            out[where] = np.where(keys[at] == pairs, number[at], 0)
+            yield from _rows(out)
 
     return blocks.mapInArrow(run, BLOCKS)
 
@@ -217,16 +245,18 @@ def _joined_pairs(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """The same where names are many: pairs as rows, joined to their names, and gathered again by block."""
 
     def run(batches):
-        for batch in batches:
-            for doc, block in zip(batch.column("doc"), batch.column("ids")):
-                ids = block.values.to_numpy()
-                if n := len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc.as_py())), pa.array(np.arange(n)), pa.array(ids[:-1]), pa.array(ids[1:])], names=["doc", "at", "left", "right"])
+        for batch, first, ends, ids in _parts(batches):
+            size = np.diff(ends)
+            docs = batch.column("doc").slice(first, len(size)).to_numpy()
+            at = np.arange(len(ids)) - np.repeat(ends[:-1], size)
+            keep = np.ones(len(ids), bool)
+            keep[ends[1:] - 1] = False  # a row's last id is a 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (np.repeat(docs, size), np.zeros(len(ids), np.int32), at, ids, np.roll(ids, -1))], names=["doc", "piece", "at", "left", "right"])
 
     numbered = stored(blocks.filter("size(ids) > 0").select(F.monotonically_increasing_id().alias("doc"), "ids"))
-    rows = numbered.mapInArrow(run, "doc long, at long, left long, right long")
+    rows = numbered.mapInArrow(run, "doc long, piece int, at long, left long, right long")
     found = rows.join(names.select("left", "right", "id").hint("merge"), ["left", "right"], "left")
-    return _gathered(found.select("doc", "at", F.coalesce("id", F.lit(0)).alias("id")))
+    return _gathered(found.select("doc", "piece", "at", F.coalesce("id", F.lit(0)).alias("id")))
 
 
 def named(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
@@ -268,7 +298,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, to
 
     Null texts count as empty, null languages as `und`. Copies and repeated rows count as often as they stand; of long
     texts every word counts. Ties rank by count, then by the phrase's bytes. An empty table gives no rows; other
-    columns are not read. A block is as long as the longest text without a break, at most.
+    columns are not read. A row of ids is as long as the longest piece of a text without a break, and ROW more, at most.
     """
     levels, totals = named(docs.select("text", "lang"), longest, least)
     found = []

@@ -6,8 +6,10 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gleanwork import queries
+from gleanwork.llm import phrases
 from gleanwork.operators import vocabulary
 
 from .conftest import rows_of
@@ -77,3 +79,18 @@ def test_long_texts_in_canonical_terms(spark, monkeypatch, few):
     got = {r.i: (r.t, r.found) for r in vocabulary.canonicalised(df, "i", "t", vocab).collect()}
     assert time.monotonic() - start < 40  # in proportion to the words, not to their square
     assert got == {i: plain_canonical(t, terms) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("few", [10**6, -1])
+def test_rows_of_ids_stay_short(spark, monkeypatch, few):
+    """Spark bounds batches by their number of rows alone, so a long row is memory that no setting limits."""
+    monkeypatch.setattr(phrases, "NAMES", few)
+    docs = spark.createDataFrame([("a b c d. " * 50, "en")] * 300 + [("a b c d. " * 20_000, "en")], "text string, lang string").coalesce(1)
+    counts = phrases.word_counts(docs).filter("word is not null and n >= 5")
+    words = phrases.stored(counts.select((F.monotonically_increasing_id() + 1).alias("id"), "lang", "word", "n"))
+    blocks = phrases.stored(phrases.word_blocks(docs, words))
+    assert blocks.agg(F.sum(F.size(F.filter("ids", lambda x: x > 0))), F.max(F.size("ids")) <= 1024).first() == (35_000 * 4, True)
+    pairs = phrases.stored(phrases.pair_counts(blocks).select((F.monotonically_increasing_id() + 1).alias("id"), "left", "right", "n"))
+    assert sorted(r.n for r in pairs.collect()) == [35_000] * 3
+    again = phrases.renamed(blocks, pairs)
+    assert again.agg(F.sum(F.size(F.filter("ids", lambda x: x > 0))), F.max(F.size("ids")) <= 1024).first() == (35_000 * 3, True)
