@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from itertools import repeat
+from math import floor
 
 import pandas as pd
 import pyarrow as pa
@@ -71,9 +73,10 @@ def common_length(a: str, b: str) -> int:
 def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
     """Best similarity 2 * common / (m + n) of the shorter text with any window of at most its length in the longer one.
 
-    All windows count, those cut off at the ends too; a result below `least` only says that none reaches it. A step
-    of the window adds at most one common character and takes away at most one of its length, so as many steps are
-    skipped as it takes at least to pass the best so far.
+    All windows count, those cut off at the ends too; a result below `least` only says that none reaches it. A row of
+    bit vectors that goes on past its window bounds all windows that it covers, so as many of them are passed over as
+    it takes to pass the best so far. A step of the window adds at most one common character and takes away at most
+    one of its length, which bounds the next ones where texts are alike.
     """
     if len(short) > len(long):
         short, long = long, short
@@ -81,23 +84,60 @@ def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
     if not m:
         return 0.0
     best, bar = 0.0, max(least - 1e-12, 0.0)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(short):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, find, none = (1 << m) - 1, masks.get, repeat(0)
 
-    def at(end):
-        nonlocal best, bar
-        window = long[max(0, end - m) : end]
-        common = common_length(short, window)
-        ratio = 2 * common / (m + len(window))
-        best, bar = max(best, ratio), max(bar, ratio)
-        return int((bar * (m + len(window)) - 2 * common) / (2 + bar))
-
-    for word in re.finditer(r"\w{6,}", short):  # likely places first: the higher the bar, the longer the steps
+    for word in re.finditer(r"\w{6,}", short):  # a likely place first: the higher the bar, the more it rules out
         hit = long.find(word[0])
         if hit >= 0:
-            at(min(n, max(1, hit - word.start() + m)))
+            end = min(n, max(1, hit - word.start() + m))
+            window = long[max(0, end - m) : end]
+            best = 2 * common_length(short, window) / (m + len(window))
+            bar = max(bar, best)
             break
-    end = 1
-    while end < n + m and best < 1:
-        end += max(1, at(end))
+
+    # windows cut off at the start are the starts of one row, those at the end the starts of one row of both reversed
+    for text, by in ((long[: m - 1], find), (long[: n - m : -1], {c: int(f"{x:0{m}b}"[::-1], 2) for c, x in masks.items()}.get)):
+        s = full
+        for size, mask in enumerate(map(by, text, none), 1):
+            u = s & mask
+            s = (s + u | s - u) & full
+            if 2 * size / (m + size) > bar:  # all of it would have to be common
+                ratio = 2 * (m - s.bit_count()) / (m + size)
+                if ratio > best:
+                    best, bar = ratio, max(bar, ratio)
+
+    row = list(map(find, long, none)) if bar < 1 else []
+    start = 0  # of the first window that is not ruled out
+    while start <= n - m and bar < 1:
+        s, at = full, start
+        most = floor(bar * m)  # common characters of a whole window that don't pass the bar
+        while 2 * (most + 1) / (2 * m) <= bar:
+            most += 1
+        while 2 * most / (2 * m) > bar:
+            most -= 1
+        for mask in row[at : at + m]:
+            u = s & mask
+            s = (s + u | s - u) & full
+        at += m
+        common = m - s.bit_count()
+        step = 1
+        if common > most:
+            best = 2 * common / (2 * m)
+            bar = max(bar, best)
+            most = common
+        else:
+            step = max(1, int((bar * 2 * m - 2 * common) / (2 + bar)))
+        while common <= most and at < n:  # a character adds one at most: as many are taken as can't pass `most` by more
+            ahead = most + 1 - common
+            for mask in row[at : at + ahead]:
+                u = s & mask
+                s = (s + u | s - u) & full
+            at = min(n, at + ahead)
+            common = m - s.bit_count()
+        start = n if common <= most else max(start + step, at - m)
     return best
 
 
@@ -123,16 +163,13 @@ def nearest_chunk(snippet: str, parts: list[tuple[str, int, int, int]], at: floa
     return found if found and best >= at else None
 
 
-def located(snippets: DataFrame, documents: DataFrame, at: float = ROUGH_AT) -> DataFrame:
-    """`snippets` (doc_id, snippet, ...) with `location`: page, start_char, end_char, matched_text, confidence, section; null if not found.
-
-    A snippet is looked for in its own document (doc_id, text): as it stands, in SQL; only what isn't found so is compared
-    with the text's chunks. Snippets that are too short or say that nothing was reported have no location.
-    """
+def _matched(snippets: DataFrame, documents: DataFrame, at: float) -> DataFrame:
+    """`snippets` with _text, _pages and _hit (start, end, confidence, matched), null if not found; one join, one pass of the texts."""
     rows = snippets.join(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")), "doc_id", "left")
     rows = rows.withColumn("_clean", F.when(searchable(F.col("snippet")), collapse(F.col("snippet"))))
     at_char = F.expr("instr(_text, _clean)") - 1
-    rows = rows.withColumn("_pages", pages_in(F.col("_text"))).withColumn("_hit", F.when(at_char >= 0, F.struct(at_char.alias("start"), (at_char + F.length("_clean")).alias("end"), F.lit(1.0).alias("confidence"), F.col("_clean").alias("matched"))))
+    whole = F.struct(at_char.alias("start"), (at_char + F.length("_clean")).alias("end"), F.lit(1.0).alias("confidence"), F.col("_clean").alias("matched"))
+    rows = rows.withColumn("_pages", pages_in(F.col("_text"))).withColumn("_whole", F.when(at_char >= 0, whole))
 
     @F.pandas_udf("start int, end int, confidence double, matched string")
     def rough(clean: pd.Series, text: pd.Series, pages: pd.Series) -> pd.DataFrame:
@@ -145,15 +182,25 @@ def located(snippets: DataFrame, documents: DataFrame, at: float = ROUGH_AT) ->
             out.append(hit or (None, None, None, None))
         return pd.DataFrame(out, columns=["start", "end", "confidence", "matched"]).astype({"start": "Int32", "end": "Int32"})
 
-    found = rows.filter("_hit is not null or _clean is null or _text is null")
-    left = rows.filter("_hit is null and _clean is not null and _text is not null").withColumn("_hit", rough("_clean", "_text", "_pages"))
-    left = left.withColumn("_hit", F.when(F.col("_hit.start").isNotNull(), F.col("_hit")))
-    both = found.unionByName(left)
+    left = F.col("_whole").isNull() & F.col("_clean").isNotNull() & F.col("_text").isNotNull()
+    pages = F.when(left, F.col("_pages")).otherwise(F.array().cast("array<struct<page:int,start_char:int,end_char:int>>"))  # a null among them makes pandas' numbers floats
+    # as if not deterministic: a filter on its outcome would run it a second time
+    rows = rows.withColumn("_rough", rough.asNondeterministic()(F.when(left, F.col("_clean")), F.when(left, F.col("_text")), pages))
+    return rows.withColumn("_hit", F.coalesce("_whole", F.when(F.col("_rough.start").isNotNull(), F.col("_rough")))).drop("_clean", "_whole", "_rough")
+
+
+def located(snippets: DataFrame, documents: DataFrame, at: float = ROUGH_AT) -> DataFrame:
+    """`snippets` (doc_id, snippet, ...) with `location`: page, start_char, end_char, matched_text, confidence, section; null if not found.
+
+    A snippet is looked for in its own document (doc_id, text): as it stands, in SQL; only what isn't found so is compared
+    with the text's chunks. Snippets that are too short or say that nothing was reported have no location.
+    """
+    both = _matched(snippets, documents, at)
     place = F.struct(
         page_of(F.col("_pages"), F.col("_hit.start")).alias("page"), F.col("_hit.start").cast("long").alias("start_char"), F.col("_hit.end").cast("long").alias("end_char"),
         F.substring("_hit.matched", 1, MOST_SHOWN).alias("matched_text"), F.col("_hit.confidence").alias("confidence"), section_before(F.col("_text"), F.col("_hit.start")).alias("section"),
     )
-    return both.withColumn("location", F.when(F.col("_hit").isNotNull(), place)).drop("_text", "_clean", "_pages", "_hit")
+    return both.withColumn("location", F.when(F.col("_hit").isNotNull(), place)).drop("_text", "_pages", "_hit")
 
 
 def enriched(results: DataFrame, documents: DataFrame) -> DataFrame:
@@ -186,5 +233,5 @@ def page_index(located_fields: DataFrame) -> DataFrame:
 
 def locate_rough(documents: DataFrame, snippets: DataFrame, at: float = ROUGH_AT) -> DataFrame:
     """(doc_id, item_id, confidence, start_char, end_char) of the snippets (doc_id, item_id, snippet) that their own document holds, exactly or roughly."""
-    found = located(snippets, documents, at).filter("location is not null")
-    return found.select("doc_id", "item_id", "location.confidence", "location.start_char", "location.end_char")
+    found = _matched(snippets, documents, at).filter("_hit is not null")
+    return found.select("doc_id", "item_id", "_hit.confidence", F.col("_hit.start").cast("long").alias("start_char"), F.col("_hit.end").cast("long").alias("end_char"))

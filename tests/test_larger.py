@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from gleanwork import queries
 from gleanwork.llm import phrases
-from gleanwork.operators import vocabulary
+from gleanwork.operators import chunks, vocabulary
 
-from .conftest import rows_of
+from .conftest import SF, rows_of
+from .test_files import plain_ratio
 from .test_vocabulary import plain_canonical
 
 
@@ -94,3 +95,25 @@ def test_rows_of_ids_stay_short(spark, monkeypatch, few):
     assert sorted(r.n for r in pairs.collect()) == [35_000] * 3
     again = phrases.renamed(blocks, pairs)
     assert again.agg(F.sum(F.size(F.filter("ids", lambda x: x > 0))), F.max(F.size("ids")) <= 1024).first() == (35_000 * 3, True)
+
+
+def test_partial_ratio_rules_windows_out(monkeypatch):
+    """Long texts of few letters, alike and not: the same best as over all windows, in fewer rows of bit vectors."""
+    rng, rows = random.Random(7), []
+    plain = chunks.common_length
+    monkeypatch.setattr(chunks, "common_length", lambda a, b: rows.append(1) or plain(a, b))
+    words = ["".join(rng.choices("aeinorst", k=rng.randrange(1, 9))) for _ in range(300)]
+    for _ in range(6):
+        long = " ".join(rng.choices(words, k=150))
+        at = rng.randrange(len(long) - 160)
+        short = " ".join(w for i, w in enumerate(long[at : at + 160].split(" ")) if i % 6 != 4)
+        want = plain_ratio(short, long)
+        assert abs(chunks.partial_ratio(short, long) - want) < 1e-12 and chunks.partial_ratio(short, long, want) >= want
+        assert chunks.partial_ratio(short, long, want + 0.01) < want + 0.01
+    assert len(rows) <= 18  # the likely place alone; the others go on in one row
+
+
+def test_locate_fuzzy_compares_once(spark):
+    """A filter on the outcome of a function in Python must not run it again, and texts are joined once."""
+    plan = queries.QUERIES["locate_fuzzy"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin") == 1
