@@ -120,9 +120,9 @@ def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
             most -= 1
         for mask in row[at : at + m]:
             u = s & mask
-            s = (s + u | s - u) & full
+            s = s + u | s - u  # carries above the short text's bits do no harm
         at += m
-        common = m - s.bit_count()
+        common = m - (s & full).bit_count()
         step = 1
         if common > most:
             best = 2 * common / (2 * m)
@@ -134,8 +134,9 @@ def partial_ratio(short: str, long: str, least: float = 0.0) -> float:
             ahead = most + 1 - common
             for mask in row[at : at + ahead]:
                 u = s & mask
-                s = (s + u | s - u) & full
+                s = s + u | s - u
             at = min(n, at + ahead)
+            s &= full
             common = m - s.bit_count()
         start = n if common <= most else max(start + step, at - m)
     return best
