@@ -25,7 +25,7 @@ from .common import stored, table
 
 #: Longest phrase in words, least count of a candidate, phrases a language returns.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Names (and bytes of words) up to which they are broadcast.
+#: Words (and bytes of them) up to which they are broadcast; of pairs twice as many.
 NAMES, NAME_BYTES = 1_000_000, 1 << 26
 #: Different words a task counts before it hands them on, ids it works on at once, ids from which a row ends at a break, bytes of text that are cut into words at once.
 HELD, BLOCK, ROW, SLICE = 1 << 17, 1 << 18, 512, 1 << 20
@@ -78,10 +78,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _few(names: DataFrame, size=None) -> bool:
+def _few(names: DataFrame, size=None, most: int | None = None) -> bool:
     """Whether stored names are few enough to go to every task."""
     n, size = names.agg(F.count("*"), F.sum(size) if size is not None else F.lit(0)).first()
-    return n <= NAMES and (size or 0) <= NAME_BYTES
+    return n <= (NAMES if most is None else most) and (size or 0) <= NAME_BYTES
 
 
 BLOCKS = "ids array<bigint>"
@@ -218,13 +218,14 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 def renamed(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """Blocks with the ids of the pairs (left, right, id) in place of their left parents; other pairs become 0."""
-    if not _few(names):
+    if not _few(names, most=2 * NAMES):  # 16 bytes each, where a word takes about 100
         return _joined_pairs(blocks, names)
-    held = names.select("left", "right", "id").toPandas()  # few, as counted
-    known = np.unique(held[["left", "right"]].to_numpy(np.int64))
-    keys = np.searchsorted(known, held["left"]) * len(known) + np.searchsorted(known, held["right"])
+    held = names.select("left", "right", "id").toArrow()  # few, as counted
+    left, right, number = (held[c].to_numpy() for c in ("left", "right", "id"))
+    known = np.unique(np.concatenate([left, right]))
+    keys = np.searchsorted(known, left) * len(known) + np.searchsorted(known, right)
     order = np.argsort(keys)
-    shared = blocks.sparkSession.sparkContext.broadcast((known, keys[order], held["id"].to_numpy(np.int64)[order]))
+    shared = blocks.sparkSession.sparkContext.broadcast((known, keys[order], number[order]))
 
     def run(batches):
         known, keys, number = shared.value
